@@ -253,8 +253,6 @@ summary AS (
     s.app_id IN (SELECT app_id FROM true_apps) AS used_true_parents
   FROM stage_metrics s JOIN depths d ON d.app_id = s.app_id GROUP BY s.app_id)"""
 
-REPORT_SCORES = "app_id, label, prediction, (70 + CAST(substr(app_id, 5) AS BIGINT) % 30) / 100.0::DOUBLE AS confidence"
-
 
 def graphs() -> dict[str, str]:
     return {
@@ -302,5 +300,179 @@ def graphs() -> dict[str, str]:
     }
 
 
+FEATURE_NAMES = """mean_task_duration std_task_duration max_task_duration total_memory_spilled total_disk_spilled
+total_shuffle_read total_shuffle_write total_gc_time total_stages failed_stages max_stage_parallelism
+stage_depth_of_failure completed_stage_ratio failed_stage_ratio spill_per_stage gc_per_stage
+duration_heterogeneity_ratio duration_variance max_min_duration_ratio spill_ratio disk_spill_ratio
+peak_memory_ratio gc_time_ratio task_failure_rate retry_count""".split()
+
+FEATS = f"""{BOTH},
+timed AS (SELECT *, CASE WHEN duration_ms > 0 THEN duration_ms ELSE executor_run_time END AS d FROM task_metrics),
+t AS (SELECT app_id, min(label) AS label, count(*) AS n_tasks, sum(CASE WHEN success THEN 0 ELSE 1 END) AS n_failed,
+  sum(CASE WHEN task_attempt > 0 THEN 1 ELSE 0 END) AS retry_count, avg(d) AS mean_task_duration,
+  stddev_samp(d) AS std_task_duration, var_samp(d) AS duration_variance, min(d) AS min_d, max(d) AS max_task_duration,
+  avg(peak_execution_memory) AS avg_peak, max(peak_execution_memory) AS max_peak,
+  sum(memory_bytes_spilled) AS total_memory_spilled, sum(disk_bytes_spilled) AS total_disk_spilled,
+  sum(shuffle_bytes_read) AS total_shuffle_read, sum(shuffle_bytes_written) AS total_shuffle_write,
+  sum(jvm_gc_time) AS total_gc_time, sum(executor_run_time) AS run_time, sum(input_bytes_read) AS input
+  FROM timed GROUP BY app_id),
+s AS (SELECT app_id, count(*) AS total_stages, sum(CASE WHEN status = 'FAILED' THEN 1 ELSE 0 END) AS failed_stages,
+  sum(CASE WHEN status = 'COMPLETED' THEN 1 ELSE 0 END) AS stage_depth_of_failure, max(num_tasks) AS max_stage_parallelism
+  FROM stage_metrics GROUP BY app_id),
+j AS (SELECT t.*, coalesce(total_stages, 0) AS total_stages, coalesce(failed_stages, 0) AS failed_stages,
+  coalesce(stage_depth_of_failure, 0) AS stage_depth_of_failure, coalesce(max_stage_parallelism, 0) AS max_stage_parallelism
+  FROM t LEFT JOIN s ON s.app_id = t.app_id),
+features AS (SELECT app_id, label, CAST(mean_task_duration AS DOUBLE) AS mean_task_duration,
+  coalesce(std_task_duration, 0.0) AS std_task_duration, CAST(max_task_duration AS DOUBLE) AS max_task_duration,
+  CAST(total_memory_spilled AS DOUBLE) AS total_memory_spilled, CAST(total_disk_spilled AS DOUBLE) AS total_disk_spilled,
+  CAST(total_shuffle_read AS DOUBLE) AS total_shuffle_read, CAST(total_shuffle_write AS DOUBLE) AS total_shuffle_write,
+  CAST(total_gc_time AS DOUBLE) AS total_gc_time, CAST(total_stages AS DOUBLE) AS total_stages,
+  CAST(failed_stages AS DOUBLE) AS failed_stages, CAST(max_stage_parallelism AS DOUBLE) AS max_stage_parallelism,
+  CAST(stage_depth_of_failure AS DOUBLE) AS stage_depth_of_failure,
+  CASE WHEN total_stages > 0 THEN CAST(stage_depth_of_failure AS DOUBLE) / total_stages ELSE 0.0 END AS completed_stage_ratio,
+  CASE WHEN total_stages > 0 THEN CAST(failed_stages AS DOUBLE) / total_stages ELSE 0.0 END AS failed_stage_ratio,
+  CASE WHEN total_stages > 0 THEN CAST(total_memory_spilled + total_disk_spilled AS DOUBLE) / total_stages ELSE 0.0 END AS spill_per_stage,
+  CASE WHEN total_stages > 0 THEN CAST(total_gc_time AS DOUBLE) / total_stages ELSE 0.0 END AS gc_per_stage,
+  CASE WHEN mean_task_duration > 0 THEN CAST(max_task_duration AS DOUBLE) / mean_task_duration ELSE 1.0 END AS duration_heterogeneity_ratio,
+  coalesce(duration_variance, 0.0) AS duration_variance,
+  CASE WHEN min_d > 0 THEN CAST(max_task_duration AS DOUBLE) / min_d ELSE 1.0 END AS max_min_duration_ratio,
+  CASE WHEN input > 0 THEN CAST(total_memory_spilled AS DOUBLE) / input ELSE 0.0 END AS spill_ratio,
+  CASE WHEN input > 0 THEN CAST(total_disk_spilled AS DOUBLE) / input ELSE 0.0 END AS disk_spill_ratio,
+  CASE WHEN avg_peak > 0 THEN CAST(max_peak AS DOUBLE) / avg_peak ELSE 1.0 END AS peak_memory_ratio,
+  CASE WHEN run_time > 0 THEN CAST(total_gc_time AS DOUBLE) / run_time ELSE 0.0 END AS gc_time_ratio,
+  CASE WHEN n_tasks > 0 THEN CAST(n_failed AS DOUBLE) / n_tasks ELSE 0.0 END AS task_failure_rate,
+  CAST(retry_count AS DOUBLE) AS retry_count FROM j),
+long AS (""" + " UNION ALL ".join(
+    f"SELECT app_id, label, '{name}' AS feature, {name} AS value FROM features" for name in FEATURE_NAMES
+) + ")"
+
+NAMES = """(VALUES (0, 'Baseline'), (1, 'OOM'), (2, 'Data Skew'), (3, 'Serialization Failure'),
+  (4, 'Network Timeout'), (5, 'Disk Space Failure'), (6, 'Metadata Failure')) AS names(label, label_name)"""
+
+PREDICTED = f"""{TASKS},
+predictions AS (SELECT app_id, min(label) AS label,
+  CAST(CASE WHEN CAST(substr(app_id, 5) AS BIGINT) % 5 = 0 THEN (min(label) + 1) % 7 ELSE min(label) END AS INT) AS prediction,
+  (70 + CAST(substr(app_id, 5) AS BIGINT) % 30) / CAST(100 AS DOUBLE) AS confidence
+  FROM task_metrics GROUP BY app_id)"""
+
+PER_CLASS = f"""{PREDICTED},
+classes AS (SELECT label AS c FROM predictions UNION SELECT prediction FROM predictions),
+per_class AS (SELECT c, count(*) FILTER (WHERE label = c) AS support, count(*) FILTER (WHERE prediction = c) AS predicted,
+  count(*) FILTER (WHERE label = c AND prediction = c) AS tp FROM classes, predictions GROUP BY c),
+scored AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS p,
+  CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS r FROM per_class)"""
+
+VERDICT_FEATURES = "('total_stages', 'stage_depth_of_failure', 'peak_memory_ratio', 'duration_heterogeneity_ratio')"
+
+TASK_LIST = """app_id, label, stage_id, stage_attempt_id, task_id, task_attempt, executor_id, host, success, duration_ms,
+  executor_run_time, jvm_gc_time, memory_bytes_spilled, disk_bytes_spilled, peak_execution_memory, input_bytes_read,
+  shuffle_bytes_read, shuffle_bytes_written, shuffle_fetch_wait_time"""
+
+MANIFEST = f"""{STAGES},
+manifest AS (SELECT concat('RUN_', app_id) AS AppName, label_name AS FailureType, s.label AS Label, substr(app_id, 5) AS RunId,
+  app_id AS AppId, CASE WHEN CAST(substr(app_id, 5) AS BIGINT) % 9 = 0 THEN 'ERROR'
+    WHEN CAST(substr(app_id, 5) AS BIGINT) % 9 = 1 THEN 'TIMEOUT'
+    WHEN count(*) FILTER (WHERE status = 'FAILED') > 0 THEN 'FAILED' ELSE 'FINISHED' END AS Status
+  FROM stage_metrics s JOIN {NAMES} ON names.label = s.label GROUP BY app_id, s.label, label_name)"""
+
+
+def _rounded(exact: dict[str, int] | None = None) -> str:
+    digits = exact or {}
+    return ", ".join(f"round({n}, {digits[n]}) AS {n}" if n in digits else n for n in FEATURE_NAMES)
+
+
+def telemetry() -> dict[str, str]:
+    spread = {"std_task_duration": 4, "duration_variance": 4}
+    return {
+        "task_metrics": f"WITH {TASKS} SELECT {TASK_LIST} FROM task_metrics",
+        "stage_metrics": f"WITH {STAGES} SELECT * FROM stage_metrics",
+        "parse_task_events": f"WITH {TASKS} SELECT {TASK_LIST} FROM task_metrics",
+        "parse_stage_events": f"WITH {STAGES} SELECT * FROM stage_metrics",
+        "parse_stage_parents": f"WITH {STAGES} SELECT app_id, stage_id, parent_ids FROM stage_metrics",
+        "parse_once_counts": f"""WITH {BOTH} SELECT (SELECT count(*) FROM task_metrics) AS tasks,
+            (SELECT count(*) FROM stage_metrics) AS stages""",
+        "task_aggregates": f"""WITH {FEATS} SELECT app_id, label, n_tasks AS total_tasks, CAST(n_failed AS BIGINT) AS failed_tasks,
+            CAST(retry_count AS BIGINT) AS retry_count, mean_task_duration, round(std_task_duration, 4) AS std_task_duration,
+            round(duration_variance, 4) AS duration_variance, min_d AS min_task_duration, max_task_duration,
+            avg_peak AS avg_peak_memory, max_peak AS max_peak_memory, CAST(total_memory_spilled AS BIGINT) AS total_memory_spilled,
+            CAST(total_disk_spilled AS BIGINT) AS total_disk_spilled, CAST(total_shuffle_read AS BIGINT) AS total_shuffle_read,
+            CAST(total_shuffle_write AS BIGINT) AS total_shuffle_write, CAST(total_gc_time AS BIGINT) AS total_gc_time,
+            CAST(run_time AS BIGINT) AS total_run_time, CAST(input AS BIGINT) AS total_input FROM t""",
+        "stage_aggregates": f"""WITH {FEATS} SELECT app_id, total_stages, CAST(failed_stages AS BIGINT) AS failed_stages,
+            CAST(stage_depth_of_failure AS BIGINT) AS stage_depth_of_failure, max_stage_parallelism FROM s""",
+        "app_features": f"WITH {FEATS} SELECT app_id, label, {_rounded(spread)} FROM features",
+        "feature_describe": f"""WITH {FEATS} SELECT feature, count(value) AS n, round(avg(value), 3) AS mean,
+            round(stddev_samp(value), 2) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max FROM long GROUP BY feature""",
+        "ground_truth": f"""WITH {TASKS}, g AS (SELECT app_id, max(label) AS label FROM task_metrics GROUP BY app_id)
+            SELECT app_id, g.label, label_name FROM g JOIN {NAMES} ON names.label = g.label""",
+        "label_distribution": f"""WITH {TASKS}, g AS (SELECT app_id, max(label) AS label FROM task_metrics GROUP BY app_id)
+            SELECT g.label, label_name, count(*) AS app_count FROM g JOIN {NAMES} ON names.label = g.label GROUP BY g.label, label_name""",
+        "split_by_key": f"""WITH {TASKS}, a AS (SELECT DISTINCT app_id, label FROM task_metrics)
+            SELECT app_id, label, CASE WHEN CAST(concat('0x', substr(md5(app_id), 1, 8)) AS BIGINT) % 100 < 80
+              THEN 'train' ELSE 'test' END AS split FROM a""",
+        "classification_metrics": f"""WITH {PER_CLASS} SELECT round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy,
+            round(sum(support * CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) / sum(support), 6) AS f1,
+            round(sum(support * p) / sum(support), 6) AS precision, round(sum(support * r) / sum(support), 6) AS recall FROM scored""",
+        "confusion_matrix": f"""WITH {PREDICTED} SELECT names.label, """
+        + ", ".join(f"count(*) FILTER (WHERE prediction = {c}) AS predicted_{c}" for c in range(7))
+        + f" FROM {NAMES} LEFT JOIN predictions p ON p.label = names.label GROUP BY names.label",
+        "per_class_accuracy": f"""WITH {PREDICTED} SELECT p.label, label_name, count(*) FILTER (WHERE p.label = prediction) AS correct,
+            count(*) AS total, round(count(*) FILTER (WHERE p.label = prediction) / count(*), 6) AS accuracy,
+            count(*) FILTER (WHERE p.label = prediction) / count(*) >= 0.5 AS passed
+            FROM predictions p JOIN {NAMES} ON names.label = p.label GROUP BY p.label, label_name""",
+        "misclassified": f"WITH {PREDICTED} SELECT app_id, label, prediction FROM predictions WHERE label <> prediction",
+        "class_feature_stats": f"""WITH {FEATS} SELECT feature, label, round(avg(value), 3) AS mean, round(stddev_samp(value), 2) AS std,
+            round(min(value), 4) AS min, round(max(value), 4) AS max, count(*) AS n FROM long GROUP BY feature, label""",
+        "feature_correlation": f"""WITH {FEATS} SELECT feature, round(corr(value, CAST(label AS DOUBLE)), 6) AS pearson FROM long GROUP BY feature""",
+        "feature_redundancy": f"""WITH {FEATS} SELECT 'total_stages' AS first_feature, 'stage_depth_of_failure' AS second_feature,
+            round(corr(total_stages, stage_depth_of_failure), 6) AS pearson,
+            count(*) FILTER (WHERE total_stages = stage_depth_of_failure) AS identical_rows, count(*) AS total_rows,
+            round(count(*) FILTER (WHERE total_stages = stage_depth_of_failure) / count(*), 6) AS identical_share,
+            corr(total_stages, stage_depth_of_failure) > 0.95 AS is_redundant FROM features""",
+        "confound_verdict": f"""WITH {FEATS}, c AS (SELECT feature, label, count(*) AS n,
+              coalesce(stddev_samp(value), 0) = 0 OR min(value) = max(value) AS fixed
+              FROM long WHERE feature IN {VERDICT_FEATURES} GROUP BY feature, label),
+            v AS (SELECT feature, count(*) FILTER (WHERE fixed) AS zero_variance_classes,
+              CAST(coalesce(sum(n) FILTER (WHERE fixed), 0) AS BIGINT) AS zero_variance_rows, CAST(sum(n) AS BIGINT) AS total_rows
+              FROM c GROUP BY feature),
+            p AS (SELECT feature, round(corr(value, CAST(label AS DOUBLE)), 6) AS pearson FROM long GROUP BY feature)
+            SELECT v.*, pearson, CASE WHEN zero_variance_classes >= 4 THEN 'STRONG' WHEN zero_variance_classes >= 2 THEN 'MODERATE'
+              ELSE 'LOW' END AS verdict FROM v JOIN p ON p.feature = v.feature""",
+        "unified_report": f"""WITH RECURSIVE {RESULTS}, {PREDICTED.replace(NUMBERED + ',', '', 1)},
+            rows AS (SELECT coalesce(r.app_id, p.app_id) AS app_id,
+              concat('[', coalesce(root_cause_stage_ids, ''), ']') AS roots, concat('[', coalesce(victim_stages, ''), ']') AS victims,
+              coalesce(CASE prediction WHEN 0 THEN 'Baseline' WHEN 1 THEN 'OOM' WHEN 2 THEN 'Data Skew' WHEN 3 THEN 'Serialization'
+                WHEN 4 THEN 'Network Timeout' WHEN 5 THEN 'Disk Space' WHEN 6 THEN 'Metadata' END, 'Not Available') AS predicted_class,
+              coalesce(p.confidence, 0.0) AS confidence
+              FROM root_causes r FULL JOIN predictions p ON p.app_id = r.app_id)
+            SELECT app_id, predicted_class, confidence, concat('{{"app_id":"', app_id, '","root_cause_analysis":{{"root_cause_stages":', roots,
+              ',"victim_stages":', victims, '}},"failure_classification":{{"predicted_class":"', predicted_class, '","confidence":',
+              CAST(confidence AS VARCHAR), '}},"note":"root_cause_analysis and failure_classification are independent analyses over the '
+              'same raw event log; classification does not currently use root_cause_analysis as an input."}}') AS report_json
+            FROM rows""",
+        "manifest_completed_runs": f"WITH {MANIFEST} SELECT DISTINCT FailureType, RunId FROM manifest WHERE Status IN ('FINISHED', 'FAILED')",
+        "manifest_pending_runs": f"""WITH {MANIFEST} SELECT DISTINCT FailureType, RunId FROM manifest m
+            WHERE NOT EXISTS (SELECT 1 FROM manifest d WHERE d.FailureType = m.FailureType AND d.RunId = m.RunId AND d.Status IN ('FINISHED', 'FAILED'))""",
+        "manifest_summary": f"""WITH {MANIFEST} SELECT FailureType, Label, count(*) FILTER (WHERE Status IN ('FINISHED', 'FAILED')) AS submitted,
+            count(*) FILTER (WHERE Status LIKE 'ERROR%') AS errors FROM manifest GROUP BY FailureType, Label""",
+        "table_row_counts": " UNION ALL ".join(
+            f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"
+            for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+        ),
+        "delimited_roundtrip": "SELECT * FROM orders",
+        "format_bytes": """SELECT o_orderkey, CAST(floor(o_totalprice * 10000) AS BIGINT) AS bytes,
+            CASE WHEN floor(o_totalprice * 10000) < 1024 THEN concat(CAST(floor(o_totalprice * 10000) AS BIGINT), ' B')
+              WHEN floor(o_totalprice * 10000) < 1048576 THEN printf('%.2f KB', floor(o_totalprice * 10000) / 1024.0)
+              WHEN floor(o_totalprice * 10000) < 1073741824 THEN printf('%.2f MB', floor(o_totalprice * 10000) / 1048576.0)
+              ELSE printf('%.2f GB', floor(o_totalprice * 10000) / 1073741824.0) END AS size FROM orders""",
+        "pipeline_counts": f"""WITH {BOTH}, a AS (SELECT DISTINCT app_id FROM task_metrics),
+            e AS (SELECT app_id, CAST(concat('0x', substr(md5(app_id), 1, 8)) AS BIGINT) % 100 < 80 AS train FROM a)
+            SELECT (SELECT count(*) FROM task_metrics) AS tasks, (SELECT count(*) FROM stage_metrics) AS stages,
+              (SELECT count(DISTINCT app_id) FROM stage_metrics) AS graphs, (SELECT count(DISTINCT app_id) FROM stage_metrics) AS root_causes,
+              (SELECT count(*) FROM a) AS features, (SELECT count(*) FROM e WHERE train) AS train,
+              (SELECT count(*) FROM e WHERE NOT train) AS test""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    return {**workloads(), **graphs()}
+    return {**workloads(), **graphs(), **telemetry()}

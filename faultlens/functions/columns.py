@@ -27,8 +27,8 @@ def total(expr: Column | str) -> Column:
     return F.sum(expr).cast("double")
 
 
-def label_name(label: Column) -> Column:
-    pairs = [F.lit(part) for item in LABEL_NAMES.items() for part in item]
+def label_name(label: Column, names: dict[int, str] = LABEL_NAMES) -> Column:
+    pairs = [F.lit(part) for item in names.items() for part in item]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), label.cast("int")), F.lit(UNKNOWN))
 
 

@@ -26,6 +26,17 @@ LABEL_NAMES = {
     6: "Metadata Failure",
 }
 
+# Class names as the report spells them.
+REPORT_CLASS_NAMES = {
+    0: "Baseline",
+    1: "OOM",
+    2: "Data Skew",
+    3: "Serialization",
+    4: "Network Timeout",
+    5: "Disk Space",
+    6: "Metadata",
+}
+
 # Event names in the log.
 TASK_END = "SparkListenerTaskEnd"
 STAGE_SUBMITTED = "SparkListenerStageSubmitted"

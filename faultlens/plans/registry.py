@@ -7,11 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.operators import graph, lineage, root_cause
+from faultlens.functions.columns import format_bytes, label_name
+from faultlens.operators import classify, confound, evaluation, graph, lineage, root_cause, splits
+from faultlens.operators import features as ft
 from faultlens.plans import workloads as w
-from faultlens.session import materialize
-from faultlens.sources import telemetry
-from faultlens.sources.tables import table
+from faultlens.plans.preprocess import counts
+from faultlens.plans.report import unified_report
+from faultlens.session import materialize, scratch_path
+from faultlens.sources import delimited, event_logs, telemetry
+from faultlens.sources import manifest as runs
+from faultlens.sources.tables import row_counts, storage_inventory, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -91,5 +96,184 @@ GRAPHS: dict[str, Query] = {
 }
 
 
+def _features(spark: SparkSession, folder: str) -> DataFrame:
+    return ft.app_features(telemetry.task_metrics(spark, folder), telemetry.stage_metrics(spark, folder))
+
+
+def _rounded(df: DataFrame, digits: dict[str, int]) -> DataFrame:
+    """Doubles whose last bits depend on the order of summation."""
+    return df.withColumns({name: F.round(name, places) for name, places in digits.items()})
+
+
+_SPREAD = {"std_task_duration": 4, "duration_variance": 4}
+_STATS = {"mean": 3, "std": 2, "min": 4, "max": 4}
+
+
+def _on_features(plan: Callable[[DataFrame], DataFrame], digits: dict[str, int] | None = None) -> Query:
+    return lambda spark, folder: _rounded(plan(_features(spark, folder)), digits or {})
+
+
+def _labelled_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.task_metrics(spark, folder).select("app_id", "label")
+
+
+def _predictions(spark: SparkSession, folder: str) -> DataFrame:
+    return telemetry.predictions(ft.ground_truth(_labelled_tasks(spark, folder)))
+
+
+def _on_predictions(plan: Callable[[DataFrame], DataFrame], digits: dict[str, int] | None = None) -> Query:
+    return lambda spark, folder: _rounded(plan(_predictions(spark, folder)), digits or {})
+
+
+def _task_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return event_logs.task_lines(telemetry.task_metrics(spark, folder))
+
+
+def _stage_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return event_logs.stage_lines(telemetry.stage_metrics(spark, folder))
+
+
+def _parse_once_counts(spark: SparkSession, folder: str) -> DataFrame:
+    lines = _task_lines(spark, folder).unionByName(_stage_lines(spark, folder))
+    tasks, stages = event_logs.parse_once(lines)
+    return counts({"tasks": tasks, "stages": stages})
+
+
+def _split(spark: SparkSession, folder: str) -> DataFrame:
+    apps = _labelled_tasks(spark, folder).groupBy("app_id").agg(F.max("label").alias("label"))
+    train, test = splits.split_by_key(apps)
+    return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+
+
+def _report(spark: SparkSession, folder: str) -> DataFrame:
+    results = root_cause.analyze(_nodes(spark, folder))
+    report = unified_report(results, _predictions(spark, folder))
+    return report.select("app_id", "predicted_class", "confidence", "report_json")
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """The derived manifest, written as CSV and read back."""
+    path = scratch_path(spark, "manifest")
+    rows = telemetry.manifest(telemetry.stage_metrics(spark, folder), label_name(F.col("Label")))
+    runs.append_runs(rows, path)
+    return runs.read_manifest(spark, path)
+
+
+def _delimited_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    orders = table(spark, folder, "orders")
+    path = scratch_path(spark, "orders.tbl")
+    delimited.write_delimited(orders, path)
+    return delimited.read_delimited(spark, path, orders.schema)
+
+
+def _row_counts(spark: SparkSession, folder: str) -> DataFrame:
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
+    return row_counts({n: table(spark, folder, n) for n in names})
+
+
+def _formatted_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    size = F.floor(F.col("o_totalprice") * 10000)
+    return table(spark, folder, "orders").select(
+        "o_orderkey", size.alias("bytes"), format_bytes(size).alias("size")
+    )
+
+
+def _pipeline_counts(spark: SparkSession, folder: str) -> DataFrame:
+    tasks = materialize(telemetry.task_metrics(spark, folder), "tasks")
+    stages = materialize(telemetry.stage_metrics(spark, folder), "stages")
+    rows = materialize(ft.app_features(tasks, stages), "features")
+    nodes = materialize(graph.stage_nodes(stages), "nodes")
+    train, test = splits.split_by_key(rows)
+    return counts(
+        {
+            "tasks": tasks,
+            "stages": stages,
+            "graphs": graph.graph_mode(nodes),
+            "root_causes": root_cause.analyze(nodes),
+            "features": rows,
+            "train": train,
+            "test": test,
+        }
+    )
+
+
+TELEMETRY: dict[str, Query] = {
+    "task_metrics": telemetry.task_metrics,
+    "stage_metrics": telemetry.stage_metrics,
+    "parse_task_events": lambda s, d: event_logs.task_events(_task_lines(s, d)),
+    "parse_stage_events": lambda s, d: event_logs.stage_events(_stage_lines(s, d)),
+    "parse_stage_parents": lambda s, d: event_logs.stage_parents(event_logs.submitted_stages(_stage_lines(s, d))),
+    "parse_once_counts": _parse_once_counts,
+    "task_aggregates": lambda s, d: _rounded(ft.task_aggregates(telemetry.task_metrics(s, d)), _SPREAD),
+    "stage_aggregates": lambda s, d: ft.stage_aggregates(telemetry.stage_metrics(s, d)),
+    "app_features": _on_features(lambda f: f, _SPREAD),
+    "feature_describe": _on_features(ft.describe, _STATS),
+    "ground_truth": lambda s, d: ft.ground_truth(_labelled_tasks(s, d)),
+    "label_distribution": lambda s, d: ft.label_distribution(ft.ground_truth(_labelled_tasks(s, d))).select(
+        "label", "label_name", "app_count"
+    ),
+    "split_by_key": _split,
+    "classification_metrics": _on_predictions(
+        evaluation.classification_metrics, dict.fromkeys(["accuracy", "f1", "precision", "recall"], 6)
+    ),
+    "confusion_matrix": _on_predictions(evaluation.confusion_matrix),
+    "per_class_accuracy": _on_predictions(evaluation.per_class_accuracy, {"accuracy": 6}),
+    "misclassified": _on_predictions(evaluation.misclassified),
+    "class_feature_stats": _on_features(confound.class_feature_stats, _STATS),
+    "feature_correlation": _on_features(confound.label_correlation, {"pearson": 6}),
+    "feature_redundancy": _on_features(confound.redundancy, {"pearson": 6, "identical_share": 6}),
+    "confound_verdict": _on_features(confound.verdicts, {"pearson": 6}),
+    "unified_report": _report,
+    "manifest_completed_runs": lambda s, d: runs.completed_runs(_manifest(s, d)),
+    "manifest_pending_runs": lambda s, d: (lambda m: runs.pending_runs(m, m))(_manifest(s, d)),
+    "manifest_summary": lambda s, d: runs.summary(_manifest(s, d)),
+    "table_row_counts": _row_counts,
+    "delimited_roundtrip": _delimited_roundtrip,
+    "format_bytes": _formatted_bytes,
+    "pipeline_counts": _pipeline_counts,
+}
+
+
+def _stored_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return splits.split_by_key(materialize(_features(spark, folder), "features"))
+
+
+def _ml_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return classify.feature_vectors(_features(spark, folder)).select("app_id", "label", "features")
+
+
+def _ml_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    return classify.compare_models(*_stored_split(spark, folder))
+
+
+def _ml_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = _stored_split(spark, folder)
+    return classify.score(classify.fit(train), test)
+
+
+def _ml_importance(spark: SparkSession, folder: str) -> DataFrame:
+    train, _ = _stored_split(spark, folder)
+    return classify.feature_importance(classify.fit(train), spark)
+
+
+def _ml_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
+    return classify.cross_validate(materialize(_features(spark, folder), "features"))
+
+
+def _ml_ablation(spark: SparkSession, folder: str) -> DataFrame:
+    return classify.ablation(*_stored_split(spark, folder))
+
+
+ROWS_ONLY: dict[str, Query] = {
+    "storage_inventory": storage_inventory,
+    "feature_vectors": _ml_vectors,
+    "ml_model_comparison": _ml_comparison,
+    "ml_predictions": _ml_predictions,
+    "ml_feature_importance": _ml_importance,
+    "ml_cross_validation": _ml_cross_validation,
+    "ml_ablation": _ml_ablation,
+}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**WORKLOADS, **GRAPHS}
+    return {**WORKLOADS, **GRAPHS, **TELEMETRY, **ROWS_ONLY}
