@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.session import materialize
+from faultlens.session import materialize, scratch_path
 
 
 def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], include_seeds: bool = True) -> DataFrame:
@@ -25,25 +25,24 @@ def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], include_seeds: bo
     its first return when they are not. Every round reads ``edges`` again, so
     pass a stored table.
     """
+    spark = seeds.sparkSession
     identity = [*keys, "at"]
-    found: list[DataFrame] = []
-    newest = materialize(seeds.select(*identity).distinct().withColumn("steps", F.lit(0)), "round")
-    if include_seeds:
-        found.append(newest)
+    base = scratch_path(spark, "reach")
+    newest = materialize(seeds.select(*identity).distinct().withColumn("steps", F.lit(0)), "round", f"{base}/0")
+    rounds = [f"{base}/0"] if include_seeds else []
+
+    def found() -> DataFrame:
+        return spark.read.schema(newest.schema).parquet(*rounds)
+
     steps = 0
-    while not newest.isEmpty():
+    while not newest.join(edges, ["app_id", "at"], "left_semi").isEmpty():
         steps += 1
-        candidates = (
-            newest.join(edges, ["app_id", "at"])
-            .select(*keys, F.col("next").alias("at"))
-            .distinct()
-        )
-        if found:
-            seen = reduce(DataFrame.unionByName, found).select(*identity)
-            candidates = candidates.join(seen, identity, "left_anti")
-        newest = materialize(candidates.withColumn("steps", F.lit(steps)), "round")
-        found.append(newest)
-    return reduce(DataFrame.unionByName, found)
+        candidates = newest.join(edges, ["app_id", "at"]).select(*keys, F.col("next").alias("at")).distinct()
+        if rounds:
+            candidates = candidates.join(found(), identity, "left_anti")
+        rounds.append(f"{base}/{steps}")
+        newest = materialize(candidates.withColumn("steps", F.lit(steps)), "round", rounds[-1])
+    return found() if rounds else newest.filter(F.lit(False))
 
 
 def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:

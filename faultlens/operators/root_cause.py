@@ -120,10 +120,6 @@ def _clean_parents(nodes: DataFrame, traced: DataFrame) -> DataFrame:
     )
 
 
-def _joined(items, separator: str):
-    return F.array_join(items, separator)
-
-
 def result_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
     """One row per application with the analysis as text columns.
 
@@ -133,24 +129,29 @@ def result_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
     """
     item = F.struct("stage_id", "stage_name", F.coalesce("failure_reason", F.lit(k.UNKNOWN)).alias("reason"))
     root = F.col("is_root_cause")
-    reason_is_clear = F.length(F.coalesce("failure_reason", F.lit(""))) > 10
     per_app = (
         _details(nodes, traced)
         .groupBy("app_id")
         .agg(
-            F.array_sort(F.collect_list(F.when(root, item))).alias("roots"),
+            F.array_sort(F.collect_list(F.when(root, item))).alias("causes"),
             F.array_sort(F.collect_list(F.when(~root, F.col("stage_id")))).alias("victims"),
             F.sort_array(F.collect_list(F.struct("bfs_level", "stage_id")), asc=False).alias("path"),
-            F.max(root & reason_is_clear).alias("clear_reason"),
+            F.max(F.when(F.col("bfs_level") == 0, item)).alias("terminal"),
             F.max(F.size("parents")).alias("most_parents"),
         )
+        .withColumn("caused", F.size("causes") > 0)
+        # Where every failure blames another one in a circle, the terminal stage
+        # stands for the cause; its own parents did not all complete.
+        .withColumn("roots", F.when(F.col("caused"), F.col("causes")).otherwise(F.array("terminal")))
     )
     extra_roots = F.greatest(F.size("roots") - 2, F.lit(0))
+    clear_reason = F.exists("roots", lambda r: F.length(r["reason"]) > 10)
+    clean_parents = F.col("caused") & F.coalesce("clean_parents", F.lit(True))
     raw = (
         F.lit(k.CONFIDENCE_BASE)
-        + F.when(F.col("clear_reason"), k.CONFIDENCE_CLEAR_REASON).otherwise(0.0)
+        + F.when(clear_reason, k.CONFIDENCE_CLEAR_REASON).otherwise(0.0)
         + F.when(F.col("most_parents") <= 1, k.CONFIDENCE_SINGLE_PARENT).otherwise(0.0)
-        + F.when(F.coalesce("clean_parents", F.lit(True)), k.CONFIDENCE_CLEAN_PARENTS).otherwise(0.0)
+        + F.when(clean_parents, k.CONFIDENCE_CLEAN_PARENTS).otherwise(0.0)
         - extra_roots * k.CONFIDENCE_EXTRA_ROOT
     )
     found = F.col("roots").isNotNull()
@@ -162,13 +163,13 @@ def result_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
         .join(_clean_parents(nodes, traced), "app_id", "left")
         .select(
             "app_id",
-            F.when(found, _joined(F.col("roots.stage_id"), ",")).otherwise(empty).alias("root_cause_stage_ids"),
-            F.when(found, _joined(F.col("roots.stage_name"), " | "))
+            F.when(found, F.array_join(F.col("roots.stage_id"), ",")).otherwise(empty).alias("root_cause_stage_ids"),
+            F.when(found, F.array_join(F.col("roots.stage_name"), " | "))
             .otherwise(k.NO_FAILURE_NAME)
             .alias("root_cause_stage_names"),
-            F.when(found, _joined(F.col("roots.reason"), " | ")).otherwise(k.NO_FAILURE_REASON).alias("failure_reasons"),
-            F.when(found, _joined(F.col("path.stage_id"), ",")).otherwise(empty).alias("propagation_path"),
-            F.when(found, _joined("victims", ",")).otherwise(empty).alias("victim_stages"),
+            F.when(found, F.array_join(F.col("roots.reason"), " | ")).otherwise(k.NO_FAILURE_REASON).alias("failure_reasons"),
+            F.when(found, F.array_join(F.col("path.stage_id"), ",")).otherwise(empty).alias("propagation_path"),
+            F.when(found, F.array_join("victims", ",")).otherwise(empty).alias("victim_stages"),
             F.when(found, F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 4))
             .otherwise(F.lit(1.0))
             .alias("analysis_confidence"),

@@ -88,7 +88,12 @@ def stage_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def task_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    orders = _numbered_orders(spark, folder, "o_orderstatus")
+    """Order lines as tasks.
+
+    Both sides grow with the data, so the join shuffles them by order at any
+    size; Spark splits the partition of a hot order.
+    """
+    orders = _numbered_orders(spark, folder, "o_orderstatus").hint("merge")
     return (
         table(spark, folder, "lineitem")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
