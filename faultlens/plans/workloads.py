@@ -1,11 +1,13 @@
 """The analytic workloads over the order tables.
 
 Three habits keep them cheap and safe at scale. Order lines are the large,
-possibly skewed side, so they are summed per join key before they are joined
-wherever the answer allows it; a hot order, part or supplier is then one row.
-Prices are summed as decimals, so no answer depends on row order. Join
-strategies are left to Spark, which checks sizes before it broadcasts, and
-which splits skewed sort-merge partitions at run time.
+possibly skewed side. Where an answer needs one figure per order they are summed
+per order first: the sum has the partitioning the join needs, so it costs no
+shuffle of its own, and a hot order is one row by then. Where lines keep a second
+key (supplier, part), summing first would cost a shuffle and shrink nothing, so
+they are joined as they are. Prices are summed as decimals, so no answer depends
+on row order. Join strategies are left to Spark, which checks sizes before it
+broadcasts, and which splits skewed sort-merge partitions at run time.
 
 Every top-k has a unique tie-breaker.
 """
@@ -31,8 +33,9 @@ class Tables(dict):
 
 
 def _in_dates(column: str, start: str, end: str):
-    """start <= column < end, as timestamp literals that reach the scan."""
-    return (F.col(column) >= F.lit(start).cast("timestamp")) & (F.col(column) < F.lit(end).cast("timestamp"))
+    """start <= column < end; the texts become literals of the column's own type,
+    so the test reaches the scan whether dates are stored as time or as text."""
+    return (F.col(column) >= start) & (F.col(column) < end)
 
 
 def _lines_per_order(lines: DataFrame, *sums) -> DataFrame:
@@ -50,12 +53,11 @@ def part_suppliers(t: Tables) -> DataFrame:
 
 def shipping_priority(t: Tables, segment: str = "BUILDING", day: str = "1996-03-15", k: int = 100) -> DataFrame:
     """Open orders of a market segment by revenue still to be shipped."""
-    at = F.lit(day).cast("timestamp")
-    revenue = _lines_per_order(t["lineitem"].filter(F.col("l_shipdate") > at), F.sum(net_price()).alias("revenue"))
+    revenue = _lines_per_order(t["lineitem"].filter(F.col("l_shipdate") > day), F.sum(net_price()).alias("revenue"))
     customers = t["customer"].filter(F.col("c_mktsegment") == segment).select("c_custkey")
     return (
         _orders_of_customers(t, "o_orderdate")
-        .filter(F.col("o_orderdate") < at)
+        .filter(F.col("o_orderdate") < day)
         .join(customers, "c_custkey")
         .join(revenue, "o_orderkey")
         .groupBy(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
@@ -122,24 +124,17 @@ def returned_revenue_by_customer(
 
 
 def mode_priority(t: Tables, start: str = "1996-01-01", end: str = "1997-01-01") -> DataFrame:
-    """Lines shipped in a year by return flag, split by order priority.
-
-    The lines shrink to one count per order and flag before the join.
-    """
+    """Lines shipped in a year by return flag, split by order priority."""
     lines = (
         t["lineitem"]
         .filter(F.col("l_returnflag").isin("R", "A") & _in_dates("l_shipdate", start, end))
-        .groupBy(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag")
     )
     urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
     return (
         lines.join(t["orders"].select("o_orderkey", "o_orderpriority"), "o_orderkey")
         .groupBy("l_returnflag")
-        .agg(
-            F.sum(F.when(urgent, F.col("n")).otherwise(0)).alias("high_line_count"),
-            F.sum(F.when(~urgent, F.col("n")).otherwise(0)).alias("low_line_count"),
-        )
+        .agg(F.count_if(urgent).alias("high_line_count"), F.count_if(~urgent).alias("low_line_count"))
     )
 
 
@@ -149,10 +144,15 @@ def _by_supplier_nation(t: Tables, per_supplier: DataFrame, *keys: str) -> DataF
     return per_supplier.join(suppliers, "l_suppkey").join(t["nation"].select("n_nationkey", "n_name"), "n_nationkey")
 
 
-def _lines_with_orders(t: Tables, lines: DataFrame, keys: list[str], sums: list, *order_columns: str) -> DataFrame:
-    """Order lines summed per order and ``keys``, then joined with their order."""
-    per_order = lines.groupBy(F.col("l_orderkey").alias("o_orderkey"), *keys).agg(*sums)
-    return per_order.join(t["orders"].select("o_orderkey", *order_columns), "o_orderkey")
+def _lines_in_orders(t: Tables, lines: DataFrame, *order_columns: str) -> DataFrame:
+    """Order lines, one by one, next to their order."""
+    orders = t["orders"].select(F.col("o_orderkey").alias("l_orderkey"), *order_columns)
+    return lines.join(orders, "l_orderkey")
+
+
+def _sums_in_orders(t: Tables, lines: DataFrame, sums: list, *order_columns: str) -> DataFrame:
+    """Order lines summed per order, then joined with their order."""
+    return _lines_per_order(lines, *sums).join(t["orders"].select("o_orderkey", *order_columns), "o_orderkey")
 
 
 def part_revenue(t: Tables, word: str = "red") -> DataFrame:
@@ -160,18 +160,14 @@ def part_revenue(t: Tables, word: str = "red") -> DataFrame:
     parts = t["part"].filter(F.col("p_name").contains(word)).select(F.col("p_partkey").alias("l_partkey"))
     lines = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", money("l_extendedprice").alias("price"))
     per_supplier = (
-        _lines_with_orders(t, lines.join(parts, "l_partkey"), ["l_suppkey"], [F.sum("price").alias("price")])
-        .groupBy("l_suppkey")
-        .agg(F.sum("price").alias("price"))
+        _lines_in_orders(t, lines.join(parts, "l_partkey")).groupBy("l_suppkey").agg(F.sum("price").alias("price"))
     )
     return _by_supplier_nation(t, per_supplier).groupBy("n_name").agg(total("price").alias("total"))
 
 
 def revenue_by_nation(t: Tables) -> DataFrame:
-    price = F.sum(money("l_extendedprice")).alias("price")
-    per_supplier = (
-        _lines_with_orders(t, t["lineitem"], ["l_suppkey"], [price]).groupBy("l_suppkey").agg(F.sum("price").alias("price"))
-    )
+    lines = t["lineitem"].select("l_orderkey", "l_suppkey", money("l_extendedprice").alias("price"))
+    per_supplier = _lines_in_orders(t, lines).groupBy("l_suppkey").agg(F.sum("price").alias("price"))
     return _by_supplier_nation(t, per_supplier).groupBy("n_name").agg(total("price").alias("total_price"))
 
 
@@ -183,7 +179,7 @@ def composite_key_join(t: Tables) -> DataFrame:
         pairs, (F.col("l_partkey") == F.col("ps_partkey")) & (F.col("l_suppkey") == F.col("ps_suppkey"))
     )
     return (
-        _lines_with_orders(t, matched, [], [F.count(F.lit(1)).alias("n")], "o_orderstatus")
+        _sums_in_orders(t, matched, [F.count(F.lit(1)).alias("n")], "o_orderstatus")
         .groupBy("o_orderstatus")
         .agg(F.sum("n").alias("cnt"))
     )
@@ -238,7 +234,7 @@ def segment_priority_rollup(t: Tables, k: int = 200) -> DataFrame:
         F.count("l_discount").alias("n"),
     ]
     return (
-        _lines_with_orders(t, t["lineitem"], [], sums, F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
+        _sums_in_orders(t, t["lineitem"], sums, F.col("o_custkey").alias("c_custkey"), "o_orderpriority")
         .groupBy("c_custkey", "o_orderpriority")
         .agg(*[F.sum(c).alias(c) for c in ("price", "qty", "disc", "tax", "n")])
         .join(t["customer"].select("c_custkey", "c_mktsegment"), "c_custkey")
@@ -255,11 +251,11 @@ def segment_priority_rollup(t: Tables, k: int = 200) -> DataFrame:
 
 
 def nation_status_revenue(t: Tables, k: int = 100) -> DataFrame:
-    sums = [F.sum(net_price()).alias("net"), F.count(F.lit(1)).alias("n")]
+    lines = t["lineitem"].select("l_orderkey", "l_suppkey", net_price().alias("net"))
     per_supplier = (
-        _lines_with_orders(t, t["lineitem"], ["l_suppkey"], sums, "o_orderstatus")
+        _lines_in_orders(t, lines, "o_orderstatus")
         .groupBy("l_suppkey", "o_orderstatus")
-        .agg(F.sum("net").alias("net"), F.sum("n").alias("n"))
+        .agg(F.sum("net").alias("net"), F.count(F.lit(1)).alias("n"))
     )
     return (
         _by_supplier_nation(t, per_supplier)
@@ -273,7 +269,7 @@ def nation_status_revenue(t: Tables, k: int = 100) -> DataFrame:
 def _per_customer(t: Tables, sums: list, again: list) -> DataFrame:
     """Order lines summed per order, then per customer."""
     return (
-        _lines_with_orders(t, t["lineitem"], [], sums, F.col("o_custkey").alias("c_custkey"))
+        _sums_in_orders(t, t["lineitem"], sums, F.col("o_custkey").alias("c_custkey"))
         .groupBy("c_custkey")
         .agg(*again)
         .join(t["customer"].select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
@@ -330,11 +326,9 @@ def customer_total_price(t: Tables, k: int = 100) -> DataFrame:
 
 
 def customer_supplier_total(t: Tables, k: int = 50) -> DataFrame:
-    price = F.sum(money("l_extendedprice")).alias("price")
+    lines = t["lineitem"].select("l_orderkey", "l_suppkey", money("l_extendedprice").alias("price"))
     return (
-        _lines_with_orders(t, t["lineitem"], ["l_suppkey"], [price], F.col("o_custkey").alias("c_custkey"))
-        .groupBy("c_custkey", "l_suppkey")
-        .agg(F.sum("price").alias("price"))
+        _lines_in_orders(t, lines, F.col("o_custkey").alias("c_custkey"))
         .join(t["customer"].select("c_custkey", "c_name"), "c_custkey")
         .join(t["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey")
         .groupBy("c_name", "s_name")
@@ -387,7 +381,7 @@ def pricing_summary(t: Tables, until: str = "2000-09-02") -> DataFrame:
     discounted = net_price()
     return (
         t["lineitem"]
-        .filter(F.col("l_shipdate") <= F.lit(until).cast("timestamp"))
+        .filter(F.col("l_shipdate") <= until)
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
             total(money("l_quantity")).alias("sum_qty"),
