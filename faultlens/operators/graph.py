@@ -17,21 +17,25 @@ from faultlens.operators.prefix import running_before
 NODE = ["app_id", "stage_id"]
 
 
+def _with_listed_parents(stages: DataFrame) -> DataFrame:
+    text = F.col("parent_ids") if "parent_ids" in stages.columns else F.lit("")
+    return stages.withColumn("listed", parent_id_array(text))
+
+
 def latest_attempts(stages: DataFrame) -> DataFrame:
     """One row per stage: the highest attempt, ties broken by the row itself."""
-    listed = F.col("parent_ids") if "parent_ids" in stages.columns else F.lit("")
     attempt = F.col("stage_attempt_id") if "stage_attempt_id" in stages.columns else F.lit(0)
     row = F.struct(
         attempt.alias("attempt"),
         F.coalesce("stage_name", F.lit("")).alias("stage_name"),
         F.coalesce("status", F.lit("UNKNOWN")).alias("status"),
         "failure_reason",
-        listed.alias("parent_ids"),
+        "listed",
     )
     return (
         stages.groupBy(*NODE)
         .agg(F.max(row).alias("last"))
-        .select(*NODE, "last.stage_name", "last.status", "last.failure_reason", "last.parent_ids")
+        .select(*NODE, "last.stage_name", "last.status", "last.failure_reason", "last.listed")
     )
 
 
@@ -39,15 +43,17 @@ def stage_nodes(stages: DataFrame) -> DataFrame:
     """Node table with parent ids.
 
     An application none of whose stages lists a parent falls back to a chain:
-    each stage follows the stage with the next smaller id.
+    each stage follows the stage with the next smaller id. A parent listed by
+    any attempt counts for that choice.
     """
-    listed = latest_attempts(stages).withColumn("listed", parent_id_array(F.col("parent_ids")))
+    rows = _with_listed_parents(stages)
     placed = running_before(
-        listed,
+        latest_attempts(rows),
         ["app_id"],
         "stage_id",
         maxima={"previous_stage": F.col("stage_id")},
         any_in_group={"used_true_parents": F.size("listed") > 0},
+        summarized=rows,
     )
     chained = F.when(F.col("previous_stage").isNotNull(), F.array("previous_stage")).otherwise(
         F.array().cast("array<int>")

@@ -29,16 +29,20 @@ def running_before(
     sums: dict[str, Column] | None = None,
     maxima: dict[str, Column] | None = None,
     any_in_group: dict[str, Column] | None = None,
+    summarized: DataFrame | None = None,
 ) -> DataFrame:
     """Add aggregates over the rows strictly before each row of its group.
 
     ``sums`` start at 0 and ``maxima`` at NULL. ``any_in_group`` adds flags that
-    say whether the condition holds anywhere in the group.
+    say whether the condition holds anywhere in the group. The segments are
+    summarized from ``df`` unless the caller has a cheaper table with the same
+    segments, such as the rows from which ``df`` was made.
     """
     sums, maxima, flags = sums or {}, maxima or {}, any_in_group or {}
     cut = df.withColumn(_SEGMENT, segment_of(F.col(order)))
+    rows = cut if summarized is None else summarized.withColumn(_SEGMENT, segment_of(F.col(order)))
 
-    per_segment = cut.groupBy(*keys, _SEGMENT).agg(
+    per_segment = rows.groupBy(*keys, _SEGMENT).agg(
         *[F.sum(e).alias(n) for n, e in sums.items()],
         *[F.max(e).alias(n) for n, e in maxima.items()],
         *[F.max(e).alias(n) for n, e in flags.items()],

@@ -102,17 +102,15 @@ def trace(nodes: DataFrame) -> DataFrame:
     )
 
 
-def _details(nodes: DataFrame, traced: DataFrame) -> DataFrame:
-    return traced.join(nodes, NODE)
+def traced_stages(nodes: DataFrame) -> DataFrame:
+    """The walk with the name, reason and parents of its stages."""
+    about = nodes.select(*NODE, "stage_name", "failure_reason", "parents")
+    return trace(nodes).join(about, NODE)
 
 
 def _clean_parents(nodes: DataFrame, traced: DataFrame) -> DataFrame:
     """Per application: did every known parent of every root cause complete?"""
-    parents = (
-        _details(nodes, traced.filter("is_root_cause"))
-        .select("app_id", F.explode("parents").alias("stage_id"))
-        .distinct()
-    )
+    parents = traced.filter("is_root_cause").select("app_id", F.explode("parents").alias("stage_id")).distinct()
     return (
         parents.join(nodes.select(*NODE, "status"), NODE)
         .groupBy("app_id")
@@ -123,6 +121,7 @@ def _clean_parents(nodes: DataFrame, traced: DataFrame) -> DataFrame:
 def result_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
     """One row per application with the analysis as text columns.
 
+    ``traced`` is ``traced_stages``, best as a stored table.
     Ids ascend; names and reasons follow the order of the ids. The path runs
     from the root causes down to the terminal stage. An application without a
     failed stage has an empty analysis of full confidence.
@@ -130,8 +129,7 @@ def result_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
     item = F.struct("stage_id", "stage_name", F.coalesce("failure_reason", F.lit(k.UNKNOWN)).alias("reason"))
     root = F.col("is_root_cause")
     per_app = (
-        _details(nodes, traced)
-        .groupBy("app_id")
+        traced.groupBy("app_id")
         .agg(
             F.array_sort(F.collect_list(F.when(root, item))).alias("causes"),
             F.array_sort(F.collect_list(F.when(~root, F.col("stage_id")))).alias("victims"),
@@ -180,7 +178,7 @@ def result_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
 def analyze(nodes: DataFrame) -> DataFrame:
     """Node table to result table; the nodes are written once and reused."""
     nodes = materialize(nodes, "nodes")
-    return result_table(nodes, materialize(trace(nodes), "trace"))
+    return result_table(nodes, materialize(traced_stages(nodes), "trace"))
 
 
 def summary_by_reason(results: DataFrame) -> DataFrame:
