@@ -60,5 +60,5 @@ def format_bytes(size: Column) -> Column:
         F.when(size < kib, F.format_string("%d B", size))
         .when(size < kib**2, F.format_string("%.2f KB", size / F.lit(float(kib))))
         .when(size < kib**3, F.format_string("%.2f MB", size / F.lit(float(kib**2))))
-        .otherwise(F.format_string("%.2f GB", size / F.lit(float(kib**3))))
+        .when(size >= kib**3, F.format_string("%.2f GB", size / F.lit(float(kib**3))))
     )
