@@ -67,7 +67,7 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     stuck = kept.select("app_id", F.col("child").alias("stage_id")).filter(F.lit(False))
     while left:
         waiting = kept.select("app_id", F.col("child").alias("stage_id"))
-        blocked = waiting.select("app_id", F.col("stage_id").alias("parent")).distinct()
+        blocked = waiting.select("app_id", F.col("stage_id").alias("parent"))
         rest = materialize(kept.join(blocked, ["app_id", "parent"], "left_semi"), "edges")
         still_left = rest.count()
         if still_left == left:

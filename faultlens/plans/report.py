@@ -2,11 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from faultlens.functions.columns import label_name, parent_id_array
 from faultlens.functions.constants import NOT_AVAILABLE, REPORT_CLASS_NAMES, REPORT_NOTE
+from faultlens.sources.tables import parquet_or_empty
+
+_RESULTS = T.StructType([T.StructField(c, T.StringType()) for c in ("app_id", "root_cause_stage_ids", "victim_stages")])
+_SCORED = T.StructType(
+    [
+        T.StructField("app_id", T.StringType()),
+        T.StructField("prediction", T.DoubleType()),
+        T.StructField("probability", VectorUDT()),
+    ]
+)
 
 
 def _ids(text: Column) -> Column:
@@ -14,14 +27,6 @@ def _ids(text: Column) -> Column:
     return parent_id_array(text.cast("string"))
 
 
-def _highest(probability: Column, kind: str) -> Column:
-    if kind == "vector":
-        from pyspark.ml.functions import vector_to_array
-
-        probability = vector_to_array(probability)
-    return F.array_max(probability)
-
-
 def unified_report(results: DataFrame, predictions: DataFrame, app_id: str | None = None) -> DataFrame:
     """One row per application known to either table, with the report as JSON.
 
@@ -35,11 +40,13 @@ def unified_report(results: DataFrame, predictions: DataFrame, app_id: str | Non
     left = results.select(
         "app_id", _ids(F.col(roots)).alias("root_cause_stages"), _ids(F.col("victim_stages")).alias("victim_stages")
     )
-    kind = "array" if predictions.schema["probability"].dataType.typeName() == "array" else "vector"
+    chances = F.col("probability")
+    if isinstance(predictions.schema["probability"].dataType, VectorUDT):
+        chances = vector_to_array(chances)
     right = predictions.select(
         "app_id",
         label_name(F.col("prediction"), REPORT_CLASS_NAMES).alias("predicted_class"),
-        _highest(F.col("probability"), kind).alias("confidence"),
+        F.array_max(chances).alias("confidence"),
     )
     nothing = F.array().cast("array<int>")
     rows = left.join(right, "app_id", "full").select(
@@ -56,3 +63,15 @@ def unified_report(results: DataFrame, predictions: DataFrame, app_id: str | Non
         F.lit(REPORT_NOTE).alias("note"),
     )
     return rows.withColumn("report_json", F.to_json(report))
+
+
+def report(spark: SparkSession, results_path: str, predictions_path: str, app_id: str | None = None) -> DataFrame:
+    """The report over stored tables; one that is missing counts as empty."""
+    return unified_report(
+        parquet_or_empty(spark, results_path, _RESULTS), parquet_or_empty(spark, predictions_path, _SCORED), app_id
+    )
+
+
+def write_reports(reports: DataFrame, path: str) -> None:
+    """One line of JSON per application."""
+    reports.select("report_json").write.mode("overwrite").text(path)

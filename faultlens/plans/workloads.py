@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultlens.functions.columns import money, net_price, rate, total
+from faultlens.session import broadcast_if_small, materialize
 from faultlens.sources.tables import table
 
 class Tables(dict):
@@ -138,10 +139,11 @@ def mode_priority(t: Tables, start: str = "1996-01-01", end: str = "1997-01-01")
     )
 
 
-def _by_supplier_nation(t: Tables, per_supplier: DataFrame, *keys: str) -> DataFrame:
+def _by_supplier_nation(t: Tables, per_supplier: DataFrame) -> DataFrame:
     """Attach nation names to rows keyed by supplier."""
     suppliers = t["supplier"].select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey"))
-    return per_supplier.join(suppliers, "l_suppkey").join(t["nation"].select("n_nationkey", "n_name"), "n_nationkey")
+    nations = broadcast_if_small(t["nation"].select("n_nationkey", "n_name"))
+    return per_supplier.join(broadcast_if_small(suppliers), "l_suppkey").join(nations, "n_nationkey")
 
 
 def _lines_in_orders(t: Tables, lines: DataFrame, *order_columns: str) -> DataFrame:
@@ -172,8 +174,12 @@ def revenue_by_nation(t: Tables) -> DataFrame:
 
 
 def composite_key_join(t: Tables) -> DataFrame:
-    """Lines that match a part-supplier pair, counted by order status."""
-    pairs = part_suppliers(t)
+    """Lines that match a part-supplier pair, counted by order status.
+
+    The pairs are stored first: with a stored table on either side Spark can
+    split the partition of a pair that very many lines share.
+    """
+    pairs = materialize(part_suppliers(t), "partsupp")
     lines = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey")
     matched = lines.join(
         pairs, (F.col("l_partkey") == F.col("ps_partkey")) & (F.col("l_suppkey") == F.col("ps_suppkey"))
@@ -211,6 +217,13 @@ def hot_key_lines(spark: SparkSession, rows: int, order_key: int, quantity: floa
     )
 
 
+def generated_values(spark: SparkSession, rows: int, categories: int, seed: int) -> DataFrame:
+    """Generated rows with a seeded random value and a cyclic category."""
+    return spark.range(1, rows).select(
+        "id", F.rand(seed).alias("value"), (F.col("id") % categories).cast("string").alias("category")
+    )
+
+
 def skewed_large_orders(
     t: Tables, rows: int = 200_000, order_key: int = 1, quantity: float = 50.0, threshold: float = 200, k: int = 100
 ) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8, name: str = "faultlens") -> SparkSession:
@@ -56,3 +57,12 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, limit: int = 10 << 20) -> DataFrame:
+    """Ask for a broadcast if the optimizer's size estimate is within ``limit``.
+
+    A larger side stays as it is and is joined by shuffling.
+    """
+    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(estimate)) <= limit else df

@@ -60,5 +60,7 @@ def test_training_stores_model_and_predictions(spark, data, tmp_path):
     assert ablation["A"].f1_change == 0.0
     ranked = sorted(tables["importance"].collect(), key=lambda r: r["rank"])
     assert len(ranked) == 22 and ranked[-1].cumulative_share == pytest.approx(1.0)
+    train_rows, test_rows = split_by_key(spark.read.parquet(f"{tmp_path}/features"))
+    assert all(r.label != r.prediction for r in classify.mistakes(train_rows, test_rows).collect())
     folds = tables["cross_validation"].first()
     assert folds.folds == 5 and 0 <= folds.f1 <= 1

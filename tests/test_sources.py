@@ -1,3 +1,5 @@
+import json
+
 
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -5,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultlens.functions.columns import format_bytes, label_name, parent_id_array
-from faultlens.plans.report import unified_report
+from faultlens.plans.report import report, unified_report, write_reports
+from faultlens.plans.workloads import generated_values, hot_key_lines
+from faultlens.session import broadcast_if_small, shared_folder
 from faultlens.sources import delimited, manifest, tables
 
 
@@ -84,3 +88,32 @@ def test_small_columns(spark):
     assert [r[0] for r in texts.select(parent_id_array(F.col("t"))).collect()] == [[1, 2], [], [], []]
     labels = spark.createDataFrame([(2,), (9,)], "n INT")
     assert [r[0] for r in labels.select(label_name(F.col("n"))).collect()] == ["Data Skew", "Unknown"]
+
+
+def test_stored_report(spark, tmp_path):
+    results = spark.createDataFrame([("a", "3", "")], "app_id STRING, root_cause_stage_ids STRING, victim_stages STRING")
+    results.write.parquet(f"{tmp_path}/rca")
+    found = report(spark, f"{tmp_path}/rca", f"{tmp_path}/absent")
+    write_reports(found, f"{tmp_path}/json")
+    line = json.loads(spark.read.text(f"{tmp_path}/json").first()[0])
+    assert line["root_cause_analysis"] == {"root_cause_stages": [3], "victim_stages": []}
+    assert line["failure_classification"] == {"predicted_class": "Not Available", "confidence": 0.0}
+    assert report(spark, f"{tmp_path}/x", f"{tmp_path}/y").count() == 0
+
+
+def test_generated_rows(spark):
+    values = generated_values(spark, 101, 5, seed=3)
+    assert values.count() == 100 and values.select("category").distinct().count() == 5
+    assert values.exceptAll(generated_values(spark, 101, 5, seed=3)).isEmpty()
+    assert hot_key_lines(spark, 10, 3, 2.5).groupBy("l_orderkey").sum("l_quantity").first()[1] == 25.0
+
+
+def test_broadcast_needs_a_small_estimate(spark):
+    df = spark.range(1000)
+    assert "hint" in broadcast_if_small(df)._jdf.queryExecution().logical().toString().lower()
+    assert "hint" not in broadcast_if_small(df, limit=10)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_shared_folder_is_the_named_one(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
