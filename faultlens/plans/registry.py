@@ -126,11 +126,12 @@ def _on_predictions(plan: Callable[[DataFrame], DataFrame], digits: dict[str, in
 
 
 def _task_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return event_logs.task_lines(telemetry.task_metrics(spark, folder))
+    """The derived telemetry as log text, stored like a log is."""
+    return materialize(event_logs.task_lines(telemetry.task_metrics(spark, folder)), "lines")
 
 
 def _stage_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return event_logs.stage_lines(telemetry.stage_metrics(spark, folder))
+    return materialize(event_logs.stage_lines(telemetry.stage_metrics(spark, folder)), "lines")
 
 
 def _parse_once_counts(spark: SparkSession, folder: str) -> DataFrame:
