@@ -48,7 +48,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 def byte_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and where each begins (one more entry than texts); null is empty."""
     if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string()).cast(pa.large_binary())
+        column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
     _, offsets, data = column.buffers()
