@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.llm.common import (
@@ -41,8 +41,8 @@ from faultlens.llm.components import connected_components
 PERMUTATIONS = 64
 #: Permutations in a band, so twice as many values.
 BAND = 2
-#: Members of a bucket that one round holds against the rest of it.
-LEADERS = 16
+#: Members of a bucket that the first further round holds against the rest of it; four times as many in each round after.
+LEADERS = 64
 
 
 def _document_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,15 +157,15 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80) -> D
     links = store(_verified(pairs, sets, percent), "verified")
     components = store(connected_components(links, "a", "b"), "components")
 
-    done = 0
+    done, leaders = 0, LEADERS
     while True:
-        fresh = _open_pairs(members, components, done, sizes)
+        fresh = _open_pairs(members, components, done, leaders, sizes)
         if fresh is None:
             break
         open_pairs = store(fresh.join(pairs, ["a", "b"], "left_anti"), "pairs")
         found = store(_verified(open_pairs, sets, percent), "verified")
         pairs = pairs.union(open_pairs)
-        done += LEADERS
+        done, leaders = done + leaders, 4 * leaders
         if not found.isEmpty():
             links = links.union(found)
             components = store(connected_components(links, "a", "b"), "components")
@@ -181,10 +181,10 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80) -> D
     )
 
 
-def _open_pairs(members: DataFrame, components: DataFrame, done: int, sizes) -> DataFrame | None:
+def _open_pairs(members: DataFrame, components: DataFrame, done: int, leaders: int, sizes: Column) -> DataFrame | None:
     """The next pairs to test in buckets that span several components, or None if there are none left.
 
-    In each such bucket its members number ``done`` to ``done + LEADERS`` are
+    In each such bucket the ``leaders`` members from number ``done`` on are
     held against all later members of other components.
     """
     placed = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
@@ -194,8 +194,7 @@ def _open_pairs(members: DataFrame, components: DataFrame, done: int, sizes) ->
     placed = placed.join(spans.select("bucket"), "bucket")
     ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")) - 1)
     ranked = store(ranked.filter(F.col("rank") >= done), "open-buckets")
-    leaders = ranked.filter(F.col("rank") < done + LEADERS)
-    one = leaders.select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), F.col("rank").alias("r_a"))
+    one = ranked.filter(F.col("rank") < done + leaders).select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), F.col("rank").alias("r_a"))
     two = ranked.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"), F.col("rank").alias("r_b"))
     if ranked.isEmpty():
         return None
