@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlens.llm import minmax, ring
+from faultlens.llm import minmax, packing, ring, suffix_dedup
 from faultlens.llm.common import ship
 
 
@@ -25,5 +25,15 @@ def op3_ring(spark: SparkSession, folder: str) -> DataFrame:
     return ring.document_shards(_documents(spark, folder), shards=16)
 
 
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 2,048 tokens."""
+    return packing.packed_documents(_documents(spark, folder))
+
+
+def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What remains of every document without 100-byte strings that start earlier."""
+    return suffix_dedup.deduplicated(_documents(spark, folder)).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minmax": op2_minmax, "op3_ring": op3_ring}
+    return {"op2_minmax": op2_minmax, "op3_ring": op3_ring, "op8_packing": op8_packing, "op10_repeats": op10_repeats}
