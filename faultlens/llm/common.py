@@ -93,9 +93,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text number of every word: bytes between ASCII white space, never across texts."""
-    inside = _IS_WORD[data]
+def word_spans(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text number of every word: bytes that ``table`` marks (not ASCII white space), never across texts."""
+    inside = table[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     stops = inside.copy()
