@@ -8,11 +8,11 @@ independent minima. Bands of such values bring similar documents into common
 buckets.
 
 A pair of similarity 0.8 misses every one of the 32 bands with a chance of
-about 5e-8. Which links hold is then decided on the full shingle sets. A
-bucket never emits all its pairs: its members are held against its first
-member, links found so far join members into components, and only buckets
-that still span several components go on with their next members, until no
-bucket has an untested pair between two components.
+about 5e-8. Which links hold is then decided on the full shingle sets. A bucket
+never emits all its pairs: its members are held against its first member, and
+links found so far join members into components. Only pairs between components
+of one bucket are left. Small buckets give them out; larger ones are worked
+through block by block inside tasks, which give out links alone.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.llm.common import (
@@ -41,8 +41,10 @@ from faultlens.llm.components import connected_components
 PERMUTATIONS = 64
 #: Permutations in a band, so twice as many values.
 BAND = 2
-#: Members of a bucket that the first further round holds against the rest of it; four times as many in each round after.
-LEADERS = 64
+#: Buckets of up to so many members give pairs; larger ones are worked through in blocks.
+FEW = 32
+#: Shingles of a block.
+BLOCK = 1 << 20
 
 
 def _document_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -150,25 +152,19 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80) -> D
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
     sets = store(shingle_sets(texts, size), "sets")
 
-    first = members.select(F.col("bucket"), F.col("first").alias("a"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"))
+    first = members.select("bucket", F.col("first").alias("a"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"))
     first = first.filter("a <> b").join(members.select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")), ["bucket", "a"])
     sizes = F.expr(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     pairs = store(first.filter(sizes).select("a", "b").distinct(), "pairs")
     links = store(_verified(pairs, sets, percent), "verified")
     components = store(connected_components(links, "a", "b"), "components")
 
-    done, leaders = 0, LEADERS
-    while True:
-        fresh = _open_pairs(members, components, done, leaders, sizes)
-        if fresh is None:
-            break
-        open_pairs = store(fresh.join(pairs, ["a", "b"], "left_anti"), "pairs")
-        found = store(_verified(open_pairs, sets, percent), "verified")
-        pairs = pairs.union(open_pairs)
-        done, leaders = done + leaders, 4 * leaders
-        if not found.isEmpty():
-            links = links.union(found)
-            components = store(connected_components(links, "a", "b"), "components")
+    # What is left are pairs between components that share a bucket.
+    open_members = store(_open_members(members, components), "open-buckets")
+    few = _few(open_members, sizes).join(pairs, ["a", "b"], "left_anti")
+    found = store(_verified(few, sets, percent).union(_many(open_members, sets, percent)).distinct(), "verified")
+    if not found.isEmpty():
+        components = store(connected_components(links.union(found), "a", "b"), "components")
 
     labels = classes.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component")
@@ -181,21 +177,78 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80) -> D
     )
 
 
-def _open_pairs(members: DataFrame, components: DataFrame, done: int, leaders: int, sizes: Column) -> DataFrame | None:
-    """The next pairs to test in buckets that span several components, or None if there are none left.
-
-    In each such bucket the ``leaders`` members from number ``done`` on are
-    held against all later members of other components.
-    """
+def _open_members(members: DataFrame, components: DataFrame) -> DataFrame:
+    """Members of the buckets that span several components, with their component and the bucket's size."""
     placed = members.join(components.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "bucket", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component")
     )
-    spans = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    placed = placed.join(spans.select("bucket"), "bucket")
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")) - 1)
-    ranked = store(ranked.filter(F.col("rank") >= done), "open-buckets")
-    one = ranked.filter(F.col("rank") < done + leaders).select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), F.col("rank").alias("r_a"))
-    two = ranked.select("bucket", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"), F.col("rank").alias("r_b"))
-    if ranked.isEmpty():
-        return None
-    return one.join(two, "bucket").filter((F.col("r_a") < F.col("r_b")) & (F.col("c_a") != F.col("c_b")) & sizes).select("a", "b").distinct()
+    spans = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
+    return placed.join(spans.filter("low < high").select("bucket", "members"), "bucket")
+
+
+def _few(open_members: DataFrame, sizes: Column) -> DataFrame:
+    """Pairs (a, b) between components in buckets of up to ``FEW`` members."""
+    few = open_members.filter(F.col("members") <= FEW)
+    one, two = (
+        few.select("bucket", *[F.col(c).alias(n + s) for c, n in (("doc_id", ""), ("n_shingles", "n_"), ("component", "c_"))]) for s in "ab"
+    )
+    return one.join(two, "bucket").filter((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & sizes).select("a", "b").distinct()
+
+
+def _many(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components in larger buckets.
+
+    A bucket's largest component and its other members are cut into blocks of
+    so many shingles; every two blocks whose members may be of different
+    components meet in one task. It counts common shingles through an index of
+    one block's shingles, and gives out links alone.
+    """
+    many = open_members.filter(F.col("members") > FEW)
+    sizes = many.groupBy("bucket", "component").agg(F.sum("n_shingles").alias("size"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("size", "component")).alias("top"), F.sum("size").alias("all"))
+    block = lambda size: F.greatest(F.lit(1), F.ceil(size / F.lit(BLOCK))).cast("int")
+    largest = largest.select(
+        "bucket", F.col("top.component").alias("top"), block(F.col("top.size")).alias("own"), block(F.col("all") - F.col("top.size")).alias("others")
+    )
+    rows = many.join(largest, "bucket").withColumn("is_top", F.col("component") == F.col("top"))
+    mine = F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_top"), F.col("own")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("mine", mine)
+    # Cell (i, j): block i of the others against block j of the others (j >= i) or, as j = -1 - k, block k of the largest.
+    with_top = F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda i: F.struct(i.alias("i"), (-1 - F.col("mine")).alias("j"), F.lit(1).alias("side")))
+    to_top = F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda k: F.struct(F.col("mine").alias("i"), (-1 - k).alias("j"), F.lit(0).alias("side")))
+    to_others = F.transform(
+        F.sequence(F.lit(0), F.col("others") - 1),
+        lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j"), (k < F.col("mine")).cast("int").alias("side")),
+    )
+    cells = F.when(F.col("is_top"), with_top).otherwise(F.concat(to_top, to_others))
+    rows = rows.join(sets, "doc_id").select("bucket", "doc_id", "component", "shingles", F.explode(cells).alias("cell"))
+    rows = rows.select("bucket", "cell.i", "cell.j", "cell.side", "doc_id", "component", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        doc, component, side = (table.column(c).to_numpy() for c in ("doc_id", "component", "side"))
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        alone = table.column("i")[0] == table.column("j")[0]
+        one = np.flatnonzero(side == 0)
+        two = one if alone else np.flatnonzero(side == 1)
+        found = [(doc[a], doc[b]) for a, b in _index_links(held, one, two, percent) if component[a] != component[b]]
+        ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
+        return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
+def _index_links(held: list[np.ndarray], one: np.ndarray, two: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a set of ``one`` and a set of ``two`` that are similar, by an index of the shingles of ``one``."""
+    if not len(one):
+        return
+    sizes = np.array([len(held[a]) for a in one])
+    shingles = np.concatenate([held[a] for a in one])
+    order = np.argsort(shingles, kind="stable")
+    shingles, owners = shingles[order], np.repeat(np.arange(len(one)), sizes)[order]
+    for b in two:
+        first = np.searchsorted(shingles, held[b], side="left")
+        count = np.searchsorted(shingles, held[b], side="right") - first
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        shared = np.bincount(owners[at], minlength=len(one))
+        for a in np.flatnonzero(100 * shared >= percent * (sizes + len(held[b]) - shared)):
+            yield one[a], b
