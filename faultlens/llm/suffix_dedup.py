@@ -26,6 +26,7 @@ third of all documents reaches its range once for each run and text around it.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +40,12 @@ from faultlens.llm.common import byte_offsets, list_column, mix, slices, span_ha
 LENGTH = 100
 #: Bytes of an anchor.
 ANCHOR = 32
+#: Text bytes of one numpy pass; its arrays stay in the processor's cache.
+SLICE = 1 << 18
 #: Text bytes whose entries make one sorted run.
 RUN_BYTES = 24 << 20
 #: Anchors that one range is planned for.
-RANGE = 200_000
+RANGE = 50_000
 
 Entry = tuple[bytes, bytes, int, int, int, int, int]  # right, left, fewest and most bytes before the anchor, document (2), position
 
@@ -71,17 +74,20 @@ def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int, anchor: i
 
 
 def _anchors_of(batch: pa.RecordBatch, length: int, anchor: int):
+    """Bytes and borders of the texts, start of each window and number of its anchor, and position and hash of every anchor."""
     data, offsets = byte_offsets(batch.column(batch.schema.get_field_index("text")))
     starts, chosen = window_anchors(data, offsets, length, anchor)
-    places = np.unique(chosen)
-    return data, offsets, starts, chosen, places, span_hashes(data, places, places + anchor)
+    # The anchor moves on with the window, never back.
+    new = np.r_[True, chosen[1:] != chosen[:-1]][: len(chosen)]
+    places = chosen[new]
+    return data, offsets, starts, np.cumsum(new) - 1, places, span_hashes(data, places, places + anchor)
 
 
 def anchor_counts(documents: DataFrame, length: int, anchor: int) -> DataFrame:
     """d, e (the document) and the distinct anchor hashes of its windows; ``twice`` are those it has more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             _, offsets, _, _, places, hashes = _anchors_of(batch, length, anchor)
             owners = np.searchsorted(offsets, places, side="right") - 1
             order = np.lexsort((hashes, owners))
@@ -102,7 +108,7 @@ def _squeezed(documents: DataFrame) -> DataFrame:
     """The texts compressed, for shuffles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in slices(batches, "text"):
             data, offsets = byte_offsets(batch.column(2))
             data = data.tobytes()
@@ -121,7 +127,7 @@ def _unsqueezed(batch: pa.RecordBatch) -> pa.RecordBatch:
 def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches with their texts, expanded a few at a time."""
     for batch in slices(batches, "packed", 1 << 18):
-        yield from slices(iter([_unsqueezed(batch)]), "text")
+        yield from slices(iter([_unsqueezed(batch)]), "text", SLICE)
 
 
 def entries_of(batch: pa.RecordBatch, length: int, anchor: int) -> Iterator[tuple[int, Entry]]:
@@ -136,14 +142,13 @@ def entries_of(batch: pa.RecordBatch, length: int, anchor: int) -> Iterator[tupl
     for i in range(batch.num_rows):
         mine = slice(borders[i], borders[i + 1])
         repeats[mine] = np.isin(hashes[mine], flat[ends[i] - ends[0] : ends[i + 1] - ends[0]])
-    fit = repeats[np.searchsorted(places, chosen)]
+    fit = repeats[chosen]
     starts, chosen = starts[fit], chosen[fit]
     if not len(starts):
         return
     cut = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1]) | (starts[1:] != starts[:-1] + 1)])
     low, high = starts[cut], starts[np.r_[cut[1:], len(starts)] - 1]
-    at = chosen[cut]
-    value = hashes[np.searchsorted(places, at)]
+    at, value = places[chosen[cut]], hashes[chosen[cut]]
     owner = np.searchsorted(offsets, at, side="right") - 1
     base = offsets[owner]
     d, e = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -252,25 +257,25 @@ def merged(runs: list[Iterator[tuple[int, bytes, object]]]) -> Iterator[tuple[in
             place //= 2
 
 
-_META = np.dtype([("share", "<u2"), ("right", "<u2"), ("left", "<u2"), ("low", "u1"), ("high", "u1"), ("d", "<i8"), ("e", "<i8"), ("at", "<i8")])
+#: Shared prefix, bytes of the suffix and of the left side, fewest and most bytes before the anchor, document (2), position.
+_META = struct.Struct("<HHHHHqqq")
 
 
 def coded(entries: list[Entry]) -> tuple[bytes, bytes]:
     """A sorted run: fixed-size fields, and for each entry the bytes of its suffix beyond the shared prefix and its left side."""
-    meta = np.empty(len(entries), _META)
-    tails = []
+    meta, tails = [], []
     before = b""
-    for i, (right, left, low, high, d, e, at) in enumerate(entries):
+    for right, left, low, high, d, e, at in entries:
         share = shared_prefix(before, right, 0)
-        meta[i] = (share, len(right), len(left), low, high, d, e, at)
+        meta.append(_META.pack(share, len(right), len(left), low, high, d, e, at))
         tails += (right[share:], left)
         before = right
-    return meta.tobytes(), b"".join(tails)
+    return b"".join(meta), b"".join(tails)
 
 
 def decoded(meta: bytes, tails: bytes) -> Iterator[tuple[int, bytes, Entry]]:
     right, at = b"", 0
-    for share, size, left, low, high, d, e, place in np.frombuffer(meta, _META).tolist():
+    for share, size, left, low, high, d, e, place in _META.iter_unpack(meta):
         right = right[:share] + tails[at : at + size - share]
         at += size - share
         yield share, right, (right, tails[at : at + left], low, high, d, e, place)
