@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlens.llm import minmax, packing, ring, suffix_dedup
+from faultlens.llm import blob_secrets, licenses, minmax, packing, pii, ring, suffix_dedup, toxicity
 from faultlens.llm.common import ship
 
 
@@ -25,15 +25,36 @@ def op3_ring(spark: SparkSession, folder: str) -> DataFrame:
     return ring.document_shards(_documents(spark, folder), shards=16)
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every text, by patterns and the semi-Markov field."""
+    return pii.personal_data(_documents(spark, folder))
+
+
+def op5_blob_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every text, each distinct text scanned once."""
+    return blob_secrets.document_secrets(_documents(spark, folder))
+
+
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licences in every text, by sentences."""
+    return licenses.licensed(_documents(spark, folder))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 2,048 tokens."""
     return packing.packed_documents(_documents(spark, folder))
 
 
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every text; labels teach from rows that are not held out."""
+    return toxicity.toxicity(_documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """What remains of every document without 100-byte strings that start earlier."""
     return suffix_dedup.deduplicated(_documents(spark, folder)).drop("spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_minmax": op2_minmax, "op3_ring": op3_ring, "op8_packing": op8_packing, "op10_repeats": op10_repeats}
+    found = (op2_minmax, op3_ring, op4_personal_data, op5_blob_secrets, op6_licenses, op8_packing, op9_toxicity, op10_repeats)
+    return {f.__name__: f for f in found}
