@@ -140,7 +140,8 @@ def document_secrets(documents: DataFrame, ledger_path: str | None = None, rules
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"].cast("string"), s["last"].cast("string"))), ",")
 
     of_base = F.filter("findings", lambda s: s["kind"].isin(base))
-    counts = [F.size(F.filter("findings", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    kinds = F.transform("findings", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in base]
     return found.select(
         F.col("path").cast("long").alias("doc_id"), *counts, F.sha2(text(of_base), 256).alias("base_sha256"), text(F.col("findings")).alias("spans"), "blob"
     )
