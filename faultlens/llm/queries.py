@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlens.llm import blob_secrets, licenses, minmax, packing, pii, ring, suffix_dedup, toxicity
+from faultlens.llm import blob_secrets, decontaminate, licenses, minmax, packing, pii, ring, simhash, suffix_dedup, toxicity
 from faultlens.llm.common import ship
 
 
@@ -15,6 +15,11 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a copy of a benchmark item, whole or edited."""
+    return decontaminate.contaminated(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op2_minmax(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate components: sets of 4-word shingles, similarity 0.8."""
     return minmax.near_duplicates(_documents(spark, folder), size=4, percent=80)
@@ -40,6 +45,11 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.licensed(_documents(spark, folder))
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all texts and of their edited texts, and what is near."""
+    return simhash.document_fingerprints(_documents(spark, folder))
+
+
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 2,048 tokens."""
     return packing.packed_documents(_documents(spark, folder))
@@ -56,5 +66,16 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_minmax, op3_ring, op4_personal_data, op5_blob_secrets, op6_licenses, op8_packing, op9_toxicity, op10_repeats)
+    found = (
+        op1_decontaminate,
+        op2_minmax,
+        op3_ring,
+        op4_personal_data,
+        op5_blob_secrets,
+        op6_licenses,
+        op7_simhash,
+        op8_packing,
+        op9_toxicity,
+        op10_repeats,
+    )
     return {f.__name__: f for f in found}

@@ -1,25 +1,150 @@
 """Document fingerprints by SimHash, and the search for near ones.
 
-Every distinct term of a text (two words in a row) votes with the logarithm of its count on each
-bit of its 128-bit hash; the sign of the sum is the fingerprint's bit. Two
-fingerprints differ in about ``angle / pi`` of their bits, where the angle is
-the one between the texts' weighted term vectors.
-
-Search: a fingerprint is cut into ``radius + KEY_BLOCKS`` blocks, so two
-fingerprints within the radius agree in at least ``KEY_BLOCKS`` whole blocks.
-There is one table for each choice of that many blocks, keyed by their bits.
+Each distinct term of a text (two words in a row) votes on every bit of its
+128-bit hash, with one plus the logarithm of its count; the sign of the sum is
+the fingerprint's bit. Two fingerprints differ in about angle / pi of their
+bits, where the angle is the one between the weighted term vectors.
+
+Search: fingerprints are cut into ``radius + KEY_BLOCKS`` blocks, so two within
+the radius agree in ``KEY_BLOCKS`` whole blocks at least. For each choice of
+that many blocks there is one table, keyed by their bits; a probe reads all
+tables and keeps what lies within the radius.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import pi
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.functions.columns import *  # noqa: F403
-from faultlens.llm.common import byte_offsets, distinct_sorted, mix, shingle_hashes, slices, store, word_hashes
+from faultlens.llm.common import byte_offsets, mix, shingle_hashes, slices, store, word_hashes
 from faultlens.operators.prefix import running_before
+
+BITS = 128
+#: Words of a term.
+TERM = 2
+RADIUS, KEY_BLOCKS = 4, 2
+
+#: For each value of a byte, +1 or -1 for its bits, the highest first.
+_SIGNS = 2.0 * np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) - 1
+
+
+def fingerprints(texts: pa.Array, term: int = TERM) -> np.ndarray:
+    """One row of 16 bytes for each text; without a word all bits are 0."""
+    data, offsets = byte_offsets(texts)
+    hashes, owners = shingle_hashes(*word_hashes(data, offsets), term)
+    count = len(offsets) - 1
+    votes = np.zeros((count, BITS // 8, 8))
+    if len(hashes):
+        order = np.argsort(hashes)
+        order = order[np.argsort(owners[order].astype(np.int32), kind="stable")]
+        hashes, owners = hashes[order], owners[order]
+        firsts = np.flatnonzero(np.r_[True, (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])])
+        weights = 1 + np.log(np.diff(np.r_[firsts, len(hashes)]))
+        hashes, owners = hashes[firsts], owners[firsts]
+        for half in range(2):
+            pieces = mix(hashes + np.uint64(0x632BE59BD9B4E019 * half)).view(np.uint8).reshape(-1, 8)
+            for k in range(8):
+                seen = np.bincount(owners * 256 + pieces[:, k], weights=weights, minlength=count * 256)
+                votes[:, 8 * half + k] = seen.reshape(count, 256) @ _SIGNS
+    return np.packbits(votes.reshape(count, BITS) > 0, axis=1)
+
+
+def hamming(one: Column, two: Column) -> Column:
+    """Differing bits of two fingerprints in hexadecimal digits; null if one is null."""
+    parts = [
+        F.bit_count(F.conv(F.substring(one, k, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring(two, k, 8), 16, 10).cast("long")))
+        for k in range(1, BITS // 4, 8)
+    ]
+    return sum(parts[1:], parts[0])
+
+
+def likeness(one: Column, two: Column) -> Column:
+    """The cosine that the differing bits tell, 0 at least; 0 if one fingerprint is missing."""
+    return F.coalesce(F.greatest(F.lit(0.0), F.cos(hamming(one, two) * F.lit(pi / BITS))), F.lit(0.0))
+
+
+def _block_keys(fingerprint: Column, radius: int) -> Column:
+    """The key of each block table: its number and the blocks' digits."""
+    blocks, digits = radius + KEY_BLOCKS, BITS // 4
+    borders = [digits * b // blocks for b in range(blocks + 1)]
+    cut = [F.substring(fingerprint, a + 1, b - a) for a, b in zip(borders, borders[1:], strict=False)]
+    return F.array(*[F.xxhash64(F.lit(n), *[cut[b] for b in chosen]) for n, chosen in enumerate(combinations(range(blocks), KEY_BLOCKS))])
+
+
+def within_radius(probes: DataFrame, known: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(probe, near, distance) for all distinct fingerprints of ``known`` within ``radius`` bits of those of ``probes``.
+
+    Both have a column ``fingerprint``; nulls find nothing. Equal fingerprints
+    are one row, so copies do not multiply.
+    """
+    def table(df: DataFrame, name: str) -> DataFrame:
+        distinct = df.filter("fingerprint IS NOT NULL").select(F.col("fingerprint").alias(name)).distinct()
+        return distinct.select(name, F.explode(_block_keys(F.col(name), radius)).alias("key"))
+
+    pairs = table(probes, "probe").join(table(known, "near"), "key").withColumn("distance", hamming(F.col("probe"), F.col("near")))
+    return pairs.filter(F.col("distance") <= radius).select("probe", "near", "distance").distinct()
+
+
+def following_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, next_id): the next smaller doc_id, and for the smallest the largest."""
+    ids = documents.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("all__", F.lit(1))
+    before = running_before(ids, ["all__"], "doc_id", maxima={"next_id": F.col("doc_id")})
+    largest = ids.groupBy("all__").agg(F.max("doc_id").alias("largest"))
+    return before.join(F.broadcast(largest), "all__").select("doc_id", F.coalesce("next_id", "largest").alias("next_id"))
+
+
+def document_fingerprints(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near of every row of ``documents``.
+
+    A null text is empty. The edited text has its last third replaced by the
+    beginning of the next document (by descending doc_id, after the last one
+    the first). Of several texts of one doc_id the smallest beginning is the
+    next document's. A row with a null doc_id has no next document: its third
+    is dropped and ``near_next`` is 0. ``n_near`` is, for the doc_ids divisible
+    by 50, the number of other rows with a fingerprint within ``radius`` bits;
+    null for the others.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    order = store(following_documents(rows), "order")
+    needed = rows.groupBy("doc_id").agg(F.max(third).alias("third")).join(order, "doc_id")
+    heads = rows.join(needed.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "third"), "doc_id")
+    heads = heads.select(F.col("for_id").alias("doc_id"), F.expr("substring(text, 1, third)").alias("head"))
+    heads = heads.groupBy("doc_id").agg(F.min("head").alias("head"))
+    kept = F.substring(F.col("text"), F.lit(1), F.length("text") - third)
+    edited = F.concat(kept, F.substring(F.coalesce(F.col("head"), F.lit("")), F.lit(1), third))
+    both = rows.join(heads, "doc_id", "left").select("doc_id", "text", edited.alias("edited"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 19):
+            columns = [batch.column(0), batch.column(3), batch.column(4)]
+            columns += [pa.array([row.tobytes().hex() for row in fingerprints(batch.column(k))]) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"])
+
+    both = both.select("doc_id", "text", "edited", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    found = both.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string")
+    found = store(found, "fingerprints")
+
+    first = found.groupBy("doc_id").agg(F.min("fingerprint").alias("next_fingerprint"))
+    next_ = order.join(first.withColumnRenamed("doc_id", "next_id"), "next_id").select("doc_id", "next_fingerprint")
+    copies = found.groupBy("fingerprint").agg(F.count("*").alias("copies"))
+    near = within_radius(found.filter("doc_id % 50 = 0"), found, radius)
+    near = near.join(copies.withColumnRenamed("fingerprint", "near"), "near").groupBy("probe").agg(F.sum("copies").alias("rows"))
+    joined = found.join(next_, "doc_id", "left").join(near.withColumnRenamed("probe", "fingerprint"), "fingerprint", "left")
+    return joined.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        "edited_fingerprint",
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        F.when(F.col("doc_id") % 50 == 0, F.col("rows") - 1).alias("n_near"),
+    )

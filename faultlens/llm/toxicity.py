@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import byte_offsets, lower_bytes, slices, span_hashes, word_spans
+from faultlens.llm.common import IS_ALPHANUMERIC, byte_offsets, lower_bytes, slices, span_hashes, word_spans
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 48
@@ -33,9 +33,6 @@ VOCABULARY = 8192
 ROUNDS = 5
 THRESHOLD = 0.3
 
-_TOKEN = np.zeros(256, bool)
-_TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-
 
 @dataclass
 class Words:
@@ -49,7 +46,7 @@ class Words:
 
 def read_words(texts: pa.Array) -> Words:
     data, offsets = byte_offsets(texts)
-    starts, ends, owners = word_spans(data, offsets, _TOKEN)
+    starts, ends, owners = word_spans(data, offsets, IS_ALPHANUMERIC)
     low = lower_bytes(data)
     hashes, firsts, numbers = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
     at = starts[firsts, None] + np.arange(CHARS)
@@ -345,6 +342,17 @@ def scored(documents: DataFrame, network: Network, threshold: float = THRESHOLD)
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_windows long")
 
 
+def without_toxic(documents: DataFrame, network: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` that score below ``threshold``, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text", 1 << 20):
+            score, _ = network.document_scores(batch.column(batch.schema.get_field_index("text")))
+            yield batch.filter(pa.array(score < threshold))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Train on the labelled sample, then score all of ``documents``."""
     return scored(documents, train(*training_sample(documents, labels)), threshold)
