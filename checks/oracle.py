@@ -106,7 +106,7 @@ def workloads() -> dict[str, str]:
             JOIN supplier ON l_suppkey = s_suppkey
             GROUP BY c_name, s_name ORDER BY total_price DESC, c_name, s_name LIMIT 50""",
         "category_totals": """
-            SELECT CAST(event_id % 5 AS VARCHAR) AS category, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total
+            SELECT CAST(event_id % 5 AS VARCHAR) AS category, CAST(sum(CAST(value AS DECIMAL(24,9))) AS DOUBLE) AS total
             FROM events GROUP BY category""",
         "order_pairs_total": """
             SELECT CAST(count(*) AS DOUBLE) AS total_rows, CAST(sum(CAST(a.o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS total_price
@@ -130,7 +130,7 @@ STAGES = f"""{NUMBERED},
 line_count AS (SELECT l_orderkey, CAST(count(*) AS INT) AS num_tasks FROM lineitem GROUP BY l_orderkey),
 placed AS (SELECT *, CAST(floor((stage_id - 1) / 2.0) AS INT) AS p1, stage_id - 2 AS p2 FROM numbered),
 stage_metrics AS (
-  SELECT concat('app_', lpad(CAST(o_custkey AS VARCHAR), 6, '0')) AS app_id, CAST(o_custkey % 7 AS INT) AS label,
+  SELECT concat('app_', lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(6, length(CAST(o_custkey AS VARCHAR))) AS INT), '0')) AS app_id, CAST(o_custkey % 7 AS INT) AS label,
     stage_id, 0 AS stage_attempt_id, concat('stage ', o_orderpriority) AS stage_name, coalesce(num_tasks, 0) AS num_tasks,
     o_orderkey * 1000 AS submission_time, o_orderkey * 1000 + 500 AS completion_time,
     CASE WHEN o_orderstatus = 'F' THEN 'FAILED' ELSE 'COMPLETED' END AS status,
@@ -148,7 +148,7 @@ stage_metrics AS (
 TASKS = f"""{NUMBERED},
 lines AS (SELECT *, CAST(o_custkey % 7 AS INT) AS label FROM lineitem JOIN numbered ON l_orderkey = o_orderkey),
 task_metrics AS (
-  SELECT concat('app_', lpad(CAST(o_custkey AS VARCHAR), 6, '0')) AS app_id, label, stage_id, 0 AS stage_attempt_id,
+  SELECT concat('app_', lpad(CAST(o_custkey AS VARCHAR), CAST(greatest(6, length(CAST(o_custkey AS VARCHAR))) AS INT), '0')) AS app_id, label, stage_id, 0 AS stage_attempt_id,
     l_orderkey * 10 + l_linenumber AS task_id,
     CASE WHEN l_returnflag = 'R' AND l_linenumber = 7 THEN 1 ELSE 0 END AS task_attempt,
     CAST(l_suppkey % 4 AS VARCHAR) AS executor_id, concat('host-', l_suppkey % 2) AS host,
@@ -410,6 +410,9 @@ def telemetry() -> dict[str, str]:
         "split_by_key": f"""WITH {TASKS}, a AS (SELECT DISTINCT app_id, label FROM task_metrics)
             SELECT app_id, label, CASE WHEN CAST(concat('0x', substr(md5(app_id), 1, 8)) AS BIGINT) % 100 < 80
               THEN 'train' ELSE 'test' END AS split FROM a""",
+        "split_label_counts": f"""WITH {TASKS}, a AS (SELECT DISTINCT app_id, label FROM task_metrics),
+            s AS (SELECT label, CASE WHEN CAST(concat('0x', substr(md5(app_id), 1, 8)) AS BIGINT) % 100 < 80 THEN 'train' ELSE 'test' END AS split FROM a)
+            SELECT split, label, count(*) AS app_count FROM s GROUP BY split, label""",
         "classification_metrics": f"""WITH {PER_CLASS} SELECT round(CAST(sum(tp) AS DOUBLE) / sum(support), 6) AS accuracy,
             round(sum(support * CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) / sum(support), 6) AS f1,
             round(sum(support * p) / sum(support), 6) AS precision, round(sum(support * r) / sum(support), 6) AS recall FROM scored""",
@@ -457,7 +460,9 @@ def telemetry() -> dict[str, str]:
             count(*) FILTER (WHERE Status LIKE 'ERROR%') AS errors FROM manifest GROUP BY FailureType, Label""",
         "table_row_counts": " UNION ALL ".join(
             f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}"
-            for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+            for t in (
+                "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+            ).split()
         ),
         "delimited_roundtrip": "SELECT * FROM orders",
         "format_bytes": """SELECT o_orderkey, CAST(floor(o_totalprice * 10000) AS BIGINT) AS bytes,

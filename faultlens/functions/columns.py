@@ -13,6 +13,15 @@ def money(name: str) -> Column:
     return F.col(name).cast("decimal(12,2)")
 
 
+def exact(name: str, digits: int = 9) -> Column:
+    """A measure as a decimal with ``digits`` decimals, so sums do not depend on row order.
+
+    A double below 10^6 has no more digits than that; larger values keep all
+    they have up to 10^15. Prices take ``money``.
+    """
+    return F.col(name).cast(f"decimal({15 + digits},{digits})")
+
+
 def rate(name: str) -> Column:
     return F.col(name).cast("decimal(4,2)")
 

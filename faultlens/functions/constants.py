@@ -39,6 +39,7 @@ REPORT_CLASS_NAMES = {
 
 # Event names in the log.
 TASK_END = "SparkListenerTaskEnd"
+APPLICATION_END = "SparkListenerApplicationEnd"
 STAGE_SUBMITTED = "SparkListenerStageSubmitted"
 STAGE_COMPLETED = "SparkListenerStageCompleted"
 

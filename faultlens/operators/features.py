@@ -120,6 +120,7 @@ def ground_truth(labelled: DataFrame) -> DataFrame:
         labelled.groupBy("app_id")
         .agg(F.max("label").cast("int").alias("label"))
         .withColumn("label_name", label_name(F.col("label")))
+        .orderBy("label", "app_id")
     )
 
 
@@ -128,4 +129,5 @@ def label_distribution(labelled: DataFrame) -> DataFrame:
         labelled.groupBy(F.col("label").cast("int").alias("label"))
         .agg(F.count(F.lit(1)).alias("app_count"))
         .withColumn("label_name", label_name(F.col("label")))
+        .orderBy("label")
     )

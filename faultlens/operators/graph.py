@@ -68,8 +68,10 @@ def stage_nodes(stages: DataFrame) -> DataFrame:
     )
 
 
-def graph_mode(nodes: DataFrame) -> DataFrame:
-    return nodes.groupBy("app_id").agg(F.max("used_true_parents").alias("used_true_parents"))
+def graph_mode(stages: DataFrame) -> DataFrame:
+    """(app_id, used_true_parents) from the stage table: does any stage list a parent?"""
+    listed = _with_listed_parents(stages)
+    return listed.groupBy("app_id").agg(F.max(F.size("listed") > 0).alias("used_true_parents"))
 
 
 def heuristic_chain(nodes: DataFrame) -> DataFrame:

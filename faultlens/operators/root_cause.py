@@ -118,6 +118,44 @@ def _clean_parents(nodes: DataFrame, traced: DataFrame) -> DataFrame:
     )
 
 
+def confidence_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
+    """(app_id, analysis_confidence) of the applications with a failed stage; counts and flags only."""
+    root = F.col("is_root_cause")
+    clear = F.length(F.coalesce("failure_reason", F.lit(k.UNKNOWN))) > 10
+    per_app = traced.groupBy("app_id").agg(
+        F.count_if(root).alias("roots"),
+        F.max(F.when(root, clear)).alias("clear_root"),
+        F.max(F.when(F.col("bfs_level") == 0, clear)).alias("clear_terminal"),
+        F.max(F.size("parents")).alias("most_parents"),
+    )
+    # Where every failure blames another one in a circle, the terminal stage
+    # stands for the cause; its own parents did not all complete.
+    caused = F.col("roots") > 0
+    clear_reason = F.when(caused, F.col("clear_root")).otherwise(F.col("clear_terminal"))
+    clean_parents = caused & F.coalesce("clean_parents", F.lit(True))
+    raw = (
+        F.lit(k.CONFIDENCE_BASE)
+        + F.when(clear_reason, k.CONFIDENCE_CLEAR_REASON).otherwise(0.0)
+        + F.when(F.col("most_parents") <= 1, k.CONFIDENCE_SINGLE_PARENT).otherwise(0.0)
+        + F.when(clean_parents, k.CONFIDENCE_CLEAN_PARENTS).otherwise(0.0)
+        - F.greatest(F.col("roots") - 2, F.lit(0)) * k.CONFIDENCE_EXTRA_ROOT
+    )
+    return per_app.join(_clean_parents(nodes, traced), "app_id", "left").select(
+        "app_id", F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 4).alias("analysis_confidence")
+    )
+
+
+def _full_confidence_elsewhere(nodes: DataFrame, confidence: DataFrame) -> DataFrame:
+    apps = nodes.select("app_id").distinct()
+    return apps.join(confidence, "app_id", "left").select("app_id", F.coalesce("analysis_confidence", F.lit(1.0)).alias("analysis_confidence"))
+
+
+def confidence(nodes: DataFrame) -> DataFrame:
+    """(app_id, analysis_confidence) of every application; 1 where no stage failed."""
+    nodes = materialize(nodes, "nodes")
+    return _full_confidence_elsewhere(nodes, confidence_table(nodes, materialize(traced_stages(nodes), "trace")))
+
+
 def result_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
     """One row per application with the analysis as text columns.
 
@@ -128,37 +166,21 @@ def result_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
     """
     item = F.struct("stage_id", "stage_name", F.coalesce("failure_reason", F.lit(k.UNKNOWN)).alias("reason"))
     root = F.col("is_root_cause")
-    per_app = (
+    texts = (
         traced.groupBy("app_id")
         .agg(
             F.array_sort(F.collect_list(F.when(root, item))).alias("causes"),
             F.array_sort(F.collect_list(F.when(~root, F.col("stage_id")))).alias("victims"),
             F.sort_array(F.collect_list(F.struct("bfs_level", "stage_id")), asc=False).alias("path"),
             F.max(F.when(F.col("bfs_level") == 0, item)).alias("terminal"),
-            F.max(F.size("parents")).alias("most_parents"),
         )
-        .withColumn("caused", F.size("causes") > 0)
-        # Where every failure blames another one in a circle, the terminal stage
-        # stands for the cause; its own parents did not all complete.
-        .withColumn("roots", F.when(F.col("caused"), F.col("causes")).otherwise(F.array("terminal")))
-    )
-    extra_roots = F.greatest(F.size("roots") - 2, F.lit(0))
-    clear_reason = F.exists("roots", lambda r: F.length(r["reason"]) > 10)
-    clean_parents = F.col("caused") & F.coalesce("clean_parents", F.lit(True))
-    raw = (
-        F.lit(k.CONFIDENCE_BASE)
-        + F.when(clear_reason, k.CONFIDENCE_CLEAR_REASON).otherwise(0.0)
-        + F.when(F.col("most_parents") <= 1, k.CONFIDENCE_SINGLE_PARENT).otherwise(0.0)
-        + F.when(clean_parents, k.CONFIDENCE_CLEAN_PARENTS).otherwise(0.0)
-        - extra_roots * k.CONFIDENCE_EXTRA_ROOT
+        .withColumn("roots", F.when(F.size("causes") > 0, F.col("causes")).otherwise(F.array("terminal")))
     )
     found = F.col("roots").isNotNull()
     empty = F.lit("")
     return (
-        nodes.select("app_id")
-        .distinct()
-        .join(per_app, "app_id", "left")
-        .join(_clean_parents(nodes, traced), "app_id", "left")
+        _full_confidence_elsewhere(nodes, confidence_table(nodes, traced))
+        .join(texts, "app_id", "left")
         .select(
             "app_id",
             F.when(found, F.array_join(F.col("roots.stage_id"), ",")).otherwise(empty).alias("root_cause_stage_ids"),
@@ -168,9 +190,7 @@ def result_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
             F.when(found, F.array_join(F.col("roots.reason"), " | ")).otherwise(k.NO_FAILURE_REASON).alias("failure_reasons"),
             F.when(found, F.array_join(F.col("path.stage_id"), ",")).otherwise(empty).alias("propagation_path"),
             F.when(found, F.array_join("victims", ",")).otherwise(empty).alias("victim_stages"),
-            F.when(found, F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 4))
-            .otherwise(F.lit(1.0))
-            .alias("analysis_confidence"),
+            "analysis_confidence",
         )
     )
 

@@ -16,7 +16,11 @@ from faultlens.plans.report import unified_report
 from faultlens.session import materialize, scratch_path
 from faultlens.sources import delimited, event_logs, telemetry
 from faultlens.sources import manifest as runs
-from faultlens.sources.tables import row_counts, storage_inventory, table
+from faultlens.sources.tables import row_counts, table
+
+GIVEN_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,7 +76,7 @@ def _node_listing(nodes: DataFrame) -> DataFrame:
 
 GRAPHS: dict[str, Query] = {
     "dag_nodes": _on_nodes(_node_listing),
-    "dag_mode": _on_nodes(graph.graph_mode),
+    "dag_mode": lambda s, d: graph.graph_mode(telemetry.stage_metrics(s, d)),
     "dag_heuristic_chain": _on_nodes(graph.heuristic_chain),
     "dag_edges": _on_nodes(graph.declared_edges),
     "dag_edges_with_roots": _on_nodes(graph.edges_with_roots),
@@ -90,7 +94,7 @@ GRAPHS: dict[str, Query] = {
     "root_cause_stages": _on_stored_nodes(lambda n: root_cause.trace(n).filter("is_root_cause").select("app_id", "stage_id")),
     "victim_stages": _on_stored_nodes(lambda n: root_cause.trace(n).filter("NOT is_root_cause").select("app_id", "stage_id")),
     "propagation_path": _on_stored_nodes(lambda n: root_cause.trace(n).select("app_id", "stage_id", "bfs_level")),
-    "rca_confidence": _on_nodes(lambda n: root_cause.analyze(n).select("app_id", "analysis_confidence")),
+    "rca_confidence": _on_nodes(root_cause.confidence),
     "root_causes": _on_nodes(root_cause.analyze),
     "root_cause_summary": _on_nodes(lambda n: root_cause.summary_by_reason(root_cause.analyze(n))),
 }
@@ -146,6 +150,10 @@ def _split(spark: SparkSession, folder: str) -> DataFrame:
     return train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
 
 
+def _split_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return _split(spark, folder).groupBy("split", "label").agg(F.count(F.lit(1)).alias("app_count")).orderBy("split", "label")
+
+
 def _report(spark: SparkSession, folder: str) -> DataFrame:
     results = root_cause.analyze(_nodes(spark, folder))
     report = unified_report(results, _predictions(spark, folder))
@@ -168,8 +176,7 @@ def _delimited_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _row_counts(spark: SparkSession, folder: str) -> DataFrame:
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-    return row_counts({n: table(spark, folder, n) for n in names})
+    return row_counts({n: table(spark, folder, n) for n in GIVEN_TABLES})
 
 
 def _formatted_bytes(spark: SparkSession, folder: str) -> DataFrame:
@@ -189,7 +196,7 @@ def _pipeline_counts(spark: SparkSession, folder: str) -> DataFrame:
         {
             "tasks": tasks,
             "stages": stages,
-            "graphs": graph.graph_mode(nodes),
+            "graphs": graph.graph_mode(stages),
             "root_causes": root_cause.analyze(nodes),
             "features": rows,
             "train": train,
@@ -214,6 +221,7 @@ TELEMETRY: dict[str, Query] = {
         "label", "label_name", "app_count"
     ),
     "split_by_key": _split,
+    "split_label_counts": _split_labels,
     "classification_metrics": _on_predictions(
         evaluation.classification_metrics, dict.fromkeys(["accuracy", "f1", "precision", "recall"], 6)
     ),
@@ -266,7 +274,6 @@ def _ml_ablation(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ROWS_ONLY: dict[str, Query] = {
-    "storage_inventory": storage_inventory,
     "feature_vectors": _ml_vectors,
     "ml_model_comparison": _ml_comparison,
     "ml_predictions": _ml_predictions,

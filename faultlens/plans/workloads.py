@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.functions.columns import money, net_price, rate, total
+from faultlens.functions.columns import exact, money, net_price, rate, total
 from faultlens.session import broadcast_if_small, materialize
 from faultlens.sources.tables import table
 
@@ -81,6 +81,7 @@ def order_priority(t: Tables, start: str = "1996-07-01", end: str = "1996-10-01"
         .filter(F.col("last_ship") > F.col("o_orderdate"))
         .groupBy("o_orderpriority")
         .agg(F.count(F.lit(1)).alias("order_count"))
+        .orderBy("o_orderpriority")
     )
 
 
@@ -136,6 +137,7 @@ def mode_priority(t: Tables, start: str = "1996-01-01", end: str = "1997-01-01")
         lines.join(t["orders"].select("o_orderkey", "o_orderpriority"), "o_orderkey")
         .groupBy("l_returnflag")
         .agg(F.count_if(urgent).alias("high_line_count"), F.count_if(~urgent).alias("low_line_count"))
+        .orderBy("l_returnflag")
     )
 
 
@@ -164,13 +166,14 @@ def part_revenue(t: Tables, word: str = "red") -> DataFrame:
     per_supplier = (
         _lines_in_orders(t, lines.join(parts, "l_partkey")).groupBy("l_suppkey").agg(F.sum("price").alias("price"))
     )
-    return _by_supplier_nation(t, per_supplier).groupBy("n_name").agg(total("price").alias("total"))
+    return _by_supplier_nation(t, per_supplier).groupBy("n_name").agg(total("price").alias("total")).orderBy(F.desc("total"), "n_name")
 
 
 def revenue_by_nation(t: Tables) -> DataFrame:
     lines = t["lineitem"].select("l_orderkey", "l_suppkey", money("l_extendedprice").alias("price"))
     per_supplier = _lines_in_orders(t, lines).groupBy("l_suppkey").agg(F.sum("price").alias("price"))
-    return _by_supplier_nation(t, per_supplier).groupBy("n_name").agg(total("price").alias("total_price"))
+    per_nation = _by_supplier_nation(t, per_supplier).groupBy("n_name").agg(total("price").alias("total_price"))
+    return per_nation.orderBy(F.desc("total_price"), "n_name")
 
 
 def composite_key_join(t: Tables) -> DataFrame:
@@ -188,6 +191,7 @@ def composite_key_join(t: Tables) -> DataFrame:
         _sums_in_orders(t, matched, [F.count(F.lit(1)).alias("n")], "o_orderstatus")
         .groupBy("o_orderstatus")
         .agg(F.sum("n").alias("cnt"))
+        .orderBy(F.desc("cnt"), "o_orderstatus")
     )
 
 
@@ -353,7 +357,7 @@ def customer_supplier_total(t: Tables, k: int = 50) -> DataFrame:
 
 def category_totals(events: DataFrame, categories: int = 5) -> DataFrame:
     return events.groupBy((F.col("event_id") % categories).cast("string").alias("category")).agg(
-        total(money("value")).alias("total")
+        total(exact("value")).alias("total")
     )
 
 
@@ -403,4 +407,5 @@ def pricing_summary(t: Tables, until: str = "2000-09-02") -> DataFrame:
             total(discounted * (F.lit(1) + rate("l_tax"))).alias("sum_charge"),
             F.count(F.lit(1)).alias("count_order"),
         )
+        .orderBy("l_returnflag", "l_linestatus")
     )

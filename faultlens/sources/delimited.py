@@ -22,7 +22,6 @@ SCHEMAS = {
     "supplier": "s_suppkey BIGINT, s_name STRING, s_address STRING, s_nationkey BIGINT, s_phone STRING,"
     " s_acctbal DOUBLE, s_comment STRING",
 }
-LARGE_TABLES = ("lineitem", "orders")
 
 
 def read_delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,19 +39,18 @@ def write_delimited(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("sep", "|").option("header", "false").csv(path)
 
 
-def convert_table(spark: SparkSession, name: str, source: str, target: str, partitions: int = 200) -> None:
+def convert_table(spark: SparkSession, name: str, source: str, target: str) -> None:
     """One text table to snappy Parquet.
 
-    Large tables are spread evenly over ``partitions`` files; small ones are
-    merged without a shuffle. ``partitions`` should grow with the data so that
-    files stay at some hundred megabytes.
+    Every table is dealt out anew by its size: Spark aims at partitions of
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` and splits what is
+    larger, so a table of any size is written by as many tasks as it needs.
     """
-    rows = read_raw_table(spark, name, source)
-    laid_out = rows.repartition(partitions) if name in LARGE_TABLES else rows.coalesce(min(partitions, 10))
-    laid_out.write.mode("overwrite").option("compression", "snappy").parquet(f"{target}/{name}")
+    rows = read_raw_table(spark, name, source).hint("rebalance")
+    rows.write.mode("overwrite").option("compression", "snappy").parquet(f"{target}/{name}")
 
 
-def convert_all(spark: SparkSession, source: str, target: str, partitions: int = 200) -> dict[str, str | None]:
+def convert_all(spark: SparkSession, source: str, target: str) -> dict[str, str | None]:
     """Convert every table; a failing table does not stop the others.
 
     Returns the error text per table, None where the conversion worked.
@@ -60,7 +58,7 @@ def convert_all(spark: SparkSession, source: str, target: str, partitions: int =
     outcome: dict[str, str | None] = {}
     for name in SCHEMAS:
         try:
-            convert_table(spark, name, source, target, partitions)
+            convert_table(spark, name, source, target)
             outcome[name] = None
         except Exception as problem:
             outcome[name] = str(problem)

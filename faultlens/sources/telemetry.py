@@ -15,7 +15,8 @@ from faultlens.operators.prefix import running_before
 from faultlens.sources.tables import table
 
 
-APP_ID = "concat('app_', lpad(CAST(o_custkey AS STRING), 6, '0')) AS app_id"
+# At least six digits; longer keys keep all of theirs.
+APP_ID = """concat('app_', lpad(CAST(o_custkey AS STRING), greatest(6, length(CAST(o_custkey AS STRING))), '0')) AS app_id"""
 LABEL = "CAST(o_custkey % 7 AS INT) AS label"
 
 STAGE_COLUMNS = [

@@ -6,6 +6,7 @@ import textwrap
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from faultlens.functions.constants import CLASS_LABELS
 from faultlens.plans.preprocess import OUTPUTS, preprocess
@@ -82,16 +83,48 @@ def logs(tmp_path_factory):
     rolled.mkdir()
     (rolled / "events_1_application_1_3.zstd").write_bytes(zstandard.compress(text_of(LOG).encode()))
     (rolled / "events_2_application_1_3").write_text(text_of([task(8)]))
-    (base / "oom" / "application_1_4.zstd").write_bytes(b"\x28\xb5\x2f\xfdbroken")
     return str(base)
 
 
-@pytest.mark.parametrize("spread_above", [1 << 30, 0])
-def test_scan(spark, logs, spread_above):
-    lines = event_logs.scan_event_logs(spark, logs, spread_above)
+def test_scan(spark, logs):
+    lines = event_logs.scan_event_logs(spark, logs)
     found = {(r.app_id, r.label): r["count"] for r in lines.groupBy("app_id", "label").count().collect()}
-    size = len(LOG) + 2
-    assert found == {("application_1_1", 1): size, ("application_1_2", 5): size, ("application_1_3", 4): size + 3}
+    # All but the log's start mention a wanted event, and so does the broken line.
+    size = len(LOG)
+    assert found == {("application_1_1", 1): size, ("application_1_2", 5): size, ("application_1_3", 4): size + 2}
+
+
+def test_damage_fails_unless_skipped(spark, tmp_path):
+    folder = tmp_path / "oom"
+    folder.mkdir()
+    whole = [*LOG, {"Event": "SparkListenerApplicationEnd", "Timestamp": 1}]
+    (folder / "application_1_1").write_text(text_of(whole))
+    (folder / "application_1_4.zstd").write_bytes(b"\x28\xb5\x2f\xfdbroken")
+    with pytest.raises(Exception, match="(?i)zstd|corrupt|decompress|frame"):
+        event_logs.scan_event_logs(spark, str(tmp_path)).count()
+    assert event_logs.scan_event_logs(spark, str(tmp_path), skip_damaged=True).count() == len(LOG) + 0
+    report = {r.path.rsplit("/", 1)[1]: r for r in event_logs.scan_report(spark, str(tmp_path)).collect()}
+    assert (report["application_1_1"].lines, report["application_1_1"].ended) == (len(whole) + 2, True)
+    broken = report["application_1_4.zstd"]
+    assert (broken.lines, broken.ended, broken.bytes) == (0, False, 10)
+    assert event_logs.scan_report(spark, f"{tmp_path}/none").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("name", "app"),
+    [
+        ("application_1", "application_1"),
+        ("application_1.zst", "application_1"),
+        ("application_1.zstd", "application_1"),
+        ("events_1_app.zstd.compact", "app"),
+        ("events_12_app.compact", "app"),
+        ("application_1.zstd.old", "application_1.zstd.old"),
+        ("application_1.gz", "application_1"),
+    ],
+)
+def test_application_ids(spark, name, app):
+    row = spark.createDataFrame([(name,)], "n STRING").select(event_logs.app_id_of(F.col("n")))
+    assert row.first()[0] == app
 
 
 def test_scan_without_folders(spark, tmp_path):

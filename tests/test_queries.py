@@ -21,7 +21,8 @@ def skewed(data, tmp_path_factory):
     folder = tmp_path_factory.mktemp("skewed")
     con = duckdb.connect()
     changed = {
-        "orders": "SELECT * REPLACE (CASE o_orderkey % 3 WHEN 0 THEN 7 WHEN 1 THEN 10 ELSE o_custkey END AS o_custkey)",
+        "orders": """SELECT * REPLACE (CASE WHEN o_orderkey % 30 = 2 THEN 1234567 WHEN o_orderkey % 30 = 5 THEN 1234568
+            WHEN o_orderkey % 3 = 0 THEN 7 WHEN o_orderkey % 3 = 1 THEN 10 ELSE o_custkey END AS o_custkey)""",
         "lineitem": """SELECT * REPLACE (CASE WHEN l_linenumber % 3 = 0 THEN 3 ELSE l_orderkey END AS l_orderkey,
             CASE WHEN l_linenumber % 3 = 1 THEN 5 ELSE l_partkey END AS l_partkey,
             CASE WHEN l_linenumber % 3 = 1 THEN 2 ELSE l_suppkey END AS l_suppkey)""",
@@ -51,6 +52,13 @@ def test_skewed_tables(spark, skewed, name):
     assert outcome.startswith("ok"), outcome
 
 
+def test_applications_do_not_merge(spark, skewed):
+    customers = spark.read.parquet(f"{skewed}/orders.parquet").select("o_custkey").distinct().count()
+    apps = contract.queries()["stage_metrics"](spark, skewed).select("app_id").distinct()
+    assert apps.count() == customers
+    assert {"app_1234567", "app_1234568", "app_000007"} <= {r.app_id for r in apps.collect()}
+
+
 def test_entry(spark):
     rows = contract.entry(spark)
     assert rows.columns[0] == "app_id" and rows.count() > 0

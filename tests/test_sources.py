@@ -18,7 +18,7 @@ def test_text_tables_to_parquet(spark, tmp_path):
     raw.mkdir()
     (raw / "nation.tbl").write_text("0|ALGERIA|0|quiet|\n1|BRAZIL|1|a, b|\n")
     (raw / "orders.tbl").write_text("1|7|O|1.50|1996-01-02|5-LOW|Clerk#1|0|note|\n2|8|F|x|1996-01-03|1-URGENT|C|0|n|\n")
-    outcome = delimited.convert_all(spark, str(raw), f"{tmp_path}/lake", partitions=3)
+    outcome = delimited.convert_all(spark, str(raw), f"{tmp_path}/lake")
     assert outcome["nation"] is None and outcome["orders"] is None
     assert all(outcome[n] for n in delimited.SCHEMAS if n not in ("nation", "orders"))
     orders = spark.read.parquet(f"{tmp_path}/lake/orders")
@@ -37,6 +37,25 @@ def test_text_tables_to_parquet(spark, tmp_path):
     assert sum(r.files for r in inventory) == len(tables.stored_files(spark, f"{tmp_path}/lake").collect())
 
 
+def test_files_follow_the_data(spark, tmp_path):
+    """More input gives more files, for every table alike."""
+    raw, counts = tmp_path / "raw", []
+    raw.mkdir()
+    small = {"advisoryPartitionSizeInBytes": "32k", "coalescePartitions.minPartitionSize": "1k"}
+    before = {k: spark.conf.get(f"spark.sql.adaptive.{k}") for k in small}
+    for k, v in small.items():
+        spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    try:
+        for rows in (10, 20_000):
+            (raw / "part.tbl").write_text("".join(f"{i}|name {i * 7919}|m|b|t|1|c|1.0|comment {i * 104729}|\n" for i in range(rows)))
+            delimited.convert_table(spark, "part", str(raw), f"{tmp_path}/lake")
+            counts.append(len(list((tmp_path / "lake" / "part").glob("*.parquet"))))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.adaptive.{k}", v)
+    assert counts[0] == 1 < counts[1], counts
+
+
 def test_unknown_table(spark):
     with pytest.raises(ValueError):
         delimited.read_raw_table(spark, "nope", "/tmp")
