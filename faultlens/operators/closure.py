@@ -1,20 +1,89 @@
-"""Reachability and layering over edge tables, one Spark job per round.
+"""Reachability and layering over edge tables, in rounds of stored tables.
 
-Each round joins only the newest rows with the edges, drops what was seen
-before, and writes the rest to the shared folder. A round therefore never
-re-plans or recomputes an earlier one, every pair is visited once, and cyclic
+A run is a path on which every node but the last has one way on, and every
+node but the first one way in. Long recorded chains are runs, so both walks go
+from run to run: ``unary_runs`` finds the runs by pointer doubling, in about
+log2(longest run) rounds, and the walks need one round per level of the graph
+of runs. A chain of any length is a single run.
+
+Each round joins only the newest rows, writes what is new to the shared folder
+and ends when that is nothing. No round re-plans an earlier one, and cyclic
 input ends by itself.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.session import materialize, scratch_path
 
+_NODE = ["app_id", "node"]
+
+
+def unary_runs(edges: DataFrame) -> DataFrame:
+    """(app_id, node, head, place) of all nodes that are not the head of their run.
+
+    ``edges`` is a stored table of distinct (app_id, at, next). ``place`` is
+    the number of steps from the head. A run that closes to a circle begins at
+    its smallest node.
+    """
+    ways_on = edges.groupBy("app_id", "at").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    ways_in = edges.groupBy("app_id", "next").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
+    inner = edges.filter("at <> next").join(ways_on, ["app_id", "at"], "left_semi").join(ways_in, ["app_id", "next"], "left_semi")
+    links = materialize(inner.select("app_id", F.col("next").alias("node"), F.col("at").alias("head")), "links")
+    placed, circles = _doubled(links)
+    if circles is None:
+        return placed
+    # Cut every circle at its smallest node and place what is then a plain run.
+    cut = circles.filter("node <> low").select(*_NODE)
+    rest, _ = _doubled(materialize(links.join(cut, _NODE, "left_semi"), "links"))
+    return placed.unionByName(rest)
+
+
+def _doubled(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Follow all links (app_id, node, head = the node before) at once, twice as far in each round.
+
+    Returns the placed nodes, and those on circles with the circle's smallest
+    node, or None if there are none.
+    """
+    size = links.count()
+    current = links.select(*_NODE, "head", F.lit(1).cast("long").alias("place"), F.least("node", "head").alias("low"), F.lit(True).alias("open"))
+    rounds = 0
+    while size:
+        before = current.select("app_id", F.col("node").alias("head"), F.col("head").alias("to"), F.col("place").alias("more"), F.col("low").alias("other"))
+        further = current.join(before, ["app_id", "head"], "left").select(
+            *_NODE,
+            F.coalesce("to", "head").alias("head"),
+            (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"),
+            F.least("low", F.coalesce("other", "low")).alias("low"),
+            F.col("to").isNotNull().alias("open"),
+        )
+        current = materialize(further, "runs")
+        rounds += 1
+        still = current.filter("open")
+        if still.isEmpty():
+            break
+        if (1 << rounds) > 2 * size:
+            return current.filter("NOT open").select(*_NODE, "head", "place"), still.select(*_NODE, "low")
+    return current.select(*_NODE, "head", "place"), None
+
+
+def _with_runs(rows: DataFrame, runs: DataFrame, node: str) -> DataFrame:
+    """``rows`` with the head and place of the run that ``node`` is in."""
+    found = runs.withColumnRenamed("node", node)
+    return rows.join(found, ["app_id", node], "left").select(
+        *rows.columns, F.coalesce("head", node).alias("head"), F.coalesce("place", F.lit(0).cast("long")).alias("place")
+    )
+
+
+def _between_runs(edges: DataFrame, runs: DataFrame) -> DataFrame:
+    """(app_id, head, after, to): steps from a run's head to its last node, and the head that follows."""
+    ends = edges.join(runs.select("app_id", F.col("node").alias("next"), F.lit(True).alias("inner")), ["app_id", "next"], "left")
+    # Inside a run there is one edge to each node; a circle's closing edge leads to its head.
+    leaving = ends.filter("inner IS NULL").select("app_id", "at", F.col("next").alias("to"))
+    return materialize(_with_runs(leaving, runs, "at").select("app_id", "head", F.col("place").alias("after"), "to"), "between")
+
 
 def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], include_seeds: bool = True) -> DataFrame:
     """Everything reachable from ``seeds``, with the least number of steps.
@@ -22,27 +91,42 @@ def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], include_seeds: bo
     ``seeds`` has ``keys`` and ``at``; ``edges`` has ``app_id``, ``at`` and
     ``next``. The result has ``keys``, ``at`` and ``steps``. A seed that can be
     reached again from itself is reported once when seeds are included, and at
-    its first return when they are not. Every round reads ``edges`` again, so
-    pass a stored table.
+    its first return when they are not.
     """
     spark = seeds.sparkSession
-    identity = [*keys, "at"]
+    edges = materialize(edges.select("app_id", "at", "next").distinct(), "edges")
+    runs = unary_runs(edges)
+    between = _between_runs(edges, runs)
     base = scratch_path(spark, "reach")
-    newest = materialize(seeds.select(*identity).distinct().withColumn("steps", F.lit(0)), "round", f"{base}/0")
-    rounds = [f"{base}/0"] if include_seeds else []
-
-    def found() -> DataFrame:
-        return spark.read.schema(newest.schema).parquet(*rounds)
-
-    steps = 0
-    while not newest.join(edges, ["app_id", "at"], "left_semi").isEmpty():
-        steps += 1
-        candidates = newest.join(edges, ["app_id", "at"]).select(*keys, F.col("next").alias("at")).distinct()
+    start = _with_runs(seeds.select(*keys, "at").distinct(), runs, "at").select(*keys, "at", "head", "place", F.lit(0).cast("long").alias("steps"))
+    newest = start = materialize(start, "start")
+    rounds: list[str] = []
+    while True:
+        ahead = newest.join(between, ["app_id", "head"]).select(
+            *keys, F.col("to").alias("head"), (F.col("steps") + F.col("after") - F.col("place") + 1).alias("steps")
+        )
+        ahead = ahead.groupBy(*keys, "head").agg(F.min("steps").alias("steps"))
         if rounds:
-            candidates = candidates.join(found(), identity, "left_anti")
-        rounds.append(f"{base}/{steps}")
-        newest = materialize(candidates.withColumn("steps", F.lit(steps)), "round", rounds[-1])
-    return found() if rounds else newest.filter(F.lit(False))
+            known = spark.read.schema(schema).parquet(*rounds).groupBy(*keys, "head").agg(F.min("steps").alias("known"))
+            ahead = ahead.join(known, [*keys, "head"], "left").filter("known IS NULL OR steps < known").drop("known")
+        path = f"{base}/{len(rounds)}"
+        entered = materialize(ahead, "round", path)
+        schema = entered.schema
+        if entered.isEmpty():
+            break
+        rounds.append(path)
+        newest = entered.withColumn("place", F.lit(0).cast("long"))
+
+    first = F.col("place") if include_seeds else F.col("place") + 1
+    ways = start.select(*keys, "head", first.alias("place"), (F.col("steps") + first - F.col("place")).alias("steps"))
+    if rounds:
+        entered = spark.read.schema(schema).parquet(*rounds).groupBy(*keys, "head").agg(F.min("steps").alias("steps"))
+        ways = ways.unionByName(entered.withColumn("place", F.lit(0).cast("long")))
+    heads = ways.filter("place = 0").select(*keys, F.col("head").alias("at"), "steps")
+    along = ways.join(runs.withColumnRenamed("place", "there"), ["app_id", "head"]).filter("there >= place")
+    along = along.select(*keys, F.col("node").alias("at"), (F.col("steps") + F.col("there") - F.col("place")).alias("steps"))
+    found = heads.unionByName(along).groupBy(*keys, "at").agg(F.min("steps").cast("int").alias("steps"))
+    return found.select(*keys, "at", "steps")
 
 
 def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -56,24 +140,44 @@ def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     layer is the longest path counted in nodes. ``stuck`` nodes lie on a cycle
     or below one and have no layer.
 
-    A round keeps the edges whose parent still waits for a parent of its own.
-    A node is waiting as long as it is the child of a kept edge, so the number
-    of rounds it waits is its layer less one.
+    A round follows the ways out of the runs placed last. It writes for each
+    run it enters how many of its ways in are now known and the deepest of
+    them; a run is placed when all are.
     """
-    node = ["app_id", "stage_id"]
-    kept = materialize(edges.select("app_id", "parent", "child").distinct(), "edges")
-    left = kept.count()
-    waits = [nodes.select(*node, F.lit(1).alias("layer"))]
-    stuck = kept.select("app_id", F.col("child").alias("stage_id")).filter(F.lit(False))
-    while left:
-        waiting = kept.select("app_id", F.col("child").alias("stage_id"))
-        blocked = waiting.select("app_id", F.col("stage_id").alias("parent"))
-        rest = materialize(kept.join(blocked, ["app_id", "parent"], "left_semi"), "edges")
-        still_left = rest.count()
-        if still_left == left:
-            stuck = waiting.distinct()
+    spark = nodes.sparkSession
+    edges = edges.select("app_id", F.col("parent").alias("at"), F.col("child").alias("next")).distinct()
+    edges = materialize(edges, "edges")
+    runs = unary_runs(edges)
+    between = _between_runs(edges, runs)
+    entries = materialize(between.groupBy("app_id", F.col("to").alias("head")).agg(F.count(F.lit(1)).alias("ways")), "entries")
+    newest = between.select("app_id", "head").distinct().join(entries, ["app_id", "head"], "left_anti").withColumn("layer", F.lit(1).cast("long"))
+    base = scratch_path(spark, "peel")
+    seen: list[str] = []
+    placed: list[str] = []
+    while True:
+        came = newest.join(between, ["app_id", "head"]).groupBy("app_id", F.col("to").alias("head")).agg(
+            F.count(F.lit(1)).alias("known"), F.max(F.col("layer") + F.col("after") + 1).alias("layer")
+        )
+        came = materialize(came, "ways", f"{base}/ways/{len(seen)}")
+        if came.isEmpty():
             break
-        waits.append(waiting.withColumn("layer", F.lit(len(waits) + 1)))
-        kept, left = rest, still_left
-    layers = reduce(DataFrame.unionByName, waits).groupBy(*node).agg(F.max("layer").alias("layer"))
-    return layers.join(stuck, node, "left_anti"), stuck
+        seen.append(f"{base}/ways/{len(seen)}")
+        # Only runs entered in this round can have become complete.
+        total = spark.read.schema(came.schema).parquet(*seen).join(came.select("app_id", "head"), ["app_id", "head"], "left_semi")
+        total = total.groupBy("app_id", "head").agg(F.sum("known").alias("known"), F.max("layer").alias("layer"))
+        whole = total.join(entries, ["app_id", "head"]).filter("known = ways").select("app_id", "head", "layer")
+        placed.append(f"{base}/placed/{len(placed)}")
+        newest = materialize(whole, "placed", placed[-1])
+
+    at_run = _with_runs(nodes.select("app_id", "stage_id"), runs, "stage_id")
+    at_run = at_run.join(entries.select("app_id", "head", "ways"), ["app_id", "head"], "left")
+    layer = F.lit(1).cast("long")
+    if placed:
+        done = spark.read.schema(newest.schema).parquet(*placed).withColumnRenamed("layer", "deepest")
+        at_run = at_run.join(done, ["app_id", "head"], "left")
+    else:
+        at_run = at_run.withColumn("deepest", F.lit(None).cast("long"))
+    layer = F.when(F.col("ways").isNull(), layer).otherwise(F.col("deepest")) + F.col("place")
+    located = materialize(at_run.select("app_id", "stage_id", layer.alias("layer")), "layers")
+    stuck = located.filter("layer IS NULL").select("app_id", "stage_id")
+    return located.filter("layer IS NOT NULL"), stuck
