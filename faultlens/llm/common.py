@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from faultlens.session import scratch_path
 
 #: Text bytes that one numpy pass looks at; bounds a Python worker's memory.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch between Spark and Python, where the session has not chosen another number.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -177,8 +180,15 @@ def binary_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once, so that they need no copy of the repository."""
+    """Prepare a session for Python on its executors.
+
+    Sends this package to them once, so that they need no copy of the
+    repository, and makes Arrow batches small, so that a worker's memory
+    follows from the longest texts and not from 10,000 rows of any length.
+    """
     context = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     if not getattr(context, "_faultlens_shipped", False):
         root = Path(__file__).resolve().parents[2]
         archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='faultlens-')}/faultlens", "zip", root_dir=root, base_dir="faultlens")
