@@ -9,7 +9,8 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultlens.session import scratch_path
 
@@ -179,6 +180,16 @@ def binary_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def sampled(hash_: Column, rows: int, size: int, spare: int = 64) -> Column:
+    """True for the rows of least hash: about ``spare * size`` of ``rows`` rows, or all if there are no more.
+
+    What is then put in order to find the least ``size`` is bounded, however
+    many rows and partitions there are.
+    """
+    share = min(1.0, spare * size / max(rows, 1))
+    return hash_ <= F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+
+
 def ship(spark: SparkSession) -> None:
     """Prepare a session for Python on its executors.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import slices
+from faultlens.llm.common import sampled, slices
 
 KINDS = ("email", "ip", "card", "phone")
 OTHER = len(KINDS)
@@ -323,9 +323,14 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def training_texts(documents: DataFrame, size: int = SAMPLE) -> list[str]:
-    """Up to ``size`` texts with a digit or at-sign, none above ``SAMPLE_CHARS`` characters, in the order of a hash of the text."""
-    rows = documents.select("text").filter((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
-    return [r["text"] for r in rows.orderBy(F.xxhash64("text"), "text").limit(size).collect()]
+    """Up to ``size`` distinct texts with a digit or at-sign, none above ``SAMPLE_CHARS`` characters, in the order of their hash."""
+    rows = documents.select("text", F.xxhash64("text").alias("hash")).filter(
+        (F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]") & sampled(F.col("hash"), documents.count(), size)
+    )
+    # Only hashes are put in order; the texts of the chosen ones follow, ``size`` at most.
+    chosen = rows.select("hash").distinct().orderBy("hash").limit(size)
+    texts = rows.join(F.broadcast(chosen), "hash", "left_semi").dropDuplicates(["hash"])
+    return [r["text"] for r in sorted(texts.collect(), key=lambda r: r["hash"])]
 
 
 def _all_spans(text: str, decode) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import IS_ALPHANUMERIC, byte_offsets, lower_bytes, slices, span_hashes, word_spans
+from faultlens.llm.common import IS_ALPHANUMERIC, byte_offsets, lower_bytes, sampled, slices, span_hashes, word_spans
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 48
@@ -253,12 +253,12 @@ def _vocabulary(words: Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 7, batch: int = 128) -> Network:
-    """A network from labelled texts. With no text or only one class it gives that class's share to every text."""
+    """A network from labelled texts. With no text or only one class it gives every text that class's share; without any label nothing is toxic."""
     toxic = np.asarray(labels, np.float64)
     words = read_words(pa.array(texts, pa.large_string()))
     network = Network(*_vocabulary(words, toxic), seed=seed)
     if len(set(labels)) < 2:
-        share = (toxic.sum() + 0.5) / (len(toxic) + 1)
+        share = (toxic.sum() + 0.25) / (len(toxic) + 1)
         network.scale = (0.0, float(np.log(share / (1 - share))))
         return network
     random = np.random.default_rng(seed)
@@ -315,6 +315,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE)
     highest counts. A text longer than ``SAMPLE_CHARS`` characters is no sample.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
+    known = known.filter(sampled(F.xxhash64("doc_id"), labels.count(), size))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     short = documents.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id")
     known = known.join(short, "doc_id", "left_semi")

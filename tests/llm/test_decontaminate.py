@@ -1,0 +1,72 @@
+import random
+
+import numpy as np
+import pytest
+
+from faultlens.llm import decontaminate
+from tests.llm import samples
+
+
+def plain_alignment(item, passage):
+    """Best local alignment by the full recurrence."""
+    table = np.zeros((len(item) + 1, len(passage) + 1), int)
+    for i, a in enumerate(item, 1):
+        for j, b in enumerate(passage, 1):
+            same = decontaminate.EQUAL if a == b else decontaminate.OTHER
+            table[i, j] = max(0, table[i - 1, j - 1] + same, table[i - 1, j] + decontaminate.GAP, table[i, j - 1] + decontaminate.GAP)
+    return int(table.max())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_alignment(seed):
+    dice = random.Random(seed)
+    item = np.array([dice.randrange(6) for _ in range(25)])
+    passage = np.array([dice.randrange(6) for _ in range(60)])
+    points, equal, first, last = decontaminate.align(item, passage)
+    assert points == plain_alignment(item, passage)
+    assert plain_alignment(item, passage[first:last]) == points and 0 < equal <= last - first
+
+
+@pytest.fixture(scope="module")
+def benchmark(spark):
+    dice = random.Random(1)
+    items = [(k, samples.sentence(dice, 20 + k)) for k in range(12)] + [(90, None), (91, ""), (92, "two words"), (None, "a b c d e f g h"), (3, None)]
+    return spark.createDataFrame(items, "item_id LONG, text STRING").selectExpr("*", "1 AS doc_id", "'x' AS words")
+
+
+def _documents(spark, benchmark):
+    dice = random.Random(2)
+    items = {r.item_id: r.text for r in benchmark.collect() if r.text and len(r.text) > 30}
+    rows, want = [], set()
+    for k, (item, text) in enumerate(sorted((i, t) for i, t in items.items() if i is not None)):
+        for turn, share in enumerate((0, 0.1)):
+            # An item that is in every document, and one of each kind; words around them are not the item's.
+            copies = {item: samples.edited(dice, text, share), 0: items[0].upper().replace(" ", ", ")}
+            body = " zz ".join([samples.sentence(dice, 50), *copies.values(), samples.sentence(dice, 40)])
+            rows.append((10 * k + turn, body, "en", "a", 1))
+            want |= {(10 * k + turn, i) for i in copies}
+    clean = [(1000 + k, samples.sentence(dice, 200), "en", "a", 1) for k in range(40)]
+    return spark.createDataFrame(rows + clean, samples.SCHEMA), want
+
+
+def test_finds_copies_and_leaves_others_alone(spark, benchmark):
+    docs, want = _documents(spark, benchmark)
+    rows = decontaminate.contaminated(docs, benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want
+    assert all(decontaminate.THRESHOLD <= r.score <= 1 and r.first_word < r.last_word for r in rows)
+    # The join by shuffling, for benchmarks too large to send, finds the same.
+    again = decontaminate.contaminated(docs, benchmark, sent=3).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
+
+
+def test_awkward_rows(spark, benchmark):
+    docs = samples.awkward(spark)
+    item = docs.filter("doc_id = 1").selectExpr("77L AS item_id", "text").limit(1)
+    rows = decontaminate.contaminated(docs, benchmark.select("item_id", "text").union(item)).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(k, 77) for k in (1, 2, 3, 4)}
+    assert len(rows) == 4
+
+
+def test_empty(spark, benchmark):
+    assert decontaminate.contaminated(samples.empty(spark), benchmark).count() == 0
+    assert decontaminate.contaminated(samples.awkward(spark), benchmark.limit(0)).count() == 0
