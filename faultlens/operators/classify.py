@@ -12,12 +12,14 @@ from functools import reduce
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.functions.constants import DROPPED_BY_MODEL, FEATURES
+from faultlens.functions.constants import DROPPED_BY_MODEL, FEATURES, LABEL_NAMES
 from faultlens.operators.confound import without
 from faultlens.operators.evaluation import classification_metrics
+from faultlens.session import materialize
 
 SCORED = ["app_id", "label", "prediction", "features", "probability"]
 
@@ -54,17 +56,6 @@ def save(model: PipelineModel, scored: DataFrame, model_path: str, predictions_p
     scored.select(*SCORED).write.mode("overwrite").parquet(predictions_path)
 
 
-def compare_models(train: DataFrame, test: DataFrame, columns: list[str] = FEATURES) -> DataFrame:
-    """Test metrics of every classifier; ``is_best`` marks the highest F1."""
-    scored = [
-        score(fit(train, kind, columns), test).select(F.lit(kind).alias("model"), "label", "prediction")
-        for kind in CLASSIFIERS
-    ]
-    metrics = classification_metrics(reduce(DataFrame.unionByName, scored), "model")
-    best = Window.partitionBy(F.lit(1)).orderBy(F.desc("f1"), "model")  # one row per model
-    return metrics.withColumn("is_best", F.row_number().over(best) == 1)
-
-
 def feature_importance(model: PipelineModel, spark, columns: list[str] = FEATURES) -> DataFrame:
     """Features by importance, with rank and cumulative share."""
     weights = model.stages[-1].featureImportances.toArray().tolist()
@@ -82,60 +73,98 @@ def fold_of(key: str, folds: int):
     return F.pmod(F.xxhash64(F.lit(42), F.col(key)), F.lit(folds)).cast("int")
 
 
-def cross_validate(
-    rows: DataFrame, kind: str = "random_forest", columns: list[str] = FEATURES, folds: int = 5
-) -> DataFrame:
-    """Mean accuracy, precision, recall and F1 over the folds.
+def score_all(train: DataFrame, test: DataFrame, models: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """Fit every named (classifier, columns) once and store its scored test rows: model, app_id, label, prediction.
+
+    Metrics, matrices and mistakes are all read from this one table.
+    """
+    scored = [
+        fit(train, kind, columns).transform(test).select(
+            F.lit(name).alias("model"), "app_id", "label", F.col("prediction").cast("int").alias("prediction")
+        )
+        for name, (kind, columns) in models.items()
+    ]
+    return materialize(reduce(DataFrame.unionByName, scored), "scored")
+
+
+def classifier_models(columns: list[str] = FEATURES) -> dict[str, tuple[str, list[str]]]:
+    return {kind: (kind, columns) for kind in CLASSIFIERS}
+
+
+def ablation_models() -> dict[str, tuple[str, list[str]]]:
+    """The random forest on shrinking feature sets."""
+    return {name: ("random_forest", without(dropped)) for name, dropped in DROPPED_BY_MODEL.items()}
+
+
+def compare_models(scored: DataFrame) -> DataFrame:
+    """Metrics of every model of ``score_all``; ``is_best`` marks the highest F1."""
+    best = Window.partitionBy(F.lit(1)).orderBy(F.desc("f1"), "model")  # one row per model
+    return classification_metrics(scored, "model").withColumn("is_best", F.row_number().over(best) == 1)
+
+
+def cross_validate(rows: DataFrame, models: dict[str, tuple[str, list[str]]], folds: int = 5) -> DataFrame:
+    """Per model the mean accuracy, precision, recall and F1 over the folds.
 
     Every row is scored once, by the model that did not see its fold; one
-    aggregation over all scored rows gives the measures of every fold.
+    aggregation over the stored scored rows gives the measures of every fold.
     """
-    numbered = rows.withColumn("fold", fold_of("app_id", folds)).cache()
-    try:
-        scored = []
+    numbered = materialize(rows.withColumn("fold", fold_of("app_id", folds)), "folds")
+    scored = []
+    for name, (kind, columns) in models.items():
         for fold in range(folds):
             model = fit(numbered.filter(F.col("fold") != fold), kind, columns)
-            scored.append(model.transform(numbered.filter(F.col("fold") == fold)).select("fold", "label", "prediction"))
-        per_fold = classification_metrics(reduce(DataFrame.unionByName, scored), "fold")
-        means = [F.avg(m).alias(m) for m in ("accuracy", "f1", "precision", "recall")]
-        return per_fold.agg(F.count(F.lit(1)).alias("folds"), *means)
-    finally:
-        numbered.unpersist()
+            held_out = model.transform(numbered.filter(F.col("fold") == fold))
+            scored.append(held_out.select(F.lit(name).alias("model"), "fold", "label", "prediction"))
+    per_fold = classification_metrics(materialize(reduce(DataFrame.unionByName, scored), "scored"), "model", "fold")
+    means = [F.avg(m).alias(m) for m in ("accuracy", "f1", "precision", "recall")]
+    return per_fold.groupBy("model").agg(F.count(F.lit(1)).alias("folds"), *means)
+
+
+def overfitting(validated: DataFrame, tested: DataFrame) -> DataFrame:
+    """Per model F1 over the folds next to F1 on the test rows; lower over the folds may be over-fitting."""
+    return validated.select("model", F.col("f1").alias("cv_f1")).join(
+        tested.select("model", F.col("f1").alias("test_f1")), "model"
+    ).withColumn("overfitted", F.col("cv_f1") < F.col("test_f1"))
 
 
-def ablation(train: DataFrame, test: DataFrame, tolerance: float = 0.005) -> DataFrame:
-    """The random forest on shrinking feature sets.
+def ablation(scored: DataFrame, validated: DataFrame, tolerance: float = 0.005) -> DataFrame:
+    """Held-out and cross-validated quality of the models on shrinking feature sets.
 
     ``f1_change`` is against model A, which has all features. A set supports
     the hypothesis that the dropped features carry no signal of their own if F1
     falls by no more than ``tolerance``. ``confound_percent`` is the part of
     model A's F1 that is lost.
     """
-    scored, sizes = [], {}
-    for name, dropped in DROPPED_BY_MODEL.items():
-        columns = without(dropped)
-        sizes[name] = len(columns)
-        model = fit(train, "random_forest", columns)
-        scored.append(model.transform(test).select(F.lit(name).alias("model"), "label", "prediction"))
-    metrics = classification_metrics(reduce(DataFrame.unionByName, scored), "model")
-    size = F.create_map(*[F.lit(v) for item in sizes.items() for v in item])
+    size = F.create_map(*[F.lit(v) for name, (_, columns) in ablation_models().items() for v in (name, len(columns))])
     whole = F.max(F.when(F.col("model") == "A", F.col("f1"))).over(Window.partitionBy(F.lit(1)))  # four rows
+    folds = validated.select("model", F.col("f1").alias("cv_f1"), F.col("accuracy").alias("cv_accuracy"))
     return (
-        metrics.withColumn("feature_count", size[F.col("model")])
+        classification_metrics(scored, "model")
+        .withColumn("feature_count", size[F.col("model")])
         .withColumn("f1_change", F.col("f1") - whole)
         .withColumn("supported", F.col("f1_change") >= -tolerance)
         .withColumn("confound_percent", F.when(whole > 0, -F.col("f1_change") / whole * 100))
+        .join(folds, "model")
     )
 
 
-def mistakes(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Misclassified applications of every ablation model."""
-    found = []
-    for name, dropped in DROPPED_BY_MODEL.items():
-        scored = score(fit(train, "random_forest", without(dropped)), test)
-        found.append(
-            scored.filter(F.col("label") != F.col("prediction")).select(
-                F.lit(name).alias("model"), "app_id", "label", F.col("prediction").cast("int").alias("prediction")
-            )
-        )
-    return reduce(DataFrame.unionByName, found)
+def mistakes(scored: DataFrame) -> DataFrame:
+    """Misclassified applications of every model of ``score_all``."""
+    return scored.filter(F.col("label") != F.col("prediction")).select("model", "app_id", "label", "prediction")
+
+
+def vector_values(vectors: DataFrame) -> DataFrame:
+    """(app_id, label, position, value): the entries of the feature vectors, positions from 0."""
+    entries = F.posexplode(vector_to_array("features")).alias("position", "value")
+    return vectors.select("app_id", F.col("label").cast("int").alias("label"), entries)
+
+
+def prediction_checks(predictions: DataFrame) -> DataFrame:
+    """One row: applications scored, classes in range, and probabilities that sum to 1."""
+    sums = F.aggregate(vector_to_array("probability"), F.lit(0.0), lambda a, x: a + x)
+    return predictions.agg(
+        F.count(F.lit(1)).alias("scored"),
+        F.count_distinct("app_id").alias("apps"),
+        F.count_if(F.col("prediction").between(0, len(LABEL_NAMES) - 1)).alias("in_range"),
+        F.count_if(F.abs(sums - 1) < 1e-9).alias("probabilities_sum_to_one"),
+    )

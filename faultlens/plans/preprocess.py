@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from faultlens.operators import features as ft
 from faultlens.operators import graph, root_cause
 from faultlens.operators.splits import split_by_key
+from faultlens.session import materialize, scratch_scope
 from faultlens.sources.event_logs import parse_once, scan_event_logs
 
 OUTPUTS = [
@@ -24,13 +25,20 @@ OUTPUTS = [
 ]
 
 
-def preprocess(spark: SparkSession, logs: str, out: str) -> dict[str, DataFrame]:
-    """Parse the logs below ``logs`` and write every result table to ``out``.
+def preprocess(spark: SparkSession, logs: str, out: str, skip_damaged: bool = False) -> dict[str, DataFrame]:
+    """Parse the logs below ``logs`` and write every result table to ``out``."""
+    return preprocess_lines(scan_event_logs(spark, logs, skip_damaged), out)
+
+
+def preprocess_lines(lines: DataFrame, out: str) -> dict[str, DataFrame]:
+    """Parse log lines (app_id, label, value) and write every result table to ``out``.
 
     Each table is written once and later steps read what was written, so no
     step repeats another one's work and a lost executor costs no more than the
-    step it was in. Returns the stored tables by name.
+    step it was in. What is stored on the way is removed at the end. Returns
+    the stored tables by name.
     """
+    spark = lines.sparkSession
 
     def store(df: DataFrame, name: str) -> DataFrame:
         path = f"{out}/{name}.parquet"
@@ -38,18 +46,20 @@ def preprocess(spark: SparkSession, logs: str, out: str) -> dict[str, DataFrame]
         return spark.read.parquet(path)
 
     tables: dict[str, DataFrame] = {}
-    tasks, stages = parse_once(scan_event_logs(spark, logs))
-    tables["task_metrics"] = tasks = store(tasks, "task_metrics")
-    tables["stage_metrics"] = stages = store(stages, "stage_metrics")
-
-    nodes = graph.stage_nodes(stages)
-    tables["dag_edges"] = store(graph.edges_with_roots(nodes), "dag_edges")
-    tables["root_causes"] = store(root_cause.analyze(nodes), "root_causes")
-
-    tables["features"] = rows = store(ft.app_features(tasks, stages), "features")
-    tables["ground_truth"] = store(ft.ground_truth(rows), "ground_truth")
-    train, test = split_by_key(rows)
-    tables["train"], tables["test"] = store(train, "train"), store(test, "test")
+    with scratch_scope(spark):
+        tasks, stages = parse_once(lines)
+        tables["task_metrics"] = tasks = store(tasks, "task_metrics")
+        tables["stage_metrics"] = stages = store(stages, "stage_metrics")
+
+        nodes = materialize(graph.stage_nodes(stages), "nodes")
+        tables["dag_edges"] = store(graph.edges_with_roots(nodes), "dag_edges")
+        traced = materialize(root_cause.traced_stages(nodes), "trace")
+        tables["root_causes"] = store(root_cause.result_table(nodes, traced), "root_causes")
+
+        tables["features"] = rows = store(ft.app_features(tasks, stages), "features")
+        tables["ground_truth"] = store(ft.ground_truth(rows), "ground_truth")
+        train, test = split_by_key(rows)
+        tables["train"], tables["test"] = store(train, "train"), store(test, "test")
     return tables
 
 

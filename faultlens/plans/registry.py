@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultlens.fixtures import log_text, telemetry
 from faultlens.functions.columns import format_bytes, label_name
+from faultlens.functions.constants import FEATURES
 from faultlens.operators import classify, confound, evaluation, graph, lineage, root_cause, splits
 from faultlens.operators import features as ft
 from faultlens.plans import workloads as w
-from faultlens.plans.preprocess import counts
+from faultlens.plans.preprocess import counts, preprocess_lines
 from faultlens.plans.report import unified_report
 from faultlens.session import materialize, scratch_path
-from faultlens.sources import delimited, event_logs, telemetry
+from faultlens.sources import delimited, event_logs
 from faultlens.sources import manifest as runs
 from faultlens.sources.tables import row_counts, table
 
@@ -131,11 +133,11 @@ def _on_predictions(plan: Callable[[DataFrame], DataFrame], digits: dict[str, in
 
 def _task_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The derived telemetry as log text, stored like a log is."""
-    return materialize(event_logs.task_lines(telemetry.task_metrics(spark, folder)), "lines")
+    return materialize(log_text.task_lines(telemetry.task_metrics(spark, folder)), "lines")
 
 
 def _stage_lines(spark: SparkSession, folder: str) -> DataFrame:
-    return materialize(event_logs.stage_lines(telemetry.stage_metrics(spark, folder)), "lines")
+    return materialize(log_text.stage_lines(telemetry.stage_metrics(spark, folder)), "lines")
 
 
 def _parse_once_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -186,23 +188,16 @@ def _formatted_bytes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _preprocessed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The eight result tables, from log text with noise in it."""
+    lines = log_text.log_lines(telemetry.task_metrics(spark, folder), telemetry.stage_metrics(spark, folder))
+    return preprocess_lines(lines, scratch_path(spark, "preprocessed"))
+
+
 def _pipeline_counts(spark: SparkSession, folder: str) -> DataFrame:
-    tasks = materialize(telemetry.task_metrics(spark, folder), "tasks")
-    stages = materialize(telemetry.stage_metrics(spark, folder), "stages")
-    rows = materialize(ft.app_features(tasks, stages), "features")
-    nodes = materialize(graph.stage_nodes(stages), "nodes")
-    train, test = splits.split_by_key(rows)
-    return counts(
-        {
-            "tasks": tasks,
-            "stages": stages,
-            "graphs": graph.graph_mode(stages),
-            "root_causes": root_cause.analyze(nodes),
-            "features": rows,
-            "train": train,
-            "test": test,
-        }
-    )
+    tables = _preprocessed(spark, folder)
+    names = {"tasks": "task_metrics", "stages": "stage_metrics", "root_causes": "root_causes", "features": "features", "train": "train", "test": "test"}
+    return counts({n: tables[t] for n, t in names.items()} | {"graphs": tables["dag_edges"].select("app_id").distinct()})
 
 
 TELEMETRY: dict[str, Query] = {
@@ -240,6 +235,8 @@ TELEMETRY: dict[str, Query] = {
     "delimited_roundtrip": _delimited_roundtrip,
     "format_bytes": _formatted_bytes,
     "pipeline_counts": _pipeline_counts,
+    "pipeline_task_rows": lambda s, d: _preprocessed(s, d)["task_metrics"],
+    "pipeline_root_causes": lambda s, d: _preprocessed(s, d)["root_causes"],
 }
 
 
@@ -248,11 +245,12 @@ def _stored_split(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFram
 
 
 def _ml_vectors(spark: SparkSession, folder: str) -> DataFrame:
-    return classify.feature_vectors(_features(spark, folder)).select("app_id", "label", "features")
+    values = classify.vector_values(classify.feature_vectors(_features(spark, folder)))
+    return values.withColumn("value", F.round("value", 4))
 
 
-def _ml_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    return classify.compare_models(*_stored_split(spark, folder))
+def _ml_scored(spark: SparkSession, folder: str, models: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    return classify.score_all(*_stored_split(spark, folder), models)
 
 
 def _ml_predictions(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,22 +264,41 @@ def _ml_importance(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _ml_cross_validation(spark: SparkSession, folder: str) -> DataFrame:
-    return classify.cross_validate(materialize(_features(spark, folder), "features"))
+    rows = materialize(_features(spark, folder), "features")
+    return classify.cross_validate(rows, {"random_forest": ("random_forest", FEATURES)})
 
 
 def _ml_ablation(spark: SparkSession, folder: str) -> DataFrame:
-    return classify.ablation(*_stored_split(spark, folder))
+    rows = materialize(_features(spark, folder), "features")
+    models = classify.ablation_models()
+    return classify.ablation(classify.score_all(*splits.split_by_key(rows), models), classify.cross_validate(rows, models))
+
+
+def _ml_overfitting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = materialize(_features(spark, folder), "features")
+    models = {"random_forest": ("random_forest", FEATURES)}
+    tested = evaluation.classification_metrics(classify.score_all(*splits.split_by_key(rows), models), "model")
+    return classify.overfitting(classify.cross_validate(rows, models), tested)
+
+
+def _on_scored(plan: Callable[[DataFrame], DataFrame], models: Callable[[], dict]) -> Query:
+    return lambda spark, folder: plan(_ml_scored(spark, folder, models()))
 
 
-ROWS_ONLY: dict[str, Query] = {
+MODELS: dict[str, Query] = {
     "feature_vectors": _ml_vectors,
-    "ml_model_comparison": _ml_comparison,
+    "ml_model_comparison": _on_scored(classify.compare_models, classify.classifier_models),
+    "ml_model_confusion": _on_scored(lambda s: evaluation.confusion_matrix(s, "model"), classify.classifier_models),
+    "ml_model_class_accuracy": _on_scored(lambda s: evaluation.per_class_accuracy(s, "model"), classify.classifier_models),
     "ml_predictions": _ml_predictions,
+    "ml_prediction_checks": lambda s, d: classify.prediction_checks(_ml_predictions(s, d)),
     "ml_feature_importance": _ml_importance,
     "ml_cross_validation": _ml_cross_validation,
+    "ml_overfitting": _ml_overfitting,
     "ml_ablation": _ml_ablation,
+    "ml_ablation_mistakes": _on_scored(classify.mistakes, classify.ablation_models),
 }
 
 
 def all_queries() -> dict[str, Query]:
-    return {**WORKLOADS, **GRAPHS, **TELEMETRY, **ROWS_ONLY}
+    return {**WORKLOADS, **GRAPHS, **TELEMETRY, **MODELS}

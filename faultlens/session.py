@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,8 +43,26 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/faultlens-{uuid.uuid4().hex}/{name}"
+    root = f"{shared_folder(spark)}/faultlens-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(root)
+    return f"{root}/{name}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Scratch tables made inside are removed at the end, so results must be stored elsewhere by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for root in _scopes.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(root)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:

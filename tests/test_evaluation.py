@@ -60,7 +60,18 @@ def test_training_stores_model_and_predictions(spark, data, tmp_path):
     assert ablation["A"].f1_change == 0.0
     ranked = sorted(tables["importance"].collect(), key=lambda r: r["rank"])
     assert len(ranked) == 22 and ranked[-1].cumulative_share == pytest.approx(1.0)
-    train_rows, test_rows = split_by_key(spark.read.parquet(f"{tmp_path}/features"))
-    assert all(r.label != r.prediction for r in classify.mistakes(train_rows, test_rows).collect())
-    folds = tables["cross_validation"].first()
-    assert folds.folds == 5 and 0 <= folds.f1 <= 1
+    wrong = tables["mistakes"].collect()
+    assert all(r.label != r.prediction for r in wrong)
+    tested = stored.count()
+    for model, row in ablation.items():
+        assert row.accuracy == pytest.approx(1 - sum(r.model == model for r in wrong) / tested)
+    folds = {r.model: r for r in tables["cross_validation"].collect()}
+    assert set(folds) == set(ablation) and all(r.folds == 5 and 0 <= r.f1 <= 1 for r in folds.values())
+    assert all(ablation[m].cv_f1 == pytest.approx(folds[m].f1) for m in folds)
+    for r in tables["overfitting"].collect():
+        assert r.overfitted == (r.cv_f1 < r.test_f1)
+    for kind in classify.CLASSIFIERS:
+        matrix = [r for r in tables["confusion"].collect() if r.model == kind]
+        assert len(matrix) == 7 and sum(r[f"predicted_{c}"] for r in matrix for c in range(7)) == tested
+        right = sum(r.correct for r in tables["class_accuracy"].collect() if r.model == kind)
+        assert right == sum(r[f"predicted_{r.label}"] for r in matrix)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.constants import CLASS_LABELS
 from faultlens.plans.preprocess import OUTPUTS, preprocess
-from faultlens.sources import event_logs, telemetry
+from faultlens.fixtures import log_text, telemetry
+from faultlens.sources import event_logs
 
 
 def task(stage=0, **info):
@@ -177,7 +178,7 @@ def test_derived_telemetry_as_files(spark, data, tmp_path):
     """Telemetry written as log files per application comes back unchanged, and
     the whole pipeline over the files equals the pipeline over the tables."""
     tasks, stages = telemetry.task_metrics(spark, data), telemetry.stage_metrics(spark, data)
-    lines = event_logs.task_lines(tasks).unionByName(event_logs.stage_lines(stages))
+    lines = log_text.task_lines(tasks).unionByName(log_text.stage_lines(stages))
     folders = {label: name for name, label in CLASS_LABELS.items()}
     for number, row in enumerate(lines.groupBy("app_id", "label").agg({"value": "collect_list"}).collect()):
         folder = pathlib.Path(tmp_path, "logs", folders[row.label])

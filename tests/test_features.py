@@ -110,3 +110,13 @@ def test_confound_verdicts(spark):
     assert found["duration_heterogeneity_ratio"].pearson is None
     pair = confound.redundancy(df).first()
     assert (pair.identical_rows, pair.total_rows) == (13, 21) and not math.isnan(pair.pearson)
+
+
+def test_exact_totals_of_measures(spark):
+    """Values with six decimals are summed without rounding them first."""
+    from faultlens.plans.workloads import category_totals
+
+    rows = [(i, 0.000001 * (i + 1) + 1000 * (i % 3)) for i in range(1000)]
+    got = {r.category: r.total for r in category_totals(spark.createDataFrame(rows, "event_id LONG, value DOUBLE")).collect()}
+    for c in range(5):
+        assert got[str(c)] == pytest.approx(sum(v for i, v in rows if i % 5 == c), abs=1e-9)

@@ -226,3 +226,70 @@ def test_long_chain_needs_no_rounds(spark):
     assert [(r.stage_id, r.bfs_level) for r in causes] == [(100_000, 49_999)]
     assert traced.count() == 50_000
     assert lineage.depth_and_cycles(nodes).first().depth == count
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Rows that the rounds of a walk write, and how many tables."""
+    from faultlens.operators import closure
+
+    tables = []
+    real = closure.materialize
+    monkeypatch.setattr(closure, "materialize", lambda df, *a: tables.append(real(df, *a)) or tables[-1])
+    return tables
+
+
+def test_long_recorded_chain(spark, written):
+    """A chain of 5,000 stages with recorded parents needs log2 of that many rounds, and writes as few rows."""
+    size = 5_000
+    stages = spark.range(size).selectExpr(
+        "'app' AS app_id", "CAST(id AS INT) AS stage_id", "0 AS stage_attempt_id", "concat('s', id) AS stage_name",
+        "'FAILED' AS status", "'a rather long reason' AS failure_reason", "if(id = 0, '', CAST(id - 1 AS STRING)) AS parent_ids",
+    )
+    nodes = materialize(graph.stage_nodes(stages), "nodes")
+    last = nodes.filter(f"stage_id = {size - 1}").select("app_id", "stage_id")
+
+    def effort():
+        rows, count = sum(t.count() for t in written), len(written)
+        written.clear()
+        return rows, count
+
+    row = lineage.depth_and_cycles(nodes).first()
+    assert (row.depth, row.is_acyclic) == (size, True)
+    rows, tables = effort()
+    assert tables < 30 and rows < 20 * size
+    assert {r.ancestor_id for r in lineage.ancestors(nodes, last).collect()} == set(range(size - 1))
+    rows, tables = effort()
+    assert tables < 30 and rows < 20 * size
+    traced = root_cause.trace(nodes).collect()
+    assert {r.stage_id: r.bfs_level for r in traced} == {s: size - 1 - s for s in range(size)}
+    assert [r.stage_id for r in traced if r.is_root_cause] == [0]
+    rows, tables = effort()
+    assert tables < 30 and rows < 20 * size
+
+
+def test_circle_and_tail(spark):
+    """A recorded circle of 40 stages with a tail of 40: no depth, and everything before is an ancestor."""
+    apps = {"loop": {s: ("COMPLETED", None, [39 if s == 0 else s - 1]) for s in range(80)}}
+    nodes = nodes_of(spark, apps)
+    row = lineage.depth_and_cycles(nodes).first()
+    assert (row.depth, row.is_acyclic) == (None, False)
+    seeds = nodes.filter("stage_id IN (60, 5)").select("app_id", "stage_id")
+    found = {}
+    for r in lineage.ancestors(nodes, seeds).collect():
+        found.setdefault(r.seed_stage_id, set()).add(r.ancestor_id)
+    assert found == {5: set(range(40)), 60: set(range(60))}
+
+
+def test_confidence_needs_no_lists(spark):
+    nodes = nodes_of(spark, CASES)
+    plan = root_cause.confidence(nodes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    want = {r.app_id: r.analysis_confidence for r in root_cause.analyze(nodes).collect()}
+    assert {r.app_id: r.analysis_confidence for r in root_cause.confidence(nodes).collect()} == want
+
+
+def test_mode_is_one_aggregation(spark):
+    rows = [r for app, stages in CASES.items() for r in rows_of(app, stages)]
+    plan = graph.graph_mode(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
