@@ -168,6 +168,15 @@ def test_one_pass_gives_the_same_tables(spark, logs):
     assert sorted(stages.collect(), key=key) == sorted(event_logs.stage_events(lines).collect(), key=key)
 
 
+def test_cut_lines_are_dropped(spark):
+    """A line cut anywhere is no event; one with a field of another type is."""
+    line = json.dumps(task(4))
+    cut = [line[:k] for k in range(1, len(line))]
+    odd = json.dumps({**task(5), "Stage Attempt ID": "seven"})
+    lines = spark.createDataFrame([("a", 1, v) for v in [*cut, line, odd]], "app_id STRING, label INT, value STRING")
+    assert sorted((r.stage_id, r.stage_attempt_id) for r in event_logs.task_events(lines).collect()) == [(4, 1), (5, 0)]
+
+
 def test_lines_are_parsed_once(spark):
     lines = spark.createDataFrame([], "app_id STRING, label INT, value STRING")
     plan = event_logs.task_events(lines)._jdf.queryExecution().optimizedPlan().toString()
