@@ -9,8 +9,10 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from faultlens.session import scratch_path
 
@@ -180,6 +182,30 @@ def binary_column(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def squeezed(df: DataFrame) -> DataFrame:
+    """``df`` with its ``text`` compressed as ``packed``, so that it takes less room in shuffles."""
+    rest = [f for f in df.schema.fields if f.name != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in slices(batches, "text"):
+            data, offsets = byte_offsets(batch.column(batch.schema.get_field_index("text")))
+            data = data.tobytes()
+            packed = pa.array([squeeze(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
+            kept = [batch.column(batch.schema.get_field_index(f.name)) for f in rest]
+            yield pa.RecordBatch.from_arrays([*kept, packed], names=[*[f.name for f in rest], "packed"])
+
+    return df.mapInArrow(run, StructType([*rest, StructField("packed", BinaryType())]))
+
+
+def expanded(batches: Iterator[pa.RecordBatch], limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches with ``packed`` texts back as a last column ``text`` (bytes), a few at a time."""
+    expand = zstandard.ZstdDecompressor().decompress
+    for batch in slices(batches, "packed", 1 << 18):
+        texts = pa.array([expand(x.as_buffer()) for x in batch.column(batch.schema.get_field_index("packed"))], pa.large_binary())
+        yield from slices(iter([batch.append_column("text", texts)]), "text", limit)
+
+
 def sampled(hash_: Column, rows: int, size: int, spare: int = 64) -> Column:
     """True for the rows of least hash: about ``spare * size`` of ``rows`` rows, or all if there are no more.
 

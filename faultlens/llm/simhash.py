@@ -13,16 +13,18 @@ tables and keeps what lies within the radius.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 from math import pi
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import byte_offsets, mix, shingle_hashes, slices, store, word_hashes
+from faultlens.llm.common import byte_offsets, expanded, mix, shingle_hashes, squeezed, store, word_hashes
 from faultlens.operators.prefix import running_before
 
 BITS = 128
@@ -104,31 +106,42 @@ def document_fingerprints(documents: DataFrame, radius: int = RADIUS) -> DataFra
 
     A null text is empty. The edited text has its last third replaced by the
     beginning of the next document (by descending doc_id, after the last one
-    the first). Of several texts of one doc_id the smallest beginning is the
-    next document's. A row with a null doc_id has no next document: its third
+    the first). Of several texts of one doc_id one is the next document,
+    always the same. A row with a null doc_id has no next document: its third
     is dropped and ``near_next`` is 0. ``n_near`` is, for the doc_ids divisible
     by 50, the number of other rows with a fingerprint within ``radius`` bits;
     null for the others.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    third = F.floor(F.length("text") / 3).cast("int")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), text.alias("text"))
     order = store(following_documents(rows), "order")
-    needed = rows.groupBy("doc_id").agg(F.max(third).alias("third")).join(order, "doc_id")
-    heads = rows.join(needed.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "third"), "doc_id")
-    heads = heads.select(F.col("for_id").alias("doc_id"), F.expr("substring(text, 1, third)").alias("head"))
-    heads = heads.groupBy("doc_id").agg(F.min("head").alias("head"))
-    kept = F.substring(F.col("text"), F.lit(1), F.length("text") - third)
-    edited = F.concat(kept, F.substring(F.coalesce(F.col("head"), F.lit("")), F.lit(1), third))
-    both = rows.join(heads, "doc_id", "left").select("doc_id", "text", edited.alias("edited"))
+    needed = rows.groupBy("doc_id").agg(F.max(F.col("n_chars") / 3).cast("long").alias("third")).join(order, "doc_id")
+    needed = needed.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "third")
+    packed = squeezed(rows)
+
+    def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in expanded(batches):
+            texts = batch.column(batch.num_columns - 1).cast(pa.large_string()).to_pylist()
+            heads = [squeeze(t[:k].encode()) for t, k in zip(texts, batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], names=["doc_id", "head"])
+
+    heads = packed.join(needed, "doc_id").select("for_id", "third", "packed").mapInArrow(beginnings, "doc_id long, head binary")
+    both = packed.join(heads.groupBy("doc_id").agg(F.min("head").alias("head")), "doc_id", "left").select("doc_id", "n_chars", "head", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 19):
-            columns = [batch.column(0), batch.column(3), batch.column(4)]
-            columns += [pa.array([row.tobytes().hex() for row in fingerprints(batch.column(k))]) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"])
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in expanded(batches):
+            texts = batch.column(batch.num_columns - 1).cast(pa.large_string())
+            edited = []
+            for text, head in zip(texts.to_pylist(), batch.column(2), strict=True):
+                third = len(text) // 3
+                edited.append(text[: len(text) - third] + (expand(head.as_buffer()).decode()[:third] if head.is_valid else ""))
+            digests = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited])
+            prints = [pa.array([row.tobytes().hex() for row in fingerprints(t)]) for t in (texts, pa.array(edited, pa.large_string()))]
+            names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, *prints], names=names)
 
-    both = both.select("doc_id", "text", "edited", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
     found = both.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string")
     found = store(found, "fingerprints")
 

@@ -31,11 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import byte_offsets, list_column, mix, slices, span_hashes, store
+from faultlens.llm.common import byte_offsets, expanded, list_column, mix, slices, span_hashes, squeezed, store
 
 LENGTH = 100
 #: Bytes of an anchor.
@@ -104,32 +103,6 @@ def anchor_counts(documents: DataFrame, length: int, anchor: int) -> DataFrame:
     return documents.mapInArrow(run, "d long, e long, once array<long>, twice array<long>")
 
 
-def _squeezed(documents: DataFrame) -> DataFrame:
-    """The texts compressed, for shuffles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, "text"):
-            data, offsets = byte_offsets(batch.column(2))
-            data = data.tobytes()
-            packed = pa.array([squeeze(data[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], names=["d", "e", "packed"])
-
-    return documents.mapInArrow(run, "d long, e long, packed binary")
-
-
-def _unsqueezed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    expand = zstandard.ZstdDecompressor().decompress
-    texts = pa.array([expand(x.as_buffer()) for x in batch.column(batch.schema.get_field_index("packed"))], pa.large_binary())
-    return batch.append_column("text", texts)
-
-
-def _by_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches with their texts, expanded a few at a time."""
-    for batch in slices(batches, "packed", 1 << 18):
-        yield from slices(iter([_unsqueezed(batch)]), "text", SLICE)
-
-
 def entries_of(batch: pa.RecordBatch, length: int, anchor: int) -> Iterator[tuple[int, Entry]]:
     """(anchor hash, entry) for all windows of the batch whose anchors repeat."""
     data, offsets, starts, chosen, places, hashes = _anchors_of(batch, length, anchor)
@@ -310,7 +283,7 @@ def _runs(texts: DataFrame, ranges: int, length: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[Entry]] = {}
         size = 0
-        for batch in _by_bytes(batches):
+        for batch in expanded(batches, SLICE):
             for value, entry in entries_of(batch, length, anchor):
                 held.setdefault(value, []).append(entry)
                 size += len(entry[0]) + len(entry[1])
@@ -364,7 +337,7 @@ def removals(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Da
     repeated = total.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     held = store(each.join(repeated, "h").groupBy("d", "e").agg(F.collect_list("h").alias("repeated")), "repeated")
     anchors = held.agg(F.sum(F.size("repeated"))).first()[0] or 0
-    texts = _squeezed(keyed).join(held, ["d", "e"]).select("d", "e", "repeated", "packed")
+    texts = squeezed(keyed).join(held, ["d", "e"]).select("d", "e", "repeated", "packed")
     runs = store(_runs(texts, max(1, -(-anchors // RANGE)), length, anchor), "runs")
     merges = runs.filter("part IS NOT NULL").select("part", "meta", "tails").groupBy("part")
     across = merges.applyInArrow(_merge_range(length, anchor), "d long, e long, first long, last long")
@@ -389,7 +362,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHO
     spans = store(spans.groupBy("d", "e").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")), "removals")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_bytes(batches):
+        for batch in expanded(batches, SLICE):
             data, offsets = byte_offsets(batch.column(batch.schema.get_field_index("text")))
             data = data.tobytes()
             rows = []
@@ -408,7 +381,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHO
             yield pa.RecordBatch.from_arrays(columns, names=["d", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     schema = "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<first:long,last:long>>"
-    cut = _squeezed(keyed).join(spans, ["d", "e"]).select("d", "e", "packed", "spans").mapInArrow(run, schema)
+    cut = squeezed(keyed).join(spans, ["d", "e"]).select("d", "e", "packed", "spans").mapInArrow(run, schema)
     plain = keyed.select("d", "e", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text"), 256).alias("kept_sha256"))
     plain = plain.join(spans.select("d", "e"), ["d", "e"], "left_anti").select(
         "d", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), "kept_sha256",
