@@ -190,8 +190,8 @@ def _formatted_bytes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _preprocessed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The eight result tables, from log text with noise in it."""
-    lines = log_text.log_lines(telemetry.task_metrics(spark, folder), telemetry.stage_metrics(spark, folder))
-    return preprocess_lines(lines, scratch_path(spark, "preprocessed"))
+    wanted = _task_lines(spark, folder).unionByName(_stage_lines(spark, folder))
+    return preprocess_lines(wanted.unionByName(log_text.noise_lines(wanted)), scratch_path(spark, "preprocessed"))
 
 
 def _pipeline_counts(spark: SparkSession, folder: str) -> DataFrame:
