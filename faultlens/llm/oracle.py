@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-_WORDS = "[^\\x20\\x09-\\x0D]+"
-
 #: Exact: all pairs of documents that share a shingle, then the smallest document reachable.
 OP2 = """
 WITH RECURSIVE d AS MATERIALIZED (
@@ -16,16 +14,9 @@ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
 two AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-walk AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT walk.a, two.b FROM walk JOIN two ON two.a = walk.b WHERE two.b < walk.a OR true)
+walk AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT walk.a, two.b FROM walk JOIN two ON two.a = walk.b)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM walk GROUP BY a) m USING (doc_id)
-""".replace(" WHERE two.b < walk.a OR true", "")
-
-#: The same places, found by walking the whole ring with the queue's running minimum.
-OP3 = """
-WITH k AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, text AS t,
-        ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT AS at FROM documents)
-SELECT 1
 """
 
 
