@@ -113,8 +113,13 @@ def document_fingerprints(documents: DataFrame, radius: int = RADIUS) -> DataFra
     null for the others.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).cast("long").alias("n_chars"), text.alias("text"))
-    order = store(following_documents(rows), "order")
+    # The key is never null, so both joins below read the same shuffled texts; the stand-in for null is no doc_id.
+    absent = F.lit(-(1 << 63))
+    known = F.when(F.col("doc_id") != absent, F.col("doc_id"))
+    rows = documents.select(
+        F.coalesce(F.col("doc_id").cast("long"), absent).alias("doc_id"), F.length(text).cast("long").alias("n_chars"), text.alias("text")
+    )
+    order = store(following_documents(rows.select(known.alias("doc_id"))), "order")
     needed = rows.groupBy("doc_id").agg(F.max(F.col("n_chars") / 3).cast("long").alias("third")).join(order, "doc_id")
     needed = needed.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "third")
     packed = squeezed(rows)
@@ -123,10 +128,11 @@ def document_fingerprints(documents: DataFrame, radius: int = RADIUS) -> DataFra
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in expanded(batches):
             texts = batch.column(batch.num_columns - 1).cast(pa.large_string()).to_pylist()
-            heads = [squeeze(t[:k].encode()) for t, k in zip(texts, batch.column(1).to_pylist(), strict=True)]
+            lengths = [min(k, n) for k, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            heads = [squeeze(t[:k].encode()) for t, k in zip(texts, lengths, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.binary())], names=["doc_id", "head"])
 
-    heads = packed.join(needed, "doc_id").select("for_id", "third", "packed").mapInArrow(beginnings, "doc_id long, head binary")
+    heads = packed.join(needed, "doc_id").select("for_id", "third", "n_chars", "packed").mapInArrow(beginnings, "doc_id long, head binary")
     both = packed.join(heads.groupBy("doc_id").agg(F.min("head").alias("head")), "doc_id", "left").select("doc_id", "n_chars", "head", "packed")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +149,7 @@ def document_fingerprints(documents: DataFrame, radius: int = RADIUS) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, *prints], names=names)
 
     found = both.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string")
-    found = store(found, "fingerprints")
+    found = store(found.withColumn("doc_id", known), "fingerprints")
 
     first = found.groupBy("doc_id").agg(F.min("fingerprint").alias("next_fingerprint"))
     next_ = order.join(first.withColumnRenamed("doc_id", "next_id"), "next_id").select("doc_id", "next_fingerprint")
