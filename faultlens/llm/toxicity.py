@@ -2,7 +2,8 @@
 
 A text is cut into overlapping windows of words. A word enters as the
 embedding of its identity (words of the training sample; all others share one)
-joined with the sum of embeddings of its characters at their places. Gated
+joined with the sum of embeddings of its characters at their places and of its
+first and last few. Gated
 units read the window in both directions, attention weighs their states, and a
 document is as toxic as its most toxic window.
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import IS_ALPHANUMERIC, byte_offsets, lower_bytes, sampled, slices, span_hashes, word_spans
+from faultlens.llm.common import IS_ALPHANUMERIC, byte_offsets, lower_bytes, mix, sampled, slices, span_hashes, word_spans
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 48
@@ -30,16 +31,27 @@ SAMPLE, SAMPLE_CHARS = 1500, 20_000
 #: Units of one direction, sizes of the word and character embeddings, characters of a word that are looked at.
 UNITS, WORD_SIZE, CHAR_SIZE, CHARS = 8, 16, 8, 12
 VOCABULARY = 8192
-ROUNDS = 5
+#: Standard errors by which a word's presence must differ between the classes to be known by itself,
+#: at least; this share of the largest such difference, if that is more.
+CHANCE, SHARE = 2.5, 0.15
+#: Bytes of the beginnings and of the ending of a word that have embeddings.
+BEGINNINGS, ENDING = (4, 5, 6, 7, 8, 9), 5
+#: Rounds over the sample; a small sample takes more, until about so many steps are made.
+ROUNDS, STEPS = 5, 130
 THRESHOLD = 0.3
+#: How many more texts are clean than toxic, when the border between them is found.
+CLEAN_WEIGHT = 8.0
+#: Toxic texts that are enough to find it.
+ENOUGH = 50
 
 
 @dataclass
 class Words:
-    """The words of some texts: distinct hashes and characters, and the words of each text as numbers into them."""
+    """The words of some texts: distinct hashes, characters and hashes of their ends, and each text's words as numbers into them."""
 
     hashes: np.ndarray
     chars: np.ndarray
+    affixes: np.ndarray
     numbers: np.ndarray
     counts: np.ndarray
 
@@ -51,7 +63,11 @@ def read_words(texts: pa.Array) -> Words:
     hashes, firsts, numbers = np.unique(span_hashes(low, starts, ends), return_index=True, return_inverse=True)
     at = starts[firsts, None] + np.arange(CHARS)
     chars = np.where(at < ends[firsts, None], low[np.minimum(at, max(len(low) - 1, 0))] if len(low) else 0, 0)
-    return Words(hashes, chars.astype(np.int64), numbers.reshape(-1), np.bincount(owners, minlength=len(offsets) - 1))
+    first, last = starts[firsts], ends[firsts]
+    # What a word begins and ends with; a short word is both as a whole.
+    affixes = [span_hashes(low, first, np.minimum(first + k, last)) for k in BEGINNINGS] + [span_hashes(low, np.maximum(last - ENDING, first), last)]
+    affixes = np.stack([mix(a + np.uint64(k)) for k, a in enumerate(affixes)], axis=1)
+    return Words(hashes, chars.astype(np.int64), affixes, numbers.reshape(-1), np.bincount(owners, minlength=len(offsets) - 1))
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,17 +88,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Weights, the forward pass and the gradient."""
 
-    def __init__(self, vocabulary: np.ndarray, hint: np.ndarray, seed: int = 7):
+    def __init__(self, words: tuple[np.ndarray, np.ndarray], affixes: tuple[np.ndarray, np.ndarray], seed: int = 7):
         random = np.random.default_rng(seed)
 
         def normal(*shape: int, scale: float) -> np.ndarray:
             return (random.standard_normal(shape) * scale).astype(np.float32)
 
         size = WORD_SIZE + CHAR_SIZE
-        #: Hashes of the known words, ascending; number 0 of the embedding is any other word.
-        self.vocabulary = vocabulary
+        #: Hashes of the known words and affixes, ascending; number 0 of an embedding is any other.
+        self.vocabulary, self.affixes = words[0], affixes[0]
         self.weights = {
-            "word": normal(len(vocabulary) + 1, WORD_SIZE, scale=0.1),
+            "word": normal(len(words[0]) + 1, WORD_SIZE, scale=0.1),
+            "affix": normal(len(affixes[0]) + 1, CHAR_SIZE, scale=0.1),
             "char": normal(CHARS * 256, CHAR_SIZE, scale=0.05),
             "input": normal(size, 6 * UNITS, scale=size**-0.5),
             "input_bias": np.zeros(6 * UNITS, np.float32),
@@ -94,24 +111,25 @@ class Network:
             "out": normal(2 * UNITS, scale=0.3),
             "out_bias": np.full(1, -1, np.float32),
         }
-        # A start for the search: how much more frequent the word is in one class of the sample.
-        self.weights["word"][1:, 0] = hint
+        # A start for the search: how much more frequent they are in one class of the sample.
+        self.weights["word"][1:, 0] = words[1]
+        self.weights["affix"][1:, 0] = affixes[1]
         #: Slope and offset from the highest window's value to the log-odds of a document.
         self.scale = (1.0, 0.0)
 
-    def inputs(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For distinct words: numbers in the vocabulary, embeddings, and what the gates see of them."""
+    def inputs(self, words: Words) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+        """For distinct words: their and their affixes' numbers, embeddings, and what the gates see of them."""
         w = self.weights
-        at = np.minimum(np.searchsorted(self.vocabulary, words.hashes), max(len(self.vocabulary) - 1, 0))
-        known = self.vocabulary[at] == words.hashes if len(self.vocabulary) else np.zeros(len(words.hashes), bool)
-        number = np.where(known, at + 1, 0)
+        number, ends = _numbers(self.vocabulary, words.hashes), _numbers(self.affixes, words.affixes)
         x = np.empty((len(number), WORD_SIZE + CHAR_SIZE), np.float32)
         x[:, :WORD_SIZE] = w["word"][number]
         x[:, WORD_SIZE:] = w["char"][words.chars[:, 0]]
         for k in range(1, CHARS):
             x[:, WORD_SIZE:] += w["char"][words.chars[:, k] + 256 * k]
+        for k in range(ends.shape[1]):
+            x[:, WORD_SIZE:] += w["affix"][ends[:, k]]
         seen = x @ w["input"] + w["input_bias"]
-        return number, x, np.concatenate([seen, np.zeros((1, 6 * UNITS), np.float32)])
+        return (number, ends), x, np.concatenate([seen, np.zeros((1, 6 * UNITS), np.float32)])
 
     def forward(self, seen: np.ndarray, index: np.ndarray, lengths: np.ndarray, keep: list | None = None) -> np.ndarray:
         """The value of every window. ``index`` (windows, WINDOW) numbers the words; places past the length are not read."""
@@ -158,7 +176,7 @@ class Network:
     def gradient(self, words: Words, index: np.ndarray, lengths: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy of the windows."""
         w, keep = self.weights, []
-        number, x, seen = self.inputs(words)
+        (number, ends), x, seen = self.inputs(words)
         value = self.forward(seen, index, lengths, keep)
         g = {k: np.zeros_like(v) for k, v in w.items()}
         d_value = ((_sigmoid(value) - target) / len(target)).astype(np.float32)
@@ -204,6 +222,8 @@ class Network:
         g["input"], g["input_bias"] = x.T @ d_seen, d_seen.sum(0)
         d_x = d_seen @ w["input"].T
         np.add.at(g["word"], number, d_x[:, :WORD_SIZE])
+        for k in range(ends.shape[1]):
+            np.add.at(g["affix"], ends[:, k], d_x[:, WORD_SIZE:])
         for k in range(CHARS):
             np.add.at(g["char"], words.chars[:, k] + 256 * k, d_x[:, WORD_SIZE:])
         return g
@@ -228,6 +248,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(slope * best + offset, -60, 60))), np.diff(np.r_[borders, len(document)])
 
 
+def _numbers(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes in ``known``, from 1; 0 for any other."""
+    if not len(known):
+        return np.zeros(hashes.shape, np.int64)
+    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+    return np.where(known[at] == hashes, at + 1, 0)
+
+
 def window_index(words: Words, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of each window's words; past its end the number of the word that is none."""
     at = first[:, None] + np.arange(WINDOW)
@@ -235,48 +263,59 @@ def window_index(words: Words, first: np.ndarray, lengths: np.ndarray) -> np.nda
     return np.where(np.arange(WINDOW) < lengths[:, None], numbers[np.minimum(at, len(numbers) - 1)], len(words.hashes))
 
 
-def _vocabulary(words: Words, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words whose presence differs most between the classes, and by how much (log-odds, shrunk)."""
+def _vocabulary(words: Words, features: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features (hashes of each distinct word) whose presence differs most between the classes, and by how much (log-odds, shrunk)."""
+    names, which = np.unique(features, return_inverse=True)
+    which = which.reshape(features.shape if features.ndim == 2 else (-1, 1))
+    size = max(len(names), 1)
     owners = np.repeat(np.arange(len(words.counts)), words.counts)
-    pairs = np.unique(owners * len(words.hashes) + words.numbers)
-    holder, number = pairs // max(len(words.hashes), 1), pairs % max(len(words.hashes), 1)
-    bad = np.bincount(number, weights=toxic[holder], minlength=len(words.hashes))
-    all_ = np.bincount(number, minlength=len(words.hashes))
+    pairs = np.unique(np.concatenate([owners * size + which[words.numbers, k] for k in range(which.shape[1])]))
+    holder, number = pairs // size, pairs % size
+    bad = np.bincount(number, weights=toxic[holder], minlength=len(names))
+    all_ = np.bincount(number, minlength=len(names))
     n_bad, n = max(toxic.sum(), 1), max(len(toxic), 2)
     p, q = (bad + 0.5) / (n_bad + 1), (all_ - bad + 0.5) / (n - n_bad + 1)
     strength = np.abs(p - q) / np.sqrt(p * (1 - p) / n_bad + q * (1 - q) / max(n - n_bad, 1))
     strength[all_ < 3] = 0
+    # Below this many standard errors a difference is chance, of which a large vocabulary has much.
     chosen = np.sort(np.argsort(-strength, kind="stable")[:VOCABULARY])
-    chosen = chosen[strength[chosen] > 0]
-    shrunk = np.clip(np.log(p[chosen] / q[chosen]), -4, 4) * np.minimum(1, strength[chosen] / 4)
-    return words.hashes[chosen], shrunk.astype(np.float32)
+    least = max(CHANCE, SHARE * strength.max(initial=0))
+    chosen = chosen[strength[chosen] > least]
+    sure = np.clip((strength[chosen] - least) / max(0.3 * strength.max(initial=0), 1), 0, 1)
+    shrunk = np.clip(np.log(p[chosen] / q[chosen]), -4, 4) * sure
+    return names[chosen], shrunk.astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 7, batch: int = 128) -> Network:
     """A network from labelled texts. With no text or only one class it gives every text that class's share; without any label nothing is toxic."""
     toxic = np.asarray(labels, np.float64)
     words = read_words(pa.array(texts, pa.large_string()))
-    network = Network(*_vocabulary(words, toxic), seed=seed)
+    network = Network(_vocabulary(words, words.hashes, toxic), _vocabulary(words, words.affixes, toxic), seed=seed)
     if len(set(labels)) < 2:
         share = (toxic.sum() + 0.25) / (len(toxic) + 1)
         network.scale = (0.0, float(np.log(share / (1 - share))))
         return network
+    # Every fourth text teaches nothing but where the border lies, if that leaves enough toxic ones.
+    border = np.arange(len(toxic)) % 4 == 3
+    if toxic[border].sum() < ENOUGH or toxic[border].all():
+        border[:] = False
     random = np.random.default_rng(seed)
     mean = {k: np.zeros_like(v) for k, v in network.weights.items()}
     square = {k: np.zeros_like(v) for k, v in network.weights.items()}
     step = 0
-    for _ in range(rounds):
+    a_round = max(1, int((2 - toxic[~border]).sum()) // batch)
+    for _ in range(max(rounds, -(-STEPS // a_round))):
         document, first, lengths, values = network.window_values(words)
         order = np.lexsort((-values, document))
         rank = np.arange(len(order)) - np.searchsorted(document[order], document[order])
         # The best window of a toxic text is toxic; no window of a clean one is.
-        chosen = order[rank < np.where(toxic[document[order]] > 0, 1, 2)]
+        chosen = order[(rank < np.where(toxic[document[order]] > 0, 1, 2)) & ~border[document[order]]]
         random.shuffle(chosen)
         for part in np.split(chosen, range(batch, len(chosen), batch)):
-            used = Words(words.hashes, words.chars, words.numbers, words.counts)
             index = window_index(words, first[part], lengths[part])
             kinds, index = np.unique(index, return_inverse=True)
-            used = Words(words.hashes[kinds[kinds < len(words.hashes)]], words.chars[kinds[kinds < len(words.hashes)]], words.numbers, words.counts)
+            kinds = kinds[kinds < len(words.hashes)]
+            used = Words(words.hashes[kinds], words.chars[kinds], words.affixes[kinds], words.numbers, words.counts)
             index = index.reshape(len(part), WINDOW)
             step += 1
             for k, d in network.gradient(used, index, lengths[part], toxic[document[part]].astype(np.float32)).items():
@@ -287,20 +326,29 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     document, _, _, values = network.window_values(words)
     best = np.full(len(texts), -np.inf)
     np.maximum.at(best, document, values)
-    network.scale = _logistic(best, toxic)
+    unseen = border if border.any() else ~border
+    network.scale = _logistic(best[unseen], toxic[unseen], CLEAN_WEIGHT if border.any() else 1.0)
     return network
 
 
-def _logistic(value: np.ndarray, target: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, by Newton's method with a light prior."""
-    x = np.c_[value, np.ones(len(value))]
+def _logistic(value: np.ndarray, target: np.ndarray, clean_weight: float) -> tuple[float, float]:
+    """Slope and offset of a logistic curve, by Newton's method with a light prior.
+
+    Clean texts weigh ``clean_weight`` times. The values are brought to one
+    scale first.
+    """
+    middle, spread = value.mean(), max(value.std(), 1e-6)
+    x = np.c_[(value - middle) / spread, np.ones(len(value))]
+    weight = np.where(target > 0, 1.0, clean_weight)
     beta = np.array([1.0, 0.0])
-    for _ in range(25):
+    for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (p - target) + 0.05 * (beta - [1, 0])
-        curve = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
-        beta = beta - np.linalg.solve(curve, slope)
-    return max(float(beta[0]), 1e-3), float(beta[1])
+        slope = x.T @ (weight * (p - target)) + 0.02 * beta
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.02 * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        beta = beta - step * min(1, 2 / max(np.abs(step).max(), 1e-9))
+    slope = max(float(beta[0]), 1e-3) / spread
+    return slope, float(beta[1]) - slope * middle
 
 
 def held_out(doc_id: Column) -> Column:

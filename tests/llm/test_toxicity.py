@@ -33,7 +33,7 @@ def network():
 def test_gradient_matches_differences():
     texts = ["you are vile and bad", "what a day it is", "", "vile", "ü " * 70]
     words = toxicity.read_words(pa.array(texts, pa.large_string()))
-    network = toxicity.Network(words.hashes[:5], np.zeros(5, np.float32))
+    network = toxicity.Network((words.hashes[:5], np.zeros(5, np.float32)), (np.sort(words.affixes[:4, 0]), np.zeros(4, np.float32)))
     network.weights = {k: v.astype(np.float64) for k, v in network.weights.items()}
     document, first, lengths = toxicity.windows(words.counts)
     index = toxicity.window_index(words, first, lengths)
