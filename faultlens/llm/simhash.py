@@ -97,8 +97,8 @@ def following_documents(documents: DataFrame) -> DataFrame:
     """(doc_id, next_id): the next smaller doc_id, and for the smallest the largest."""
     ids = documents.select("doc_id").filter("doc_id IS NOT NULL").distinct().withColumn("all__", F.lit(1))
     before = running_before(ids, ["all__"], "doc_id", maxima={"next_id": F.col("doc_id")})
-    largest = ids.groupBy("all__").agg(F.max("doc_id").alias("largest"))
-    return before.join(F.broadcast(largest), "all__").select("doc_id", F.coalesce("next_id", "largest").alias("next_id"))
+    ends = ids.agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("largest"))
+    return before.join(F.broadcast(ends), "doc_id", "left").select("doc_id", F.coalesce("next_id", "largest").alias("next_id"))
 
 
 def document_fingerprints(documents: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -42,7 +42,7 @@ ANCHOR = 32
 #: Text bytes of one numpy pass; its arrays stay in the processor's cache.
 SLICE = 1 << 18
 #: Text bytes whose entries make one sorted run.
-RUN_BYTES = 24 << 20
+RUN_BYTES = 16 << 20
 #: Anchors that one range is planned for.
 RANGE = 50_000
 
