@@ -269,7 +269,8 @@ def _vocabulary(words: Words, features: np.ndarray, toxic: np.ndarray) -> tuple[
     which = which.reshape(features.shape if features.ndim == 2 else (-1, 1))
     size = max(len(names), 1)
     owners = np.repeat(np.arange(len(words.counts)), words.counts)
-    pairs = np.unique(np.concatenate([owners * size + which[words.numbers, k] for k in range(which.shape[1])]))
+    # Feature by feature, so that only the distinct pairs are held together.
+    pairs = np.unique(np.concatenate([np.unique(owners * size + which[words.numbers, k]) for k in range(which.shape[1])]))
     holder, number = pairs // size, pairs % size
     bad = np.bincount(number, weights=toxic[holder], minlength=len(names))
     all_ = np.bincount(number, minlength=len(names))
