@@ -67,7 +67,7 @@ def read_words(texts: pa.Array) -> Words:
     # What a word begins and ends with; a short word is both as a whole.
     affixes = [span_hashes(low, first, np.minimum(first + k, last)) for k in BEGINNINGS] + [span_hashes(low, np.maximum(last - ENDING, first), last)]
     affixes = np.stack([mix(a + np.uint64(k)) for k, a in enumerate(affixes)], axis=1)
-    return Words(hashes, chars.astype(np.int64), affixes, numbers.reshape(-1), np.bincount(owners, minlength=len(offsets) - 1))
+    return Words(hashes, chars.astype(np.int16), affixes, numbers.reshape(-1), np.bincount(owners, minlength=len(offsets) - 1))
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
