@@ -97,8 +97,8 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
         yield at, len(text)
 
 
-def identified(text: str) -> list[tuple[int, str, int, int]]:
-    """(sentence number, identifier, first, last) of the known sentences.
+def identified(text: str) -> list[tuple[int, int, str, int, int]]:
+    """(number of its first part, of its last part, identifier, first, last) of the known sentences.
 
     A known sentence may be cut by line ends or inner stops, so up to eight
     parts in a row are also tried as one.
@@ -112,7 +112,7 @@ def identified(text: str) -> list[tuple[int, str, int, int]]:
         for j in range(i, min(i + 8, len(parts))):
             joined = f"{joined} {parts[j][2]}".strip()
             if joined in known:
-                found.append((i, known[joined], parts[i][0], parts[j][1]))
+                found.append((i, j, known[joined], parts[i][0], parts[j][1]))
                 i = j
                 break
             if not any(b.startswith(joined) for b in begins.get(joined[:8], ())):
@@ -130,7 +130,7 @@ def _beginnings() -> dict[str, list[str]]:
     return found
 
 
-def matches(known: list[tuple[int, str, int, int]], gap: int = GAP) -> list[tuple[str, int, int]]:
+def matches(known: list[tuple[int, int, str, int, int]], gap: int = GAP) -> list[tuple[str, int, int]]:
     """(licence, first, last) in text order; each sentence serves the first rule that holds with it."""
     used: set[int] = set()
     found = []
@@ -138,9 +138,10 @@ def matches(known: list[tuple[int, str, int, int]], gap: int = GAP) -> list[tupl
         for start in range(len(known)):
             chain: list[int] = []
             for at in range(start, len(known)):
-                if chain and known[at][0] - known[chain[-1]][0] > gap + 1:
+                # From the end of one sentence to the start of the next: the parts of a wrapped one are no other sentences.
+                if chain and known[at][0] - known[chain[-1]][1] > gap + 1:
                     break
-                if at not in used and known[at][1] == rule[len(chain)]:
+                if at not in used and known[at][2] == rule[len(chain)]:
                     chain.append(at)
                     if len(chain) == len(rule):
                         break
@@ -148,7 +149,7 @@ def matches(known: list[tuple[int, str, int, int]], gap: int = GAP) -> list[tupl
                     break
             if len(chain) == len(rule):
                 used.update(chain)
-                found.append((licence, known[chain[0]][2], known[chain[-1]][3]))
+                found.append((licence, known[chain[0]][3], known[chain[-1]][4]))
     return sorted(found, key=lambda m: (m[1], m[0]))
 
 

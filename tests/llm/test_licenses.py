@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import pytest
 
@@ -61,3 +62,67 @@ def test_awkward_rows(spark):
 def test_known_sentences_differ():
     assert len(licenses._known()) == len(licenses.SENTENCES)
     assert {n for _, rule in licenses.RULES for n in rule} <= set(licenses.SENTENCES)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY.
+"""
+GPL = """This program is free software{0} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{1} either version {2} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+@pytest.mark.parametrize(
+    ("licence", "text"),
+    [("MIT", MIT), ("GPL-3.0-or-later", GPL.format(":", ",", 3)), ("GPL-2.0-or-later", GPL.format(";", ";", 2)), ("BSD-3-Clause", BSD)],
+)
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_texts(licence, text, mark):
+    text = "Copyright (c) 2020 Somebody\n\n" + text + "\nint main;\n"
+    text = "".join(mark + line for line in text.splitlines(keepends=True))
+    found = licenses.matches(licenses.identified(text))
+    assert [m[0] for m in found] == [licence]
+    assert "\n" in text[found[0][1] : found[0][2]]
+
+
+@pytest.mark.parametrize("others", [2, 3])
+def test_gap_after_a_wrapped_sentence(others):
+    """Only what stands between two sentences counts, however many lines each takes."""
+    rule = dict(licenses.RULES)["BSD-2-Clause"]
+    lines = [textwrap.fill(licenses.SENTENCES[n], 60) for n in rule]
+    text = ("\n" + "Some words.\n" * others).join(lines)
+    assert [m[0] for m in licenses.matches(licenses.identified(text))] == (["BSD-2-Clause"] if others == 2 else [])
