@@ -100,23 +100,25 @@ def sentences(text: str) -> Iterator[tuple[int, int]]:
 def identified(text: str) -> list[tuple[int, int, str, int, int]]:
     """(number of its first part, of its last part, identifier, first, last) of the known sentences.
 
-    A known sentence may be cut by line ends or inner stops, so up to eight
-    parts in a row are also tried as one.
+    A known sentence may be cut by line ends or inner stops, so parts in a row
+    are also tried as one, as long as some known sentence begins with them; of
+    several the longest counts. Parts without words are not looked at.
     """
     known = _known()
-    parts = [(a, b, normalised(text[a:b])) for a, b in sentences(text)]
+    parts = [(a, b, words) for a, b in sentences(text) if (words := normalised(text[a:b]))]
     begins = _beginnings()
     found, i = [], 0
     while i < len(parts):
-        joined = ""
-        for j in range(i, min(i + 8, len(parts))):
+        joined, last = "", None
+        for j in range(i, len(parts)):
             joined = f"{joined} {parts[j][2]}".strip()
             if joined in known:
-                found.append((i, j, known[joined], parts[i][0], parts[j][1]))
-                i = j
-                break
+                last = (j, known[joined])
             if not any(b.startswith(joined) for b in begins.get(joined[:8], ())):
                 break
+        if last:
+            found.append((i, *last, parts[i][0], parts[last[0]][1]))
+            i = last[0]
         i += 1
     return found
 

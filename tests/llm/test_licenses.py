@@ -126,3 +126,15 @@ def test_gap_after_a_wrapped_sentence(others):
     lines = [textwrap.fill(licenses.SENTENCES[n], 60) for n in rule]
     text = ("\n" + "Some words.\n" * others).join(lines)
     assert [m[0] for m in licenses.matches(licenses.identified(text))] == (["BSD-2-Clause"] if others == 2 else [])
+
+
+@pytest.mark.parametrize("width", [20, 40, 56])
+@pytest.mark.parametrize("between", ["\n", "\n *\n"])
+def test_narrow_blocks(width, between):
+    """A sentence of any number of lines, also with marks alone on a line between them, is one."""
+    for name, sentence in licenses.SENTENCES.items():
+        text = between.join(textwrap.wrap(sentence, width, break_long_words=False))
+        whole = f"Words.\n{text}\nWords."
+        assert [(k[2], whole[k[3] : k[4]]) for k in licenses.identified(whole)] == [(name, text)]
+    text = between.join(line for part in MIT.split("\n\n") for line in textwrap.wrap(part, width))
+    assert [m[0] for m in licenses.matches(licenses.identified(text))] == ["MIT"]
