@@ -29,7 +29,7 @@ OTHER = len(KINDS)
 REACH = 16
 #: Documents of the training sample, and the characters of the longest.
 SAMPLE, SAMPLE_CHARS = 600, 20_000
-#: How much likelier than any other reading a region's best one must be: its probability at least.
+#: Least probability of a span over all readings of its region.
 CERTAIN = 0.9
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -169,32 +169,49 @@ class Field:
                 rows[r, :OTHER] = value[:OTHER]
         return rows
 
-    def decode(self, text: str) -> tuple[list[tuple[int, int, int]], float]:
-        """Spans (type, start, end) of the best reading, and that reading's probability."""
+    def decode(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        """Spans (type, start, end) of the best reading, and those whose own probability over all readings is ``CERTAIN`` at least.
+
+        The length of the text does not count: a doubtful span takes none beside it along.
+        """
         tokens, found = self.candidates(text)
         rows = self.scores(found)
+        ends = np.array([abs(end) for _, end, _ in found], np.int64)
+        # Candidates stand in the order of their first token: the token outside first, then spans with different ends.
+        blocks = np.searchsorted(np.array([start for start, _, _ in found], np.int64), np.arange(len(tokens) + 1))
         best = np.full((len(tokens) + 1, OTHER + 1), -np.inf)
-        total = best.copy()
-        best[0, OTHER] = total[0, OTHER] = 0
-        came: dict[tuple[int, int], tuple[int, int]] = {}
-        for (start, end, _), row in zip(found, rows, strict=True):
+        best[0, OTHER] = 0
+        ahead, behind, into = best.copy(), np.full_like(best, -np.inf), np.full_like(best, -np.inf)
+        came = np.zeros((len(tokens) + 1, OTHER + 1, 2), np.int64)
+        for start in range(len(tokens)):
             way = best[start][:, None] + self.steps
             from_ = way.argmax(0)
-            value = way[from_, range(OTHER + 1)] + row
-            better = value > best[abs(end)]
-            for kind in np.flatnonzero(better).tolist():
-                came[abs(end), kind] = (start, int(from_[kind]))
-            best[abs(end)] = np.maximum(best[abs(end)], value)
-            total[abs(end)] = np.logaddexp(total[abs(end)], _log_sum(total[start][:, None] + self.steps) + row)
+            way, into[start] = way.max(0), _log_sum(ahead[start][:, None] + self.steps)
+            first, last = blocks[start], blocks[start + 1]
+            for mine in (slice(first, first + 1), slice(first + 1, last)):
+                to = ends[mine]
+                value = way + rows[mine]
+                place, kind = np.nonzero(value > best[to])
+                came[to[place], kind, 0], came[to[place], kind, 1] = start, from_[kind]
+                best[to] = np.maximum(best[to], value)
+                ahead[to] = np.logaddexp(ahead[to], into[start] + rows[mine])
+        behind[-1] = 0
+        whole = np.logaddexp.reduce(ahead[-1])
+        certain = []
+        for start in range(len(tokens) - 1, -1, -1):
+            mine = slice(blocks[start], blocks[start + 1])
+            after = rows[mine] + behind[ends[mine]]
+            behind[start] = _log_sum((self.steps + _log_sum(after)).T)
+            sure = (into[start] + after - whole)[:, :OTHER] >= np.log(CERTAIN)
+            certain += [(kind, tokens[start][0], tokens[ends[mine][place] - 1][1]) for place, kind in np.argwhere(sure).tolist()]
         spans = []
         at, kind = len(tokens), int(best[-1].argmax())
-        certain = float(np.exp(best[-1].max() - np.logaddexp.reduce(total[-1])))
         while at:
-            start, before = came[at, kind]
+            start, before = came[at, kind].tolist()
             if kind != OTHER:
                 spans.append((kind, tokens[start][0], tokens[at - 1][1]))
             at, kind = start, before
-        return spans[::-1], certain
+        return spans[::-1], certain[::-1]
 
     def learn(self, tokens: list, found: list, spans: list[tuple[int, int, int]], rate: float) -> bool:
         """One step up the likelihood of ``spans`` among candidates; False if they do not lie on token borders."""
@@ -312,9 +329,7 @@ def added_spans(text: str, base: list[tuple[str, int, int]], decode) -> list[tup
     """What the field finds with certainty and no pattern span touches."""
     found = []
     for first, last in regions(text):
-        spans, certain = decode(text[first:last])
-        if certain >= CERTAIN:
-            found += [(KINDS[kind], first + a, first + b) for kind, a, b in spans]
+        found += [(KINDS[kind], first + a, first + b) for kind, a, b in decode(text[first:last])[1]]
     return [(k, a, b) for k, a, b in found if not any(a < d and c < b for _, c, d in base)]
 
 

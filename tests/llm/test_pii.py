@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -105,6 +106,46 @@ def test_decoding_matches_all_readings(field):
     assert abs(total - best[0]) < 1e-9
 
 
+@pytest.mark.parametrize("text", ["ab 12@x.y 7", "(45) 66 7", "at 12 @ x.yz"])
+def test_certainty_matches_all_readings(field, monkeypatch, text):
+    """The probability of every span, by adding up all ways to read a short region."""
+    tokens, found = field.candidates(text)
+    options = {}
+    for (start, end, _), row in zip(found, field.scores(found), strict=True):
+        options.setdefault(start, []).append((end, row))
+    total, shares = [0.0], {}
+
+    def walk(at, before, score, spans):
+        if at == len(tokens):
+            total[0] += math.exp(score)
+            for span in spans:
+                shares[span] = shares.get(span, 0.0) + math.exp(score)
+            return
+        for end, row in options[at]:
+            for kind in range(pii.OTHER + 1):
+                if row[kind] > -1e300:
+                    more = [(kind, tokens[at][0], tokens[-end - 1][1])] if end < 0 else []
+                    walk(abs(end), kind, score + field.steps[before, kind] + row[kind], spans + more)
+
+    walk(0, pii.OTHER, 0.0, [])
+    for least in (1e-6, 1e-3, 0.1, 0.5, 0.9):
+        monkeypatch.setattr(pii, "CERTAIN", least)
+        assert set(field.decode(text)[1]) == {s for s, p in shares.items() if p / total[0] >= least}
+
+
+@pytest.mark.parametrize("count", [1, 12, 200])
+def test_long_lists_lose_nothing(field, count):
+    """Addresses one to a line are one region; what is certain of one depends neither on their number nor on doubtful ones beyond its neighbours."""
+    dice = random.Random(9)
+    n = lambda k: "".join(dice.choice("123456789") for _ in range(k))
+    lines = [f"ann{n(2)} @ mail{n(1)}.example.com" for _ in range(count)]
+    doubtful = f"({n(3)}) {n(3)}-{n(4)}\n({n(3)}) {n(3)}-{n(4)}"
+    for text, sure in (("\n".join(lines), count), ("\n".join([*lines, doubtful]), count - 1)):
+        assert len(list(pii.regions(text))) == 1
+        found = [text[a:b] for k, a, b in pii.added_spans(text, pii.base_spans(text), field.decode) if k == "email"]
+        assert found[:sure] == lines[:sure]
+
+
 def test_query(spark, texts, field):
     rows = {r.doc_id: r for r in pii.found_in(samples.plain(spark, texts), field).collect()}
     for i, text in enumerate(texts):
