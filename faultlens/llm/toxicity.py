@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import IS_ALPHANUMERIC, byte_offsets, lower_bytes, mix, sampled, slices, span_hashes, word_spans
+from faultlens.llm.common import IS_ALPHANUMERIC, byte_offsets, lower_bytes, mix, sampled, slices, span_hashes, store, word_spans
 
 #: Words of a window, and from one window's start to the next.
 WINDOW, STRIDE = 64, 48
@@ -362,13 +362,15 @@ def training_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE)
 
     Only rows that are not held out. Of several labels of a document the
     highest counts. A text longer than ``SAMPLE_CHARS`` characters is no sample.
+    Each class is thinned by its own number of rows, so a rare one keeps all it needs.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    known = known.filter(sampled(F.xxhash64("doc_id"), labels.count(), size))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     short = documents.filter(F.length("text") <= SAMPLE_CHARS).select("doc_id")
-    known = known.join(short, "doc_id", "left_semi")
-    ids = [known.filter(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for c in (0, 1)]
+    known = store(known.join(short, "doc_id", "left_semi"), "labelled")
+    count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect() if r["toxic"] in (0, 1)}
+    thinned = [known.filter((F.col("toxic") == c) & sampled(F.xxhash64("doc_id"), count.get(c, 0), size)) for c in (0, 1)]
+    ids = [rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for rows in thinned]
     # 2 * size rows at most, so the broadcast has a bound.
     sample = documents.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id").filter(F.length("text") <= SAMPLE_CHARS)
     rows = sorted(sample.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])

@@ -119,3 +119,13 @@ def test_empty(spark):
     labels = spark.createDataFrame([], "doc_id LONG, toxic INT")
     assert toxicity.toxicity(samples.empty(spark), labels).count() == 0
     assert all(r.predicted in (0, 1) for r in toxicity.toxicity(samples.plain(spark, ["a"]), labels).collect())
+
+
+def test_a_rare_class_is_thinned_by_its_own_number(spark):
+    """Of 4,000 labels 1 in 200 is toxic; each class still gives as many examples as asked for, the first by hash."""
+    docs = samples.plain(spark, [f"text {k}" for k in range(4_000)])
+    labels = spark.range(4_000).selectExpr("id AS doc_id", "CAST(id % 200 = 0 AS INT) AS toxic")
+    texts, toxic = toxicity.training_sample(docs, labels, size=4)
+    eligible = labels.filter(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).collect()
+    want = {f"text {r.doc_id}": c for c in (0, 1) for r in [r for r in eligible if r.toxic == c][:4]}
+    assert dict(zip(texts, toxic, strict=True)) == want and sum(toxic) == 4 == len(toxic) - 4
