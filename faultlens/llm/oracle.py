@@ -19,6 +19,27 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id, d.doc_id =
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS c FROM walk GROUP BY a) m USING (doc_id)
 """
 
+#: Every document's score for every item, then the first ten.
+OP12 = """
+WITH t AS MATERIALIZED (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+    FROM documents),
+q AS MATERIALIZED (
+    SELECT item_id, term, count(*) AS times FROM (
+        SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+        FROM benchmark) GROUP BY item_id, term),
+all_of AS (SELECT count(DISTINCT doc_id) AS big_n, count(*) AS big_l FROM t),
+d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, all_of GROUP BY term, big_n),
+s AS (
+    SELECT q.item_id, tf.doc_id, CAST(sum(q.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (100 - 75 + ((75 * d.n * big_n) // big_l))))) AS BIGINT) AS score
+    FROM q JOIN tf ON tf.term = q.term JOIN w ON w.term = q.term JOIN d ON d.doc_id = tf.doc_id, all_of
+    GROUP BY q.item_id, tf.doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minmax": OP2}
+    return {"op2_minmax": OP2, "op12_lexical": OP12}

@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultlens.llm import blob_secrets, decontaminate, licenses, minmax, packing, pii, ring, simhash, suffix_dedup, toxicity
+from faultlens.llm import (
+    blob_secrets,
+    decontaminate,
+    language,
+    lexical,
+    licenses,
+    minmax,
+    packing,
+    pii,
+    ring,
+    simhash,
+    suffix_dedup,
+    toxicity,
+    whitening,
+)
 from faultlens.llm.common import ship
 
 
@@ -65,6 +79,22 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.deduplicated(_documents(spark, folder)).drop("spans")
 
 
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings on their 16 leading components, whitened."""
+    ship(spark)
+    return whitening.whitened_embeddings(spark.read.parquet(f"{folder}/embeddings.parquet"), wanted=16)
+
+
+def op12_lexical(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten documents that rank highest for every benchmark item."""
+    return lexical.search(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"), top=10)
+
+
+def op13_language(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every text; lang teaches from rows that are not held out."""
+    return language.languages_of(_documents(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate,
@@ -77,5 +107,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_packing,
         op9_toxicity,
         op10_repeats,
+        op11_whitening,
+        op12_lexical,
+        op13_language,
     )
     return {f.__name__: f for f in found}
