@@ -1,24 +1,41 @@
-"""Reachability and layering over edge tables, in rounds of stored tables.
+"""Reachability and longest paths over edge tables, in rounds of stored tables.
 
 A run is a path on which every node but the last has one way on, and every
 node but the first one way in. Long recorded chains are runs, so both walks go
 from run to run: ``unary_runs`` finds the runs by pointer doubling, in about
-log2(longest run) rounds, and the walks need one round per level of the graph
-of runs. A chain of any length is a single run.
+log2(longest run) rounds. A chain of any length is a single run.
 
-Each round joins only the newest rows, writes what is new to the shared folder
-and ends when that is nothing. No round re-plans an earlier one, and cyclic
-input ends by itself.
+On the graph of runs a walk first takes one round per level. After ``LEVELS``
+of them the graph is contracted instead: nodes with few ways in and on, no two
+of them neighbours, are taken out together, and every way through them becomes
+one edge of the same length. As long as nodes with few ways are left, a round
+takes out a share of them all, so a deep graph needs about as many rounds as
+its depth has binary digits, and the edges of all rounds together are a few
+times those of the graph. Shortest ways to the nodes taken out follow in the
+opposite order. What cannot be contracted any more is walked level by level.
+
+Each round joins only the newest rows and writes them to the shared folder. No
+round re-plans an earlier one, and cyclic input ends by itself.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultlens.session import materialize, scratch_path
 
 _NODE = ["app_id", "node"]
+#: Rounds of one level each before a graph is contracted.
+LEVELS = 8
+#: A node is taken out if its ways in times its ways on are no more than this, or than both together.
+WAYS = 36
+#: A round that leaves more than this share of the edges is a poor one; two in a row end the contraction.
+POOR = 0.95
+#: Nodes before and after all others, beyond any stage id.
+_TOP, _END = -(1 << 40), 1 << 40
 
 
 def unary_runs(edges: DataFrame) -> DataFrame:
@@ -85,6 +102,126 @@ def _between_runs(edges: DataFrame, runs: DataFrame) -> DataFrame:
     return materialize(_with_runs(leaving, runs, "at").select("app_id", "head", F.col("place").alias("after"), "to"), "between")
 
 
+def _independent(edges: DataFrame, kept: DataFrame, turn: int) -> DataFrame:
+    """Nodes with few ways in and on of which no two are neighbours; none of ``kept``.
+
+    Of neighbours the one with fewer ways through it is taken, a hash decides
+    between equals.
+    """
+    outs = edges.groupBy("app_id", F.col("at").alias("node")).agg(F.count(F.lit(1)).alias("outs"))
+    ins = edges.groupBy("app_id", F.col("next").alias("node")).agg(F.count(F.lit(1)).alias("ins"))
+    nodes = outs.join(ins, _NODE, "full").na.fill(0, ["outs", "ins"])
+    through = F.col("ins") * F.col("outs")
+    few = nodes.filter(through <= F.greatest(F.col("ins") + F.col("outs"), F.lit(WAYS))).join(kept, _NODE, "left_anti")
+    few = few.select(*_NODE, F.struct(through.alias("through"), F.xxhash64(*_NODE, F.lit(turn)).alias("hash"), "node").alias("order"))
+    ends = [few.select("app_id", F.col("node").alias(end), F.col("order").alias(f"{end}_order")) for end in ("at", "next")]
+    both = edges.filter("at <> next").join(ends[0], ["app_id", "at"]).join(ends[1], ["app_id", "next"])
+    beside = both.select("app_id", F.explode(F.array(*[
+        F.struct(F.col(one).alias("node"), F.col(f"{two}_order").alias("other")) for one, two in (("at", "next"), ("next", "at"))
+    ])).alias("pair")).select("app_id", "pair.*")
+    lowest = beside.groupBy(*_NODE).agg(F.min("other").alias("lowest"))
+    return few.join(lowest, _NODE, "left").filter("lowest IS NULL OR order < lowest").select(*_NODE)
+
+
+def contracted(edges: DataFrame, kept: DataFrame, longest: bool) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """Take out nodes that are not in ``kept`` (app_id, node) as long as few edges come of it.
+
+    ``edges`` is a stored table of distinct (app_id, at, next, length). Of
+    several ways between two nodes the longest or the shortest is left.
+    Returns the edges that remain, for each round the edges that led to the
+    nodes then taken out, and with ``longest`` the applications in which a
+    circle was found; they have no edges any more. Without ``longest`` a circle
+    at a kept node stays as an edge to itself.
+    """
+    best = F.max if longest else F.min
+    trail: list[DataFrame] = []
+    cyclic: list[DataFrame] = []
+    before, poor = None, 0
+    while True:
+        count, loops = edges.agg(F.count(F.lit(1)), F.count_if(F.col("at") == F.col("next"))).first()
+        if loops and longest:
+            cyclic.append(materialize(edges.filter("at = next").select("app_id").distinct(), "cyclic"))
+            edges = edges.join(cyclic[-1], "app_id", "left_anti")
+        elif loops:
+            at_kept = edges.filter("at = next").join(kept.withColumnRenamed("node", "at"), ["app_id", "at"], "left_semi")
+            edges = edges.filter("at <> next").unionByName(at_kept)
+        poor = poor + 1 if before is not None and count > POOR * before else 0
+        before = count
+        if not count or poor == 2:
+            break
+        taken = materialize(_independent(edges, kept, len(trail)), "taken")
+        if taken.isEmpty():
+            break
+        entered = edges.join(taken.withColumnRenamed("node", "next"), ["app_id", "next"])
+        if not longest:
+            entered = materialize(entered, "entered")
+        trail.append(entered)
+        ways = entered.select("app_id", "at", F.col("next").alias("node"), F.col("length").alias("first"))
+        left = edges.join(taken, (edges["app_id"] == taken["app_id"]) & (edges["at"] == taken["node"]), "left_semi")
+        through = ways.join(left.select("app_id", F.col("at").alias("node"), "next", "length"), _NODE)
+        through = through.select("app_id", "at", "next", (F.col("first") + F.col("length")).alias("length"))
+        rest = edges
+        for end in ("at", "next"):
+            rest = rest.join(taken.withColumnRenamed("node", end), ["app_id", end], "left_anti")
+        joined = rest.select(*through.columns).unionByName(through).groupBy("app_id", "at", "next").agg(best("length").alias("length"))
+        edges = materialize(joined, "contracted")
+    return edges, trail, reduce(DataFrame.unionByName, cyclic) if cyclic else None
+
+
+def _walked(start: DataFrame, between: DataFrame, keys: list[str], limit: int | None = None) -> tuple[DataFrame | None, bool]:
+    """Least distances by levels: (keys, head, steps) of the heads entered, and whether the walk came to its end.
+
+    ``start`` has ``keys``, head and steps (at the head); ``between`` has
+    app_id, head, length and to.
+    """
+    spark, base, rounds = start.sparkSession, scratch_path(start.sparkSession, "reach"), []
+    newest, schema = start, None
+    while limit is None or len(rounds) < limit:
+        ahead = newest.join(between, ["app_id", "head"]).select(*keys, F.col("to").alias("head"), (F.col("steps") + F.col("length")).alias("steps"))
+        ahead = ahead.groupBy(*keys, "head").agg(F.min("steps").alias("steps"))
+        if rounds:
+            known = spark.read.schema(schema).parquet(*rounds).groupBy(*keys, "head").agg(F.min("steps").alias("known"))
+            ahead = ahead.join(known, [*keys, "head"], "left").filter("known IS NULL OR steps < known").drop("known")
+        path = f"{base}/{len(rounds)}"
+        newest = materialize(ahead, "round", path)
+        schema = newest.schema
+        if newest.isEmpty():
+            break
+        rounds.append(path)
+    else:
+        return None, False
+    if not rounds:
+        return None, True
+    return spark.read.schema(schema).parquet(*rounds).groupBy(*keys, "head").agg(F.min("steps").alias("steps")), True
+
+
+def _entered(start: DataFrame, between: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Least distances (keys, head, steps) of all heads entered from ``start``; None if there are none."""
+    found, ended = _walked(start, between, keys, LEVELS)
+    if ended:
+        return found
+    edges = between.groupBy("app_id", F.col("head").alias("at"), F.col("to").alias("next")).agg(F.min("length").alias("length"))
+    kept = materialize(start.select("app_id", F.col("head").alias("node")).distinct(), "kept")
+    core, trail, _ = contracted(materialize(edges, "edges"), kept, longest=False)
+    found, _ = _walked(start, core.select("app_id", F.col("at").alias("head"), "length", F.col("next").alias("to")), keys)
+    spark, base, schema = start.sparkSession, scratch_path(start.sparkSession, "back"), None
+    paths: list[str] = []
+    # From the last nodes taken out to the first: the ways that led to them come from nodes known by then.
+    for entered in [None, *reversed(trail)]:
+        if entered is None:
+            rows = found
+        else:
+            departed = start.select(*keys, "head", "steps")
+            if paths:
+                departed = departed.unionByName(spark.read.schema(schema).parquet(*paths))
+            rows = departed.withColumnRenamed("head", "at").join(entered, ["app_id", "at"])
+            rows = rows.groupBy(*keys, F.col("next").alias("head")).agg(F.min(F.col("steps") + F.col("length")).alias("steps"))
+        if rows is not None:
+            paths.append(f"{base}/{len(paths)}")
+            schema = materialize(rows.select(*keys, "head", "steps"), "back", paths[-1]).schema
+    return spark.read.schema(schema).parquet(*paths) if paths else None
+
+
 def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], include_seeds: bool = True) -> DataFrame:
     """Everything reachable from ``seeds``, with the least number of steps.
 
@@ -93,34 +230,17 @@ def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], include_seeds: bo
     reached again from itself is reported once when seeds are included, and at
     its first return when they are not.
     """
-    spark = seeds.sparkSession
     edges = materialize(edges.select("app_id", "at", "next").distinct(), "edges")
     runs = unary_runs(edges)
-    between = _between_runs(edges, runs)
-    base = scratch_path(spark, "reach")
+    between = _between_runs(edges, runs).select("app_id", "head", (F.col("after") + 1).alias("length"), "to")
     start = _with_runs(seeds.select(*keys, "at").distinct(), runs, "at").select(*keys, "at", "head", "place", F.lit(0).cast("long").alias("steps"))
-    newest = start = materialize(start, "start")
-    rounds: list[str] = []
-    while True:
-        ahead = newest.join(between, ["app_id", "head"]).select(
-            *keys, F.col("to").alias("head"), (F.col("steps") + F.col("after") - F.col("place") + 1).alias("steps")
-        )
-        ahead = ahead.groupBy(*keys, "head").agg(F.min("steps").alias("steps"))
-        if rounds:
-            known = spark.read.schema(schema).parquet(*rounds).groupBy(*keys, "head").agg(F.min("steps").alias("known"))
-            ahead = ahead.join(known, [*keys, "head"], "left").filter("known IS NULL OR steps < known").drop("known")
-        path = f"{base}/{len(rounds)}"
-        entered = materialize(ahead, "round", path)
-        schema = entered.schema
-        if entered.isEmpty():
-            break
-        rounds.append(path)
-        newest = entered.withColumn("place", F.lit(0).cast("long"))
+    start = materialize(start, "start")
+    # Counted from the head of its run, a seed has taken ``place`` steps already.
+    entered = _entered(start.select(*keys, "head", (F.col("steps") - F.col("place")).alias("steps")), between, keys)
 
     first = F.col("place") if include_seeds else F.col("place") + 1
     ways = start.select(*keys, "head", first.alias("place"), (F.col("steps") + first - F.col("place")).alias("steps"))
-    if rounds:
-        entered = spark.read.schema(schema).parquet(*rounds).groupBy(*keys, "head").agg(F.min("steps").alias("steps"))
+    if entered is not None:
         ways = ways.unionByName(entered.withColumn("place", F.lit(0).cast("long")))
     heads = ways.filter("place = 0").select(*keys, F.col("head").alias("at"), "steps")
     along = ways.join(runs.withColumnRenamed("place", "there"), ["app_id", "head"]).filter("there >= place")
@@ -129,55 +249,78 @@ def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], include_seeds: bo
     return found.select(*keys, "at", "steps")
 
 
-def peel(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Layer the nodes of acyclic graphs.
+def _placed(edges: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
+    """(app_id, node, layer) of all nodes whose ways in all come from placed ones, and whether no more can be placed.
+
+    ``edges`` is a stored table of distinct (app_id, at, next, length); what
+    begins at ``_TOP`` begins at layer 0, and a layer is the longest way from
+    there. A round writes for every node entered, now or earlier, how many of
+    its ways in are known and the longest of them.
+    """
+    spark, base, rounds = edges.sparkSession, scratch_path(edges.sparkSession, "placed"), []
+    ways = edges.groupBy("app_id", "next").agg(F.count(F.lit(1)).alias("ways"))
+    edges = materialize(edges.join(ways, ["app_id", "next"]), "ways")
+    top = edges.select("app_id").distinct().select("app_id", F.lit(_TOP).alias("node"), F.lit(0).cast("long").alias("layer"))
+    newest, waiting = top, None
+    while limit is None or len(rounds) < limit:
+        came = newest.withColumnRenamed("node", "at").join(edges, ["app_id", "at"]).groupBy("app_id", F.col("next").alias("node")).agg(
+            F.count(F.lit(1)).alias("known"), F.max(F.col("layer") + F.col("length")).alias("layer"), F.max("ways").alias("ways")
+        )
+        if waiting is not None:
+            came = came.unionByName(waiting).groupBy(*_NODE).agg(F.sum("known").alias("known"), F.max("layer").alias("layer"), F.max("ways").alias("ways"))
+        rounds.append(f"{base}/{len(rounds)}")
+        known = materialize(came, "layer", rounds[-1])
+        newest, waiting = known.filter("known = ways").select(*_NODE, "layer"), known.filter("known < ways")
+        if newest.isEmpty():
+            break
+    done = spark.read.schema(known.schema).parquet(*rounds).filter("known = ways").select(*_NODE, "layer")
+    return top.unionByName(done), newest.isEmpty()
+
 
-    ``nodes`` has ``app_id`` and ``stage_id``; ``edges`` has ``app_id``,
-    ``parent`` and ``child``. A parent that is no node acts as one without
-    parents. Returns ``layers``
-    (app_id, stage_id, layer) and ``stuck`` (app_id, stage_id). Layer 1 has no
-    parent, and every other node is one layer below its deepest parent, so the
-    layer is the longest path counted in nodes. ``stuck`` nodes lie on a cycle
-    or below one and have no layer.
+def longest_paths(edges: DataFrame) -> DataFrame:
+    """(app_id, depth): the number of nodes on the longest path of every graph that ``edges`` has; NULL if it has a circle.
 
-    A round follows the ways out of the runs placed last. It writes for each
-    run it enters how many of its ways in are now known and the deepest of
-    them; a run is placed when all are.
+    ``edges`` has ``app_id``, ``parent`` and ``child``.
     """
-    spark = nodes.sparkSession
-    edges = edges.select("app_id", F.col("parent").alias("at"), F.col("child").alias("next")).distinct()
+    edges = edges.select("app_id", F.col("parent").cast("long").alias("at"), F.col("child").cast("long").alias("next")).distinct()
     edges = materialize(edges, "edges")
     runs = unary_runs(edges)
     between = _between_runs(edges, runs)
-    entries = materialize(between.groupBy("app_id", F.col("to").alias("head")).agg(F.count(F.lit(1)).alias("ways")), "entries")
-    newest = between.select("app_id", "head").distinct().join(entries, ["app_id", "head"], "left_anti").withColumn("layer", F.lit(1).cast("long"))
-    base = scratch_path(spark, "peel")
-    seen: list[str] = []
-    placed: list[str] = []
-    while True:
-        came = newest.join(between, ["app_id", "head"]).groupBy("app_id", F.col("to").alias("head")).agg(
-            F.count(F.lit(1)).alias("known"), F.max(F.col("layer") + F.col("after") + 1).alias("layer")
-        )
-        came = materialize(came, "ways", f"{base}/ways/{len(seen)}")
-        if came.isEmpty():
-            break
-        seen.append(f"{base}/ways/{len(seen)}")
-        # Only runs entered in this round can have become complete.
-        total = spark.read.schema(came.schema).parquet(*seen).join(came.select("app_id", "head"), ["app_id", "head"], "left_semi")
-        total = total.groupBy("app_id", "head").agg(F.sum("known").alias("known"), F.max("layer").alias("layer"))
-        whole = total.join(entries, ["app_id", "head"]).filter("known = ways").select("app_id", "head", "layer")
-        placed.append(f"{base}/placed/{len(placed)}")
-        newest = materialize(whole, "placed", placed[-1])
-
-    at_run = _with_runs(nodes.select("app_id", "stage_id"), runs, "stage_id")
-    at_run = at_run.join(entries.select("app_id", "head", "ways"), ["app_id", "head"], "left")
-    layer = F.lit(1).cast("long")
-    if placed:
-        done = spark.read.schema(newest.schema).parquet(*placed).withColumnRenamed("layer", "deepest")
-        at_run = at_run.join(done, ["app_id", "head"], "left")
+    ends = runs.groupBy("app_id", "head").agg(F.max("place").alias("last"))
+    heads = between.select("app_id", "head").union(ends.select("app_id", "head")).distinct()
+    first = heads.join(between.select("app_id", F.col("to").alias("head")), ["app_id", "head"], "left_anti")
+    last = between.select("app_id", F.col("to").alias("head")).union(ends.select("app_id", "head")).distinct()
+    last = last.join(between, ["app_id", "head"], "left_anti").join(ends, ["app_id", "head"], "left")
+    # From before all others to the first runs, from run to run, and from the last runs to after all others.
+    ways = (
+        first.select("app_id", F.lit(_TOP).alias("at"), F.col("head").alias("next"), F.lit(1).cast("long").alias("length"))
+        .unionByName(between.groupBy("app_id", F.col("head").alias("at"), F.col("to").alias("next")).agg(F.max(F.col("after") + 1).alias("length")))
+        .unionByName(last.select("app_id", F.col("head").alias("at"), F.lit(_END).alias("next"), F.coalesce("last", F.lit(0).cast("long")).alias("length")))
+    )
+    ways = materialize(ways, "ways")
+    placed, ended = _placed(ways, LEVELS)
+    depths = placed.filter(F.col("node") == _END).select("app_id", F.col("layer").alias("depth"))
+    open_ = ways.join(placed.select("app_id", F.col("node").alias("next")), ["app_id", "next"], "left_anti")
+    if ended:
+        circular = open_.select("app_id").distinct()
     else:
-        at_run = at_run.withColumn("deepest", F.lit(None).cast("long"))
-    layer = F.when(F.col("ways").isNull(), layer).otherwise(F.col("deepest")) + F.col("place")
-    located = materialize(at_run.select("app_id", "stage_id", layer.alias("layer")), "layers")
-    stuck = located.filter("layer IS NULL").select("app_id", "stage_id")
-    return located.filter("layer IS NOT NULL"), stuck
+        at = placed.withColumnRenamed("node", "at")
+        # A way from a placed node begins at the top, as long as the longest way to it.
+        open_ = open_.join(at, ["app_id", "at"], "left").select(
+            "app_id",
+            F.when(F.col("layer").isNull(), F.col("at")).otherwise(F.lit(_TOP)).alias("at"),
+            "next",
+            (F.col("length") + F.coalesce("layer", F.lit(0))).alias("length"),
+        )
+        open_ = materialize(open_.groupBy("app_id", "at", "next").agg(F.max("length").alias("length")), "ways")
+        kept = open_.select("app_id").distinct().select("app_id", F.explode(F.array(F.lit(_TOP), F.lit(_END))).alias("node"))
+        core, _, cyclic = contracted(open_, materialize(kept, "kept"), longest=True)
+        core = materialize(core, "core")
+        late, _ = _placed(core)
+        circular = core.join(late.select("app_id", F.col("node").alias("next")), ["app_id", "next"], "left_anti").select("app_id").distinct()
+        if cyclic is not None:
+            circular = circular.unionByName(cyclic).distinct()
+        depths = depths.unionByName(late.filter(F.col("node") == _END).select("app_id", F.col("layer").alias("depth")))
+    apps = edges.select("app_id").distinct()
+    sound = depths.join(circular, "app_id", "left_anti")
+    return apps.join(sound, "app_id", "left")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.operators.closure import peel, reach
+from faultlens.operators.closure import longest_paths, reach
 from faultlens.operators.graph import NODE, declared_edges, roots_and_leaves
 from faultlens.session import materialize
 
@@ -63,22 +63,11 @@ def depth_and_cycles(nodes: DataFrame) -> DataFrame:
     The depth is the longest path counted in stages, an unknown parent being
     one more stage at the top. It is NULL for applications with a cycle.
     """
-    listed = _listed(nodes)
     # An unknown parent is no child of any edge, so it counts as a first layer.
-    edges = declared_edges(listed).select(
+    edges = declared_edges(_listed(nodes)).select(
         "app_id", F.col("parent_stage_id").alias("parent"), F.col("child_stage_id").alias("child")
     )
-    layers, stuck = peel(listed, edges)
-    deepest = layers.groupBy("app_id").agg(F.max("layer").alias("layer"))
-    cyclic = stuck.select("app_id").distinct().withColumn("cyclic", F.lit(True))
-    walked = (
-        deepest.join(cyclic, "app_id", "full")
-        .select(
-            "app_id",
-            F.when(F.col("cyclic").isNull(), F.col("layer")).cast("int").alias("depth"),
-            F.col("cyclic").isNull().alias("is_acyclic"),
-        )
-    )
+    walked = longest_paths(edges).select("app_id", F.col("depth").cast("int").alias("depth"), F.col("depth").isNotNull().alias("is_acyclic"))
     chain = (
         _chained(nodes)
         .groupBy("app_id")

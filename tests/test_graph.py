@@ -1,6 +1,8 @@
+import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from faultlens.operators import graph, lineage, root_cause
 from faultlens.session import materialize
@@ -268,6 +270,87 @@ def test_long_recorded_chain(spark, written):
     assert tables < 30 and rows < 20 * size
 
 
+def deep_graphs(spark, levels, width, order=1):
+    """Every stage of a level has all stages of the level above as parents; ids jump about if ``order`` is no 1."""
+    size = levels * width
+    ids = f"CAST(pmod(id * {order}, {size}) AS INT)"
+    above = f"transform(sequence(0, {width - 1}), k -> CAST(pmod(((id DIV {width} - 1) * {width} + k) * {order}, {size}) AS STRING))"
+    stages = spark.range(size).selectExpr(
+        "'app' AS app_id", f"{ids} AS stage_id", "0 AS stage_attempt_id", "'s' AS stage_name", "'FAILED' AS status",
+        "'a rather long reason' AS failure_reason", f"if(id < {width}, '', array_join({above}, ',')) AS parent_ids",
+    )
+    return materialize(graph.stage_nodes(stages), "nodes")
+
+
+@pytest.mark.parametrize(("levels", "width", "order"), [(5_000, 2, 1), (300, 3, 7)])
+def test_deep_graph_needs_few_rounds(spark, monkeypatch, levels, width, order):
+    """A ladder of 5,000 levels with two parents each: under 40 rounds, and rows in proportion to edges and their logarithm."""
+    from faultlens.operators import closure
+
+    written, real = [], closure.materialize
+    monkeypatch.setattr(closure, "materialize", lambda df, name, *a: written.append((name, real(df, name, *a))) or written[-1][1])
+    edges = (levels - 1) * width**2
+
+    def effort():
+        rounds = sum(name in ("contracted", "round", "layer", "back") for name, _ in written)
+        contractions = sum(name == "contracted" for name, _ in written)
+        rows = sum(t.count() for _, t in written)
+        written.clear()
+        return contractions, rounds, rows
+
+    nodes = deep_graphs(spark, levels, width, order)
+    row = lineage.depth_and_cycles(nodes).first()
+    assert (row.depth, row.is_acyclic) == (levels, True)
+    contractions, rounds, rows = effort()
+    assert 0 < contractions < 40 and rounds < 40 + closure.LEVELS + 4 and rows < edges * math.log2(edges)
+    last = nodes.filter(f"stage_id = pmod({levels * width - 1} * {order}, {levels * width})").select("app_id", "stage_id")
+    found = lineage.ancestors(nodes, last).agg(F.count_distinct("ancestor_id"), F.count("*")).first()
+    assert tuple(found) == ((levels - 1) * width, (levels - 1) * width)
+    contractions, rounds, rows = effort()
+    assert 0 < contractions < 40 and rounds < 2 * 40 + closure.LEVELS + 4 and rows < edges * math.log2(edges)
+
+
+def test_contraction_matches_brute_force(spark, monkeypatch):
+    """Random graphs, some with circles, contracted from the first level on: depth, ancestors, descendants and the walk."""
+    from faultlens.operators import closure
+
+    monkeypatch.setattr(closure, "LEVELS", 1)
+    dice = random.Random(11)
+    apps = {}
+    for a in range(60):
+        size = dice.randrange(2, 40)
+        near = dice.choice([3, 8, 40])
+        apps[f"g{a}"] = {
+            s: ("FAILED" if dice.random() < 0.8 else "COMPLETED", "lost" if dice.random() < 0.9 else "aborted", [p for p in range(max(0, s - near), s) if dice.random() < 2 / near])
+            for s in range(size)
+        }
+        if a % 4 == 0:
+            at = dice.randrange(size)
+            apps[f"g{a}"][at][2].append(dice.randrange(at, size))
+    nodes = materialize(nodes_of(spark, apps), "nodes")
+    found = {r.app_id: (r.depth, r.is_acyclic) for r in lineage.depth_and_cycles(nodes).collect()}
+    seeds = nodes.filter("stage_id % 5 = 1").select("app_id", "stage_id")
+    above, below = {}, {}
+    for r in lineage.ancestors(nodes, seeds).collect():
+        above.setdefault((r.app_id, r.seed_stage_id), set()).add(r.ancestor_id)
+    for r in lineage.descendants(nodes, seeds).collect():
+        below.setdefault((r.app_id, r.seed_stage_id), set()).add(r.descendant_id)
+    levels = {}
+    for r in root_cause.trace(nodes).collect():
+        levels.setdefault(r.app_id, {})[r.stage_id] = r.bfs_level
+    for app, stages in apps.items():
+        parents, _ = brute.build(stages)
+        acyclic = brute.is_acyclic(parents)
+        assert found[app] == (brute.depth(parents) if acyclic else None, acyclic), app
+        for s in stages:
+            if s % 5 == 1:
+                assert above.get((app, s), set()) == brute.ancestors(parents, s), (app, s)
+                assert below.get((app, s), set()) == brute.descendants(parents, s), (app, s)
+        want = brute.analyse(stages)
+        steps = levels.get(app, {})
+        assert sorted(steps, key=lambda s: (steps[s], s), reverse=True) == (want[2] if want else []), app
+
+
 def test_circle_and_tail(spark):
     """A recorded circle of 40 stages with a tail of 40: no depth, and everything before is an ancestor."""
     apps = {"loop": {s: ("COMPLETED", None, [39 if s == 0 else s - 1]) for s in range(80)}}
