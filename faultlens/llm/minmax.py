@@ -68,7 +68,7 @@ def band_hashes(hashes: np.ndarray, counts: np.ndarray, permutations: int = PERM
 
 
 def signatures(documents: DataFrame, size: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (equal for equal sets), bands of every document; no key or bands without shingles."""
+    """doc_id, text_key (a hash of the text), n_shingles, set_key (equal for equal sets), bands of every document; no set_key or bands without shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -83,16 +83,19 @@ def signatures(documents: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(batch.schema.get_field_index("doc_id")),
+                    batch.column(batch.schema.get_field_index("text_key")),
                     pa.array(counts, pa.int64()),
                     binary_column(keys.reshape(-1), filled.astype(np.int64) * 2),
                     list_column(bands.reshape(-1), filled * (PERMUTATIONS // BAND), pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "bands"],
             )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, bands array<long>"
-    )
+    return _keyed(documents).mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_key binary, bands array<long>")
+
+
+def _keyed(documents: DataFrame) -> DataFrame:
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
 
 
 def shingle_sets(documents: DataFrame, size: int) -> DataFrame:
@@ -133,24 +136,28 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80) -> D
     ``100 * intersection >= percent * union``. ``component_id`` is the smallest
     doc_id reachable over links, ``kept`` says whether it is the document's
     own. Documents without a word (or a null text) are linked with nothing.
-    Repeated rows give repeated results. A row with a null doc_id is in no
-    link; its component_id is null and it is kept. Columns other than doc_id
+    Repeated rows give repeated results. Rows that share a doc_id but not the
+    text are linked each by its own text, and not because of the id, which they
+    may have in common as component_id. A row with a null doc_id is in no link; its component_id is null and it is kept. Columns other than doc_id
     and text are not looked at.
     """
     known = store(signatures(documents, size), "signatures")
     filled = known.filter("n_shingles > 0 AND doc_id IS NOT NULL")
 
-    # Equal sets are one class; its smallest document stands for it.
-    classes = store(filled.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(classes.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"]).dropDuplicates(["doc_id"])
-    entries = reps.select("doc_id", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    # Equal sets are one class, numbered by writing it once; a text of its smallest document stands for it.
+    # From here on to the labels doc_id is the number of a class, since a document's id may have several texts.
+    classes = filled.groupBy("set_key", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("text_key", "doc_id").alias("text_key"))
+    classes = store(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    named = ["set_key", "doc_id", "text_key"]
+    reps = filled.join(classes.select("set_key", F.col("rep").alias("doc_id"), "text_key", "class"), named).dropDuplicates(named)
+    entries = reps.select(F.col("class").alias("doc_id"), "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     entries = entries.select("doc_id", "n_shingles", F.xxhash64("band", "bucket").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("members"), F.min("doc_id").alias("first")).filter("members > 1")
     members = store(entries.join(shared, "bucket").select("bucket", "doc_id", "n_shingles", "first"), "buckets")
 
-    wanted = members.select("doc_id").distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
-    sets = store(shingle_sets(texts, size), "sets")
+    wanted = classes.join(members.select(F.col("doc_id").alias("class")).distinct(), "class").select(F.col("rep").alias("doc_id"), "text_key", "class")
+    texts = _keyed(documents).join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
+    sets = store(shingle_sets(texts.select(F.col("class").alias("doc_id"), "text"), size), "sets")
 
     first = members.select("bucket", F.col("first").alias("a"), F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"))
     first = first.filter("a <> b").join(members.select("bucket", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a")), ["bucket", "a"])
@@ -166,9 +173,9 @@ def near_duplicates(documents: DataFrame, size: int = 4, percent: int = 80) -> D
     if not found.isEmpty():
         components = store(connected_components(links.union(found), "a", "b"), "components")
 
-    labels = classes.join(components.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
-        "set_key", F.coalesce("component", "rep").alias("component")
-    )
+    linked = classes.join(components.withColumnRenamed("node", "class"), "class", "left").select("set_key", "rep", F.coalesce("component", "class").alias("component"))
+    lowest = linked.groupBy("component").agg(F.min("rep").alias("lowest"))
+    labels = linked.join(lowest, "component").select("set_key", F.col("lowest").alias("component"))
     # One row for each component and class, so the join back is by the class and Spark may split hot ones.
     placed = known.join(labels, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -57,6 +57,22 @@ def test_awkward_rows(spark):
     assert all(r.component_id is None and r.kept for r in rows if r.doc_id is None)
 
 
+def test_ids_with_several_texts(spark):
+    """Whatever the order of the rows, each text of a repeated id keeps its own links."""
+    dice = random.Random(8)
+    one, two, three = (samples.sentence(dice, 80) for _ in range(3))
+    rows = [(1, one), (1, two), (2, samples.edited(dice, two, 0.01)), (3, samples.edited(dice, one, 0.01)), (3, three), (4, three), (2, two), (5, one)]
+    texts = brute([(k, text) for k, (_, text) in enumerate(rows)])
+    want = []
+    for k, (doc_id, _) in enumerate(rows):
+        group = min(rows[j][0] for j in texts if texts[j][1] == texts[k][1])
+        want.append((doc_id, texts[k][0], group, doc_id == group))
+    for order in range(6):
+        dice.shuffle(rows)
+        df = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], samples.SCHEMA).repartition(1 + order % 3)
+        assert sorted(tuple(r) for r in minmax.near_duplicates(df).collect()) == sorted(want)
+
+
 def test_empty(spark):
     assert minmax.near_duplicates(samples.empty(spark)).count() == 0
 
