@@ -14,9 +14,12 @@ capacity, not by the data, and no round sees more than its leaves carry.
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +28,7 @@ import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from faultlens.llm.common import slices, store
 
@@ -34,6 +38,10 @@ END_ID = 0
 #: Pieces of one leaf.
 LEAF = 1 << 15
 FAN_IN = 8
+#: Leaves of a first round are shared by no more tasks than this; a task packs its leaves one after the other.
+SHARES = 1 << 12
+#: Texts with so much white space in a row go through the slower encoder, since the faster one's pattern needs stack for it.
+BLANKS = 10_000
 #: A bin with no more free places than this is full.
 TOLERANCE = 4
 
@@ -41,15 +49,31 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def vocabulary() -> str:
-    """The installed byte-level vocabulary; its ids are those of ``byte_bpe_50k.json``."""
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    """The tokenizer file whose ids count."""
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 @lru_cache(maxsize=2)
-def encoding(path: str) -> tiktoken.Encoding:
-    with open(path, "rb") as lines:
+def encoder(path: str) -> Callable[[str], list[int]]:
+    """Text to the ids of the tokenizer file, without special tokens added; those that stand in the text have their own ids.
+
+    The merges beside the file (``.tiktoken``) make a much faster encoder of the same ids.
+    """
+    special = {token["content"]: token["id"] for token in json.loads(Path(path).read_text(encoding="utf-8"))["added_tokens"]}
+    with open(Path(path).with_suffix(".tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    slow: list[Tokenizer] = []
+    blanks = re.compile(r"\s+")
+
+    def encode(text: str) -> list[int]:
+        if len(text) > BLANKS and any(m.end() - m.start() > BLANKS for m in blanks.finditer(text)):
+            if not slow:
+                slow.append(Tokenizer.from_file(path))
+            return slow[0].encode(text, add_special_tokens=False).ids
+        return fast.encode(text, allowed_special="all", disallowed_special=())
+
+    return encode
 
 
 def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -57,12 +81,13 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
 
     A document is its ids and one ``END_ID``; a null or empty text is the
     ``END_ID`` alone. A longer one than ``capacity`` is cut into full pieces,
-    of which only the first may be shorter. Strings of special tokens are text.
+    of which only the first may be shorter. A special token's string has the id
+    of that token.
     """
     path = path or vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(path).encode_ordinary
+        encode = encoder(path)
         for batch in slices(batches, "text"):
             found: list[tuple[int | None, int, int, int, int]] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -148,7 +173,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, toler
     items = found.select(F.col("length").alias("used"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32")).alias("pieces"))
     full = items.filter(F.col("used") >= capacity)
     rest = items.filter(F.col("used") < capacity)
-    shares = max(1, -(-rest.count() // LEAF))
+    shares = max(1, min(SHARES, -(-rest.count() // LEAF)))
     rest = rest.repartition(shares, F.xxhash64("pieces"))
     done = [full]
     while True:

@@ -12,21 +12,44 @@ from tests.llm import samples
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_same_ids_as_the_tokenizer_file(tokenizer):
     dice = random.Random(4)
     alphabet = "ab cD.\n\t  '’s12éß中\U0001f600<|endoftext|>  \x1c_-"
-    encode = packing.encoding(packing.vocabulary()).encode_ordinary
+    encode = packing.encoder(packing.vocabulary())
     texts = ["", " ", "\n\n", "<|endoftext|>", "don't we'll", "a" * 3000, " " * 3000]
     texts += ["".join(dice.choice(alphabet) for _ in range(dice.randrange(1, 80))) for _ in range(800)]
     for text in texts:
         assert encode(text) == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize("text", [" " * 3_000_000, "a" + "\n" * 3_000_000 + "b", "x \t" * 5 + " \r\n" * 1_000_000, "<|endoftext|>" + " " * 20_000 + "<|endoftext|>", "a" * 3_000_000])
+def test_long_runs(tokenizer, text):
+    assert packing.encoder(packing.vocabulary())(text) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_special_strings_and_long_blanks_through_spark(spark, tokenizer):
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " " * 1_200_000, "x" + "\n" * 1_200_000 + "y <|endoftext|>"]
+    rows = packing.packed_documents(samples.plain(spark, texts)).collect()
+    _check(rows, list(enumerate(texts)), tokenizer, packing.CAPACITY)
+    assert {r.length for r in rows if r.doc_id == 1} == {2}
+
+
+def test_few_tasks_for_many_leaves(spark, monkeypatch):
+    """More leaves than tasks: a task packs several, and nothing is lost."""
+    monkeypatch.setattr(packing, "LEAF", 10)
+    monkeypatch.setattr(packing, "SHARES", 3)
+    found = spark.range(900).selectExpr("id AS doc_id", "0 AS piece", "0L AS start", "1 + id % 200 AS length", "id AS ids_crc32")
+    rows = packing.pack(found, capacity=256).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(900))
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert max(used.values()) <= 256 and len(used) <= 1.1 * sum(used.values()) / 256 + 1
+
+
 def _check(rows, given, tokenizer, capacity):
     want = {}
     for doc_id, text, *_ in given:
