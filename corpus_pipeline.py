@@ -23,23 +23,46 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, network)
 
 
+#: Names a row by its id and text, so that rows without an id, or with another row's, are told apart.
+KEY = "row_key__"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
+def _operand(keyed: DataFrame) -> DataFrame:
+    """What an operator sees: the row key as the id."""
+    return keyed.select(F.col(KEY).alias("doc_id"), "text")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five words, similarity 0.8), and one of equal rows.
 
-    Rows without a doc_id cannot be named as copies and stay.
+    Of a group the smallest doc_id stays, a null one only if there is no other.
+    Rows are told apart by doc_id and text; of those that agree in both one stays.
     """
     ship(spark)
-    copies = minmax.near_duplicates(docs, size=5, percent=80).filter("NOT kept").select("doc_id").distinct()
-    kept = docs.join(store(copies, "copies"), "doc_id", "left_anti").select(*docs.columns)
-    same = kept.filter("doc_id IS NOT NULL").withColumn("text_hash__", F.xxhash64("text")).dropDuplicates(["doc_id", "text_hash__"])
-    return same.drop("text_hash__").unionByName(kept.filter("doc_id IS NULL"))
+    keyed = _keyed(docs)
+    groups = minmax.near_duplicates(_operand(keyed), size=5, percent=80).select(F.col("doc_id").alias(KEY), F.col("component_id").alias("group"))
+    named = keyed.select(KEY, "doc_id").join(groups.distinct(), KEY)
+    order = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", KEY)
+    leaders = named.groupBy("group").agg(F.min(order).alias("leader"), F.count("*").alias("rows")).filter("rows > 1")
+    leaders = store(leaders.select("group", F.col(f"leader.{KEY}").alias("leader")), "leaders")
+    # Groups of more than one row: copies go, and of equal rows of the leader one stays.
+    copies = groups.distinct().join(leaders, "group").filter(F.col(KEY) != F.col("leader")).select(KEY)
+    kept = keyed.join(store(copies, "copies"), KEY, "left_anti")
+    several = store(named.groupBy(KEY).agg(F.count("*").alias("rows")).filter("rows > 1").select(KEY), "equal")
+    once = kept.join(several, KEY, "left_anti").unionByName(kept.join(several, KEY, "left_semi").dropDuplicates([KEY]))
+    return once.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a copy of a benchmark item go."""
+    """Documents with a copy of a benchmark item go; rows are told apart by doc_id and text."""
     ship(spark)
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
-    return docs.join(store(found, "contaminated"), "doc_id", "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = decontaminate.contaminated(_operand(keyed), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed.join(store(found, "contaminated"), KEY, "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
