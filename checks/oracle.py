@@ -309,6 +309,9 @@ stage_depth_of_failure completed_stage_ratio failed_stage_ratio spill_per_stage
 duration_heterogeneity_ratio duration_variance max_min_duration_ratio spill_ratio disk_spill_ratio
 peak_memory_ratio gc_time_ratio task_failure_rate retry_count""".split()
 
+#: The mean of doubles below 2^56 over their exact sum: multiples of 2^-70 as whole numbers, which add without rounding.
+EXACT_MEAN = "CAST(sum(CAST(trunc(value * power(2.0::DOUBLE, 70)) AS HUGEINT)) AS DOUBLE) / power(2.0::DOUBLE, 70) / count(value)"
+
 FEATS = f"""{BOTH},
 timed AS (SELECT *, CASE WHEN duration_ms > 0 THEN duration_ms ELSE executor_run_time END AS d FROM task_metrics),
 t AS (SELECT app_id, min(label) AS label, count(*) AS n_tasks, sum(CASE WHEN success THEN 0 ELSE 1 END) AS n_failed,
@@ -412,7 +415,7 @@ def telemetry() -> dict[str, str]:
         "ml_prediction_checks": f"""WITH {TASKS}, a AS (SELECT DISTINCT app_id FROM task_metrics),
             t AS (SELECT count(*) AS n FROM a WHERE CAST(concat('0x', substr(md5(app_id), 1, 8)) AS BIGINT) % 100 >= 80)
             SELECT n AS scored, n AS apps, n AS in_range, n AS probabilities_sum_to_one FROM t""",
-        "feature_describe": f"""WITH {FEATS} SELECT feature, count(value) AS n, round(avg(value), 3) AS mean,
+        "feature_describe": f"""WITH {FEATS} SELECT feature, count(value) AS n, round({EXACT_MEAN}, 3) AS mean,
             round(stddev_samp(value), 2) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max FROM long GROUP BY feature""",
         "ground_truth": f"""WITH {TASKS}, g AS (SELECT app_id, max(label) AS label FROM task_metrics GROUP BY app_id)
             SELECT app_id, g.label, label_name FROM g JOIN {NAMES} ON names.label = g.label""",
@@ -435,7 +438,7 @@ def telemetry() -> dict[str, str]:
             count(*) FILTER (WHERE p.label = prediction) / count(*) >= 0.5 AS passed
             FROM predictions p JOIN {NAMES} ON names.label = p.label GROUP BY p.label, label_name""",
         "misclassified": f"WITH {PREDICTED} SELECT app_id, label, prediction FROM predictions WHERE label <> prediction",
-        "class_feature_stats": f"""WITH {FEATS} SELECT feature, label, round(avg(value), 3) AS mean, round(stddev_samp(value), 2) AS std,
+        "class_feature_stats": f"""WITH {FEATS} SELECT feature, label, round({EXACT_MEAN}, 3) AS mean, round(stddev_samp(value), 2) AS std,
             round(min(value), 4) AS min, round(max(value), 4) AS max, count(*) AS n FROM long GROUP BY feature, label""",
         "feature_correlation": f"""WITH {FEATS} SELECT feature, round(corr(value, CAST(label AS DOUBLE)), 6) AS pearson FROM long GROUP BY feature""",
         "feature_redundancy": f"""WITH {FEATS} SELECT 'total_stages' AS first_feature, 'stage_depth_of_failure' AS second_feature,

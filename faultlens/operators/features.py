@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.columns import label_name, ratio
 from faultlens.functions.constants import FEATURES
+from faultlens.functions.exact import spread, whole_mean, whole_variance
 
 
 def with_duration(tasks: DataFrame) -> DataFrame:
@@ -30,12 +31,12 @@ def task_aggregates(tasks: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("total_tasks"),
             F.count_if(~F.col("success")).alias("failed_tasks"),
             F.count_if(F.col("task_attempt") > 0).alias("retry_count"),
-            F.avg(duration).alias("mean_task_duration"),
-            F.stddev_samp(duration).alias("std_task_duration"),
-            F.var_samp(duration).alias("duration_variance"),
+            whole_mean(duration).alias("mean_task_duration"),
+            F.sqrt(whole_variance(duration)).alias("std_task_duration"),
+            whole_variance(duration).alias("duration_variance"),
             F.min(duration).alias("min_task_duration"),
             F.max(duration).alias("max_task_duration"),
-            F.avg(peak).alias("avg_peak_memory"),
+            whole_mean(peak).alias("avg_peak_memory"),
             F.max(peak).alias("max_peak_memory"),
             F.sum("memory_bytes_spilled").alias("total_memory_spilled"),
             F.sum("disk_bytes_spilled").alias("total_disk_spilled"),
@@ -101,17 +102,7 @@ def unpivoted(features: DataFrame, columns: list[str] | None = None) -> DataFram
 
 def describe(features: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, deviation, least and greatest value of every feature."""
-    return (
-        unpivoted(features, columns)
-        .groupBy("feature")
-        .agg(
-            F.count("value").alias("n"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
+    return spread(unpivoted(features, columns), ["feature"])
 
 
 def ground_truth(labelled: DataFrame) -> DataFrame:

@@ -119,6 +119,11 @@ def _on_features(plan: Callable[[DataFrame], DataFrame], digits: dict[str, int]
     return lambda spark, folder: _rounded(plan(_features(spark, folder)), digits or {})
 
 
+def _on_stored_features(plan: Callable[[DataFrame], DataFrame], digits: dict[str, int]) -> Query:
+    """For plans that read the features several times."""
+    return lambda spark, folder: _rounded(plan(materialize(_features(spark, folder), "features")), digits)
+
+
 def _labelled_tasks(spark: SparkSession, folder: str) -> DataFrame:
     return telemetry.task_metrics(spark, folder).select("app_id", "label")
 
@@ -210,7 +215,7 @@ TELEMETRY: dict[str, Query] = {
     "task_aggregates": lambda s, d: _rounded(ft.task_aggregates(telemetry.task_metrics(s, d)), _SPREAD),
     "stage_aggregates": lambda s, d: ft.stage_aggregates(telemetry.stage_metrics(s, d)),
     "app_features": _on_features(lambda f: f, _SPREAD),
-    "feature_describe": _on_features(ft.describe, _STATS),
+    "feature_describe": _on_stored_features(ft.describe, _STATS),
     "ground_truth": lambda s, d: ft.ground_truth(_labelled_tasks(s, d)),
     "label_distribution": lambda s, d: ft.label_distribution(ft.ground_truth(_labelled_tasks(s, d))).select(
         "label", "label_name", "app_count"
@@ -223,10 +228,10 @@ TELEMETRY: dict[str, Query] = {
     "confusion_matrix": _on_predictions(evaluation.confusion_matrix),
     "per_class_accuracy": _on_predictions(evaluation.per_class_accuracy, {"accuracy": 6}),
     "misclassified": _on_predictions(evaluation.misclassified),
-    "class_feature_stats": _on_features(confound.class_feature_stats, _STATS),
-    "feature_correlation": _on_features(confound.label_correlation, {"pearson": 6}),
-    "feature_redundancy": _on_features(confound.redundancy, {"pearson": 6, "identical_share": 6}),
-    "confound_verdict": _on_features(confound.verdicts, {"pearson": 6}),
+    "class_feature_stats": _on_stored_features(confound.class_feature_stats, _STATS),
+    "feature_correlation": _on_stored_features(confound.label_correlation, {"pearson": 6}),
+    "feature_redundancy": _on_stored_features(confound.redundancy, {"pearson": 6, "identical_share": 6}),
+    "confound_verdict": _on_stored_features(confound.verdicts, {"pearson": 6}),
     "unified_report": _report,
     "manifest_completed_runs": lambda s, d: runs.completed_runs(_manifest(s, d)),
     "manifest_pending_runs": lambda s, d: (lambda m: runs.pending_runs(m, m))(_manifest(s, d)),

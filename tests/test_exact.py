@@ -1,0 +1,99 @@
+import math
+import random
+import statistics
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from faultlens.functions.exact import correlation, exact_mean, exact_sum, spread, whole_mean, whole_variance
+
+SCHEMA = "k STRING, value DOUBLE, other DOUBLE"
+
+
+def table(spark, rows, parts=1):
+    return spark.createDataFrame(rows, SCHEMA).repartition(parts)
+
+
+def groups():
+    dice = random.Random(1)
+    return {
+        "ratios": [dice.randrange(1, 20) / dice.randrange(1, 20) for _ in range(400)],
+        "mixed": [dice.uniform(-1, 1) * 10 ** dice.randrange(-8, 15) for _ in range(400)],
+        "close": [1e9 + dice.random() for _ in range(400)],
+        "huge": [dice.uniform(-1, 1) * 2.0**100 for _ in range(50)],
+        "same": [0.1] * 30,
+        "one": [3.25],
+        "none": [],
+    }
+
+
+def test_the_same_bits_for_any_partitioning(spark):
+    dice = random.Random(2)
+    rows = [(k, v, dice.uniform(-5, 5)) for k, values in groups().items() for v in values] + [("none", None, 1.0), (None, 7.0, None)]
+    seen = set()
+    for parts in (1, 2, 3, 7, 20):
+        dice.shuffle(rows)
+        df = table(spark, rows, parts)
+        one = spread(df, ["k"]).collect()
+        two = correlation(df, ["k"], F.col("value"), F.col("other")).collect()
+        seen.add((tuple(sorted(map(repr, one))), tuple(sorted(map(repr, two)))))
+    assert len(seen) == 1
+
+
+def test_close_to_exact_arithmetic(spark):
+    rows = [(k, v, 0.0) for k, values in groups().items() for v in values] + [("none", None, 0.0)]
+    found = {r.k: r for r in spread(table(spark, rows, 4), ["k"]).collect()}
+    for k, values in groups().items():
+        row = found[k]
+        if not values:
+            assert (row.n, row["mean"], row["std"]) == (0, None, None)
+            continue
+        mean = sum(map(Fraction, values)) / len(values)
+        size = sum(abs(Fraction(v)) for v in values) / len(values)
+        assert abs(Fraction(row["mean"]) - mean) <= size * Fraction(4, 2**53) and (row["min"], row["max"]) == (min(values), max(values))
+        if len(values) > 1 and k != "same":
+            assert row["std"] == pytest.approx(statistics.stdev(map(Fraction, values)), rel=1e-12)
+    assert found["same"]["std"] == 0.0 and found["one"]["std"] is None
+
+
+def test_values_that_are_not_finite(spark):
+    rows = [("a", math.inf, 0.0), ("a", 1.0, 0.0), ("b", math.nan, 0.0), ("b", 1.0, 0.0), ("c", 1e300, 0.0), ("c", 2.0, 0.0), ("d", -(2.0**119), 0.0), ("d", 2.0**119, 0.0)]
+    got = {r.k: r.s for r in table(spark, rows).groupBy("k").agg(exact_sum(F.col("value")).alias("s")).collect()}
+    assert got["a"] == math.inf and math.isnan(got["b"]) and got["c"] == 1e300 and got["d"] == 0.0
+    empty = table(spark, []).agg(exact_sum(F.col("value")), exact_mean(F.col("value"))).first()
+    assert tuple(empty) == (None, None)
+
+
+def test_whole_numbers(spark):
+    dice = random.Random(3)
+    cases = {
+        "small": [dice.randrange(100) for _ in range(300)],
+        "close": [10**12 + dice.randrange(3) for _ in range(300)],
+        "large": [dice.randrange(-(10**14), 10**14) for _ in range(300)],
+        "edge": [(1 << 63) - 1, -(1 << 63), 5],
+        "one": [4],
+    }
+    rows = [(k, v) for k, values in cases.items() for v in values]
+    seen = set()
+    for parts in (1, 4, 9):
+        dice.shuffle(rows)
+        df = spark.createDataFrame(rows, "k STRING, v LONG").repartition(parts)
+        out = df.groupBy("k").agg(whole_mean(F.col("v")).alias("mean"), whole_variance(F.col("v")).alias("variance")).collect()
+        seen.add(tuple(sorted(repr(r) for r in out if r.k != "edge")))
+        for r in out:
+            values = [Fraction(v) for v in cases[r.k]]
+            assert r["mean"] == pytest.approx(float(statistics.mean(values)), rel=1e-15)
+            want = float(statistics.variance(values)) if len(values) > 1 else None
+            assert r.variance == (None if want is None else pytest.approx(want, rel=1e-14)), r.k
+    assert len(seen) == 1
+
+
+def test_correlation(spark):
+    dice = random.Random(4)
+    rows = [("a", x := dice.gauss(0, 1), 2 * x + dice.gauss(0, 1)) for _ in range(200)] + [("flat", 1.0, dice.random()) for _ in range(5)]
+    rows += [("line", float(k), -3.0 * k) for k in range(9)] + [("lone", 1.0, None), (None, 1.0, 2.0), (None, 2.0, 3.0)]
+    got = {r.k: r.pearson for r in correlation(table(spark, rows, 3), ["k"], F.col("value"), F.col("other")).collect()}
+    a = [r for r in rows if r[0] == "a"]
+    assert got["a"] == pytest.approx(statistics.correlation([r[1] for r in a], [r[2] for r in a]), rel=1e-12)
+    assert (got["flat"], got["lone"]) == (None, None) and got["line"] == pytest.approx(-1.0, abs=1e-15) and got[None] == pytest.approx(1.0)

@@ -62,3 +62,17 @@ def test_applications_do_not_merge(spark, skewed):
 def test_entry(spark):
     rows = contract.entry(spark)
     assert rows.columns[0] == "app_id" and rows.count() > 0
+
+
+def test_skewed_statistics_do_not_depend_on_partitions(spark, skewed):
+    """A mean near a rounding tie: 20 runs with other partition counts, all equal to the SQL."""
+    from faultlens.operators import confound
+    from faultlens.plans import registry
+    from faultlens.session import materialize
+
+    features = materialize(registry._features(spark, skewed), "features")
+    seen = set()
+    for parts in range(1, 21):
+        stats = confound.class_feature_stats(features.repartition(parts))
+        seen.add(tuple(sorted(map(repr, stats.collect()))))
+    assert len(seen) == 1
