@@ -4,8 +4,8 @@ A window partitioned by an application id would push a whole application
 through one task. Here every group is cut into segments of 65,536 consecutive
 order values. Each segment is handled on its own and leaves one summary row.
 The summary rows of 65,536 consecutive segments are in turn a segment of the
-next level, and so on for as many levels as the order column's type needs, so
-where the order column is unique inside its group no window sees more than
+next level, and so on for as many levels as the numbers of the order column need,
+so where the order column is unique inside its group no window sees more than
 65,536 rows at any level.
 """
 
@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultlens.session import materialize
+
 SEGMENT_BITS = 16
 
 _SEGMENT, _UPPER = "segment__", "upper_segment__"
@@ -87,6 +89,12 @@ def running_before(
         *[F.max(e).alias(n) for n, e in flags.items()],
     )
     levels = -(-_BITS.get(df.schema[order].dataType.typeName(), 64) // SEGMENT_BITS) - 1
+    if levels > 1:
+        # All levels are built from the stored segments, and there are no more than their numbers need.
+        per_segment = materialize(per_segment, "segments")
+        low, high = per_segment.agg(F.min(_SEGMENT), F.max(_SEGMENT)).first()
+        while levels > 1 and (low or 0) >> SEGMENT_BITS * (levels - 1) == (high or 0) >> SEGMENT_BITS * (levels - 1):
+            levels -= 1
     carried = _carried(per_segment, keys, list(sums), list(maxima), levels).select(
         *keys, _SEGMENT, *[F.col(n).alias(f"{n}__carried") for n in names]
     )
