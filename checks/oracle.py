@@ -309,6 +309,14 @@ stage_depth_of_failure completed_stage_ratio failed_stage_ratio spill_per_stage
 duration_heterogeneity_ratio duration_variance max_min_duration_ratio spill_ratio disk_spill_ratio
 peak_memory_ratio gc_time_ratio task_failure_rate retry_count""".split()
 
+#: Lines of an application's log file: its events, and how many of them have noise beside them.
+NOISE = """parts AS (
+  SELECT app_id, label, count(*) AS events, count(*) FILTER (WHERE task_id % 20 = 0) AS noisy FROM task_metrics GROUP BY app_id, label
+  UNION ALL
+  SELECT app_id, label, 2 * count(*), count(*) FILTER (WHERE stage_id % 5 = 0) FROM stage_metrics GROUP BY app_id, label),
+per_app AS (SELECT app_id, label, CAST(sum(events) AS BIGINT) AS events, CAST(sum(noisy) AS BIGINT) AS noisy FROM parts GROUP BY app_id, label),
+apps AS (SELECT DISTINCT app_id FROM per_app)"""
+
 #: The mean of doubles below 2^56 over their exact sum: multiples of 2^-70 as whole numbers, which add without rounding.
 EXACT_MEAN = "CAST(sum(CAST(trunc(value * power(2.0::DOUBLE, 70)) AS HUGEINT)) AS DOUBLE) / power(2.0::DOUBLE, 70) / count(value)"
 
@@ -395,6 +403,16 @@ def telemetry() -> dict[str, str]:
         "parse_task_events": f"WITH {TASKS} SELECT {TASK_LIST} FROM task_metrics",
         "parse_stage_events": f"WITH {STAGES} SELECT * FROM stage_metrics",
         "parse_stage_parents": f"WITH {STAGES} SELECT app_id, stage_id, parent_ids FROM stage_metrics",
+        "scan_task_rows": f"WITH {TASKS} SELECT {TASK_LIST} FROM task_metrics",
+        "scan_stage_rows": f"WITH {STAGES} SELECT * FROM stage_metrics",
+        "scan_counters": f"""WITH {BOTH}, {NOISE}
+            SELECT (SELECT count(*) FROM apps) AS files, events + 3 * noisy + (SELECT count(*) FROM apps) AS lines, events AS parsed,
+              noisy AS malformed, noisy AS other_event
+            FROM (SELECT CAST(sum(events) AS BIGINT) AS events, CAST(sum(noisy) AS BIGINT) AS noisy FROM per_app)""",
+        "scan_rejected": f"""WITH {BOTH}, {NOISE}
+            SELECT app_id, label, reason, noisy AS lines, 1 AS files FROM per_app, (VALUES ('malformed'), ('other_event')) r(reason) WHERE noisy > 0""",
+        "scan_report": f"""WITH {BOTH}, {NOISE}
+            SELECT app_id, events + 3 * noisy + 1 AS lines, true AS ended, true AS has_bytes FROM per_app""",
         "parse_once_counts": f"""WITH {BOTH} SELECT (SELECT count(*) FROM task_metrics) AS tasks,
             (SELECT count(*) FROM stage_metrics) AS stages""",
         "task_aggregates": f"""WITH {FEATS} SELECT app_id, label, n_tasks AS total_tasks, CAST(n_failed AS BIGINT) AS failed_tasks,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.fixtures import log_text, telemetry
+from faultlens.fixtures import log_files, log_text, telemetry
 from faultlens.functions.columns import format_bytes, label_name
 from faultlens.functions.constants import FEATURES
 from faultlens.operators import classify, confound, evaluation, graph, lineage, root_cause, splits
@@ -193,6 +193,41 @@ def _formatted_bytes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _log_files(spark: SparkSession, folder: str) -> str:
+    """The derived telemetry as log files with noise in them, in class folders."""
+    lines = log_files.noisy_lines(telemetry.task_metrics(spark, folder), telemetry.stage_metrics(spark, folder))
+    base = scratch_path(spark, "logs")
+    materialize(log_files.write_logs(lines, base), "written")
+    return base
+
+
+def _plain_ids(rows: DataFrame) -> DataFrame:
+    """The derived ids; those of log files have the file's prefix."""
+    return rows.withColumn("app_id", F.regexp_replace("app_id", "^application_", ""))
+
+
+def _scanned(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, event_logs.ScanCounts]:
+    found = event_logs.ScanCounts()
+    tasks, stages = event_logs.parse_once(event_logs.scan_event_logs(spark, _log_files(spark, folder), counts=found), found)
+    return _plain_ids(tasks), _plain_ids(stages), found
+
+
+def _scan_counters(spark: SparkSession, folder: str) -> DataFrame:
+    totals = _scanned(spark, folder)[2].totals()
+    return spark.range(1).select(*[F.lit(count).cast("long").alias(name) for name, count in totals.items()])
+
+
+def _scan_rejected(spark: SparkSession, folder: str) -> DataFrame:
+    rejected = _plain_ids(_scanned(spark, folder)[2].rejected)
+    return rejected.groupBy("app_id", "label", "reason").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("file").alias("files"))
+
+
+def _scan_report(spark: SparkSession, folder: str) -> DataFrame:
+    report = event_logs.scan_report(spark, _log_files(spark, folder), skip_damaged=False)
+    app = _plain_ids(report.withColumn("app_id", event_logs.app_id_of(F.regexp_extract("path", "[^/]*$", 0))))
+    return app.select("app_id", "lines", "ended", (F.col("bytes") > 0).alias("has_bytes"))
+
+
 def _preprocessed(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The eight result tables, from log text with noise in it."""
     wanted = _task_lines(spark, folder).unionByName(_stage_lines(spark, folder))
@@ -212,6 +247,11 @@ TELEMETRY: dict[str, Query] = {
     "parse_stage_events": lambda s, d: event_logs.stage_events(_stage_lines(s, d)),
     "parse_stage_parents": lambda s, d: event_logs.stage_parents(event_logs.submitted_stages(_stage_lines(s, d))),
     "parse_once_counts": _parse_once_counts,
+    "scan_task_rows": lambda s, d: _scanned(s, d)[0],
+    "scan_stage_rows": lambda s, d: _scanned(s, d)[1],
+    "scan_counters": _scan_counters,
+    "scan_rejected": _scan_rejected,
+    "scan_report": _scan_report,
     "task_aggregates": lambda s, d: _rounded(ft.task_aggregates(telemetry.task_metrics(s, d)), _SPREAD),
     "stage_aggregates": lambda s, d: ft.stage_aggregates(telemetry.stage_metrics(s, d)),
     "app_features": _on_features(lambda f: f, _SPREAD),
