@@ -43,6 +43,8 @@ THRESHOLD = 0.3
 CLEAN_WEIGHT = 8.0
 #: Toxic texts that are enough to find it.
 ENOUGH = 50
+#: Bytes of text, and words of whole documents, that training looks at together.
+PART_BYTES, PART_WORDS = 1 << 18, 1 << 15
 
 
 @dataclass
@@ -67,7 +69,43 @@ def read_words(texts: pa.Array) -> Words:
     # What a word begins and ends with; a short word is both as a whole.
     affixes = [span_hashes(low, first, np.minimum(first + k, last)) for k in BEGINNINGS] + [span_hashes(low, np.maximum(last - ENDING, first), last)]
     affixes = np.stack([mix(a + np.uint64(k)) for k, a in enumerate(affixes)], axis=1)
-    return Words(hashes, chars.astype(np.int16), affixes, numbers.reshape(-1), np.bincount(owners, minlength=len(offsets) - 1))
+    return Words(hashes, chars.astype(np.int16), affixes, numbers.reshape(-1).astype(np.int32), np.bincount(owners, minlength=len(offsets) - 1))
+
+
+def _together(parts: list[Words]) -> Words:
+    """The texts of all parts in a row, each distinct word once."""
+    hashes = np.unique(np.concatenate([p.hashes for p in parts]))
+    chars = np.empty((len(hashes), parts[0].chars.shape[1]), np.int16)
+    affixes = np.empty((len(hashes), parts[0].affixes.shape[1]), np.uint64)
+    numbers = []
+    for part in parts:
+        at = np.searchsorted(hashes, part.hashes).astype(np.int32)
+        chars[at], affixes[at] = part.chars, part.affixes
+        numbers.append(at[part.numbers])
+    return Words(hashes, chars, affixes, np.concatenate(numbers), np.concatenate([p.counts for p in parts]))
+
+
+def read_texts(texts: list[str], limit: int = PART_BYTES, at_once: int = 16) -> Words:
+    """``read_words`` of many texts, read a few at a time."""
+    parts, first, size = [], 0, 0
+    for k, text in enumerate(texts):
+        size += len(text)
+        if size >= limit or k + 1 == len(texts):
+            parts.append(read_words(pa.array(texts[first : k + 1], pa.large_string())))
+            first, size = k + 1, 0
+            if len(parts) == at_once:
+                parts = [_together(parts)]
+    return _together(parts or [read_words(pa.array([], pa.large_string()))])
+
+
+def in_parts(words: Words, limit: int = PART_WORDS) -> Iterator[tuple[int, int, int, int]]:
+    """First and one past the last document, and the same of their words, so that parts have about ``limit`` words."""
+    ends = np.r_[0, np.cumsum(words.counts)]
+    first = 0
+    while first < len(words.counts):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + limit, side="right")) - 1)
+        yield first, last, int(ends[first]), int(ends[last])
+        first = last
 
 
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,11 +269,16 @@ class Network:
     def window_values(self, words: Words, batch: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document, first word, length and value of every window of some texts."""
         document, first, lengths = windows(words.counts)
-        _, _, seen = self.inputs(words)
         values = np.empty(len(document), np.float32)
-        order = np.argsort(lengths, kind="stable")
-        for part in np.split(order, range(batch, len(order), batch)):
-            values[part] = self.forward(seen, window_index(words, first[part], lengths[part]), lengths[part])
+        for one, last, begin, end in in_parts(words):
+            # Only what the words of these documents look like is held.
+            kinds, numbers = np.unique(words.numbers[begin:end], return_inverse=True)
+            some = Words(words.hashes[kinds], words.chars[kinds], words.affixes[kinds], numbers.reshape(-1), words.counts[one:last])
+            seen = self.inputs(some)[2]
+            mine = np.arange(*np.searchsorted(document, [one, last]))
+            mine = mine[np.argsort(lengths[mine], kind="stable")]
+            for part in np.split(mine, range(batch, len(mine), batch)):
+                values[part] = self.forward(seen, window_index(some, first[part] - begin, lengths[part]), lengths[part])
         return document, first, lengths, values
 
     def document_scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -258,22 +301,26 @@ def _numbers(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def window_index(words: Words, first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers of each window's words; past its end the number of the word that is none."""
-    at = first[:, None] + np.arange(WINDOW)
-    numbers = np.r_[words.numbers, len(words.hashes)]
-    return np.where(np.arange(WINDOW) < lengths[:, None], numbers[np.minimum(at, len(numbers) - 1)], len(words.hashes))
+    none = len(words.hashes)
+    if not len(words.numbers):
+        return np.full((len(first), WINDOW), none)
+    at = np.minimum(first[:, None] + np.arange(WINDOW), len(words.numbers) - 1)
+    return np.where(np.arange(WINDOW) < lengths[:, None], words.numbers[at], none)
 
 
 def _vocabulary(words: Words, features: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The features (hashes of each distinct word) whose presence differs most between the classes, and by how much (log-odds, shrunk)."""
-    names, which = np.unique(features, return_inverse=True)
-    which = which.reshape(features.shape if features.ndim == 2 else (-1, 1))
+    names = np.unique(features)
+    columns = (features if features.ndim == 2 else features[:, None]).T
+    which = [np.searchsorted(names, column).astype(np.int32) for column in columns]
     size = max(len(names), 1)
-    owners = np.repeat(np.arange(len(words.counts)), words.counts)
-    # Feature by feature, so that only the distinct pairs are held together.
-    pairs = np.unique(np.concatenate([np.unique(owners * size + which[words.numbers, k]) for k in range(which.shape[1])]))
-    holder, number = pairs // size, pairs % size
-    bad = np.bincount(number, weights=toxic[holder], minlength=len(names))
-    all_ = np.bincount(number, minlength=len(names))
+    bad, all_ = np.zeros(len(names)), np.zeros(len(names), np.int64)
+    for first, last, begin, end in in_parts(words):
+        owners = np.repeat(np.arange(first, last), words.counts[first:last])
+        pairs = np.unique(np.concatenate([np.unique(owners * size + w[words.numbers[begin:end]]) for w in which]))
+        holder, number = pairs // size, pairs % size
+        np.add.at(bad, number, toxic[holder])
+        np.add.at(all_, number, 1)
     n_bad, n = max(toxic.sum(), 1), max(len(toxic), 2)
     p, q = (bad + 0.5) / (n_bad + 1), (all_ - bad + 0.5) / (n - n_bad + 1)
     strength = np.abs(p - q) / np.sqrt(p * (1 - p) / n_bad + q * (1 - q) / max(n - n_bad, 1))
@@ -290,7 +337,7 @@ def _vocabulary(words: Words, features: np.ndarray, toxic: np.ndarray) -> tuple[
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 7, batch: int = 128) -> Network:
     """A network from labelled texts. With no text or only one class it gives every text that class's share; without any label nothing is toxic."""
     toxic = np.asarray(labels, np.float64)
-    words = read_words(pa.array(texts, pa.large_string()))
+    words = read_texts(texts)
     network = Network(_vocabulary(words, words.hashes, toxic), _vocabulary(words, words.affixes, toxic), seed=seed)
     if len(set(labels)) < 2:
         share = (toxic.sum() + 0.25) / (len(toxic) + 1)

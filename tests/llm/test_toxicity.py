@@ -1,5 +1,8 @@
 import random
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +78,34 @@ def test_toxic_word_anywhere_in_a_long_text(network):
         assert score[0] > 0.5 > clean[0] and count[0] == 1 + -(-(5_000 - toxicity.WINDOW) // toxicity.STRIDE)
 
 
+def test_texts_read_in_parts_are_the_same():
+    texts = [r[1] for r in labelled(60)] + ["", "ü"]
+    whole, parts = toxicity.read_words(pa.array(texts)), toxicity.read_texts(texts, limit=300, at_once=3)
+    for one, two in zip(vars(whole).values(), vars(parts).values(), strict=True):
+        assert np.array_equal(one, two)
+    ranges = list(toxicity.in_parts(parts, limit=200))
+    assert [r[0] for r in ranges] == [0, *[r[1] for r in ranges[:-1]]] and ranges[-1][1] == len(texts) and ranges[-1][3] == len(parts.numbers)
+
+
+def test_training_memory_at_the_documented_bound():
+    """3,000 texts of 20,000 characters: training in a process of its own stays below 500 MB, the texts included."""
+    code = """
+import random, resource
+from faultlens.llm import toxicity
+dice = random.Random(1)
+words = ["".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(dice.randrange(2, 12))) for _ in range(100_000)]
+texts = [" ".join(dice.choices(words, k=3_000))[: toxicity.SAMPLE_CHARS - 5] + (" vile" if k % 2 else " kind") for k in range(2 * toxicity.SAMPLE)]
+assert sum(map(len, texts)) > 55e6
+toxicity.STEPS = 1
+toxicity.train(texts, [k % 2 for k in range(len(texts))], rounds=1)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    root = Path(__file__).resolve().parents[2]
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 500
+
+
 def test_windows_cover_every_word():
     counts = np.array([0, 1, 64, 65, 112, 113, 1000])
     document, first, lengths = toxicity.windows(counts)
