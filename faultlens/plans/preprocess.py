@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,16 +51,29 @@ def preprocess_lines(lines: DataFrame, out: str) -> dict[str, DataFrame]:
         tasks, stages = parse_once(lines)
         tables["task_metrics"] = tasks = store(tasks, "task_metrics")
         tables["stage_metrics"] = stages = store(stages, "stage_metrics")
+        result_tables(tasks, stages, store, tables)
+    return tables
 
-        nodes = materialize(graph.stage_nodes(stages), "nodes")
-        tables["dag_edges"] = store(graph.edges_with_roots(nodes), "dag_edges")
-        traced = materialize(root_cause.traced_stages(nodes), "trace")
-        tables["root_causes"] = store(root_cause.result_table(nodes, traced), "root_causes")
 
-        tables["features"] = rows = store(ft.app_features(tasks, stages), "features")
-        tables["ground_truth"] = store(ft.ground_truth(rows), "ground_truth")
-        train, test = split_by_key(rows)
-        tables["train"], tables["test"] = store(train, "train"), store(test, "test")
+def result_tables(
+    tasks: DataFrame,
+    stages: DataFrame,
+    store: Callable[[DataFrame, str], DataFrame] = materialize,
+    tables: dict[str, DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """The eight tables from the first two, each stored by ``store`` and read from there by the next."""
+    if tables is None:
+        tables = {"task_metrics": store(tasks, "task_metrics"), "stage_metrics": store(stages, "stage_metrics")}
+        tasks, stages = tables["task_metrics"], tables["stage_metrics"]
+    nodes = materialize(graph.stage_nodes(stages), "nodes")
+    tables["dag_edges"] = store(graph.edges_with_roots(nodes), "dag_edges")
+    traced = materialize(root_cause.traced_stages(nodes), "trace")
+    tables["root_causes"] = store(root_cause.result_table(nodes, traced), "root_causes")
+
+    tables["features"] = rows = store(ft.app_features(tasks, stages), "features")
+    tables["ground_truth"] = store(ft.ground_truth(rows), "ground_truth")
+    train, test = split_by_key(rows)
+    tables["train"], tables["test"] = store(train, "train"), store(test, "test")
     return tables
 
 
