@@ -23,6 +23,9 @@ def workloads() -> dict[str, str]:
             FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey
             WHERE c_mktsegment = 'BUILDING' AND o_orderdate < TIMESTAMP '1996-03-15' AND l_shipdate > TIMESTAMP '1996-03-15'
             GROUP BY l_orderkey, o_orderdate ORDER BY revenue DESC, o_orderdate, l_orderkey LIMIT 100""",
+        "join_bucketed": f"""
+            SELECT o_orderstatus, count(*) AS line_count, CAST(sum({NET}) AS DOUBLE) AS revenue, CAST(sum({QTY}) AS DOUBLE) AS quantity
+            FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderstatus""",
         "q4_order_priority": """
             SELECT o_orderpriority, count(*) AS order_count FROM orders
             WHERE o_orderdate >= TIMESTAMP '1996-07-01' AND o_orderdate < TIMESTAMP '1996-10-01'
@@ -486,6 +489,7 @@ def telemetry() -> dict[str, str]:
               'same raw event log; classification does not currently use root_cause_analysis as an input."}}') AS report_json
             FROM rows""",
         "manifest_completed_runs": f"WITH {MANIFEST} SELECT DISTINCT FailureType, RunId FROM manifest WHERE Status IN ('FINISHED', 'FAILED')",
+        "manifest_repeated_append": f"WITH {MANIFEST} SELECT FailureType, RunId, Status FROM manifest",
         "manifest_pending_runs": f"""WITH {MANIFEST} SELECT DISTINCT FailureType, RunId FROM manifest m
             WHERE NOT EXISTS (SELECT 1 FROM manifest d WHERE d.FailureType = m.FailureType AND d.RunId = m.RunId AND d.Status IN ('FINISHED', 'FAILED'))""",
         "manifest_summary": f"""WITH {MANIFEST} SELECT FailureType, Label, count(*) FILTER (WHERE Status IN ('FINISHED', 'FAILED')) AS submitted,

@@ -7,13 +7,17 @@ rows. Rows are assigned to folds by a hash of the application id.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial, reduce
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultlens.functions.constants import DROPPED_BY_MODEL, FEATURES, LABEL_NAMES
@@ -21,6 +25,9 @@ from faultlens.operators.confound import without
 from faultlens.operators.evaluation import classification_metrics
 from faultlens.session import materialize
 
+_T = TypeVar("_T")
+#: Models that are fitted at a time. A fit has steps that leave most executors idle; others fill them.
+FITS = 4
 SCORED = ["app_id", "label", "prediction", "features", "probability"]
 
 # Fixed settings of the three classifiers.
@@ -46,6 +53,12 @@ def fit(train: DataFrame, kind: str = "random_forest", columns: list[str] = FEAT
     return pipeline(kind, columns).fit(train)
 
 
+def side_by_side(jobs: list[Callable[[], _T]], at_once: int = FITS) -> list[_T]:
+    """The results of the jobs, in their order; a few of them run at a time."""
+    with ThreadPoolExecutor(max(1, min(at_once, len(jobs)))) as pool:
+        return [done.result() for done in [pool.submit(inheritable_thread_target(SparkSession.active())(job)) for job in jobs]]
+
+
 def score(model: PipelineModel, rows: DataFrame) -> DataFrame:
     return model.transform(rows).select(*SCORED)
 
@@ -78,11 +91,10 @@ def score_all(train: DataFrame, test: DataFrame, models: dict[str, tuple[str, li
 
     Metrics, matrices and mistakes are all read from this one table.
     """
+    fitted = side_by_side([partial(fit, train, kind, columns) for kind, columns in models.values()])
     scored = [
-        fit(train, kind, columns).transform(test).select(
-            F.lit(name).alias("model"), "app_id", "label", F.col("prediction").cast("int").alias("prediction")
-        )
-        for name, (kind, columns) in models.items()
+        model.transform(test).select(F.lit(name).alias("model"), "app_id", "label", F.col("prediction").cast("int").alias("prediction"))
+        for name, model in zip(models, fitted, strict=True)
     ]
     return materialize(reduce(DataFrame.unionByName, scored), "scored")
 
@@ -109,12 +121,12 @@ def cross_validate(rows: DataFrame, models: dict[str, tuple[str, list[str]]], fo
     aggregation over the stored scored rows gives the measures of every fold.
     """
     numbered = materialize(rows.withColumn("fold", fold_of("app_id", folds)), "folds")
+    tasks = [(name, kind, columns, fold) for name, (kind, columns) in models.items() for fold in range(folds)]
+    fitted = side_by_side([partial(fit, numbered.filter(F.col("fold") != fold), kind, columns) for _, kind, columns, fold in tasks])
     scored = []
-    for name, (kind, columns) in models.items():
-        for fold in range(folds):
-            model = fit(numbered.filter(F.col("fold") != fold), kind, columns)
-            held_out = model.transform(numbered.filter(F.col("fold") == fold))
-            scored.append(held_out.select(F.lit(name).alias("model"), "fold", "label", "prediction"))
+    for (name, _, _, fold), model in zip(tasks, fitted, strict=True):
+        held_out = model.transform(numbered.filter(F.col("fold") == fold))
+        scored.append(held_out.select(F.lit(name).alias("model"), "fold", "label", "prediction"))
     per_fold = classification_metrics(materialize(reduce(DataFrame.unionByName, scored), "scored"), "model", "fold")
     means = [F.avg(m).alias(m) for m in ("accuracy", "f1", "precision", "recall")]
     return per_fold.groupBy("model").agg(F.count(F.lit(1)).alias("folds"), *means)

@@ -18,7 +18,7 @@ from faultlens.plans.report import unified_report
 from faultlens.session import materialize, scratch_path
 from faultlens.sources import delimited, event_logs
 from faultlens.sources import manifest as runs
-from faultlens.sources.tables import row_counts, table
+from faultlens.sources.tables import row_counts, table, table_sizes
 
 GIVEN_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -53,6 +53,7 @@ WORKLOADS: dict[str, Query] = {
     "q9_part_revenue": _on_tables(w.part_revenue),
     "revenue_by_nation": _on_tables(w.revenue_by_nation),
     "join_composite_key": _on_tables(w.composite_key_join),
+    "join_bucketed": _on_tables(w.bucketed_join),
     "q18_large_orders": _on_tables(w.large_orders),
     "skew_union_agg": _on_tables(w.skewed_large_orders),
     "segment_priority_rollup": _on_tables(w.segment_priority_rollup),
@@ -186,6 +187,19 @@ def _row_counts(spark: SparkSession, folder: str) -> DataFrame:
     return row_counts({n: table(spark, folder, n) for n in GIVEN_TABLES})
 
 
+def _table_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return table_sizes({n: table(spark, folder, n) for n in GIVEN_TABLES})
+
+
+def _repeated_append(spark: SparkSession, folder: str) -> DataFrame:
+    """The derived manifest appended a part, then whole, then whole again."""
+    path = scratch_path(spark, "manifest")
+    rows = materialize(telemetry.manifest(telemetry.stage_metrics(spark, folder), label_name(F.col("Label"))), "runs")
+    for part in (rows.filter("Label < 3"), rows, rows):
+        runs.append_runs(part, path)
+    return runs.read_manifest(spark, path).select("FailureType", "RunId", "Status")
+
+
 def _formatted_bytes(spark: SparkSession, folder: str) -> DataFrame:
     size = F.floor(F.col("o_totalprice") * 10000)
     return table(spark, folder, "orders").select(
@@ -276,7 +290,9 @@ TELEMETRY: dict[str, Query] = {
     "manifest_completed_runs": lambda s, d: runs.completed_runs(_manifest(s, d)),
     "manifest_pending_runs": lambda s, d: (lambda m: runs.pending_runs(m, m))(_manifest(s, d)),
     "manifest_summary": lambda s, d: runs.summary(_manifest(s, d)),
+    "manifest_repeated_append": _repeated_append,
     "table_row_counts": _row_counts,
+    "table_sizes": _table_sizes,
     "delimited_roundtrip": _delimited_roundtrip,
     "format_bytes": _formatted_bytes,
     "pipeline_counts": _pipeline_counts,

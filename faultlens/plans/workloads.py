@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.columns import exact, money, net_price, rate, total
 from faultlens.session import broadcast_if_small, materialize
+from faultlens.sources.bucketed import bucket_count, bucketed
 from faultlens.sources.tables import table
 
 class Tables(dict):
@@ -195,6 +196,21 @@ def composite_key_join(t: Tables) -> DataFrame:
     )
 
 
+def bucketed_join(t: Tables) -> DataFrame:
+    """Lines and revenue by order status; lines and orders are stored in buckets of the order key and joined without a shuffle."""
+    lines = t["lineitem"].select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice", "l_discount", "l_quantity")
+    orders = t["orders"].select("o_orderkey", "o_orderstatus")
+    buckets = bucket_count(lines, orders)
+    lines, orders = (bucketed(df, "o_orderkey", buckets, name) for df, name in ((lines, "lines"), (orders, "orders")))
+    return (
+        lines.hint("merge")
+        .join(orders, "o_orderkey")
+        .groupBy("o_orderstatus")
+        .agg(F.count(F.lit(1)).alias("line_count"), total(net_price()).alias("revenue"), total(money("l_quantity")).alias("quantity"))
+        .orderBy("o_orderstatus")
+    )
+
+
 def _large_orders(t: Tables, lines: DataFrame, threshold: float, k: int) -> DataFrame:
     """Orders above a quantity, with customer; one row per order after one
     aggregation, which also holds the quantity a second pass would give."""

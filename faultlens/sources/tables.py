@@ -49,6 +49,16 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counted)
 
 
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows, files and bytes of every table, from what the scans know of their files; a table without rows has no files here."""
+    parts = []
+    for name, df in tables.items():
+        files = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("size"))
+        sums = [F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"), F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")]
+        parts.append(files.agg(*sums).select(F.lit(name).alias("table_name"), "row_count", "files", "bytes"))
+    return reduce(DataFrame.unionByName, parts).withColumn("size", format_bytes(F.col("bytes")))
+
+
 def stored_files(spark: SparkSession, folder: str) -> DataFrame:
     """One row per file below ``folder``; the file contents are not read."""
     return (

@@ -75,3 +75,33 @@ def test_training_stores_model_and_predictions(spark, data, tmp_path):
         assert len(matrix) == 7 and sum(r[f"predicted_{c}"] for r in matrix for c in range(7)) == tested
         right = sum(r.correct for r in tables["class_accuracy"].collect() if r.model == kind)
         assert right == sum(r[f"predicted_{r.label}"] for r in matrix)
+
+
+def test_folds_are_fitted_side_by_side(spark, monkeypatch):
+    """Twenty fits overlap, and give what they give one by one."""
+    import random
+    import time
+
+    from faultlens.functions.constants import FEATURES
+    from faultlens.operators import classify
+
+    dice = random.Random(5)
+    rows = [(f"app_{k}", k % 3, *[dice.gauss(k % 3, 1.0) for _ in FEATURES]) for k in range(90)]
+    df = spark.createDataFrame(rows, "app_id STRING, label INT, " + ", ".join(f"{f} DOUBLE" for f in FEATURES))
+    spans, real = [], classify.fit
+
+    def timed(*args):
+        begun = time.time()
+        model = real(*args)
+        spans.append((begun, time.time()))
+        return model
+
+    monkeypatch.setattr(classify, "fit", timed)
+    models = {str(n): ("decision_tree", FEATURES[: 5 + n]) for n in range(4)}
+    together = sorted(classify.cross_validate(df, models).collect())
+    assert len(spans) == 20 and sum(a[0] < b[0] < a[1] for a in spans for b in spans) >= 15
+    spans.clear()
+    monkeypatch.setattr(classify, "FITS", 1)
+    monkeypatch.setattr(classify, "side_by_side", lambda jobs: [job() for job in jobs])
+    assert sorted(classify.cross_validate(df, models).collect()) == together
+    assert not any(a[0] < b[0] < a[1] for a in spans for b in spans)

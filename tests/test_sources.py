@@ -1,5 +1,5 @@
 import json
-
+from pathlib import Path
 
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -136,3 +136,48 @@ def test_broadcast_needs_a_small_estimate(spark):
 def test_shared_folder_is_the_named_one(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_folder(spark) == (named or spark.sparkContext.getCheckpointDir()).rstrip("/")
+
+
+def test_appending_again_adds_nothing(spark, tmp_path, monkeypatch):
+    """The same job twice, half of it lost, other runs and other times of a run: every entry once."""
+    path = str(tmp_path / "manifest")
+    schema = ", ".join(f"{c} STRING" for c in manifest.MANIFEST_COLUMNS)
+    rows = [(f"a{k}", " OOM", "1", f"{k:03}", str(100 + k), "app" if k % 2 else "", "ERROR" if k == 3 else "FINISHED") for k in range(8)]
+    runs = spark.createDataFrame(rows, schema).repartition(4)
+    assert manifest.append_runs(runs.limit(0), path) == 0
+    assert manifest.append_runs(runs, path) == 8 and manifest.append_runs(runs, path) == 0
+    # A lost job: some of its files are gone, as if they had never appeared.
+    sorted((tmp_path / "manifest").glob("part-*.csv"))[0].unlink()
+    manifest.append_runs(runs.unionByName(runs), path)
+    later = spark.createDataFrame([(*rows[3][:4], "900", "app", "FINISHED")], schema)
+    assert manifest.append_runs(later, path) == 1 and manifest.append_runs(later, path) == 0
+    found = manifest.read_manifest(spark, path)
+    assert found.count() == found.select("FailureType", "RunId", "Timestamp").distinct().count() == 9
+    assert {r.submitted for r in manifest.summary(found).collect()} == {8}
+
+
+def test_sizes_of_the_given_tables(spark, data):
+    from __spark_entry__ import queries
+
+    rows = {r.table_name: r for r in queries()["table_sizes"](spark, data).collect()}
+    assert len(rows) == 14
+    for name, row in rows.items():
+        path = Path(data, f"{name}.parquet")
+        files = [path] if path.is_file() else list(path.rglob("*.parquet"))
+        assert (row.files, row.bytes) == (len(files), sum(f.stat().st_size for f in files)), name
+        assert row.row_count == spark.read.parquet(str(path)).count()
+    empty = tables.table_sizes({"none": spark.read.parquet(f"{data}/nation.parquet").filter("false")}).first()
+    assert (empty.row_count, empty.files, empty.bytes) == (0, 0, 0)
+
+
+def test_bucketed_join_moves_no_lines(spark, data):
+    from faultlens.plans import workloads
+
+    df = workloads.bucketed_join(workloads.Tables(spark, data))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    join = plan[plan.index("SortMergeJoin"):].split("== Initial Plan ==")[0]
+    assert "Bucketed: true" in join and "Exchange" not in join, plan
+    from faultlens.sources.bucketed import bucket_count
+
+    assert bucket_count(spark.range(10)) == 2 and bucket_count(spark.range(1 << 30)) == 64
