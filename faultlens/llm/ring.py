@@ -22,6 +22,8 @@ from faultlens.llm.common import store
 
 #: Virtual nodes of a shard.
 VNODES = 64
+#: Copies of one row that are numbered at a time; a row with more is dealt out in pieces of so many.
+PIECE = 1 << 16
 _CIRCLE_BITS, _PREFIX_BITS, _CELL_DIGITS = 52, 12, 3
 
 
@@ -105,6 +107,16 @@ def _plan(counts: DataFrame, points: DataFrame, shards: int, vnodes: int) -> Dat
     )
 
 
+def _numbered_copies(rows: DataFrame) -> DataFrame:
+    """Every copy of every row with its number ``copy__``; the copies of one row are made by many tasks."""
+    zero = F.lit(0).cast("long")
+    few = rows.filter(F.col("copies__") <= PIECE).withColumn("copy__", F.explode(F.sequence(zero, F.col("copies__") - 1)))
+    many = rows.filter(F.col("copies__") > PIECE).withColumn("piece__", F.explode(F.sequence(zero, F.floor((F.col("copies__") - 1) / PIECE))))
+    many = many.repartition("vnode", "cell__", "within__", "piece__").withColumn("first__", F.col("piece__") * PIECE)
+    last = F.least(F.col("first__") + PIECE, "copies__") - 1
+    return few.unionByName(many.withColumn("copy__", F.explode(F.sequence("first__", last))).drop("piece__", "first__"))
+
+
 def bounded_shards(df: DataFrame, key: str, others: list[str], shards: int = 16, vnodes: int = VNODES) -> DataFrame:
     """``key`` and ``others`` of every row with ``shard`` (int), ``slot`` (long, gapless from 0 in each shard) and ``home_shard`` (int, owner of the key's arc).
 
@@ -138,7 +150,7 @@ def bounded_shards(df: DataFrame, key: str, others: list[str], shards: int = 16,
     inside = Window.partitionBy("vnode", "cell__").orderBy(key, *others).rowsBetween(Window.unboundedPreceding, -1)
     ranked = rows.withColumn("within__", F.coalesce(F.sum("copies__").over(inside), F.lit(0)))
     ranked = ranked.join(cells, ["vnode", "cell__"]).join(F.broadcast(plan), "vnode")
-    ranked = ranked.withColumn("copy__", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies__") - 1)))
+    ranked = _numbered_copies(ranked)
     ranked = ranked.withColumn("rank__", F.col("before__") + F.col("within__") + F.col("copy__"))
     moved = F.col("rank__") - F.col("stays")
     run = F.element_at(F.filter("runs", lambda r: r["from_rank"] <= moved), -1)

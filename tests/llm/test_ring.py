@@ -73,6 +73,25 @@ def test_one_row_repeated_very_often(spark):
     assert sorted(Counter(r.shard for r in rows).values()) == [750] * 4
 
 
+def test_copies_in_pieces(spark, monkeypatch):
+    """Rows with more copies than one array holds: the same counts and gapless slots, dealt to several tasks."""
+    monkeypatch.setattr(ring, "PIECE", 70)
+    docs = spark.range(2500).selectExpr("if(id < 2000, 1, id) AS doc_id", "if(id < 2000, 'same', 'x') AS text")
+    df = ring.document_shards(docs, shards=4)
+    rows = df.collect()
+    assert len(rows) == 2500 and sum(r.doc_id == 1 for r in rows) == 2000
+    for shard in range(4):
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(625))
+
+
+def test_limited_movement_on_growth(spark):
+    """From 16 shards to 17 most rows stay; dealing by a remainder would move all but a seventeenth."""
+    docs = spark.range(6000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    before, after = ({r.doc_id: r.shard for r in ring.document_shards(docs, shards=n).collect()} for n in (16, 17))
+    moved = sum(before[i] != after[i] for i in before) / len(before)
+    assert 1 / 17 - 0.01 <= moved < 0.35, moved
+
+
 def test_empty(spark):
     assert ring.document_shards(samples.empty(spark)).count() == 0
 
