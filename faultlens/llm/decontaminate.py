@@ -4,8 +4,13 @@ The word n-grams of all benchmark items are looked up in every document. A
 gram weighs the logarithm of how rare it is among all documents. Where the
 distinct seeds of one item within a passage weigh enough, the passage is
 aligned with the item word by word, which finds edited copies and scores them.
-Nothing is dropped for being frequent: an item that a third of all documents
-copy has light seeds, but nearly all of them.
+
+Items and documents are joined by an item's rare seeds alone: its seeds from
+the rarest on, until those that remain weigh less than enough together. A
+passage without any of the former cannot reach it, so nothing is lost, and a
+gram that many items and very many documents share makes no pairs. Nothing is
+dropped for being frequent either: an item that a third of all documents copy
+has light seeds, which are then its rarest.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultlens.llm.common import (
@@ -146,19 +151,25 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     than ``size`` words give nothing. Rows of equal ids count as one document
     or item with the texts of all. Other columns are not looked at.
     """
-    items = store(item_seeds(benchmark, size), "items")
-    seeds = items.select("item_id", "words", F.explode("grams").alias("gram"))
+    items = item_seeds(benchmark, size).withColumn("item", F.xxhash64("item_id", "words"))
+    items = store(items, "items")
+    seeds = items.select("item", F.explode("grams").alias("gram")).distinct()
     hits = store(seed_hits(documents, seeds.select("gram").distinct(), size, sent), "hits")
     rarest = F.log(F.lit(documents.count() + 1.0))
     spread = hits.select("doc_id", "gram").distinct().groupBy("gram").agg(F.count("*").alias("documents"))
     weights = seeds.select("gram").distinct().join(spread, "gram", "left").select("gram", (rarest - F.log(F.coalesce("documents", F.lit(1)).cast("double"))).alias("weight"))
-    weighed = seeds.distinct().join(weights, "gram")
-    mass = weighed.groupBy("item_id", "words").agg(F.sum("weight").alias("mass"))
-    mass = mass.select("item_id", "words", F.least(rarest * RARE, F.col("mass") * SHARE).alias("enough"))
-    found = hits.join(weighed.select("item_id", "words", "gram", "weight"), "gram")
+    weighed = seeds.join(weights, "gram")
+    mass = weighed.groupBy("item").agg(F.sum("weight").alias("mass"))
+    mass = mass.select("item", F.least(rarest * RARE, F.col("mass") * SHARE).alias("enough"))
+    # The seeds of one item: as many as it has words.
+    rest = F.sum("weight").over(Window.partitionBy("item").orderBy(F.desc("weight"), "gram").rowsBetween(0, Window.unboundedFollowing))
+    weighed = store(weighed.join(mass, "item").withColumn("rare", rest >= F.col("enough") * (1 - 1e-9)), "seeds")
+    pairs = hits.select("doc_id", "gram").join(weighed.filter("rare").select("gram", "item"), "gram").select("doc_id", "item").distinct()
+    # All seeds of an item in the documents that it is held against.
+    found = hits.join(pairs, "doc_id").join(weighed, ["item", "gram"])
     # A cheap bound first: all seeds of the item in the document.
-    each = found.groupBy("doc_id", "item_id", "words").agg(F.sum("weight").alias("sum"), F.collect_list(F.struct("at", "gram", "weight")).alias("hits"))
-    each = each.join(mass, ["item_id", "words"]).filter(F.col("sum") >= F.col("enough"))
+    each = found.groupBy("doc_id", "item").agg(F.sum("weight").alias("sum"), F.max("enough").alias("enough"), F.collect_list(F.struct("at", "gram", "weight")).alias("hits"))
+    each = each.filter(F.col("sum") >= F.col("enough") * (1 - 1e-9)).join(items.select("item", "item_id", "words"), "item")
     wanted = store(each.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "words", "enough", "hits")).alias("items")), "candidates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -59,6 +59,49 @@ def test_finds_copies_and_leaves_others_alone(spark, benchmark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, rows))
 
 
+@pytest.mark.parametrize("share", [0.1, 0.2, 0.25])
+def test_whole_query_against_all_pairs(spark, share):
+    """Every document aligned with every item in full: the query finds those pairs, and no others."""
+    dice = random.Random(int(100 * share))
+    words = [a + b + c for a in samples.WORDS[:24] for b in "aeiou" for c in ("", "n")]
+    items = [(k, " ".join(dice.choice(words) for _ in range(dice.randrange(25, 60)))) for k in range(10)]
+    docs = []
+    for k in range(90):
+        body = [" ".join(dice.choice(words) for _ in range(dice.randrange(20, 90))) for _ in range(2)]
+        for _ in range(dice.randrange(3) if k % 3 else 0):
+            copied = dice.choice(items[: 3 + k % 8])[1].split(" ")
+            body.insert(1, " ".join(dice.choice(words) if dice.random() < share else w for w in copied))
+        docs.append((k, " ".join(body)))
+    # A passage that a third of all documents share.
+    docs = [(k, text + " " + items[9][1]) if k % 3 == 0 else (k, text) for k, text in docs]
+    df = spark.createDataFrame([(k, t, "en", "a", 1) for k, t in docs], samples.SCHEMA).repartition(4)
+    rows = decontaminate.contaminated(df, spark.createDataFrame(items, "item_id LONG, text STRING")).collect()
+    number = {w: i for i, w in enumerate(words)}
+    want = {}
+    for d, text in docs:
+        passage = np.array([number.get(w, -1) for w in text.split()])
+        for i, item in items:
+            body = np.array([number[w] for w in item.split()])
+            points = decontaminate.align(body, passage)[0]
+            if points >= decontaminate.THRESHOLD * decontaminate.EQUAL * len(body):
+                want[d, i] = points / (decontaminate.EQUAL * len(body))
+    got = {(r.doc_id, r.item_id): r.score for r in rows}
+    assert set(got) <= set(want) and {(k, 9) for k in range(0, 90, 3)} <= set(got)
+    assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
+    assert len(got) >= (0.99 if share <= 0.2 else 0.95) * len(want), (len(got), len(want))
+
+
+def test_rare_seeds_make_the_pairs(spark):
+    """A phrase that all items and all documents share makes no pairs of its own."""
+    dice = random.Random(9)
+    phrase = samples.sentence(dice, 12)
+    items = [(k, samples.sentence(dice, 40) + " " + phrase) for k in range(20)]
+    docs = [(k, samples.sentence(dice, 60) + " " + phrase + " " + samples.sentence(dice, 10), "en", "a", 1) for k in range(200)]
+    docs += [(1000, "so " + items[4][1], "en", "a", 1)]
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, samples.SCHEMA), spark.createDataFrame(items, "item_id LONG, text STRING")).collect()
+    assert [(r.doc_id, r.item_id) for r in rows] == [(1000, 4)]
+
+
 def test_awkward_rows(spark, benchmark):
     docs = samples.awkward(spark)
     item = docs.filter("doc_id = 1").selectExpr("77L AS item_id", "text").limit(1)
