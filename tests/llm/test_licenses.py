@@ -8,15 +8,18 @@ from tests.llm import samples
 
 
 def brute(text):
-    """Licences of a text, by looking for every known sentence with another cut: all words in a row."""
+    """Licences of a text, by looking for every known sentence with another cut: all words in a row.
+
+    A sentence inside a longer known one does not count.
+    """
     words = licenses.normalised(text).split(" ")
-    found = set()
-    for licence, rule in licenses.RULES:
-        if len(rule) == 1:
-            sought = licenses.normalised(licenses.SENTENCES[rule[0]]).split(" ")
-            if any(words[k : k + len(sought)] == sought for k in range(len(words))):
-                found.add(licence)
-    return found
+    there = {}
+    for name, sentence in licenses.SENTENCES.items():
+        sought = licenses.normalised(sentence).split(" ")
+        there[name] = [(k, k + len(sought)) for k in range(len(words)) if words[k : k + len(sought)] == sought]
+    spans = [span for found in there.values() for span in found]
+    alone = {name for name, found in there.items() if any(not any(c <= a and b <= d and d - c > b - a for c, d in spans) for a, b in found)}
+    return {licence for licence, rule in licenses.RULES if len(rule) == 1 and rule[0] in alone}
 
 
 def test_single_sentences_between_prose(spark):
@@ -60,7 +63,7 @@ def test_awkward_rows(spark):
 
 
 def test_known_sentences_differ():
-    assert len(licenses._known()) == len(licenses.SENTENCES)
+    assert len({licenses.normalised(t) for t in licenses.SENTENCES.values()}) == len(licenses.SENTENCES)
     assert {n for _, rule in licenses.RULES for n in rule} <= set(licenses.SENTENCES)
 
 
@@ -138,3 +141,54 @@ def test_narrow_blocks(width, between):
         assert [(k[2], whole[k[3] : k[4]]) for k in licenses.identified(whole)] == [(name, text)]
     text = between.join(line for part in MIT.split("\n\n") for line in textwrap.wrap(part, width))
     assert [m[0] for m in licenses.matches(licenses.identified(text))] == ["MIT"]
+
+
+def _licences(text):
+    return {m[0] for m in licenses.matches(licenses.identified(text))} | {m[0] for m in licenses.tagged(text)}
+
+
+FULL = [(licence, rule) for licence, rule in licenses.RULES if len(rule) > 1 or len(licenses.SENTENCES[rule[0]]) > 60]
+
+
+@pytest.mark.parametrize("form", ["plain", "narrow", "// ", "# ", " * ", "-- ", ";; "])
+def test_notices_wrapped_and_commented(form):
+    """Every text as it stands, in narrow lines, and in the comments of several languages."""
+    assert len({licence for licence, _ in licenses.RULES} | set(licenses.NAMES)) >= 40
+    for licence, rule in FULL:
+        text = "\n\n".join(licenses.SENTENCES[name] for name in rule)
+        if form != "plain":
+            prefix = "" if form == "narrow" else form
+            lines = textwrap.wrap(text, 44 if form == "narrow" else 70)
+            text = "Copyright (c) 2020 Somebody\n" + "\n".join(prefix + line for line in lines)
+        assert licence in _licences(text), (licence, form)
+
+
+def test_named_licences():
+    for licence, names in licenses.NAMES.items():
+        for name in names:
+            for notice in licenses.NOTICES:
+                text = f"Some words before.\n{notice.format(name)}\nAnd some after."
+                found = _licences(text)
+                assert found and (licence in found or name in ("GNU General Public License, version 3",)), (text, found)
+
+
+@pytest.mark.parametrize(
+    ("tag", "want"),
+    [
+        ("// SPDX-License-Identifier: MIT", {"MIT"}),
+        ("# SPDX-License-Identifier: Apache-2.0 OR MIT", {"Apache-2.0", "MIT"}),
+        ("/* SPDX-License-Identifier: (GPL-2.0+ AND BSD-3-Clause) */", {"GPL-2.0-or-later", "BSD-3-Clause"}),
+        ("SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note", {"GPL-2.0-only"}),
+        ("spdx-license-identifier: lgpl-2.1-or-later.", {"LGPL-2.1-or-later"}),
+        ("SPDX-License-Identifier: Unknown-1.0", set()),
+        ("License-Identifier: MIT", set()),
+    ],
+)
+def test_tags(spark, tag, want):
+    text = f"#!/bin/sh\n{tag}\nrest of the text"
+    assert _licences(text) == want
+    row = licenses.licensed(samples.plain(spark, [text])).first()
+    assert set(filter(None, row.licences.split(","))) == want and row.n_matches == len(want)
+    for span in filter(None, row.spans.split(",")):
+        licence, first, last = span.split(":")
+        assert text[int(first) : int(last)].lower().rstrip("+").endswith(licence.lower().split("-")[0]) or "-" in licence
