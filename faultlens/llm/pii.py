@@ -3,7 +3,8 @@
 Around digits and at-signs a text is cut into tokens. The field scores whole
 candidate spans (their shape, digit count, check digit, borders) under four
 types, and a dynamic program over at most ``REACH`` tokens for a span chooses
-borders and types of a region together. It learns from regions whose spans the
+borders and types of a region together; of that reading the spans stay that are
+certain by themselves. Long regions are read in overlapping stretches. It learns from regions whose spans the
 patterns know and from rewritten copies of them (other separators, missing
 country code). Pattern spans always stay; the field adds spans that touch none.
 """
@@ -31,6 +32,8 @@ REACH = 16
 SAMPLE, SAMPLE_CHARS = 600, 20_000
 #: Least probability of a span over all readings of its region.
 CERTAIN = 0.9
+#: Tokens of a region that are read at a time, and tokens on either side that are read along.
+STRETCH, BESIDE = 256, 4 * REACH
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -325,12 +328,34 @@ class _Collecting(dict):
         return self.known.setdefault(name, len(self.known))
 
 
+def stretches(text: str, first: int, last: int) -> Iterator[tuple[int, int, int, int]]:
+    """First and last character to read, and of the part that counts; a region of few tokens is read as a whole.
+
+    Spans reach ``REACH`` tokens, so those that begin in the part lie in what is read, with all that bears on them.
+    """
+    starts = np.fromiter((m.start() for m in _TOKEN.finditer(text, first, last)), np.int64)
+    count = len(starts)
+    if count <= STRETCH + 2 * BESIDE:
+        yield first, last, first, last
+        return
+    place = lambda k: int(starts[k]) if k < count else last
+    for k in range(0, count, STRETCH):
+        yield place(max(0, k - BESIDE)), place(k + STRETCH + BESIDE), place(k), place(k + STRETCH)
+
+
 def added_spans(text: str, base: list[tuple[str, int, int]], decode) -> list[tuple[str, int, int]]:
-    """What the field finds with certainty and no pattern span touches."""
+    """The spans of the field's best reading that are certain of themselves and that no pattern span touches."""
     found = []
-    for first, last in regions(text):
-        found += [(KINDS[kind], first + a, first + b) for kind, a, b in decode(text[first:last])[1]]
-    return [(k, a, b) for k, a, b in found if not any(a < d and c < b for _, c, d in base)]
+    for region in regions(text):
+        for first, last, begin, end in stretches(text, *region):
+            best, certain = decode(text[first:last])
+            sure = set(certain)
+            found += [(KINDS[kind], first + a, first + b) for kind, a, b in best if (kind, a, b) in sure and begin <= first + a < end]
+    places = sorted((a, b) for _, a, b in base)
+    ends = np.maximum.accumulate([b for _, b in places]) if places else np.zeros(0, np.int64)
+    begins = np.array([a for a, _ in places], np.int64)
+    # Pattern spans that begin before its end: one of them touches it if any reaches beyond its start.
+    return [(k, a, b) for k, a, b in found if not (n := int(np.searchsorted(begins, b))) or ends[n - 1] <= a]
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

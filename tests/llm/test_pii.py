@@ -146,6 +146,42 @@ def test_long_lists_lose_nothing(field, count):
         assert found[:sure] == lines[:sure]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_stretches_find_what_the_whole_region_gives(field, monkeypatch, seed):
+    """A region of very many tokens in small stretches: the spans of one reading of all of it."""
+    dice = random.Random(seed)
+    n = lambda k: "".join(dice.choice("0123456789") for _ in range(k))
+    words = [dice.choice((f"{n(3)}-{n(3)}-{n(4)}", f"ann{n(2)} @ m{n(1)}.example.com", n(5), f"20{n(2)}-{n(2)}-{n(2)}", f"+1 {n(3)} {n(3)} {n(4)}", f"v{n(1)}.{n(2)}", f"{n(4)}.{n(4)}.{n(4)}.{n(4)}")) for _ in range(150)]
+    text = " ".join(words)
+    assert len(list(pii.regions(text))) == 1
+    base = pii.base_spans(text)
+    whole = None
+    for stretch in (10_000, 40, 7):
+        monkeypatch.setattr(pii, "STRETCH", stretch)
+        parts = list(pii.stretches(text, 0, len(text)))
+        assert [p[2] for p in parts] == [0, *[p[3] for p in parts[:-1]]] and parts[-1][3] == len(text)
+        found = pii.added_spans(text, base, field.decode)
+        whole = found if whole is None else whole
+        assert found == whole and len(parts) == (1 if stretch == 10_000 else len(parts))
+    best, certain = field.decode(text)
+    assert {(a, b) for _, a, b in whole} <= {(a, b) for _, a, b in best} & {(a, b) for _, a, b in certain}
+
+
+def test_memory_of_one_long_region(field):
+    """180 KB of numbers are one region; what is held for it does not grow with it."""
+    import tracemalloc
+
+    dice = random.Random(4)
+    text = " ".join(str(dice.randrange(10**6)) for _ in range(4_000))
+    peaks = []
+    for size in (len(text) // 4, len(text)):
+        tracemalloc.start()
+        pii.added_spans(text[:size], [], field.decode)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+
+
 def test_query(spark, texts, field):
     rows = {r.doc_id: r for r in pii.found_in(samples.plain(spark, texts), field).collect()}
     for i, text in enumerate(texts):
