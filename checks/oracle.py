@@ -436,6 +436,12 @@ def telemetry() -> dict[str, str]:
         "ml_prediction_checks": f"""WITH {TASKS}, a AS (SELECT DISTINCT app_id FROM task_metrics),
             t AS (SELECT count(*) AS n FROM a WHERE CAST(concat('0x', substr(md5(app_id), 1, 8)) AS BIGINT) % 100 >= 80)
             SELECT n AS scored, n AS apps, n AS in_range, n AS probabilities_sum_to_one FROM t""",
+        "ml_model_checks": f"""WITH {TASKS}, a AS (SELECT DISTINCT app_id FROM task_metrics),
+            t AS (SELECT count(*) AS n FROM a WHERE CAST(concat('0x', substr(md5(app_id), 1, 8)) AS BIGINT) % 100 >= 80)
+            SELECT model, n AS scored, n AS apps, 7 AS matrix_rows, n AS matrix_total, n AS class_total, true AS counts_agree
+            FROM t, (VALUES ('logistic_regression'), ('decision_tree'), ('random_forest')) m(model)""",
+        "ml_importance_checks": f"""SELECT {len(FEATURES)} AS features, {sum(range(len(FEATURES) + 1))} AS rank_sum,
+            1.0::DOUBLE AS share_sum, 1.0::DOUBLE AS last_share, true AS ranks_follow""",
         "feature_describe": f"""WITH {FEATS} SELECT feature, count(value) AS n, round({EXACT_MEAN}, 3) AS mean,
             round(stddev_samp(value), 2) AS std, round(min(value), 4) AS min, round(max(value), 4) AS max FROM long GROUP BY feature""",
         "ground_truth": f"""WITH {TASKS}, g AS (SELECT app_id, max(label) AS label FROM task_metrics GROUP BY app_id)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.constants import DROPPED_BY_MODEL, FEATURES, LABEL_NAMES
 from faultlens.operators.confound import without
-from faultlens.operators.evaluation import classification_metrics
+from faultlens.operators.evaluation import classification_metrics, confusion_matrix, per_class_accuracy
 from faultlens.session import materialize
 
 _T = TypeVar("_T")
@@ -180,3 +180,31 @@ def prediction_checks(predictions: DataFrame) -> DataFrame:
         F.count_if(F.col("prediction").between(0, len(LABEL_NAMES) - 1)).alias("in_range"),
         F.count_if(F.abs(sums - 1) < 1e-9).alias("probabilities_sum_to_one"),
     )
+
+
+def model_checks(scored: DataFrame) -> DataFrame:
+    """One row per model of ``score_all``: applications scored, what its matrix and its class table add up to, and whether they and the accuracy agree."""
+    sizes = scored.groupBy("model").agg(F.count(F.lit(1)).alias("scored"), F.count_distinct("app_id").alias("apps"))
+    cells = [f"predicted_{c}" for c in LABEL_NAMES]
+    diagonal = sum((F.when(F.col("label") == c, F.col(f"predicted_{c}")).otherwise(0) for c in LABEL_NAMES), F.lit(0))
+    matrix = confusion_matrix(scored, "model").select("model", sum((F.col(c) for c in cells), F.lit(0)).alias("cells"), diagonal.alias("hits"))
+    matrix = matrix.groupBy("model").agg(F.sum("cells").alias("matrix_total"), F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("matrix_rows"))
+    classes = per_class_accuracy(scored, "model").groupBy("model").agg(F.sum("correct").alias("correct"), F.sum("total").alias("class_total"))
+    overall = classification_metrics(scored, "model").select("model", "accuracy")
+    joined = sizes.join(matrix, "model").join(classes, "model").join(overall, "model")
+    agree = (F.col("hits") == F.col("correct")) & (F.abs(F.col("accuracy") * F.col("scored") - F.col("hits")) < 1e-6)
+    return joined.select("model", "scored", "apps", "matrix_rows", "matrix_total", "class_total", agree.alias("counts_agree"))
+
+
+def importance_checks(importance: DataFrame) -> DataFrame:
+    """One row: features, the sum of their shares, the last cumulative share, and whether ranks follow the shares."""
+    later = importance.select((F.col("rank") - 1).alias("rank"), F.col("importance").alias("next"))
+    falls = importance.join(later, "rank", "left").agg(F.min(F.coalesce(F.col("importance") >= F.col("next"), F.lit(True))).alias("ranks_follow"))
+    sums = importance.agg(
+        F.count_distinct("feature").alias("features"),
+        F.sum("rank").alias("rank_sum"),
+        F.round(F.sum("importance"), 9).alias("share_sum"),
+        F.round(F.max("cumulative_share"), 9).alias("last_share"),
+    )
+    # One row each.
+    return sums.join(falls)

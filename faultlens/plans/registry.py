@@ -353,7 +353,9 @@ MODELS: dict[str, Query] = {
     "ml_model_class_accuracy": _on_scored(lambda s: evaluation.per_class_accuracy(s, "model"), classify.classifier_models),
     "ml_predictions": _ml_predictions,
     "ml_prediction_checks": lambda s, d: classify.prediction_checks(_ml_predictions(s, d)),
+    "ml_model_checks": _on_scored(classify.model_checks, classify.classifier_models),
     "ml_feature_importance": _ml_importance,
+    "ml_importance_checks": lambda s, d: classify.importance_checks(_ml_importance(s, d)),
     "ml_cross_validation": _ml_cross_validation,
     "ml_overfitting": _ml_overfitting,
     "ml_ablation": _ml_ablation,
