@@ -25,19 +25,23 @@ def _total(whole: Column) -> Column:
     return F.sum(whole.cast("decimal(20,0)"))
 
 
-def _truncated(value: Column) -> Column:
-    return F.when(value < 0, F.ceil(value)).otherwise(F.floor(value)).cast("double")
+def _whole(value: Column) -> Column:
+    """The whole part of a double, as a double of any size."""
+    return value - value % F.lit(1.0)
 
 
 def exact_sum(value: Column) -> Column:
     """Aggregate: the sum of doubles; NULL without any."""
     value = value.cast("double")
-    rest = F.when(F.abs(value) < LARGEST, value).otherwise(F.when(value.isNotNull(), F.lit(0.0)))
-    parts = []
+    inside = F.when(F.abs(value) < LARGEST, value).otherwise(F.when(value.isNotNull(), F.lit(0.0)))
+    parts, above = [], None
     for weight in WEIGHTS:
-        whole = _truncated(rest * F.lit(2.0**-weight))
-        parts.append(_total(whole).cast("double") * F.lit(2.0**weight))
-        rest = rest - whole * F.lit(2.0**weight)
+        # Powers of two only move the point, so every step here is exact.
+        number = _whole(inside * F.lit(2.0**-weight))
+        if above is not None:
+            number = number - _whole(inside * F.lit(2.0**-above)) * F.lit(2.0 ** (above - weight))
+        parts.append(_total(number).cast("double") * F.lit(2.0**weight))
+        above = weight
     found = reduce(lambda low, high: high + low, reversed(parts))
     return F.when(F.max(F.abs(value)) < LARGEST, found).otherwise(F.sum(value))
 
