@@ -68,6 +68,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], _LEDGER)
 
 
+#: Blobs of a task that are remembered as scanned.
+REMEMBERED = 1 << 16
+
+
 def unseen(history: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(blob, content, missing): each blob that lacks a pair, once, with the keys of the rules it lacks."""
     done = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", F.col("version").cast("string"))).alias("done"))
@@ -87,9 +91,16 @@ def _scanned(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        seen: set[str] = set()
         for batch in slices(batches, "content"):
             rows = []
             for blob, text, missing in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                # Equal rows come to one task by the join, and are scanned once.
+                if blob in seen:
+                    continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
+                seen.add(blob)
                 for key in missing:
                     rule = by_key[key]
                     rows.append((blob, rule.name, rule.version, [{"first": a, "last": b} for a, b in rule_spans(text or "", rule)]))

@@ -80,3 +80,15 @@ def test_awkward_rows(spark):
 
 def test_empty(spark):
     assert blob_secrets.document_secrets(samples.empty(spark)).count() == 0
+
+
+def test_equal_rows_are_scanned_once(spark, tmp_path):
+    """A row repeated 500 times leaves a ledger row for each rule, and a finding for each of its rows."""
+    df = spark.createDataFrame([(1, TEXTS[2])] * 500 + [(2, "nothing")], "doc_id LONG, text STRING").coalesce(1)
+    path = str(tmp_path / "ledger")
+    rows = blob_secrets.document_secrets(df, ledger_path=path).collect()
+    assert len(rows) == 501 and len({r.spans for r in rows if r.doc_id == 1}) == 1
+    ledger = blob_secrets.read_ledger(spark, path)
+    assert ledger.count() == ledger.select("blob", "rule", "version").distinct().count() == 2 * len(blob_secrets.RULES)
+    again = blob_secrets.document_secrets(df, ledger_path=path).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, rows)) and blob_secrets.read_ledger(spark, path).count() == 2 * len(blob_secrets.RULES)
