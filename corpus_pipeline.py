@@ -17,7 +17,11 @@ from faultlens.llm.common import ship, store
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network rejects go. It learns from the labelled rows of ``docs`` that are not held out."""
+    """Documents that the network rejects go. It learns from the labelled rows of ``docs`` that are not held out.
+
+    Rows go or stay by their text alone, so null and repeated doc_ids do not
+    matter; a null text is scored as an empty one.
+    """
     ship(spark)
     network = toxicity.train(*toxicity.training_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return toxicity.without_toxic(docs, network)
@@ -75,7 +79,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All tokens of all documents in sequences of at most 2,048."""
+    """All tokens of all documents in sequences of at most 2,048; a null text is empty, null and repeated doc_ids are packed like any others."""
     ship(spark)
     return packing.packed_documents(docs)
 

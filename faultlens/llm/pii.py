@@ -403,7 +403,12 @@ def found_in(documents: DataFrame, field: Field) -> DataFrame:
 
 
 def personal_data(documents: DataFrame) -> DataFrame:
-    """Train on a bounded sample of ``documents``, then search all of them."""
+    """Train on a bounded sample of ``documents``, then search all of them.
+
+    Every row is searched by itself: repeated rows and ids give repeated
+    results, a null doc_id stays null, a null text is empty. Other columns are
+    not looked at; an empty table gives no rows.
+    """
     return found_in(documents, train(training_texts(documents)))
 
 

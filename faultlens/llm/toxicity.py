@@ -408,7 +408,8 @@ def training_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE)
     """Texts and labels of up to ``size`` documents of each class, in the order of a hash of their id.
 
     Only rows that are not held out. Of several labels of a document the
-    highest counts. A text longer than ``SAMPLE_CHARS`` characters is no sample.
+    highest counts, of several texts the least. A text longer than
+    ``SAMPLE_CHARS`` characters is no sample, nor is a row without doc_id.
     Each class is thinned by its own number of rows, so a rare one keeps all it needs.
     """
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").filter(~held_out(F.col("doc_id")))
@@ -420,7 +421,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE)
     ids = [rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for rows in thinned]
     # 2 * size rows at most, so the broadcast has a bound.
     sample = documents.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id").filter(F.length("text") <= SAMPLE_CHARS)
-    rows = sorted(sample.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+    rows = sorted(sample.groupBy("doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
@@ -453,5 +454,10 @@ def without_toxic(documents: DataFrame, network: Network, threshold: float = THR
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Train on the labelled sample, then score all of ``documents``."""
+    """Train on the labelled sample, then score all of ``documents``.
+
+    Rows are scored one by one by their text, so repeated rows and ids give
+    repeated results; a null doc_id stays null and is not held out; a null text
+    is empty. Without a usable label nothing is toxic. Other columns are not looked at.
+    """
     return scored(documents, train(*training_sample(documents, labels)), threshold)
