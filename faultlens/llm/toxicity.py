@@ -421,7 +421,7 @@ def training_sample(documents: DataFrame, labels: DataFrame, size: int = SAMPLE)
     ids = [rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size) for rows in thinned]
     # 2 * size rows at most, so the broadcast has a bound.
     sample = documents.select("doc_id", "text").join(F.broadcast(ids[0].union(ids[1])), "doc_id").filter(F.length("text") <= SAMPLE_CHARS)
-    rows = sorted(sample.groupBy("doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
+    rows = sorted(sample.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect(), key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["toxic"] for r in rows]
 
 
