@@ -16,17 +16,23 @@ windows that it stands for.
 2. Each range merges its runs with a loser tree. The tree keeps for each run
    how many bytes its head shares with the last output, and looks at bytes
    only beyond what is known to be equal.
-3. Neighbours that share the anchor's bytes form a group; in it, of equal
-   windows all but the first are removed.
-
-Map tasks send one entry for repeats of their own, so a passage found in a
-third of all documents reaches its range once for each run and text around it.
+3. Neighbours that share the anchor's bytes form a group. Two windows of it
+   are equal if the shared prefixes between them cover what follows the anchor
+   and the same bytes precede it; of equal windows all but the first go.
+
+An anchor found more than ``HOT`` times, such as one at the edge of a passage
+of a third of all documents, has no range of its own: each of its windows is
+sent alone, in a range of the window's hash, as the bytes from the anchor on
+and then those before it backwards. There windows are equal if the whole of
+them is a shared prefix, and the merge holds one place at a time. Since tasks
+send a repeated window once a run, no window is hot either.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +51,10 @@ SLICE = 1 << 18
 RUN_BYTES = 16 << 20
 #: Anchors that one range is planned for.
 RANGE = 50_000
+#: An anchor of more documents than this is dealt out by its windows.
+HOT = 16_384
+#: Windows of hot anchors that a task sends at once.
+WINDOWS = 200_000
 
 Entry = tuple[bytes, bytes, int, int, int, int, int]  # right, left, fewest and most bytes before the anchor, document (2), position
 
@@ -130,33 +140,50 @@ def entries_of(batch: pa.RecordBatch, length: int, anchor: int) -> Iterator[tupl
         yield v, (data[p : hi + length], data[lo:p], p - hi, p - lo, int(d[doc]), int(e[doc]), p - b)
 
 
-def settle(group: list[Entry], length: int) -> list[tuple[Entry, int]]:
-    """Entries of one anchor, first document first, with a bit for every window that has an equal one in an earlier entry.
+def settle(group: list[Entry], shares: list[int], length: int) -> list[tuple[Entry, int]]:
+    """Entries of one anchor, with a bit for every window that has an equal one in an earlier document or place.
 
-    Bit j stands for the window that begins j bytes before the anchor. The
-    same place of the same document, as repeated rows give it, is not earlier
-    than itself.
+    ``group`` is in suffix order, ``shares`` are the prefixes shared with the
+    entry before. Bit j stands for the window that begins j bytes before the
+    anchor; two are equal if their entries share ``length - j`` bytes from the
+    anchor on and the j bytes before it. The same place of the same document,
+    as repeated rows give it, is not earlier than itself.
     """
-    group = sorted(group, key=lambda x: x[4:])
     first: dict[tuple, tuple] = {}
-    found = []
-    distinct = []
     for entry in group:
-        right, left, low, high, *place = entry
-        before = first.setdefault((right, left, low), place)
-        if before is place:
-            distinct.append(len(found))
-        found.append([entry, ((1 << (high + 1)) - (1 << low)) if before != place else 0])
-    if len(distinct) > 1:
-        rows = [(found[i], found[i][0][1] + found[i][0][0]) for i in distinct]
-        for j in range(min(x[0][2] for x, _ in rows), max(x[0][3] for x, _ in rows) + 1):
+        first[entry[:3]] = min(entry[4:], first.get(entry[:3], entry[4:]))
+    found: list[list] = []
+    distinct: list[tuple] = []
+    between = length
+    for share, entry in zip(shares, group, strict=True):
+        between = min(between, share)
+        right, left, low, high, *_ = entry
+        place = first[right, left, low]
+        found.append([entry, 0])
+        if place != entry[4:]:
+            found[-1][1] = (1 << (high + 1)) - (1 << low)
+            continue
+        distinct.append((between, left, low, high, place, found[-1]))
+        between = length
+    if len(distinct) == 2:
+        (_, left, *one), (share, other, *two) = distinct
+        low, high = max(one[0], two[0], length - share), min(one[1], two[1], shared_prefix(left[::-1], other[::-1], 0))
+        if low <= high and one[2] != two[2]:
+            max(one, two, key=lambda x: x[2])[3][1] |= (1 << (high + 1)) - (1 << low)
+    elif len(distinct) > 2:
+        for j in range(min(x[2] for x in distinct), max(x[3] for x in distinct) + 1):
             seen: dict[bytes, tuple] = {}
-            for row, text in rows:
-                _, _, low, high, *place = row[0]
+            for share, left, low, high, place, row in distinct:
+                if share < length - j:
+                    seen = {}
                 if low <= j <= high:
-                    begin = high - j
-                    if seen.setdefault(text[begin : begin + length], place) != place:
+                    before, earliest = seen.get(left[high - j :], (place, row))
+                    if place > before:
                         row[1] |= 1 << j
+                        continue
+                    if place < before:
+                        earliest[1] |= 1 << j
+                    seen[left[high - j :]] = place, row
     return [(entry, bits) for entry, bits in found]
 
 
@@ -255,42 +282,61 @@ def decoded(meta: bytes, tails: bytes) -> Iterator[tuple[int, bytes, Entry]]:
         at += left
 
 
+def _window(entry: Entry, j: int, length: int) -> Entry:
+    """The window that begins ``j`` bytes before the anchor: its bytes from the anchor on, then those before it backwards, then j."""
+    right, left, _, high, *place = entry
+    return (right[: length - j] + left[high - j :][::-1] + j.to_bytes(2, "big"), b"", j, j, *place)
+
+
 def _runs(texts: DataFrame, ranges: int, length: int, anchor: int) -> DataFrame:
-    """Front-coded sorted runs by range (``part``), and removals settled inside a run (``part`` is null)."""
+    """Front-coded sorted runs by range (``part``; from ``ranges`` on, windows of hot anchors), and removals settled inside a run (``part`` is null)."""
 
-    def cut(held: dict[int, list[Entry]]) -> Iterator[pa.RecordBatch]:
+    def sent(parts: dict[int, list[Entry]], gone: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        rows = [(number, *coded(sorted(part)), None, None, None, None) for number, part in sorted(parts.items())]
+        rows += [(None, None, None, *x) for x in joined(gone)]
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        names = ["part", "meta", "tails", "d", "e", "first", "last"]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def cut(held: dict[int, list[Entry]], hot: set[int]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[Entry]] = {}
         gone: list[tuple[int, int, int, int]] = []
+        windows = 0
         for value, group in held.items():
-            part = parts.setdefault(value % ranges, [])
-            for entry, bits in settle(group, length) if len(group) > 1 else [(group[0], 0)]:
-                if not bits:
-                    part.append(entry)
-                    continue
+            group.sort()
+            shares = [0, *(shared_prefix(a[0], b[0], 0) for a, b in zip(group, group[1:], strict=False))]
+            for entry, bits in settle(group, shares, length) if len(group) > 1 else [(group[0], 0)]:
                 right, left, low, high, d, e, at = entry
-                for repeated, one, two in _stretches(bits, low, high):
+                for repeated, one, two in _stretches(bits, low, high) if bits else [(False, low, high)]:
                     if repeated:
                         gone.append((d, e, at - two, at - one + length))
+                    elif value in hot:
+                        for j in range(one, two + 1):
+                            window = _window(entry, j, length)
+                            parts.setdefault(ranges + zlib.crc32(window[0]) % ranges, []).append(window)
+                        windows += two + 1 - one
                     else:
-                        part.append((right[: length - one], left[high - two :], one, two, d, e, at))
-        rows = [(number, *coded(sorted(part)), None, None, None, None) for number, part in sorted(parts.items()) if part]
-        rows += [(None, None, None, *x) for x in joined(gone)]
-        if rows:
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            names = ["part", "meta", "tails", "d", "e", "first", "last"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        parts.setdefault(value % ranges, []).append((right[: length - one], left[high - two :], one, two, d, e, at))
+                if windows >= WINDOWS:
+                    yield sent(parts, gone)
+                    parts, gone, windows = {}, [], 0
+        if parts or gone:
+            yield sent(parts, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[Entry]] = {}
+        hot: set[int] = set()
         size = 0
         for batch in expanded(batches, SLICE):
+            found = batch.column(batch.schema.get_field_index("hot")).flatten().to_numpy().view(np.uint64)
+            hot.update(np.unique(found).tolist())
             for value, entry in entries_of(batch, length, anchor):
                 held.setdefault(value, []).append(entry)
                 size += len(entry[0]) + len(entry[1])
             if size >= RUN_BYTES:
-                yield from cut(held)
-                held, size = {}, 0
-        yield from cut(held)
+                yield from cut(held, hot)
+                held, hot, size = {}, set(), 0
+        yield from cut(held, hot)
 
     return texts.mapInArrow(run, "part int, meta binary, tails binary, d long, e long, first long, last long")
 
@@ -306,23 +352,37 @@ def joined(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return found
 
 
-def _merge_range(length: int, anchor: int):
-    def run(table: pa.Table) -> pa.Table:
-        runs = [decoded(m.as_py(), t.as_py()) for m, t in zip(table.column("meta"), table.column("tails"), strict=True)]
-        gone: list[tuple[int, int, int, int]] = []
-
-        def close(group: list[Entry]) -> None:
+def _merge_range(ranges: int, length: int, anchor: int):
+    def anchors(runs: list) -> Iterator[tuple[int, int, int, int]]:
+        def close() -> Iterator[tuple[int, int, int, int]]:
             if len(group) > 1:
-                for (_, _, low, high, d, e, at), bits in settle(group, length):
-                    gone.extend((d, e, at - two, at - one + length) for repeated, one, two in _stretches(bits, low, high) if bits and repeated)
+                for (_, _, low, high, d, e, at), bits in settle(group, shares, length):
+                    if bits:
+                        yield from ((d, e, at - two, at - one + length) for repeated, one, two in _stretches(bits, low, high) if repeated)
 
         group: list[Entry] = []
+        shares: list[int] = []
         for share, _, entry in merged(runs):
             if share < anchor:
-                close(group)
-                group = []
+                yield from close()
+                group.clear()
+                shares.clear()
             group.append(entry)
-        close(group)
+            shares.append(share)
+        yield from close()
+
+    def windows(runs: list) -> Iterator[tuple[int, int, int, int]]:
+        first: tuple = ()
+        for share, window, (_, _, j, _, *place) in merged(runs):
+            if share < len(window):
+                first = place
+            elif place != first:
+                first, (d, e, at) = sorted((first, place))
+                yield d, e, at - j, at - j + length
+
+    def run(table: pa.Table) -> pa.Table:
+        runs = [decoded(m.as_py(), t.as_py()) for m, t in zip(table.column("meta"), table.column("tails"), strict=True)]
+        gone = list(windows(runs) if table.column("part")[0].as_py() >= ranges else anchors(runs))
         columns = list(zip(*joined(gone), strict=True)) or [[], [], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["d", "e", "first", "last"])
 
@@ -334,13 +394,16 @@ def removals(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> Da
     counted = store(anchor_counts(keyed, length, anchor), "anchors")
     each = counted.select("d", "e", F.explode(F.concat("once", "twice")).alias("h"))
     total = counted.select(F.explode("once").alias("h"), F.lit(1).alias("n")).union(counted.select(F.explode("twice").alias("h"), F.lit(2).alias("n")))
-    repeated = total.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
-    held = store(each.join(repeated, "h").groupBy("d", "e").agg(F.collect_list("h").alias("repeated")), "repeated")
-    anchors = held.agg(F.sum(F.size("repeated"))).first()[0] or 0
-    texts = squeezed(keyed).join(held, ["d", "e"]).select("d", "e", "repeated", "packed")
-    runs = store(_runs(texts, max(1, -(-anchors // RANGE)), length, anchor), "runs")
+    repeated = total.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h", F.when(F.col("n") > HOT, F.col("h")).alias("hot"))
+    found = each.join(repeated, "h").groupBy("d", "e").agg(F.collect_list("h").alias("repeated"), F.collect_list("hot").alias("hot"))
+    held = store(found, "repeated")
+    # As each anchor is that of half of the windows that could have it.
+    windows = F.size("repeated") + F.size("hot") * ((length - anchor) // 2)
+    ranges = max(1, -(-(held.agg(F.sum(windows)).first()[0] or 0) // RANGE))
+    texts = squeezed(keyed).join(held, ["d", "e"]).select("d", "e", "repeated", "hot", "packed")
+    runs = store(_runs(texts, ranges, length, anchor), "runs")
     merges = runs.filter("part IS NOT NULL").select("part", "meta", "tails").groupBy("part")
-    across = merges.applyInArrow(_merge_range(length, anchor), "d long, e long, first long, last long")
+    across = merges.applyInArrow(_merge_range(ranges, length, anchor), "d long, e long, first long, last long")
     return runs.filter("part IS NULL").select("d", "e", "first", "last").union(across)
 
 

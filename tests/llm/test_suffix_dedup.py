@@ -3,6 +3,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from faultlens.llm import suffix_dedup
 from tests.llm import samples
@@ -29,11 +30,13 @@ def got(df, **options):
     return [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in suffix_dedup.deduplicated(df, **options).collect()]
 
 
-@pytest.mark.parametrize(("run_bytes", "anchors"), [(1 << 20, 50_000), (3_000, 40)])
-def test_matches_all_windows(spark, monkeypatch, run_bytes, anchors):
-    """Shared passages, overlaps, short periods; with small limits many runs and ranges are merged."""
-    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", run_bytes)
-    monkeypatch.setattr(suffix_dedup, "RANGE", anchors)
+@pytest.mark.parametrize(
+    ("run_bytes", "anchors", "hot", "windows"), [(1 << 20, 50_000, 16_384, 200_000), (3_000, 40, 16_384, 200_000), (3_000, 400, 5, 100), (3_000, 4_000, 1, 200_000)]
+)
+def test_matches_all_windows(spark, monkeypatch, run_bytes, anchors, hot, windows):
+    """Shared passages, overlaps, short periods; with small limits many runs and ranges are merged, and anchors are dealt out by windows."""
+    for name, value in (("RUN_BYTES", run_bytes), ("RANGE", anchors), ("HOT", hot), ("WINDOWS", windows)):
+        monkeypatch.setattr(suffix_dedup, name, value)
     dice = random.Random(8)
     passages = [samples.sentence(dice, 40) for _ in range(5)]
     texts = []
@@ -47,6 +50,61 @@ def test_matches_all_windows(spark, monkeypatch, run_bytes, anchors):
     assert dict(got(samples.plain(spark, texts).repartition(4))) == brute(list(enumerate(texts)), 100)
 
 
+def test_settled_by_shared_prefixes():
+    """Groups of two and of many entries, cut at random and repeated, against all windows."""
+    dice = random.Random(3)
+    for trial in range(400):
+        text = [b"".join(dice.choice((b"a", b"b")) if dice.random() < 0.1 else b"a" for _ in range(30)) for _ in range(dice.choice((2, 2, 3, 9)))]
+        group = []
+        for k, data in enumerate(text):
+            low = dice.randrange(4)
+            high = low + dice.randrange(5)
+            # The anchor is at 10, windows have 12 bytes.
+            entry = (data[10 : 10 + 12 - low], data[10 - high : 10], low, high, dice.randrange(4) if trial % 2 else k, 0, 10)
+            group += [entry] * dice.choice((1, 1, 1, 2))
+        group.sort()
+        shares = [0] + [len(os.path.commonprefix([a[0], b[0]])) for a, b in zip(group, group[1:], strict=False)]
+        settled = suffix_dedup.settle(group, shares, 12)
+        assert [x for x, _ in settled] == group
+        first, got, want = {}, set(), set()
+        windows = [(j, left[high - j :], right[: 12 - j], place) for right, left, low, high, *place in group for j in range(low, high + 1)]
+        for *window, place in windows:
+            first[tuple(window)] = min(place, first.get(tuple(window), place))
+        for (right, left, low, high, *place), bits in settled:
+            assert bits >> (high + 1) == 0 and bits & ((1 << low) - 1) == 0
+            got |= {(*place, j) for j in range(low, high + 1) if bits >> j & 1}
+        for j, left, right, place in windows:
+            if first[j, left, right] != place:
+                want.add((*place, j))
+        assert got == want
+
+
+def test_passage_of_a_third_is_dealt_out(spark, monkeypatch):
+    """Its edges have a hot anchor in a third of the documents; no range gets much more than another."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 200)
+    monkeypatch.setattr(suffix_dedup, "RANGE", 2_000)
+    monkeypatch.setattr(suffix_dedup, "RUN_BYTES", 100_000)
+    dice = random.Random(6)
+    passage = samples.sentence(dice, 60)
+    texts = [" ".join([samples.sentence(dice, 25), *([passage] if k % 3 == 0 else []), samples.sentence(dice, 25)]) for k in range(3_000)]
+    sizes = []
+    real = suffix_dedup.store
+
+    def store(df, name):
+        stored = real(df, name)
+        if name == "runs":
+            rows = stored.filter("part IS NOT NULL").groupBy("part").agg(F.sum(F.length("meta")).alias("n")).collect()
+            sizes.extend(sorted(r.n for r in rows))
+        return stored
+
+    monkeypatch.setattr(suffix_dedup, "store", store)
+    found = dict(got(samples.plain(spark, texts).repartition(4)))
+    assert found == brute(list(enumerate(texts)), 100)
+    assert sum(1 for k, x in found.items() if k % 3 == 0 and x[1] >= len(passage)) == 999
+    hot = sizes[len(sizes) // 2]
+    assert len(sizes) > 10 and sizes[-1] < 3 * hot, sizes
+
+
 def test_other_lengths(spark):
     dice = random.Random(1)
     texts = [samples.edited(dice, samples.sentence(random.Random(k % 3), 30), 0.1) for k in range(20)]
