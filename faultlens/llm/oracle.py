@@ -41,5 +41,70 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
 """
 
 
+#: One part of an address, at most 255.
+_PART = "0*(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, CAST(len({_DIGITS}) AS BIGINT) + 1), lambda i:
+    CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INTEGER)
+         ELSE 2 * CAST(reverse({_DIGITS})[i] AS INTEGER) - CASE WHEN CAST(reverse({_DIGITS})[i] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+#: Kind, pattern, and what a match ``m`` of it must pass; fixed by the contract of the operators.
+_PERSONAL = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", f"regexp_full_match(m, '{_PART}(\\.{_PART}){{3}}')"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", f"CASE WHEN len({_DIGITS}) BETWEEN 13 AND 19 THEN {_LUHN} ELSE false END"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 9 AND 15"),
+]
+_NAMES = "|".join(
+    "".join(c if c in "_?" else f"[{c.upper()}{c}]" for c in name) for name in ("password", "passwd", "secret", "token", "api_?key")
+)
+_ASSIGN = rf"""({_NAMES})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SECRETS = [
+    ("assign", _ASSIGN, f"len(regexp_extract(m, '{_ASSIGN}', 2)) >= 8"),
+    ("access", "AKIA[A-Z0-9]+", "len(m) >= 16"),
+    ("hex", "[0-9a-f]+", "len(m) >= 32"),
+]
+
+
+def _base_spans(kinds: list[tuple[str, str, str]], order: str) -> str:
+    """Counts by kind and the hash of all spans of every document; a match starts after the texts between matches and the matches before it."""
+    each = " UNION ALL ".join(
+        f"""SELECT r, {number} AS kind, '{name}' AS name, m, first, first + len(m) AS last FROM (
+            SELECT r, m, sum(len(g)) OVER w + coalesce(sum(len(m)) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+            FROM (SELECT r, unnest(ms) AS m, unnest(gs[:len(ms)]) AS g, unnest(range(len(ms))) AS i
+                  FROM (SELECT r, regexp_extract_all(x, '{pattern}') AS ms, string_split_regex(x, '{pattern}') AS gs FROM t) WHERE len(ms) > 0)
+            WINDOW w AS (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE {test}"""
+        for number, (name, pattern, test) in enumerate(kinds)
+    )
+    counts = ", ".join(f"count(*) FILTER (name = '{name}') AS n_{name}" for name, _, _ in kinds)
+    return f"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents),
+s AS ({each})
+SELECT doc_id, {counts}, sha256(coalesce(string_agg(CASE WHEN name IS NOT NULL THEN concat(name, ':', first, ':', last) END, ',' ORDER BY {order}), '')) AS base_sha256
+FROM t LEFT JOIN s USING (r) GROUP BY r, doc_id
+"""
+
+
+PERSONAL_DATA = _base_spans(_PERSONAL, "kind, first")
+SECRETS = _base_spans(_SECRETS, "first, kind")
+
+#: Sizes from the texts; balance and gapless slots hold for any table.
+RING = """
+SELECT count(*) AS documents, CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS bytes, least(count(*), 16) AS shards, true AS even, true AS gapless
+FROM documents
+"""
+
+#: Every document is packed whole: its pieces follow each other, and so do those of a sequence.
+PACKING = """
+SELECT count(*) AS documents, count(*) AS begun, CAST(0 AS BIGINT) AS cut_without_need, true AS whole, true AS gapless, true AS fit FROM documents
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minmax": OP2, "op12_lexical": OP12}
+    return {
+        "op2_minmax": OP2,
+        "op12_lexical": OP12,
+        "text_personal_data_base": PERSONAL_DATA,
+        "text_secrets_base": SECRETS,
+        "text_ring_balance": RING,
+        "text_packing_balance": PACKING,
+    }

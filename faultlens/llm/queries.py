@@ -1,10 +1,11 @@
-"""The registered queries: each applies one operator to its whole table."""
+"""The registered queries: each applies one operator to its whole table; those named ``text_`` give what SQL can check of one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faultlens.llm import (
     blob_secrets,
@@ -21,7 +22,7 @@ from faultlens.llm import (
     toxicity,
     whitening,
 )
-from faultlens.llm.common import ship
+from faultlens.llm.common import ship, store
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,6 +96,58 @@ def op13_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages_of(_documents(spark, folder))
 
 
+def text_personal_data_base(spark: SparkSession, folder: str) -> DataFrame:
+    """What op4 finds by its fixed patterns, in counts and hashes that SQL can express."""
+    return op4_personal_data(spark, folder).select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256")
+
+
+def text_secrets_base(spark: SparkSession, folder: str) -> DataFrame:
+    """What op5 finds by its base rules."""
+    return op5_blob_secrets(spark, folder).select("doc_id", *[f"n_{r.name}" for r in blob_secrets.RULES if r.base], "base_sha256")
+
+
+def text_ring_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of op3, whether its shards differ by one at most, and whether each shard's slots are 0, 1, 2 and so on."""
+    placed = op3_ring(spark, folder)
+    shards = placed.groupBy("shard").agg(
+        F.count("*").alias("n"), F.sum("size").alias("bytes"), F.countDistinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high")
+    )
+    return shards.agg(
+        F.sum("n").alias("documents"),
+        F.sum("bytes").alias("bytes"),
+        F.count("*").alias("shards"),
+        (F.max("n") - F.min("n") <= 1).alias("even"),
+        F.bool_and((F.col("low") == 0) & (F.col("slots") == F.col("n")) & (F.col("high") == F.col("n") - 1)).alias("gapless"),
+    )
+
+
+def text_packing_balance(spark: SparkSession, folder: str) -> DataFrame:
+    """Of op8: documents packed, those with a first piece, those cut although they fit, and whether pieces and places follow each other."""
+    pieces = store(op8_packing(spark, folder), "packed")
+    size = packing.CAPACITY
+    documents = pieces.groupBy("doc_id").agg(
+        F.count("*").alias("pieces"),
+        F.sum("length").alias("tokens"),
+        F.max("piece").alias("last"),
+        F.count(F.when((F.col("piece") == 0) & (F.col("start") == 0), 1)).alias("begun"),
+        F.max(F.col("start") + F.col("length")).alias("end"),
+        F.count(F.when((F.col("piece") > 0) & (F.col("length") != size), 1)).alias("short"),
+    )
+    whole = (F.col("last") == F.col("pieces") - 1) & (F.col("end") == F.col("tokens")) & (F.col("short") == 0)
+    documents = documents.agg(
+        F.count("*").alias("documents"), F.sum("begun").alias("begun"),
+        F.count(F.when((F.col("pieces") > 1) & (F.col("tokens") <= size), 1)).alias("cut_without_need"), F.bool_and(whole).alias("whole"),
+    )
+    sequences = pieces.groupBy("sequence_id").agg(
+        F.sum("length").alias("tokens"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("low"), F.countDistinct("offset").alias("places"), F.count("*").alias("n")
+    )
+    follow = (F.col("low") == 0) & (F.col("end") == F.col("tokens")) & (F.col("places") == F.col("n"))
+    sequences = sequences.agg(F.bool_and(follow).alias("gapless"), F.bool_and(F.col("tokens") <= size).alias("fit"))
+    # Two rows, each with half of the columns.
+    both = documents.unionByName(sequences, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate,
@@ -110,5 +163,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op11_whitening,
         op12_lexical,
         op13_language,
+        text_personal_data_base,
+        text_secrets_base,
+        text_ring_balance,
+        text_packing_balance,
     )
     return {f.__name__: f for f in found}
