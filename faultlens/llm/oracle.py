@@ -99,10 +99,48 @@ SELECT count(*) AS documents, count(*) AS begun, CAST(0 AS BIGINT) AS cut_withou
 """
 
 
+#: Exact: every 100-byte string of every text, as hexadecimal digits; all but the first of equal ones are removed.
+OP10 = """
+WITH d AS MATERIALIZED (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT doc_id, pos, substr(x, 2 * pos + 1, 200) AS s FROM (SELECT doc_id, x, unnest(range(greatest(n - 99, 0))) AS pos FROM d)),
+r AS MATERIALIZED (SELECT doc_id, pos FROM w QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) > 1),
+i AS (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM (
+    SELECT doc_id, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100 THEN 0 ELSE 1 END AS new FROM r)),
+p AS (SELECT doc_id, min(pos) AS a, max(pos) + 100 AS b FROM i GROUP BY doc_id, island),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p),
+g AS (SELECT doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+    string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS kept
+    FROM k JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
+#: The whole numbers of op11: different vectors, and every vector's squared distance from their mean, times n * n.
+WHITENING = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) + 1000000) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+f AS (SELECT DISTINCT x FROM e),
+m AS (SELECT dim, sum(v) AS s FROM (SELECT unnest(x) AS v, unnest(range(len(x))) AS dim FROM f) GROUP BY dim),
+c AS (SELECT count(*) AS n FROM f),
+t AS (SELECT c.n, list(s ORDER BY dim) AS s FROM m, c GROUP BY c.n)
+SELECT vec_id, n, CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (n * x[i] - s[i]) * (n * x[i] - s[i]))) AS BIGINT) AS deviation FROM e, t
+"""
+
+#: Edited texts of op7: the last third gives way to the beginning of the next document.
+EDITED = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+t AS (SELECT doc_id, x, coalesce(lead(x) OVER (ORDER BY doc_id DESC), first_value(x) OVER (ORDER BY doc_id DESC)) AS y FROM d)
+SELECT doc_id, length(x) AS n_chars, sha256(concat(substr(x, 1, length(x) - length(x) // 3), substr(y, 1, length(x) // 3))) AS edited_sha256 FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_minmax": OP2,
+        "op10_repeats": OP10,
         "op12_lexical": OP12,
+        "text_edited_documents": EDITED,
+        "text_whitening_totals": WHITENING,
         "text_personal_data_base": PERSONAL_DATA,
         "text_secrets_base": SECRETS,
         "text_ring_balance": RING,

@@ -96,6 +96,16 @@ def op13_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.languages_of(_documents(spark, folder))
 
 
+def text_edited_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The edited texts that op7 fingerprints."""
+    return op7_simhash(spark, folder).select("doc_id", "n_chars", "edited_sha256")
+
+
+def text_whitening_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole numbers of op11, once for each vector."""
+    return op11_whitening(spark, folder).filter("component = 1").select("vec_id", "n", "deviation")
+
+
 def text_personal_data_base(spark: SparkSession, folder: str) -> DataFrame:
     """What op4 finds by its fixed patterns, in counts and hashes that SQL can express."""
     return op4_personal_data(spark, folder).select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256")
@@ -163,6 +173,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op11_whitening,
         op12_lexical,
         op13_language,
+        text_edited_documents,
+        text_whitening_totals,
         text_personal_data_base,
         text_secrets_base,
         text_ring_balance,
