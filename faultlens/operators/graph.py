@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from faultlens.functions.columns import is_failed, parent_id_array
 from faultlens.operators.prefix import running_before
+from faultlens.session import materialize, merged
 
 NODE = ["app_id", "stage_id"]
 
@@ -23,7 +24,7 @@ def _with_listed_parents(stages: DataFrame) -> DataFrame:
 
 
 def latest_attempts(stages: DataFrame) -> DataFrame:
-    """One row per stage: the highest attempt, ties broken by the row itself."""
+    """One row per stage: the highest attempt, ties broken by the row itself, and whether any attempt lists a parent."""
     attempt = F.col("stage_attempt_id") if "stage_attempt_id" in stages.columns else F.lit(0)
     row = F.struct(
         attempt.alias("attempt"),
@@ -34,8 +35,8 @@ def latest_attempts(stages: DataFrame) -> DataFrame:
     )
     return (
         stages.groupBy(*NODE)
-        .agg(F.max(row).alias("last"))
-        .select(*NODE, "last.stage_name", "last.status", "last.failure_reason", "last.listed")
+        .agg(F.max(row).alias("last"), F.max(F.size("listed") > 0).alias("any_listed"))
+        .select(*NODE, "last.stage_name", "last.status", "last.failure_reason", "last.listed", "any_listed")
     )
 
 
@@ -46,14 +47,13 @@ def stage_nodes(stages: DataFrame) -> DataFrame:
     each stage follows the stage with the next smaller id. A parent listed by
     any attempt counts for that choice.
     """
-    rows = _with_listed_parents(stages)
+    # Stored, since the segments and the rows inside them are two passes.
     placed = running_before(
-        latest_attempts(rows),
+        materialize(latest_attempts(_with_listed_parents(stages)), "attempts"),
         ["app_id"],
         "stage_id",
         maxima={"previous_stage": F.col("stage_id")},
-        any_in_group={"used_true_parents": F.size("listed") > 0},
-        summarized=rows,
+        any_in_group={"used_true_parents": F.col("any_listed")},
     )
     chained = F.when(F.col("previous_stage").isNotNull(), F.array("previous_stage")).otherwise(
         F.array().cast("array<int>")
@@ -105,7 +105,7 @@ def edges_with_roots(nodes: DataFrame) -> DataFrame:
 def known_edges(nodes: DataFrame) -> DataFrame:
     """Declared edges whose parent is a stage of the same application."""
     stages = nodes.select("app_id", F.col("stage_id").alias("parent_stage_id"))
-    return declared_edges(nodes).join(stages, ["app_id", "parent_stage_id"], "left_semi")
+    return declared_edges(nodes).join(merged(stages), ["app_id", "parent_stage_id"], "left_semi")
 
 
 def with_child_counts(nodes: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def with_child_counts(nodes: DataFrame) -> DataFrame:
         .groupBy(*NODE)
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("failed").alias("n_failed"))
     )
-    return nodes.join(children, NODE, "left").select(
+    return nodes.join(merged(children), NODE, "left").select(
         nodes["*"],
         F.coalesce("n", F.lit(0)).alias("child_count"),
         F.coalesce("n_failed", F.lit(0)).alias("failed_child_count"),
@@ -145,13 +145,13 @@ def neighbors(nodes: DataFrame) -> DataFrame:
         F.col("child_stage_id").alias("stage_id"),
         F.lit("parent").alias("relation"),
         F.col("parent_stage_id").alias("neighbor_id"),
-    ).join(about, ["app_id", "neighbor_id"])
+    ).join(merged(about), ["app_id", "neighbor_id"])
     children = known_edges(nodes).select(
         "app_id",
         F.col("parent_stage_id").alias("stage_id"),
         F.lit("child").alias("relation"),
         F.col("child_stage_id").alias("neighbor_id"),
-    ).join(about, ["app_id", "neighbor_id"])
+    ).join(merged(about), ["app_id", "neighbor_id"])
     return parents.unionByName(children).select(*NODE, "relation", "neighbor_id", "neighbor_status")
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.session import materialize
+from faultlens.session import materialize, merged
 
 SEGMENT_BITS = 16
 
@@ -54,7 +54,7 @@ def _carried(segments: DataFrame, keys: list[str], sums: list[str], maxima: list
         *[F.max(n).over(before).alias(n) for n in maxima],
     )
     zero = F.lit(0)
-    return inside.join(above, [*keys, _UPPER]).select(
+    return inside.join(merged(above), [*keys, _UPPER]).select(
         *keys,
         _SEGMENT,
         *[(F.coalesce(n, zero) + F.coalesce(f"{n}__above", zero)).alias(n) for n in sums],
@@ -100,7 +100,7 @@ def running_before(
     )
     if flags:
         in_group = per_segment.groupBy(*keys).agg(*[F.max(n).alias(n) for n in flags])
-        carried = carried.join(in_group, keys)
+        carried = carried.join(merged(in_group), keys)
 
     inside = Window.partitionBy(*keys, _SEGMENT).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.select(
@@ -109,7 +109,7 @@ def running_before(
         *[F.max(e).over(inside).alias(f"{n}__local") for n, e in maxima.items()],
     )
     zero = F.lit(0)
-    return local.join(carried, [*keys, _SEGMENT]).select(
+    return local.join(merged(carried), [*keys, _SEGMENT]).select(
         *df.columns,
         *[
             (F.coalesce(F.col(f"{n}__local"), zero) + F.coalesce(F.col(f"{n}__carried"), zero)).alias(n)

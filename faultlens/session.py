@@ -78,6 +78,20 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows up to which a table may be sent whole to every task, whatever its files' size says.
+SENT_ROWS = 100_000
+
+
+def merged(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` as a side of a join that is sorted and merged, never sent whole to every task.
+
+    The optimizer goes by the size of files and shuffles, and packed ids take a
+    fiftieth of their room in memory, so tables of millions of rows pass its
+    limit. With ``rows``, the known size, a small table is left to the optimizer.
+    """
+    return df if rows is not None and rows <= SENT_ROWS else df.hint("merge")
+
+
 def broadcast_if_small(df: DataFrame, limit: int = 10 << 20) -> DataFrame:
     """Ask for a broadcast if the optimizer's size estimate is within ``limit``.
 
