@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.session import materialize, scratch_path
+from faultlens.session import materialize, merged, scratch_path
 
 _NODE = ["app_id", "node"]
 #: Rounds of one level each before a graph is contracted.
@@ -45,16 +45,18 @@ def unary_runs(edges: DataFrame) -> DataFrame:
     the number of steps from the head. A run that closes to a circle begins at
     its smallest node.
     """
+    size = edges.count()
     ways_on = edges.groupBy("app_id", "at").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
     ways_in = edges.groupBy("app_id", "next").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    inner = edges.filter("at <> next").join(ways_on, ["app_id", "at"], "left_semi").join(ways_in, ["app_id", "next"], "left_semi")
+    inner = edges.filter("at <> next").join(merged(ways_on, size), ["app_id", "at"], "left_semi")
+    inner = inner.join(merged(ways_in, size), ["app_id", "next"], "left_semi")
     links = materialize(inner.select("app_id", F.col("next").alias("node"), F.col("at").alias("head")), "links")
     placed, circles = _doubled(links)
     if circles is None:
         return placed
     # Cut every circle at its smallest node and place what is then a plain run.
     cut = circles.filter("node <> low").select(*_NODE)
-    rest, _ = _doubled(materialize(links.join(cut, _NODE, "left_semi"), "links"))
+    rest, _ = _doubled(materialize(links.join(merged(cut, size), _NODE, "left_semi"), "links"))
     return placed.unionByName(rest)
 
 
@@ -69,7 +71,7 @@ def _doubled(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     rounds = 0
     while size:
         before = current.select("app_id", F.col("node").alias("head"), F.col("head").alias("to"), F.col("place").alias("more"), F.col("low").alias("other"))
-        further = current.join(before, ["app_id", "head"], "left").select(
+        further = current.join(merged(before, size), ["app_id", "head"], "left").select(
             *_NODE,
             F.coalesce("to", "head").alias("head"),
             (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"),
@@ -89,20 +91,20 @@ def _doubled(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def _with_runs(rows: DataFrame, runs: DataFrame, node: str) -> DataFrame:
     """``rows`` with the head and place of the run that ``node`` is in."""
     found = runs.withColumnRenamed("node", node)
-    return rows.join(found, ["app_id", node], "left").select(
+    return rows.join(merged(found), ["app_id", node], "left").select(
         *rows.columns, F.coalesce("head", node).alias("head"), F.coalesce("place", F.lit(0).cast("long")).alias("place")
     )
 
 
 def _between_runs(edges: DataFrame, runs: DataFrame) -> DataFrame:
     """(app_id, head, after, to): steps from a run's head to its last node, and the head that follows."""
-    ends = edges.join(runs.select("app_id", F.col("node").alias("next"), F.lit(True).alias("inner")), ["app_id", "next"], "left")
+    ends = edges.join(merged(runs.select("app_id", F.col("node").alias("next"), F.lit(True).alias("inner"))), ["app_id", "next"], "left")
     # Inside a run there is one edge to each node; a circle's closing edge leads to its head.
     leaving = ends.filter("inner IS NULL").select("app_id", "at", F.col("next").alias("to"))
     return materialize(_with_runs(leaving, runs, "at").select("app_id", "head", F.col("place").alias("after"), "to"), "between")
 
 
-def _independent(edges: DataFrame, kept: DataFrame, turn: int) -> DataFrame:
+def _independent(edges: DataFrame, kept: DataFrame, turn: int, size: int) -> DataFrame:
     """Nodes with few ways in and on of which no two are neighbours; none of ``kept``.
 
     Of neighbours the one with fewer ways through it is taken, a hash decides
@@ -110,17 +112,17 @@ def _independent(edges: DataFrame, kept: DataFrame, turn: int) -> DataFrame:
     """
     outs = edges.groupBy("app_id", F.col("at").alias("node")).agg(F.count(F.lit(1)).alias("outs"))
     ins = edges.groupBy("app_id", F.col("next").alias("node")).agg(F.count(F.lit(1)).alias("ins"))
-    nodes = outs.join(ins, _NODE, "full").na.fill(0, ["outs", "ins"])
+    nodes = outs.join(merged(ins, size), _NODE, "full").na.fill(0, ["outs", "ins"])
     through = F.col("ins") * F.col("outs")
-    few = nodes.filter(through <= F.greatest(F.col("ins") + F.col("outs"), F.lit(WAYS))).join(kept, _NODE, "left_anti")
+    few = nodes.filter(through <= F.greatest(F.col("ins") + F.col("outs"), F.lit(WAYS))).join(merged(kept), _NODE, "left_anti")
     few = few.select(*_NODE, F.struct(through.alias("through"), F.xxhash64(*_NODE, F.lit(turn)).alias("hash"), "node").alias("order"))
     ends = [few.select("app_id", F.col("node").alias(end), F.col("order").alias(f"{end}_order")) for end in ("at", "next")]
-    both = edges.filter("at <> next").join(ends[0], ["app_id", "at"]).join(ends[1], ["app_id", "next"])
+    both = edges.filter("at <> next").join(merged(ends[0], size), ["app_id", "at"]).join(merged(ends[1], size), ["app_id", "next"])
     beside = both.select("app_id", F.explode(F.array(*[
         F.struct(F.col(one).alias("node"), F.col(f"{two}_order").alias("other")) for one, two in (("at", "next"), ("next", "at"))
     ])).alias("pair")).select("app_id", "pair.*")
     lowest = beside.groupBy(*_NODE).agg(F.min("other").alias("lowest"))
-    return few.join(lowest, _NODE, "left").filter("lowest IS NULL OR order < lowest").select(*_NODE)
+    return few.join(merged(lowest, size), _NODE, "left").filter("lowest IS NULL OR order < lowest").select(*_NODE)
 
 
 def contracted(edges: DataFrame, kept: DataFrame, longest: bool) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
@@ -141,28 +143,28 @@ def contracted(edges: DataFrame, kept: DataFrame, longest: bool) -> tuple[DataFr
         count, loops = edges.agg(F.count(F.lit(1)), F.count_if(F.col("at") == F.col("next"))).first()
         if loops and longest:
             cyclic.append(materialize(edges.filter("at = next").select("app_id").distinct(), "cyclic"))
-            edges = edges.join(cyclic[-1], "app_id", "left_anti")
+            edges = edges.join(merged(cyclic[-1], count), "app_id", "left_anti")
         elif loops:
-            at_kept = edges.filter("at = next").join(kept.withColumnRenamed("node", "at"), ["app_id", "at"], "left_semi")
+            at_kept = edges.filter("at = next").join(merged(kept.withColumnRenamed("node", "at")), ["app_id", "at"], "left_semi")
             edges = edges.filter("at <> next").unionByName(at_kept)
         poor = poor + 1 if before is not None and count > POOR * before else 0
         before = count
         if not count or poor == 2:
             break
-        taken = materialize(_independent(edges, kept, len(trail)), "taken")
+        taken = materialize(_independent(edges, kept, len(trail), count), "taken")
         if taken.isEmpty():
             break
-        entered = edges.join(taken.withColumnRenamed("node", "next"), ["app_id", "next"])
+        entered = edges.join(merged(taken.withColumnRenamed("node", "next"), count), ["app_id", "next"])
         if not longest:
             entered = materialize(entered, "entered")
         trail.append(entered)
         ways = entered.select("app_id", "at", F.col("next").alias("node"), F.col("length").alias("first"))
-        left = edges.join(taken, (edges["app_id"] == taken["app_id"]) & (edges["at"] == taken["node"]), "left_semi")
-        through = ways.join(left.select("app_id", F.col("at").alias("node"), "next", "length"), _NODE)
+        left = edges.join(merged(taken, count), (edges["app_id"] == taken["app_id"]) & (edges["at"] == taken["node"]), "left_semi")
+        through = ways.join(merged(left.select("app_id", F.col("at").alias("node"), "next", "length"), count), _NODE)
         through = through.select("app_id", "at", "next", (F.col("first") + F.col("length")).alias("length"))
         rest = edges
         for end in ("at", "next"):
-            rest = rest.join(taken.withColumnRenamed("node", end), ["app_id", end], "left_anti")
+            rest = rest.join(merged(taken.withColumnRenamed("node", end), count), ["app_id", end], "left_anti")
         joined = rest.select(*through.columns).unionByName(through).groupBy("app_id", "at", "next").agg(best("length").alias("length"))
         edges = materialize(joined, "contracted")
     return edges, trail, reduce(DataFrame.unionByName, cyclic) if cyclic else None
@@ -175,17 +177,17 @@ def _walked(start: DataFrame, between: DataFrame, keys: list[str], limit: int |
     app_id, head, length and to.
     """
     spark, base, rounds = start.sparkSession, scratch_path(start.sparkSession, "reach"), []
-    newest, schema = start, None
+    newest, schema, size, far = start, None, start.count(), between.count()
     while limit is None or len(rounds) < limit:
-        ahead = newest.join(between, ["app_id", "head"]).select(*keys, F.col("to").alias("head"), (F.col("steps") + F.col("length")).alias("steps"))
+        ahead = merged(newest, min(size, far)).join(between, ["app_id", "head"]).select(*keys, F.col("to").alias("head"), (F.col("steps") + F.col("length")).alias("steps"))
         ahead = ahead.groupBy(*keys, "head").agg(F.min("steps").alias("steps"))
         if rounds:
             known = spark.read.schema(schema).parquet(*rounds).groupBy(*keys, "head").agg(F.min("steps").alias("known"))
-            ahead = ahead.join(known, [*keys, "head"], "left").filter("known IS NULL OR steps < known").drop("known")
+            ahead = ahead.join(merged(known, size), [*keys, "head"], "left").filter("known IS NULL OR steps < known").drop("known")
         path = f"{base}/{len(rounds)}"
         newest = materialize(ahead, "round", path)
-        schema = newest.schema
-        if newest.isEmpty():
+        schema, size = newest.schema, newest.count()
+        if not size:
             break
         rounds.append(path)
     else:
@@ -214,7 +216,7 @@ def _entered(start: DataFrame, between: DataFrame, keys: list[str]) -> DataFrame
             departed = start.select(*keys, "head", "steps")
             if paths:
                 departed = departed.unionByName(spark.read.schema(schema).parquet(*paths))
-            rows = departed.withColumnRenamed("head", "at").join(entered, ["app_id", "at"])
+            rows = departed.withColumnRenamed("head", "at").join(merged(entered), ["app_id", "at"])
             rows = rows.groupBy(*keys, F.col("next").alias("head")).agg(F.min(F.col("steps") + F.col("length")).alias("steps"))
         if rows is not None:
             paths.append(f"{base}/{len(paths)}")
@@ -243,7 +245,7 @@ def reach(seeds: DataFrame, edges: DataFrame, keys: list[str], include_seeds: bo
     if entered is not None:
         ways = ways.unionByName(entered.withColumn("place", F.lit(0).cast("long")))
     heads = ways.filter("place = 0").select(*keys, F.col("head").alias("at"), "steps")
-    along = ways.join(runs.withColumnRenamed("place", "there"), ["app_id", "head"]).filter("there >= place")
+    along = ways.join(merged(runs.withColumnRenamed("place", "there")), ["app_id", "head"]).filter("there >= place")
     along = along.select(*keys, F.col("node").alias("at"), (F.col("steps") + F.col("there") - F.col("place")).alias("steps"))
     found = heads.unionByName(along).groupBy(*keys, "at").agg(F.min("steps").cast("int").alias("steps"))
     return found.select(*keys, "at", "steps")
@@ -259,11 +261,12 @@ def _placed(edges: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool
     """
     spark, base, rounds = edges.sparkSession, scratch_path(edges.sparkSession, "placed"), []
     ways = edges.groupBy("app_id", "next").agg(F.count(F.lit(1)).alias("ways"))
-    edges = materialize(edges.join(ways, ["app_id", "next"]), "ways")
+    edges = materialize(edges.join(merged(ways), ["app_id", "next"]), "ways")
     top = edges.select("app_id").distinct().select("app_id", F.lit(_TOP).alias("node"), F.lit(0).cast("long").alias("layer"))
-    newest, waiting = top, None
+    newest, waiting, far = top, None, edges.count()
+    size = far
     while limit is None or len(rounds) < limit:
-        came = newest.withColumnRenamed("node", "at").join(edges, ["app_id", "at"]).groupBy("app_id", F.col("next").alias("node")).agg(
+        came = merged(newest.withColumnRenamed("node", "at"), min(size, far)).join(edges, ["app_id", "at"]).groupBy("app_id", F.col("next").alias("node")).agg(
             F.count(F.lit(1)).alias("known"), F.max(F.col("layer") + F.col("length")).alias("layer"), F.max("ways").alias("ways")
         )
         if waiting is not None:
@@ -271,10 +274,11 @@ def _placed(edges: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool
         rounds.append(f"{base}/{len(rounds)}")
         known = materialize(came, "layer", rounds[-1])
         newest, waiting = known.filter("known = ways").select(*_NODE, "layer"), known.filter("known < ways")
-        if newest.isEmpty():
+        size = newest.count()
+        if not size:
             break
     done = spark.read.schema(known.schema).parquet(*rounds).filter("known = ways").select(*_NODE, "layer")
-    return top.unionByName(done), newest.isEmpty()
+    return top.unionByName(done), not size
 
 
 def longest_paths(edges: DataFrame) -> DataFrame:
@@ -288,9 +292,9 @@ def longest_paths(edges: DataFrame) -> DataFrame:
     between = _between_runs(edges, runs)
     ends = runs.groupBy("app_id", "head").agg(F.max("place").alias("last"))
     heads = between.select("app_id", "head").union(ends.select("app_id", "head")).distinct()
-    first = heads.join(between.select("app_id", F.col("to").alias("head")), ["app_id", "head"], "left_anti")
+    first = heads.join(merged(between.select("app_id", F.col("to").alias("head"))), ["app_id", "head"], "left_anti")
     last = between.select("app_id", F.col("to").alias("head")).union(ends.select("app_id", "head")).distinct()
-    last = last.join(between, ["app_id", "head"], "left_anti").join(ends, ["app_id", "head"], "left")
+    last = last.join(merged(between), ["app_id", "head"], "left_anti").join(merged(ends), ["app_id", "head"], "left")
     # From before all others to the first runs, from run to run, and from the last runs to after all others.
     ways = (
         first.select("app_id", F.lit(_TOP).alias("at"), F.col("head").alias("next"), F.lit(1).cast("long").alias("length"))
@@ -300,13 +304,13 @@ def longest_paths(edges: DataFrame) -> DataFrame:
     ways = materialize(ways, "ways")
     placed, ended = _placed(ways, LEVELS)
     depths = placed.filter(F.col("node") == _END).select("app_id", F.col("layer").alias("depth"))
-    open_ = ways.join(placed.select("app_id", F.col("node").alias("next")), ["app_id", "next"], "left_anti")
+    open_ = ways.join(merged(placed.select("app_id", F.col("node").alias("next"))), ["app_id", "next"], "left_anti")
     if ended:
         circular = open_.select("app_id").distinct()
     else:
         at = placed.withColumnRenamed("node", "at")
         # A way from a placed node begins at the top, as long as the longest way to it.
-        open_ = open_.join(at, ["app_id", "at"], "left").select(
+        open_ = open_.join(merged(at), ["app_id", "at"], "left").select(
             "app_id",
             F.when(F.col("layer").isNull(), F.col("at")).otherwise(F.lit(_TOP)).alias("at"),
             "next",
@@ -317,10 +321,10 @@ def longest_paths(edges: DataFrame) -> DataFrame:
         core, _, cyclic = contracted(open_, materialize(kept, "kept"), longest=True)
         core = materialize(core, "core")
         late, _ = _placed(core)
-        circular = core.join(late.select("app_id", F.col("node").alias("next")), ["app_id", "next"], "left_anti").select("app_id").distinct()
+        circular = core.join(merged(late.select("app_id", F.col("node").alias("next"))), ["app_id", "next"], "left_anti").select("app_id").distinct()
         if cyclic is not None:
             circular = circular.unionByName(cyclic).distinct()
         depths = depths.unionByName(late.filter(F.col("node") == _END).select("app_id", F.col("layer").alias("depth")))
     apps = edges.select("app_id").distinct()
-    sound = depths.join(circular, "app_id", "left_anti")
-    return apps.join(sound, "app_id", "left")
+    sound = depths.join(merged(circular), "app_id", "left_anti")
+    return apps.join(merged(sound), "app_id", "left")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from faultlens.operators.closure import longest_paths, reach
 from faultlens.operators.graph import NODE, declared_edges, roots_and_leaves
-from faultlens.session import materialize
+from faultlens.session import materialize, merged
 
 _SEED = ["app_id", "seed_stage_id"]
 
@@ -29,15 +29,15 @@ def _lineage(nodes: DataFrame, seeds: DataFrame, edges: DataFrame, name: str, up
     """``seeds`` has app_id and stage_id; seeds that are no stage find nothing."""
     wanted = seeds.select("app_id", F.col("stage_id").alias("seed_stage_id")).distinct()
     start = wanted.join(
-        _listed(nodes).select("app_id", F.col("stage_id").alias("seed_stage_id")), _SEED, "left_semi"
+        merged(_listed(nodes).select("app_id", F.col("stage_id").alias("seed_stage_id"))), _SEED, "left_semi"
     ).withColumn("at", F.col("seed_stage_id"))
     walked = reach(start, materialize(edges, "edges"), _SEED, include_seeds=False)
 
     stage = F.col("stage_id")
     side = stage < F.col("seed_stage_id") if upwards else stage > F.col("seed_stage_id")
     chain = _chained(nodes).select(*NODE)
-    chain_seeds = wanted.join(chain.withColumnRenamed("stage_id", "seed_stage_id"), _SEED, "left_semi")
-    in_chain = chain.join(chain_seeds, "app_id").filter(side).select(*_SEED, F.col("stage_id").alias(name))
+    chain_seeds = wanted.join(merged(chain.withColumnRenamed("stage_id", "seed_stage_id")), _SEED, "left_semi")
+    in_chain = chain.join(merged(chain_seeds), "app_id").filter(side).select(*_SEED, F.col("stage_id").alias(name))
     return walked.select(*_SEED, F.col("at").alias(name)).unionByName(in_chain)
 
 
@@ -90,8 +90,8 @@ def graph_summary(nodes: DataFrame) -> DataFrame:
         .agg(F.count_if("is_root").alias("root_count"), F.count_if("is_leaf").alias("leaf_count"))
     )
     return (
-        counts.join(ends, "app_id", "left")
-        .join(depth_and_cycles(nodes), "app_id", "left")
+        counts.join(merged(ends), "app_id", "left")
+        .join(merged(depth_and_cycles(nodes)), "app_id", "left")
         .select(
             "app_id",
             "stage_count",

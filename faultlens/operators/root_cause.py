@@ -14,7 +14,7 @@ from faultlens.functions.columns import is_failed, is_logical_abort
 from faultlens.operators.closure import reach
 from faultlens.operators.graph import NODE, with_child_counts
 from faultlens.operators.prefix import running_before
-from faultlens.session import materialize
+from faultlens.session import materialize, merged
 
 
 def logical_aborts(nodes: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def _blamed_edges(nodes: DataFrame) -> DataFrame:
     return (
         nodes.filter(is_failed())
         .select("app_id", F.col("stage_id").alias("at"), F.explode("parents").alias("next"), "used_true_parents")
-        .join(to_blame, ["app_id", "next"], "left_semi")
+        .join(merged(to_blame), ["app_id", "next"], "left_semi")
     )
 
 
@@ -65,7 +65,7 @@ def _chain_walk(nodes: DataFrame, terminals: DataFrame) -> DataFrame:
         sums={"position": F.lit(1)},
         maxima={"last_break": F.when(breaks, F.col("stage_id"))},
     ).withColumn("broken", breaks)
-    ends = chain.join(terminals, NODE, "left_semi").select(
+    ends = chain.join(merged(terminals), NODE, "left_semi").select(
         "app_id",
         F.col("stage_id").alias("terminal_id"),
         F.col("position").alias("end"),
@@ -74,7 +74,7 @@ def _chain_walk(nodes: DataFrame, terminals: DataFrame) -> DataFrame:
     # An aborted terminal is part of its own walk, but of no other.
     runs = chain.filter(is_failed()).withColumn("run", F.coalesce("last_break", F.lit(-1)))
     return (
-        runs.join(ends, ["app_id", "run"])
+        runs.join(merged(ends), ["app_id", "run"])
         .filter((F.col("stage_id") == F.col("terminal_id")) | (~F.col("broken") & (F.col("stage_id") < F.col("terminal_id"))))
         .select(*NODE, (F.col("end") - F.col("position")).cast("int").alias("bfs_level"))
     )
@@ -90,14 +90,14 @@ def trace(nodes: DataFrame) -> DataFrame:
     terminals = materialize(terminal_failed_stage(nodes), "terminals")
     blamed = materialize(_blamed_edges(nodes), "blamed")
     listed_start = terminals.join(
-        nodes.filter("used_true_parents").select(*NODE), NODE, "left_semi"
+        merged(nodes.filter("used_true_parents").select(*NODE)), NODE, "left_semi"
     ).select("app_id", F.col("stage_id").alias("at"))
     walked = reach(listed_start, blamed.filter("used_true_parents"), ["app_id"]).select(
         "app_id", F.col("at").alias("stage_id"), F.col("steps").alias("bfs_level")
     )
     visited = walked.unionByName(_chain_walk(nodes, terminals))
     has_cause = blamed.select("app_id", F.col("at").alias("stage_id"), F.lit(True).alias("victim")).distinct()
-    return visited.join(has_cause, NODE, "left").select(
+    return visited.join(merged(has_cause), NODE, "left").select(
         *NODE, "bfs_level", F.col("victim").isNull().alias("is_root_cause")
     )
 
@@ -105,14 +105,14 @@ def trace(nodes: DataFrame) -> DataFrame:
 def traced_stages(nodes: DataFrame) -> DataFrame:
     """The walk with the name, reason and parents of its stages."""
     about = nodes.select(*NODE, "stage_name", "failure_reason", "parents")
-    return trace(nodes).join(about, NODE)
+    return trace(nodes).join(merged(about), NODE)
 
 
 def _clean_parents(nodes: DataFrame, traced: DataFrame) -> DataFrame:
     """Per application: did every known parent of every root cause complete?"""
     parents = traced.filter("is_root_cause").select("app_id", F.explode("parents").alias("stage_id")).distinct()
     return (
-        parents.join(nodes.select(*NODE, "status"), NODE)
+        parents.join(merged(nodes.select(*NODE, "status")), NODE)
         .groupBy("app_id")
         .agg(F.min(F.col("status") == "COMPLETED").alias("clean_parents"))
     )
@@ -140,14 +140,14 @@ def confidence_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
         + F.when(clean_parents, k.CONFIDENCE_CLEAN_PARENTS).otherwise(0.0)
         - F.greatest(F.col("roots") - 2, F.lit(0)) * k.CONFIDENCE_EXTRA_ROOT
     )
-    return per_app.join(_clean_parents(nodes, traced), "app_id", "left").select(
+    return per_app.join(merged(_clean_parents(nodes, traced)), "app_id", "left").select(
         "app_id", F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(1.0)), 4).alias("analysis_confidence")
     )
 
 
 def _full_confidence_elsewhere(nodes: DataFrame, confidence: DataFrame) -> DataFrame:
     apps = nodes.select("app_id").distinct()
-    return apps.join(confidence, "app_id", "left").select("app_id", F.coalesce("analysis_confidence", F.lit(1.0)).alias("analysis_confidence"))
+    return apps.join(merged(confidence), "app_id", "left").select("app_id", F.coalesce("analysis_confidence", F.lit(1.0)).alias("analysis_confidence"))
 
 
 def confidence(nodes: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def result_table(nodes: DataFrame, traced: DataFrame) -> DataFrame:
     empty = F.lit("")
     return (
         _full_confidence_elsewhere(nodes, confidence_table(nodes, traced))
-        .join(texts, "app_id", "left")
+        .join(merged(texts), "app_id", "left")
         .select(
             "app_id",
             F.when(found, F.array_join(F.col("roots.stage_id"), ",")).otherwise(empty).alias("root_cause_stage_ids"),

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from faultlens import session
 from faultlens.operators import graph, lineage, root_cause
 from faultlens.session import materialize
 from tests import brute
@@ -376,3 +377,39 @@ def test_mode_is_one_aggregation(spark):
     rows = [r for app, stages in CASES.items() for r in rows_of(app, stages)]
     plan = graph.graph_mode(spark.createDataFrame(rows, SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_of_tables_that_grow_send_none_whole(spark, monkeypatch):
+    """Stored ids are packed so well that file sizes pass the limit for sending a table to every task."""
+    monkeypatch.setattr(session, "SENT_ROWS", 0)
+    rows = [("a", i, str(max(0, i - 1)) if i else "", "FAILED") for i in range(30)] + [("b", i, "", "FAILED") for i in range(5)]
+    stages = spark.createDataFrame(rows, "app_id string, stage_id int, parent_ids string, status string").selectExpr(
+        "*", "0 AS stage_attempt_id", "'s' AS stage_name", "'timeout' AS failure_reason"
+    )
+    nodes = session.materialize(graph.stage_nodes(stages), "nodes")
+    terminals = root_cause.terminal_failed_stage(nodes)
+    found = [
+        graph.stage_nodes(stages),
+        graph.neighbors(nodes),
+        graph.known_edges(nodes),
+        graph.with_child_counts(nodes),
+        terminals,
+        root_cause.trace(nodes),
+        lineage.ancestors(nodes, terminals),
+        lineage.graph_summary(nodes),
+    ]
+    for df in found:
+        assert "Broadcast" not in _plan(df)
+
+
+def test_a_parent_named_by_an_earlier_attempt_counts(spark):
+    stages = spark.createDataFrame(
+        [("a", 0, 0, ""), ("a", 1, 0, "0"), ("a", 1, 1, ""), ("b", 0, 0, ""), ("b", 1, 0, "")],
+        "app_id string, stage_id int, stage_attempt_id int, parent_ids string",
+    ).selectExpr("*", "'s' AS stage_name", "'COMPLETED' AS status", "CAST(NULL AS STRING) AS failure_reason")
+    found = {(r.app_id, r.stage_id): (r.parents, r.used_true_parents) for r in graph.stage_nodes(stages).collect()}
+    assert found == {("a", 0): ([], True), ("a", 1): ([], True), ("b", 0): ([], False), ("b", 1): ([0], False)}
