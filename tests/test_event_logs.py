@@ -232,3 +232,20 @@ def test_log_of_a_real_session(spark, tmp_path):
     assert {r.label for r in tasks} == {0}
     assert all(r.executor_run_time >= 0 and r.success for r in tasks)
     assert {r.status for r in stages} == {"COMPLETED"}
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    """No file index at the driver, and counts without a single packed file."""
+    (tmp_path / "oom").mkdir()
+    for k in range(300):
+        (tmp_path / "oom" / f"application_{k}").write_text(text_of([task(k)]))
+    found = event_logs.ScanCounts()
+    lines = event_logs.scan_event_logs(spark, str(tmp_path), counts=found)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "Scan text" not in plan and "FileScan binaryFile" not in plan
+    assert lines.rdd.getNumPartitions() <= 16
+    event_logs.parse_once(lines, found)
+    totals = found.totals()
+    assert (totals["files"], totals["lines"], totals["parsed"], totals["malformed"]) == (300, 900, 300, 300)
+    report = event_logs.scan_report(spark, str(tmp_path))
+    assert report.count() == 300 and report.filter("lines = 3").count() == 300
