@@ -200,7 +200,7 @@ def bucketed_join(t: Tables) -> DataFrame:
     """Lines and revenue by order status; lines and orders are stored in buckets of the order key and joined without a shuffle."""
     lines = t["lineitem"].select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice", "l_discount", "l_quantity")
     orders = t["orders"].select("o_orderkey", "o_orderstatus")
-    buckets = bucket_count(lines, orders)
+    buckets = bucket_count(lines, orders, rows=max(lines.count(), orders.count()))
     lines, orders = (bucketed(df, "o_orderkey", buckets, name) for df, name in ((lines, "lines"), (orders, "orders")))
     return (
         lines.hint("merge")

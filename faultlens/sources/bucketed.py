@@ -11,12 +11,14 @@ from faultlens.session import scratch_path
 
 #: Estimated bytes of a bucket, and the most buckets of a table.
 BUCKET_BYTES, BUCKETS = 256 << 20, 1 << 14
+#: Rows of a bucket, since well packed files say little about the room that rows take in memory.
+BUCKET_ROWS = 1 << 20
 
 
-def bucket_count(*tables: DataFrame) -> int:
-    """Buckets for tables that are to be joined: a power of two, by the largest one's size as the optimizer estimates it."""
+def bucket_count(*tables: DataFrame, rows: int = 0) -> int:
+    """Buckets for tables that are to be joined: a power of two, by the largest one's size as the optimizer estimates it and by its ``rows`` if the caller knows them."""
     sizes = [int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in tables]
-    return 1 << min(BUCKETS, -(-max(sizes) // BUCKET_BYTES)).bit_length()
+    return 1 << min(BUCKETS, max(-(-max(sizes) // BUCKET_BYTES), -(-rows // BUCKET_ROWS))).bit_length()
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, name: str, path: str | None = None) -> DataFrame:

@@ -181,3 +181,10 @@ def test_bucketed_join_moves_no_lines(spark, data):
     from faultlens.sources.bucketed import bucket_count
 
     assert bucket_count(spark.range(10)) == 2 and bucket_count(spark.range(1 << 30)) == 64
+
+
+def test_buckets_by_rows(spark):
+    """Well packed files are small, their rows are not."""
+    from faultlens.sources.bucketed import bucket_count
+
+    assert bucket_count(spark.range(10), rows=100 << 20) == 128
