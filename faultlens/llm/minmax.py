@@ -208,7 +208,7 @@ def _many(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     A bucket's largest component and its other members are cut into blocks of
     so many shingles; every two blocks whose members may be of different
     components meet in one task. It counts common shingles through an index of
-    one block's shingles, and gives out links alone.
+    one block's shingles, and gives out no more links than join its components.
     """
     many = open_members.filter(F.col("members") > FEW)
     sizes = many.groupBy("bucket", "component").agg(F.sum("n_shingles").alias("size"))
@@ -237,13 +237,28 @@ def _many(open_members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         alone = table.column("i")[0] == table.column("j")[0]
         one = np.flatnonzero(side == 0)
         two = one if alone else np.flatnonzero(side == 1)
-        found = [(doc[a], doc[b]) for a, b in _index_links(held, one, two, percent) if component[a] != component[b]]
+        # Of the links between the same components, some of them joined by links of this very cell, one is enough.
+        place = np.unique(component, return_inverse=True)[1].tolist()
+        above = list(range(len(place)))
+        found = []
+        for a, b in _index_links(held, one, two, percent):
+            low, high = sorted((_top(above, place[a]), _top(above, place[b])))
+            if low != high:
+                above[high] = low
+                found.append((doc[a], doc[b]))
         ends = np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)
         return pa.table({"a": ends[:, 0], "b": ends[:, 1]})
 
     return rows.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
+def _top(above: list[int], node: int) -> int:
+    while above[node] != node:
+        above[node] = above[above[node]]
+        node = above[node]
+    return node
+
+
 def _index_links(held: list[np.ndarray], one: np.ndarray, two: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
     """Pairs of a set of ``one`` and a set of ``two`` that are similar, by an index of the shingles of ``one``."""
     if not len(one):

@@ -88,3 +88,16 @@ def test_agreement_of_extremes_is_unbiased():
         shares.append((a == b).mean())
     # Both extremes of a permutation agree with about the squared similarity.
     assert abs(np.mean(shares) - 0.8**2) < 0.03
+
+
+def test_a_block_gives_no_more_links_than_join_its_components(spark):
+    """Forty similar texts of forty components, in two cells: fewer than 40 links each, not 780."""
+    shingles = np.arange(100, dtype=np.uint64)
+    members = spark.createDataFrame([(1, d, 100, d, 40) for d in range(40)], "bucket long, doc_id long, n_shingles long, component long, members long")
+    sets = spark.createDataFrame([(d, bytearray(shingles.tobytes())) for d in range(40)], "doc_id long, shingles binary")
+    links = [(r.a, r.b) for r in minmax._many(members, sets, 80).collect()]
+    assert 39 <= len(links) < 2 * 40
+    seen = {0}
+    for _ in links:
+        seen |= {x for pair in links if seen & set(pair) for x in pair}
+    assert seen == set(range(40))
