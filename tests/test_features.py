@@ -120,3 +120,14 @@ def test_exact_totals_of_measures(spark):
     got = {r.category: r.total for r in category_totals(spark.createDataFrame(rows, "event_id LONG, value DOUBLE")).collect()}
     for c in range(5):
         assert got[str(c)] == pytest.approx(sum(v for i, v in rows if i % 5 == c), abs=1e-9)
+
+
+def test_rows_to_fit_are_dealt_to_many_files(spark, monkeypatch):
+    from faultlens.operators import classify
+    from faultlens.session import materialize
+
+    rows = materialize(spark.createDataFrame([(f"app_{k}", k) for k in range(200)], "app_id string, label int").coalesce(1), "rows")
+    assert classify.dealt(rows) is rows
+    monkeypatch.setattr(classify, "TASK_ROWS", 10)
+    spread = classify.dealt(rows)
+    assert len(spread.inputFiles()) > 10 and sorted(spread.collect()) == sorted(rows.collect())
