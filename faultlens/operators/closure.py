@@ -14,6 +14,10 @@ its depth has binary digits, and the edges of all rounds together are a few
 times those of the graph. Shortest ways to the nodes taken out follow in the
 opposite order. What cannot be contracted any more is walked level by level.
 
+Longest paths of small graphs need no rounds: a graph of up to ``SMALL`` edges is
+one row, in which the layers of its nodes are raised until nothing changes. Only
+the larger ones, told apart by counting, go from run to run.
+
 Each round joins only the newest rows and writes them to the shared folder. No
 round re-plans an earlier one, and cyclic input ends by itself.
 """
@@ -22,10 +26,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.session import materialize, merged, scratch_path
+from faultlens.session import SENT_ROWS, materialize, merged, scratch_path
 
 _NODE = ["app_id", "node"]
 #: Rounds of one level each before a graph is contracted.
@@ -34,6 +38,8 @@ LEVELS = 8
 WAYS = 36
 #: A round that leaves more than this share of the edges is a poor one; two in a row end the contraction.
 POOR = 0.95
+#: A graph of no more edges than this is one row when its longest path is sought.
+SMALL = 128
 #: Nodes before and after all others, beyond any stage id.
 _TOP, _END = -(1 << 40), 1 << 40
 
@@ -281,12 +287,8 @@ def _placed(edges: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool
     return top.unionByName(done), not size
 
 
-def longest_paths(edges: DataFrame) -> DataFrame:
-    """(app_id, depth): the number of nodes on the longest path of every graph that ``edges`` has; NULL if it has a circle.
-
-    ``edges`` has ``app_id``, ``parent`` and ``child``.
-    """
-    edges = edges.select("app_id", F.col("parent").cast("long").alias("at"), F.col("child").cast("long").alias("next")).distinct()
+def _depths_by_rounds(edges: DataFrame) -> DataFrame:
+    """(app_id, depth) as in ``longest_paths``; ``edges`` has distinct app_id, at and next."""
     edges = materialize(edges, "edges")
     runs = unary_runs(edges)
     between = _between_runs(edges, runs)
@@ -328,3 +330,50 @@ def longest_paths(edges: DataFrame) -> DataFrame:
     apps = edges.select("app_id").distinct()
     sound = depths.join(merged(circular), "app_id", "left_anti")
     return apps.join(merged(sound), "app_id", "left")
+
+
+def _raised(state: Column) -> Column:
+    """One step: every node comes one layer after the last of the nodes before it, unless the step before changed nothing."""
+    layers, before = state["layers"], state["before"]
+    after = F.transform(before, lambda at: F.coalesce(F.array_max(F.transform(at, lambda i: F.element_at(layers, i))) + 1, F.lit(1).cast("long")))
+    return F.when(layers == state["last"], state).otherwise(F.struct(after.alias("layers"), layers.alias("last"), before.alias("before")))
+
+
+def _depths_in_rows(edges: DataFrame) -> DataFrame:
+    """(app_id, depth) as in ``longest_paths`` of graphs that fit in a row; ``edges`` has app_id, at and next."""
+    graphs = edges.groupBy("app_id").agg(F.collect_list(F.struct("at", "next")).alias("edges"))
+    graphs = graphs.withColumn("nodes", F.array_distinct(F.concat("edges.at", "edges.next")))
+    # Places of the nodes before each node.
+    before = F.transform("nodes", lambda node: F.transform(
+        F.filter("edges", lambda edge: edge["next"] == node), lambda edge: F.array_position("nodes", edge["at"]).cast("int")
+    ))
+    start = F.struct(
+        F.transform("nodes", lambda _: F.lit(1).cast("long")).alias("layers"), F.lit(None).cast("array<long>").alias("last"), before.alias("before")
+    )
+    # Without a circle no way has more nodes than there are, and as many steps settle all layers; on a circle they rise with every step.
+    steps = F.sequence(F.lit(1), F.size("nodes"))
+    walked = graphs.select("app_id", F.size("nodes").alias("n"), F.aggregate(steps, start, lambda s, _: _raised(s), lambda s: F.array_max(s["layers"])).alias("layer"))
+    return walked.select("app_id", F.when(F.col("layer") <= F.col("n"), F.col("layer")).alias("depth"))
+
+
+def longest_paths(edges: DataFrame) -> DataFrame:
+    """(app_id, depth): the number of nodes on the longest path of every graph that ``edges`` has; NULL if it has a circle.
+
+    ``edges`` has ``app_id``, ``parent`` and ``child``.
+    """
+    edges = edges.select("app_id", F.col("parent").cast("long").alias("at"), F.col("child").cast("long").alias("next"))
+    edges = materialize(edges, "edges")
+    # Without an application there is no graph to follow.
+    lost = edges.filter("app_id IS NULL").select("app_id", F.lit(None).cast("long").alias("depth")).distinct()
+    edges = edges.filter("app_id IS NOT NULL")
+    sizes = edges.groupBy("app_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("at").isNull() | F.col("next").isNull()).alias("open"))
+    large = materialize(sizes.filter((F.col("n") > SMALL) | (F.col("open") > 0)).select("app_id"), "large")
+    count = large.count()
+    if not count:
+        return _depths_in_rows(edges).unionByName(lost)
+    small = edges.join(merged(large, count), "app_id", "left_anti")
+    if count > SENT_ROWS:
+        # Stored, so that Spark may split the partitions of large graphs in this join.
+        small = materialize(small, "small")
+    walked = _depths_by_rounds(edges.join(merged(large, count), "app_id", "left_semi").distinct())
+    return _depths_in_rows(small).unionByName(walked).unionByName(lost)

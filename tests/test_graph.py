@@ -413,3 +413,53 @@ def test_a_parent_named_by_an_earlier_attempt_counts(spark):
     ).selectExpr("*", "'s' AS stage_name", "'COMPLETED' AS status", "CAST(NULL AS STRING) AS failure_reason")
     found = {(r.app_id, r.stage_id): (r.parents, r.used_true_parents) for r in graph.stage_nodes(stages).collect()}
     assert found == {("a", 0): ([], True), ("a", 1): ([], True), ("b", 0): ([], False), ("b", 1): ([0], False)}
+
+
+def random_edges(graphs):
+    """(app_id, parent, child) of random graphs with ids in any order, a third of them with circles, one edge twice; and their depths."""
+    dice = random.Random(5)
+    rows, depths = [], {}
+    for g in range(graphs):
+        app, size = f"r{g:03}", dice.randrange(2, 12)
+        ids = dice.sample(range(1000), size)
+        parents = {ids[k]: {ids[p] for p in range(k) if dice.random() < 3 / size} for k in range(size)}
+        if g % 3 == 0:
+            at = dice.randrange(size)
+            parents[ids[dice.randrange(at + 1)]].add(ids[at])
+        edges = [(app, p, c) for c in parents for p in parents[c]]
+        if edges:
+            rows += [*edges, edges[0]]
+            depths[app] = brute_depth(parents, {x for edge in edges for x in edge[1:]})
+    return rows, depths
+
+
+def brute_depth(parents, nodes):
+    """Nodes of the longest path; None if there is a circle."""
+    layers = {}
+    while left := [n for n in nodes if n not in layers]:
+        ready = [n for n in left if all(p in layers for p in parents.get(n, ()))]
+        if not ready:
+            return None
+        layers |= {n: 1 + max((layers[p] for p in parents.get(n, ())), default=0) for n in ready}
+    return max(layers.values())
+
+
+@pytest.mark.parametrize(("small", "sent"), [(10, 1), (128, 100_000)])
+def test_depth_in_rows_and_by_rounds(spark, monkeypatch, small, sent):
+    """The same depths whether a graph is one row or walked by rounds; without an application there is none."""
+    from faultlens.operators import closure
+
+    monkeypatch.setattr(closure, "SMALL", small)
+    monkeypatch.setattr(closure, "SENT_ROWS", sent)
+    rows, depths = random_edges(60)
+    edges = spark.createDataFrame([*rows, (None, 1, 2), (None, 2, 3)], "app_id string, parent int, child int")
+    found = closure.longest_paths(edges).collect()
+    assert {r.app_id: r.depth for r in found} == depths | {None: None} and len(found) == len(depths) + 1
+
+
+def test_small_graphs_need_no_rounds(spark, written):
+    """Depths of many small graphs are found in two stored tables, whatever their levels."""
+    rows = [(f"a{a}", s, s + 1) for a in range(50) for s in range(a + 1)]
+    found = lineage.longest_paths(spark.createDataFrame(rows, "app_id string, parent int, child int")).collect()
+    assert {r.app_id: r.depth for r in found} == {f"a{a}": a + 2 for a in range(50)}
+    assert len(written) <= 2
