@@ -108,6 +108,20 @@ def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def rolling_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """``span_hashes`` of the ``width`` bytes from every position on that has as many."""
+    count = max(0, len(data) - width + 1)
+    if len(data) > 2 * SLICE_BYTES:
+        at = np.arange(count)
+        return span_hashes(data, at, at + width)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_CODE[data] * _powers("up", _BASE, len(data)), out=total[1:])
+    sums = total[width:] - total[:count]
+    sums *= _powers("down", _BASE_INVERSE, len(data) + 1)[:count]
+    sums += np.uint64(width)
+    return mix(sums)
+
+
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 #: Bytes of letters and digits; those of other scripts count as letters.

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.common import byte_offsets, expanded, list_column, mix, slices, span_hashes, squeezed, store
+from faultlens.llm.common import byte_offsets, expanded, list_column, rolling_hashes, slices, squeezed, store
 
 LENGTH = 100
 #: Bytes of an anchor.
@@ -68,28 +68,35 @@ def _sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start of every ``length``-byte window that lies in one text, and the position of its anchor."""
+def _hashed_anchors(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``window_anchors``, and the hash at every position."""
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.arange(len(data) - anchor + 1)
-    order = mix(span_hashes(data, at, at + anchor) + np.uint64(77)) & np.uint64(0xFFFFFFFF00000000)
-    least = _sliding_minimum(order | at.astype(np.uint64), length - anchor + 1)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    hashes = rolling_hashes(data, anchor)
+    # The upper half of the hash gives the order, the position is in the lower one.
+    order = hashes & np.uint64(0xFFFFFFFF00000000)
+    order |= np.arange(len(order), dtype=np.uint64)
+    least = _sliding_minimum(order, length - anchor + 1)
     whole = np.zeros(len(data) + 1, np.int32)
     whole[offsets[1:-1]] = 1
     crossed = np.cumsum(whole)
     starts = np.flatnonzero(crossed[length - 1 : len(data)] == crossed[: len(data) - length + 1])
-    return starts, (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return starts, (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64), hashes
+
+
+def window_anchors(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start of every ``length``-byte window that lies in one text, and the position of its anchor."""
+    return _hashed_anchors(data, offsets, length, anchor)[:2]
 
 
 def _anchors_of(batch: pa.RecordBatch, length: int, anchor: int):
     """Bytes and borders of the texts, start of each window and number of its anchor, and position and hash of every anchor."""
     data, offsets = byte_offsets(batch.column(batch.schema.get_field_index("text")))
-    starts, chosen = window_anchors(data, offsets, length, anchor)
+    starts, chosen, hashes = _hashed_anchors(data, offsets, length, anchor)
     # The anchor moves on with the window, never back.
     new = np.r_[True, chosen[1:] != chosen[:-1]][: len(chosen)]
     places = chosen[new]
-    return data, offsets, starts, np.cumsum(new) - 1, places, span_hashes(data, places, places + anchor)
+    return data, offsets, starts, np.cumsum(new) - 1, places, hashes[places]
 
 
 def anchor_counts(documents: DataFrame, length: int, anchor: int) -> DataFrame:
@@ -116,16 +123,9 @@ def anchor_counts(documents: DataFrame, length: int, anchor: int) -> DataFrame:
 def entries_of(batch: pa.RecordBatch, length: int, anchor: int) -> Iterator[tuple[int, Entry]]:
     """(anchor hash, entry) for all windows of the batch whose anchors repeat."""
     data, offsets, starts, chosen, places, hashes = _anchors_of(batch, length, anchor)
-    owners = np.searchsorted(offsets, places, side="right") - 1
-    known = batch.column(batch.schema.get_field_index("repeated"))
-    ends = known.offsets.to_numpy()
-    flat = known.flatten().to_numpy().view(np.uint64)
-    repeats = np.zeros(len(places), bool)
-    borders = np.searchsorted(owners, np.arange(batch.num_rows + 1))
-    for i in range(batch.num_rows):
-        mine = slice(borders[i], borders[i + 1])
-        repeats[mine] = np.isin(hashes[mine], flat[ends[i] - ends[0] : ends[i + 1] - ends[0]])
-    fit = repeats[chosen]
+    # An anchor that repeats does so in all of its documents, so their lists are one.
+    known = batch.column(batch.schema.get_field_index("repeated")).flatten().to_numpy().view(np.uint64)
+    fit = np.isin(hashes, known)[chosen]
     starts, chosen = starts[fit], chosen[fit]
     if not len(starts):
         return
@@ -302,8 +302,16 @@ def _runs(texts: DataFrame, ranges: int, length: int, anchor: int) -> DataFrame:
         parts: dict[int, list[Entry]] = {}
         gone: list[tuple[int, int, int, int]] = []
         windows = 0
-        for value, group in held.items():
-            group.sort()
+        for value, found in held.items():
+            found.sort()
+            # Of equal entries the earliest comes first; the others go as a whole, before prefixes are looked at.
+            group = [found[0]]
+            for entry in found[1:]:
+                if entry[:3] != group[-1][:3]:
+                    group.append(entry)
+                elif entry[4:] != group[-1][4:]:
+                    _, _, low, high, d, e, at = entry
+                    gone.append((d, e, at - high, at - low + length))
             shares = [0, *(shared_prefix(a[0], b[0], 0) for a, b in zip(group, group[1:], strict=False))]
             for entry, bits in settle(group, shares, length) if len(group) > 1 else [(group[0], 0)]:
                 right, left, low, high, d, e, at = entry
