@@ -56,6 +56,9 @@ HOT = 16_384
 #: Windows of hot anchors that a task sends at once.
 WINDOWS = 200_000
 
+#: Spark's setting for removing the shuffles of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 Entry = tuple[bytes, bytes, int, int, int, int, int]  # right, left, fewest and most bytes before the anchor, document (2), position
 
 
@@ -397,19 +400,30 @@ def _merge_range(ranges: int, length: int, anchor: int):
     return run
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``store``, and Spark removes the write's shuffles at its end; else they lie beside the table until the driver collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return store(df.select("*"), name)
+    finally:
+        conf.set(CLEANUP, before)
+
+
 def removals(keyed: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """(d, e, first, last): byte spans to remove; they may overlap."""
-    counted = store(anchor_counts(keyed, length, anchor), "anchors")
+    counted = _stored(anchor_counts(keyed, length, anchor), "anchors")
     each = counted.select("d", "e", F.explode(F.concat("once", "twice")).alias("h"))
     total = counted.select(F.explode("once").alias("h"), F.lit(1).alias("n")).union(counted.select(F.explode("twice").alias("h"), F.lit(2).alias("n")))
     repeated = total.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h", F.when(F.col("n") > HOT, F.col("h")).alias("hot"))
     found = each.join(repeated, "h").groupBy("d", "e").agg(F.collect_list("h").alias("repeated"), F.collect_list("hot").alias("hot"))
-    held = store(found, "repeated")
+    held = _stored(found, "repeated")
     # As each anchor is that of half of the windows that could have it.
     windows = F.size("repeated") + F.size("hot") * ((length - anchor) // 2)
     ranges = max(1, -(-(held.agg(F.sum(windows)).first()[0] or 0) // RANGE))
     texts = squeezed(keyed).join(held, ["d", "e"]).select("d", "e", "repeated", "hot", "packed")
-    runs = store(_runs(texts, ranges, length, anchor), "runs")
+    runs = _stored(_runs(texts, ranges, length, anchor), "runs")
     merges = runs.filter("part IS NOT NULL").select("part", "meta", "tails").groupBy("part")
     across = merges.applyInArrow(_merge_range(ranges, length, anchor), "d long, e long, first long, last long")
     return runs.filter("part IS NULL").select("d", "e", "first", "last").union(across)
@@ -430,7 +444,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH, anchor: int = ANCHO
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(text).alias("e"), text.alias("text")
     )
     spans = removals(keyed, length, anchor)
-    spans = store(spans.groupBy("d", "e").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")), "removals")
+    spans = _stored(spans.groupBy("d", "e").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans")), "removals")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in expanded(batches, SLICE):

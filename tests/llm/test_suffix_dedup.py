@@ -1,7 +1,10 @@
 import hashlib
 import os
 import random
+import time
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +159,41 @@ def test_runs_round_trip():
     entries = sorted((bytes([97 + i % 3]) * (i % 9 + 1), b"l" * (i % 4), i % 5, i % 5 + i % 4, i, -i, i * 7) for i in range(50))
     back = [e for _, _, e in suffix_dedup.decoded(*suffix_dedup.coded(entries))]
     assert back == entries
+
+
+def test_shuffles_of_stored_tables_are_removed(spark):
+    """Once a table is stored no shuffle of its making is left on disk, and the setting is as before."""
+
+    def shuffles():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f.name for folder in folders for f in Path(folder.getPath()).rglob("shuffle_*")}
+
+    setting, before = spark.conf.get(suffix_dedup.CLEANUP), shuffles()
+    table = suffix_dedup._stored(spark.range(1_000).groupBy((F.col("id") % 10).alias("k")).count(), "kept")
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(suffix_dedup.CLEANUP) == setting and table.count() == 10
+
+
+def test_equal_entries_of_a_run_are_not_compared(monkeypatch):
+    """Forty copies of a text in one run: prefixes are sought between different entries only."""
+    text = samples.sentence(random.Random(2), 60).encode()
+    held = [(d, text) for d in range(40)]
+    hashes = suffix_dedup._anchors_of(batch_of(held), 100, 32)[5].view("int64").tolist()
+    batch = batch_of(held).append_column("repeated", pa.array([hashes] * 40)).append_column("hot", pa.array([[]] * 40, pa.list_(pa.int64())))
+    monkeypatch.setattr(suffix_dedup, "expanded", lambda batches, limit: batches)
+    calls, real = [], suffix_dedup.shared_prefix
+    monkeypatch.setattr(suffix_dedup, "shared_prefix", lambda *x: calls.append(x) or real(*x))
+
+    class Texts:
+        mapInArrow = staticmethod(lambda run, schema: list(run(iter([batch]))))
+
+    sent = pa.Table.from_batches(suffix_dedup._runs(Texts, 2, 100, 32)).to_pylist()
+    assert sorted((r["d"], r["first"], r["last"]) for r in sent if r["part"] is None) == [(d, 0, len(text)) for d in range(1, 40)]
+    assert len(calls) <= len(set(hashes))
+
+
+def batch_of(held):
+    ids = pa.array([d for d, _ in held], pa.int64())
+    return pa.RecordBatch.from_arrays([ids, ids, pa.array([t for _, t in held], pa.large_binary())], names=["d", "e", "text"])
